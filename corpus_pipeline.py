@@ -1,8 +1,55 @@
-"""Corpus pipeline: language ID, quality rules, near-dedup, decontamination, mixing. Placeholder stages are filled in below."""
+"""Corpus pipeline: language ID, quality rules, near-dedup, benchmark decontamination, mixing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; stages but the last return the columns of
+`documents`. A stage's result is written as Parquet in the shared folder and read again as the next one's documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from wattmill.llm import decontaminate, langid, mixing, quality, simhash
+from wattmill.llm.common import table, written
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, and those of which no language has its share of words, go."""
+    return langid.keep_known(docs)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or the threshold table go."""
+    return quality.keep_good(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component stays, that with the smallest id."""
+    return simhash.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which benchmark windows cover a twentieth or more go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with how often: doc_id, leaf, tokens, budget, copies."""
+    return mixing.mix_report(docs)
+
+
+STAGES = [
+    ("language", language),
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("source_mixing", source_mixing),
+]
+#: Fingerprints and the random field are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+import zipfile
+from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Rows of text that a Python worker holds at once. Texts are long, so batches are small.
 BATCH_ROWS = 500
@@ -17,6 +18,19 @@ BATCH_ROWS = 500
 BATCH_BYTES = 8 << 20
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives Python workers this package, for sessions whose workers don't find it by themselves. Done once a session."""
+    root = Path(__file__).resolve().parents[2]
+    name = f"{Path(__file__).resolve().parents[1].name}-package.zip"
+    if any(f.endswith(name) for f in spark.sparkContext.listFiles):
+        return
+    path = Path(tempfile.mkdtemp(prefix="spark-")) / name
+    with zipfile.ZipFile(path, "w") as archive:
+        for file in sorted(Path(__file__).resolve().parents[1].rglob("*.py")):
+            archive.write(file, file.relative_to(root))
+    spark.sparkContext.addPyFile(str(path))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share; set to a new local one only where the cluster names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -40,14 +54,11 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the driver's folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """mapInArrow. Workers get the session's batches; `small_batches` cuts them by bytes."""
-    return df.mapInArrow(function, schema)
-
-
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `rows` rows and about `size` bytes (one row may be longer)."""
     for batch in batches:
