@@ -29,7 +29,9 @@ LEXICON_BUCKETS, GRAM_BUCKETS = 1 << 16, 1 << 16
 SAMPLE_DOCS, SAMPLE_WORDS, SEGMENT, SEGMENTS = 300, 40, 10, 12
 STEPS, RATE, DECAY = 60, 0.15, 1e-4
 UNKNOWN = "und"
-BATCH_DOCS, BATCH_SIZE = 2_000, 24 << 20
+BATCH_DOCS, BATCH_SIZE = 2_000, 6 << 20
+#: Words whose grams are held at once.
+HELD_WORDS = 50_000
 _TABLE = bytes(c if 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 _LETTER = re.compile(r"[^\W\d_]")
 _MULTIPLIERS = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -73,10 +75,12 @@ class Crf:
 
     def emissions(self, words: list[bytes]) -> np.ndarray:
         """Scores of each word for each label."""
-        ids, counts, buckets = gram_ids(words)
-        rows = self.grams[ids]
-        starts = np.cumsum(counts) - counts
-        return (np.add.reduceat(rows, starts, axis=0) / np.sqrt(counts)[:, None]) + self.lexicon[buckets] * self.lexical
+        out = np.empty((len(words), len(self.labels)), np.float32)
+        for at in range(0, len(words), HELD_WORDS):
+            ids, counts, buckets = gram_ids(words[at : at + HELD_WORDS])
+            sums = np.add.reduceat(self.grams[ids], np.cumsum(counts) - counts, axis=0)
+            out[at : at + HELD_WORDS] = sums / np.sqrt(counts)[:, None] + self.lexicon[buckets] * self.lexical
+        return out
 
 
 def forward_backward(emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
@@ -171,17 +175,17 @@ def lexicon_counts(docs: DataFrame, labels: list[str]) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(LEXICON_BUCKETS * len(labels), np.int64)
         for batch in small_batches(batches, BATCH_DOCS, BATCH_SIZE):
-            texts = [(number[lang.as_py()], words_of(text.as_py())) for text, lang in zip(batch.column("text"), batch.column("lang"))]
-            index = dict.fromkeys(w for _, ws in texts for w in ws)
+            texts = [words_of(text.as_py()) for text in batch.column("text")]
+            owners = np.repeat([number[lang.as_py()] for lang in batch.column("lang")], [len(ws) for ws in texts])
+            index = dict.fromkeys(w for ws in texts for w in ws)
             if not index:
                 continue
-            buckets = gram_ids(list(index))[2]
-            index = dict(zip(index, buckets.tolist()))
-            for label, ws in texts:
-                at = np.fromiter(map(index.__getitem__, ws), np.int64, len(ws))
-                total += np.bincount(at * len(labels) + label, minlength=len(total)) if len(at) > 2_000 else 0
-                if 0 < len(at) <= 2_000:
-                    np.add.at(total, at * len(labels) + label, 1)
+            distinct = list(index)
+            for part in range(0, len(distinct), HELD_WORDS):
+                chunk = distinct[part : part + HELD_WORDS]
+                index.update(zip(chunk, gram_ids(chunk)[2].tolist()))
+            at = np.fromiter((index[w] for ws in texts for w in ws), np.int64, len(owners))
+            total += np.bincount(at * len(labels) + owners, minlength=len(total))
         some = np.flatnonzero(total)
         yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(total[some])], ["cell", "n"])
 
