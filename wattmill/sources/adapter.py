@@ -97,7 +97,7 @@ class Star:
             F.round(F.col("l_extendedprice").cast("decimal(12,2)") * (1 - F.col("l_discount").cast("decimal(4,2)")), 4).cast("decimal(16,4)").alias("cost"),
             F.col("l_shipdate").cast("timestamp").alias("updated_at"),
             (F.col("l_returnflag") == "R").cast("int").alias("is_deleted"),
-            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("source_id"),
+            ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1009 + (F.col("l_partkey") * 7 + F.col("l_suppkey")) % 1009).alias("source_id"),
         )
 
     @cached_property
@@ -136,7 +136,7 @@ dim_calendar AS (SELECT calendar_date, year(calendar_date) AS year, quarter(cale
     CASE WHEN isodow(calendar_date) >= 6 THEN 1 ELSE 0 END AS is_weekend, holiday_name, CASE WHEN holiday_name IS NULL THEN 0 ELSE 1 END AS is_holiday
     FROM (SELECT CAST(range AS DATE) AS calendar_date FROM range(TIMESTAMP '2024-01-01', TIMESTAMP '2026-01-01', INTERVAL 1 DAY)) LEFT JOIN holiday ON calendar_date BETWEEN CAST(low AS DATE) AND CAST(high AS DATE)),
 records AS (SELECT {_FOLD.format("l_shipdate")} AS record_date, 'W0' || (l_suppkey % 8 + 1) AS workshop_code, 'E0' || (l_partkey % 6 + 1) AS energy_code, CAST(l_quantity AS DECIMAL(16,3)) AS consumption,
-    CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) AS DECIMAL(16,4)) AS cost, l_shipdate AS updated_at, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS is_deleted, l_orderkey * 10 + l_linenumber AS source_id FROM lineitem),
+    CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) AS DECIMAL(16,4)) AS cost, l_shipdate AS updated_at, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS is_deleted, (l_orderkey * 10 + l_linenumber) * 1009 + (l_partkey * 7 + l_suppkey) % 1009 AS source_id FROM lineitem),
 energy0 AS (SELECT record_date, workshop_code, energy_code, CAST(sum(consumption) AS DECIMAL(16,3)) AS consumption, CAST(round(sum(cost), 2) AS DECIMAL(16,2)) AS cost, max(updated_at) AS updated_at FROM records GROUP BY ALL),
 energy AS (SELECT *, CASE WHEN (dayofyear(record_date) + CAST(substr(workshop_code, 3, 1) AS INTEGER) * 5) % 13 = 0 THEN 0 ELSE 1 END AS is_production_day,
     CASE WHEN dayofyear(record_date) % 50 = 0 THEN NULL ELSE round(15 - 17 * cos(2 * pi() * dayofyear(record_date) / 365e0), 1) END AS avg_temperature, 0 AS is_deleted FROM energy0),
