@@ -1,0 +1,141 @@
+"""Sources and sinks: declared schemas, strict document ingest, JDBC windows, partition landing, logs with reject reasons."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from wattmill.operators.views import Plant
+from wattmill.plans.catalog import query
+from wattmill.streaming import power
+
+RAW_COLUMNS = ("record_date", "workshop_code", "workshop_name", "energy_code", "energy_name", "consumption", "unit", "unit_price", "cost", "output_qty", "output_unit", "avg_temperature", "record_status", "data_source", "updated_at")
+
+
+def text_schema(columns=RAW_COLUMNS) -> T.StructType:
+    return T.StructType([T.StructField(c, T.StringType()) for c in columns])
+
+
+def read_raw_csv(spark: SparkSession, path: str, columns=RAW_COLUMNS) -> DataFrame:
+    """Every column as text; a byte order mark is part of the header only."""
+    return spark.read.schema(text_schema(columns)).option("header", True).option("enforceSchema", True).csv(path)
+
+
+def write_window(rows: DataFrame, path: str, first: str | None = None, last: str | None = None, date: str = "record_date") -> None:
+    """All rows, or those of a window of dates."""
+    if first or last:
+        rows = rows.filter(F.col(date).between(F.to_date(F.lit(first or "0001-01-01")), F.to_date(F.lit(last or "9999-12-31"))))
+    rows.write.mode("overwrite").option("header", True).csv(path)
+
+
+def jdbc_snapshot(spark: SparkSession, url: str, table: str, columns: list[str], split: str, low: int, high: int, parts: int = 8, **options: str) -> DataFrame:
+    """S3: a full table in `parts` ranges of `split`; needs the database's driver on the class path."""
+    return spark.read.jdbc(url, f"(SELECT {', '.join(columns)} FROM {table}) t", column=split, lowerBound=low, upperBound=high, numPartitions=parts, properties=options)
+
+
+def jdbc_window(spark: SparkSession, url: str, table: str, columns: list[str], start: str, end: str, stamp: str = "updated_at", **options: str) -> DataFrame:
+    """Start <= stamp < end, evaluated in the database; both bounds are needed."""
+    if not start or not end:
+        raise ValueError("an incremental window needs both bounds")
+    return spark.read.jdbc(url, f"(SELECT {', '.join(columns)} FROM {table}) t", predicates=[f"{stamp} >= '{start}' AND {stamp} < '{end}'"], properties=options)
+
+
+def updated_between(rows: DataFrame, start: Column, end: Column, stamp: str = "updated_at") -> DataFrame:
+    """The same half-open window on a DataFrame; it reaches the Parquet scan as a filter."""
+    return rows.filter((F.col(stamp) >= start) & (F.col(stamp) < end))
+
+
+def land_partition(rows: DataFrame, path: str, dt: str) -> None:
+    """One sync partition, replaced as a whole; other partitions stay."""
+    rows.withColumn("dt", F.lit(dt)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dt").parquet(path)
+
+
+def read_hourly(spark: SparkSession, paths: list[str], metrics: list[str]) -> DataFrame:
+    """The first path that exists; metrics as doubles, local times parsed."""
+    for path in paths:
+        try:
+            rows = spark.read.parquet(path)
+        except Exception as error:
+            if "PATH_NOT_FOUND" not in str(error):
+                raise
+            continue
+        return rows.select("city_id", F.col("ts_local").cast("string").try_cast("timestamp").alias("ts_local"), *(F.col(m).try_cast("double").alias(m) for m in metrics))
+    raise FileNotFoundError(f"none of {paths} exists")
+
+
+def kafka_events(spark: SparkSession, servers: str, topic: str) -> DataFrame:
+    """Raw payloads with partition and offset from the start of a topic, as a stream; needs the Kafka package."""
+    return spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "earliest").load().select("value", "partition", "offset")
+
+
+def kafka_snapshot(spark: SparkSession, servers: str, topic: str, ending: str) -> DataFrame:
+    """Exactly the offsets from the start to `ending` (JSON by partition)."""
+    return spark.read.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "earliest").option("endingOffsets", ending).load()
+
+
+def read_event_log(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(events, rejects with a reason) of a log with one JSON object a line."""
+    parsed = power.parsed_events(lines.withColumn(column, F.col(column).cast("binary")), column)
+    return parsed.filter("reason IS NULL"), parsed.filter("reason IS NOT NULL")
+
+
+def ingest(documents: DataFrame, kind: str) -> DataFrame:
+    """Documents (name, text) with `problem`: JSON without NaN or Infinity, XML without a DTD, CSV with a sound header and even rows. The text stays."""
+    text = F.col("text")
+    if kind == "json":
+        problem = F.when(text.rlike(r"[:\[,]\s*-?(NaN|Infinity)\b"), "not_finite").when(F.try_parse_json(text).isNull(), "invalid_json")
+    elif kind == "xml":
+        problem = F.when(text.rlike(r"(?i)<!DOCTYPE|<!ENTITY"), "dtd").when(~text.rlike(r"(?s)^\s*(<\?xml[^>]*\?>)?\s*<([A-Za-z_][\w.-]*)[^>]*(/>|>.*</\2\s*>)\s*$"), "invalid_xml")
+    elif kind == "csv":
+        lines = F.filter(F.split(text, r"\r?\n"), lambda x: x != "")
+        header = F.transform(F.split(F.get(lines, 0), ","), lambda x: F.trim(x))
+        uneven = F.exists(lines, lambda x: F.size(F.split(x, ",")) != F.size(header))
+        problem = F.when(F.size(lines) == 0, "empty").when(F.exists(header, lambda x: x == ""), "empty_header").when(F.size(F.array_distinct(header)) < F.size(header), "repeated_header").when(uneven, "ragged")
+    else:
+        raise ValueError(f"unknown kind {kind}")
+    return documents.withColumn("problem", problem)
+
+
+def changed_files(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
+    """Files whose SHA-256 isn't what the manifest (name, sha256) says, or that are missing on a side."""
+    found = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("found"))
+    return found.join(manifest, "name", "full").filter(~F.col("found").eqNullSafe(F.col("sha256")))
+
+
+def write_single_csv(rows: DataFrame, path: str) -> None:
+    """One file, for results of a bounded size."""
+    rows.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def timed(job: Callable[[], DataFrame], spark: SparkSession, name: str, log: str) -> None:
+    """Runs a job's query to the end and appends name, seconds and rows to a log."""
+    import time
+
+    began = time.time()
+    rows = job().count()
+    spark.createDataFrame([(name, time.time() - began, rows)], "job string, seconds double, n_rows long").coalesce(1).write.mode("append").json(log)
+
+
+@query("s04_incremental_window", "SELECT source_id, cost::DOUBLE AS cost FROM records WHERE updated_at >= TIMESTAMP '1995-01-01' AND updated_at < TIMESTAMP '1995-02-01'")
+def s_window(p: Plant) -> DataFrame:
+    at = lambda d: F.lit(d).cast("timestamp")
+    return updated_between(p.records, at("1995-01-01"), at("1995-02-01")).select("source_id", F.col("cost").cast("double").alias("cost"))
+
+
+@query("s12_event_log", "SELECT count(CASE WHEN event_id % 5 <> 0 THEN 1 END) AS accepted, count(CASE WHEN event_id % 5 = 0 THEN 1 END) AS rejected FROM events", "")
+def s_log(p: Plant) -> DataFrame:
+    at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    e = F.struct(F.lit(1).alias("schema_version"), F.col("event_id").cast("string").alias("event_id"), at.alias("event_time"), at.alias("updated_at"), F.lit("DELETE").alias("op"), F.date_format("ts", "yyyy-MM-dd").alias("record_date"), F.lit("W01").alias("workshop_code"), F.lit("E01").alias("energy_code"))
+    lines = p.table("events").select(F.when(F.col("event_id") % 5 == 0, "{not json").otherwise(F.to_json(e)).alias("value"))
+    good, bad = read_event_log(lines)
+    both = good.select(F.lit(1).alias("ok")).unionByName(bad.select(F.lit(0).alias("ok")))
+    return both.agg(F.count(F.when(F.col("ok") == 1, 1)).alias("accepted"), F.count(F.when(F.col("ok") == 0, 1)).alias("rejected"))
+
+
+@query("s13_document_ingest", "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'not_finite' WHEN event_id % 11 = 0 THEN 'invalid_json' END AS problem FROM events", "")
+def s_ingest(p: Plant) -> DataFrame:
+    text = F.when(F.col("event_id") % 7 == 0, '{"k": NaN}').when(F.col("event_id") % 11 == 0, '{"k": ').otherwise(F.col("props"))
+    return ingest(p.table("events").select("event_id", text.alias("text")), "json").select("event_id", "problem")
