@@ -7,6 +7,7 @@ import os
 import sys
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 ROOT = Path(__file__).resolve().parents[1]
@@ -31,7 +32,7 @@ def plain(value):
     """A value as text, numbers to six digits."""
     if hasattr(value, "tolist"):
         value = value.tolist()
-    if value is None or value != value:
+    if value is None or value is pd.NA or value != value:
         return "~"
     if isinstance(value, (list, tuple)):
         return "[" + ",".join(plain(v) for v in value) + "]"
