@@ -31,13 +31,13 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(str(path))
 
 
+_OWN_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; set to a new local one only where the cluster names none."""
+    """The folder that the driver and all executors share. Only where the cluster names none (as in tests) is a local one made."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    return named or _OWN_DIRS.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-"))
 
 
 def new_path(spark: SparkSession, name: str) -> str:
