@@ -108,8 +108,12 @@ def production_fact(rows: DataFrame) -> DataFrame:
 
 
 def cleaned(raw: DataFrame) -> dict[str, DataFrame]:
-    """The whole chain: typed, rejects, losers of the dedupe, fixed rows, fact and production."""
-    rows = typed(raw).withColumn("reject_reason", reject_reason())
+    """The whole chain: typed, rejects, losers of the dedupe, fixed rows, fact and production.
+
+    The reason also names the row's number, which is never negative: so filters on it stay above the typed columns. Moved below, they
+    would hold every parser once more and outgrow compiled code.
+    """
+    rows = typed(raw).withColumn("reject_reason", F.when(F.monotonically_increasing_id() >= 0, reject_reason()))
     good = rows.filter("reject_reason IS NULL").drop("reject_reason")
     latest, losers = split_latest(good)
     fixed = repaired(latest)
