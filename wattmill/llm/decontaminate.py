@@ -194,3 +194,17 @@ def contamination_report(docs: DataFrame, items: DataFrame, block_bytes: int = B
 def clean(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of `docs` that aren't contaminated, with their own columns only."""
     return found(docs, items, block_bytes).filter(f"NOT ({CONTAMINATED})").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+#: The same in DuckDB SQL (ids are unique in the driver's tables).
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+win AS (SELECT DISTINCT item, least(13, len(w)) AS n, array_to_string(w[i + 1:i + least(13, len(w))], ' ') AS window FROM b, unnest(range(0, greatest(1, len(w) - 12))) u(i) WHERE len(w) > 0),
+pos AS (SELECT doc_id, i, s.n, array_to_string(w[i + 1:i + s.n], ' ') AS window FROM d, (SELECT DISTINCT n FROM win) s, unnest(range(0, len(w))) u(i) WHERE i + s.n <= len(w)),
+hits AS (SELECT doc_id, i, win.n, item FROM pos JOIN win ON win.window = pos.window AND win.n = pos.n),
+words AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM hits, unnest(range(0, n)) u(k) GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""

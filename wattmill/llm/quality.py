@@ -132,3 +132,17 @@ def quality_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of `docs` that pass, with their own columns only."""
     return verdict(docs, "text", rules).filter("_q_kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+#: The same in DuckDB SQL (ids are unique in the driver's table).
+ORACLE_SQL = rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+m AS (SELECT doc_id, w, l, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+    len(list_filter(w, lambda x: lower(x) IN ({", ".join(f"'{x}'" for x in STOP_WORDS)}))) AS stops, len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) AS alpha FROM t),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM (SELECT doc_id, i, w[i + 1:i + 5] AS gram FROM m, unnest(range(0, greatest(0, len(w) - 4))) u(i))),
+r AS (SELECT doc_id, CAST(sum(least(5, coalesce(nxt - i, 5))) AS BIGINT) AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM g WHERE c > 1) GROUP BY doc_id),
+v AS (SELECT m.*, coalesce(r.n, 0) AS n_repeat_words, n_words < 10 OR 100 * coalesce(r.n, 0) > 20 * n_words AS base_failed FROM m LEFT JOIN r USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(word_chars / nullif(n_words, 0), 0) BETWEEN 1.5 AND 25 AND coalesce(n_symbols / nullif(n_words, 0), 0) <= 0.4
+    AND (n_words < 100 OR stops / n_words >= 0.01) AND coalesce(n_dup_lines / nullif(len(l), 0), 0) <= 0.5 AND coalesce(alpha / nullif(n_words, 0), 0) >= 0.5 AND coalesce(n_words / nullif(len(l), 0), 0) <= 100000 AS kept FROM v
+"""
