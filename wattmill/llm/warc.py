@@ -153,3 +153,12 @@ def archive_report(pages: DataFrame) -> DataFrame:
     """Writes all pages, reads all records back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     folder = new_path(pages.sparkSession, "warc")
     return read(write(pages, folder), folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: The report in DuckDB SQL: SHA-1 in base 32 is taken from its hex form, 20 bits at a time.
+ORACLE_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+d AS (SELECT *, array_to_string(list_transform(range(0, 8), lambda g: array_to_string(list_transform(range(0, 4), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(hex, CAST(g AS INTEGER) * 5 + 1, 5) AS BIGINT) >> CAST(15 - 5 * k AS INTEGER)) % 32 AS INTEGER) + 1, 1)), '')), '') AS digest,
+    min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM d
+"""
