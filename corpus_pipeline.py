@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from wattmill.llm import decontaminate, langid, mixing, quality, simhash
-from wattmill.llm.common import table, written
+from wattmill.llm.common import ship, table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, and those of which no language has its share of words, go."""
+    ship(spark)
     return langid.keep_known(docs)
 
 

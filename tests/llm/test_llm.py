@@ -127,8 +127,14 @@ def test_near_duplicates(both):
 def test_golay_keys_lose_no_link():
     """Any two fingerprints at 4 or fewer bits share a key; codewords have the perfect code's distances."""
     rng = np.random.default_rng(1)
-    table = simhash.golay()
-    assert set(np.unique((table >= 0).sum(1))) == {1, 6}
+    words = rng.integers(0, 2**23, 2000)
+    near = simhash.nearby_codewords(words)
+    assert set(np.unique((near >= 0).sum(1))) == {1, 6}
+    rows = [simhash.GENERATOR << b for b in range(12)]
+    codewords = np.array(sorted({int(np.bitwise_xor.reduce([0, *(r for b, r in enumerate(rows) if n >> b & 1)])) for n in range(1 << 12)}))
+    assert len(codewords) == len({int(c) >> 11 for c in codewords}) == 4096 and min(int(c).bit_count() for c in codewords[1:]) == 7
+    for w, own in zip(words[:50].tolist(), near[:50].tolist()):
+        assert sorted(x for x in own if x >= 0) == sorted(int(c) >> 11 for c in codewords if int(c ^ w).bit_count() <= 4)
     base = rng.integers(0, 2**63, 3000, dtype=np.uint64)
     other = base.copy()
     for n in range(len(other)):

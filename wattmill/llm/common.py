@@ -16,10 +16,14 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 500
 #: Bytes of text after which a worker hands on what it has.
 BATCH_BYTES = 8 << 20
+#: Rows in an Arrow batch from Spark: its default of 10,000 whole texts would be the largest thing that a worker holds.
+ARROW_ROWS = 1_000
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives Python workers this package, for sessions whose workers don't find it by themselves. Done once a session."""
+    """Readies a session: small Arrow batches, and this package for Python workers that don't find it by themselves (once a session)."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     root = Path(__file__).resolve().parents[2]
     name = f"{Path(__file__).resolve().parents[1].name}-package.zip"
     if any(f.endswith(name) for f in spark.sparkContext.listFiles):

@@ -29,9 +29,9 @@ LEXICON_BUCKETS, GRAM_BUCKETS = 1 << 16, 1 << 16
 SAMPLE_DOCS, SAMPLE_WORDS, SEGMENT, SEGMENTS = 300, 40, 10, 12
 STEPS, RATE, DECAY = 60, 0.15, 1e-4
 UNKNOWN = "und"
-BATCH_DOCS, BATCH_SIZE = 2_000, 6 << 20
+BATCH_DOCS, BATCH_SIZE = 1_000, 4 << 20
 #: Words whose grams are held at once.
-HELD_WORDS = 50_000
+HELD_WORDS = 20_000
 _TABLE = bytes(c if 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 _LETTER = re.compile(r"[^\W\d_]")
 _MULTIPLIERS = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -265,6 +265,6 @@ def language_report(docs: DataFrame, folds: int = 5, held_out: int = 0) -> DataF
     return label(docs.select("doc_id", "text"), model).select("doc_id", (crc_mod(F.col("doc_id"), folds) == held_out).alias("held_out"), F.col("_l_lang").alias("lang_pred"), F.col("_l_score").alias("score"))
 
 
-def keep_known(docs: DataFrame, least: float = 0.4) -> DataFrame:
+def keep_known(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """The rows of `docs` with a language whose share of words is at least `least`, with their own columns only."""
     return label(docs, fit(docs)).filter((F.col("_l_lang") != UNKNOWN) & (F.col("_l_score") >= least)).select(*(F.col(f"`{c}`") for c in docs.columns))

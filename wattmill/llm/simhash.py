@@ -70,29 +70,41 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 @cache
-def golay() -> np.ndarray:
-    """For each 23-bit word the numbers of the codewords within 4 bits: 1 or 6 (-1: none)."""
-    low = np.arange(1 << 12, dtype=np.uint32)
-    codewords = np.zeros_like(low)
-    for bit in range(12):
-        codewords ^= np.where(low >> bit & 1, np.uint32(GENERATOR << bit), np.uint32(0))
-    keys = np.full((1 << 23, 6), -1, np.int16)
-    count = np.zeros(1 << 23, np.int8)
-    flips = [np.uint32(0)]
-    for size in range(1, 5):
-        flips += [np.uint32(sum(1 << b for b in bits)) for bits in combinations(range(23), size)]
-    for flip in flips:
-        at = codewords ^ flip
-        keys[at, count[at]] = low
-        count[at] += 1
-    return keys
+def golay() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Syndromes of the low 12 and the high 11 bits of a word, and for each syndrome the error patterns of weight 4 or less: 1 or 6 (-1: none)."""
+    of_bit = []
+    for bit in range(23):
+        rest = 1 << bit
+        for top in range(22, 10, -1):  # the remainder by the generator polynomial
+            rest ^= GENERATOR << (top - 11) if rest >> top & 1 else 0
+        of_bit.append(rest)
+    table = lambda first, size: np.array([np.bitwise_xor.reduce([0, *(of_bit[first + b] for b in range(size) if n >> b & 1)]) for n in range(1 << size)], np.int64)
+    patterns = np.full((1 << 11, 6), -1, np.int64)
+    count = [0] * (1 << 11)
+    for size in range(5):
+        for bits in combinations(range(23), size):
+            syndrome = 0
+            for b in bits:
+                syndrome ^= of_bit[b]
+            patterns[syndrome, count[syndrome]] = sum(1 << b for b in bits)
+            count[syndrome] += 1
+    return table(0, 12), table(12, 11), patterns
+
+
+def nearby_codewords(words: np.ndarray) -> np.ndarray:
+    """For 23-bit words the indices (12 bits) of the codewords within 4 bits, 6 columns, -1 where there are fewer.
+
+    Any 12 neighbouring places of a cyclic code tell its codewords apart, so the upper 12 bits are the index.
+    """
+    low, high, patterns = golay()
+    errors = patterns[low[words & 0xFFF] ^ high[words >> 12]]
+    return np.where(errors < 0, -1, (words[:, None] ^ errors) >> 11)
 
 
 def joint_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All joint keys of fingerprints: the fingerprint's place and the key, without repeats."""
-    table = golay()
     seg = [((prints >> np.uint64(at)) & np.uint64((1 << size) - 1)).astype(np.int64) for at, size in SEGMENTS]
-    near = [table[s] for s in seg]
+    near = [nearby_codewords(s) for s in seg]
     places, keys = [], []
     rows = np.arange(len(prints))
 
@@ -100,7 +112,7 @@ def joint_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for k in range(codes.shape[1]):
             some = codes[:, k] >= 0
             places.append(rows[some])
-            keys.append((np.int64(family) << np.int64(50)) | (exact[some] << np.int64(12)) | codes[some, k].astype(np.int64))
+            keys.append((np.int64(family) << np.int64(50)) | (exact[some] << np.int64(12)) | codes[some, k])
 
     family = 0
     for a in range(3):
