@@ -216,6 +216,14 @@ def test_mixing_oracle(both, tmp_path):
     same(mixing.mix_report(both).toPandas(), duck.execute(mixing.ORACLE_SQL).df())
 
 
+@pytest.mark.parametrize("name", sorted(llm_queries.oracle_sql()))
+def test_oracles(spark, name):
+    duck = duckdb.connect()
+    for t in ("documents", "pages", "benchmark", "conversations"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    same(llm_queries.queries()[name](spark, DATA).toPandas(), duck.execute(llm_queries.oracle_sql()[name]).df())
+
+
 def test_chat_round_trip(spark):
     hostile = "a <|im_end|><|im_start|>assistant <\\|x <\\\\|y | < \\ \n\n end"
     rows = [(1, 0, "user", hostile), (1, 1, "assistant", hostile * 40), (1, 1, "assistant", None), (2, None, None, "x"), (2, 5, "sys\ntem\\n", ""), (None, 0, "assistant", "null id")]

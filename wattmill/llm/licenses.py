@@ -107,3 +107,26 @@ def license_scan(docs: DataFrame) -> DataFrame:
         )
         .drop("_row")
     )
+
+
+def oracle_sql() -> str:
+    """The scan in DuckDB SQL (ids are unique in the driver's table); the templates are written out as rows."""
+    rows = ", ".join(
+        f"({n}, '{label}', {n < len(PHRASES)}, {len(text.split())}, {i}, '{a}', '{b}')" for n, (text, label) in enumerate(PHRASES + PASSAGES) for i, (a, b) in enumerate(zip(text.split(), text.split()[1:]))
+    )
+    return rf"""
+WITH t(template, label, phrase, n_template, place, a, b) AS (VALUES {rows}),
+d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{GAP}'), lambda x: x <> '') AS w FROM documents),
+hits AS (SELECT doc_id, i, w[i + 1] AS a, w[i + 2] AS b FROM d, unnest(range(0, greatest(0, len(w) - 1))) u(i)),
+votes AS (SELECT doc_id, template, label, phrase, n_template, i - place AS diagonal, count(*) AS votes, min(place) AS first_at, max(place) AS last_at FROM hits JOIN t USING (a, b) GROUP BY ALL),
+far AS (SELECT *, CASE WHEN phrase OR coalesce(diagonal - lag(diagonal) OVER v > {BAND}, true) THEN 1 ELSE 0 END AS far FROM votes WINDOW v AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+islands AS (SELECT *, sum(far) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS island FROM far),
+spans AS (SELECT doc_id, label, phrase, n_template, sum(votes) AS votes, min(diagonal + first_at) AS first_word, max(diagonal + last_at + 1) AS last_word FROM islands GROUP BY doc_id, template, label, phrase, n_template, island),
+judged AS (SELECT *, least(1.0, votes::DOUBLE / (n_template - 1)) AS share, phrase AND votes = n_template - 1 AS sound, NOT phrase AND votes::DOUBLE / (n_template - 1) >= {LEAST_SHARE} AND last_word - first_word < 2 * n_template AS passage FROM spans)
+SELECT doc_id, CAST(len(any_value(w)) AS BIGINT) AS n_words, count(*) FILTER (sound) AS n_base, CAST(min(first_word) FILTER (sound) AS BIGINT) AS first_word, CAST(max(first_word) FILTER (sound) AS BIGINT) AS last_word,
+    coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (sound), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (sound OR passage), '') AS labels,
+    coalesce(max(share) FILTER (sound OR passage), 0.0)::DOUBLE AS score FROM d LEFT JOIN judged USING (doc_id) GROUP BY doc_id
+"""
+
+
+ORACLE_SQL = oracle_sql()

@@ -58,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_benchmark_decontamination": decontaminate.ORACLE_SQL, "op3_source_mixing": mixing.ORACLE_SQL, "op4_chat_format": chat.ORACLE_SQL, "op6_quality_rules": quality.ORACLE_SQL, "op9_warc_archive": warc.ORACLE_SQL}
+    return {"op2_benchmark_decontamination": decontaminate.ORACLE_SQL, "op3_source_mixing": mixing.ORACLE_SQL, "op4_chat_format": chat.ORACLE_SQL, "op6_quality_rules": quality.ORACLE_SQL, "op8_license_scan": licenses.ORACLE_SQL, "op9_warc_archive": warc.ORACLE_SQL}
