@@ -332,6 +332,51 @@ def test_small_lexicon_gives_the_same_counts(real):
     assert {k: x[:2] for k, x in totals[0].items()} == {k: x[:2] for k, x in totals[1].items()}
 
 
+def brute_katz(train, scored):
+    """Katz over all word pairs, by dictionaries: scores of token lists, and the probability function."""
+    cut = lm.CUT
+    uni = collections.Counter(x for w in train for x in w)
+    pair = collections.Counter(p for w in train for p in zip([None, *w[:-1]], w))
+    total = sum(uni.values())
+    du, dp = (lm.discounts(collections.Counter(c.values())) for c in (uni, pair))
+    d = lambda f, r: f[r] * r if r <= cut else r
+    scale, unseen = lm.scaled(sum(d(du, r) for r in uni.values()) / total, total)
+    p1 = lambda x: scale * d(du, uni[x]) / total if uni[x] else unseen
+    followers = collections.defaultdict(list)
+    for (v, x), r in pair.items():
+        followers[v].append((x, r))
+    context = {}
+    for v, own in followers.items():
+        n = sum(r for _, r in own)
+        s, left = lm.scaled(sum(d(dp, r) for _, r in own) / n, n)
+        context[v] = n, s, left / (1 - math.fsum(p1(x) for x, _ in own))
+
+    def p2(v, x):
+        n, s, back = context.get(v, (0, 0, 1))
+        return s * d(dp, pair[v, x]) / n if pair[v, x] else back * p1(x)
+
+    return [sum(math.log10(p2(v, x)) for v, x in zip([None, *w[:-1]], w)) for w in scored], p2, uni
+
+
+@pytest.mark.parametrize("sizes", [{}, {"lexicon_size": 50, "top_pairs": 20}, {"lexicon_size": 1, "top_pairs": 1}])
+def test_language_model_counts_every_pair(both, sizes):
+    """Scores are those of Katz over all word pairs, whatever is sent to the tasks."""
+    apart = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    tokens = [(i, (t or "").encode().lower().split() + [None]) for i, t in pairs(both)]
+    scores, p2, uni = brute_katz([w for i, w in tokens if not apart(i)], [w for _, w in tokens])
+    expected = sorted(((-1 if i is None else i), len(w), s) for (i, w), s in zip(tokens, scores))
+    if sizes:
+        docs = both.select("doc_id", "text", (common.crc_mod(F.col("doc_id"), 7) == 2).alias("apart"))
+        rows = lm.katz_score(docs, lm.katz(docs.filter(~F.col("apart")), **sizes)).collect()
+    else:
+        rows = lm.fit_and_score(both).collect()
+    got = sorted(((-1 if r.doc_id is None else r.doc_id), r.n_tokens, r.score) for r in rows)
+    assert len(got) == len(expected) and any(apart(i) for i, _ in tokens)
+    assert all(g[:2] == e[:2] and abs(g[2] - e[2]) < 1e-6 * max(1, abs(e[2])) for g, e in zip(got, expected))
+    for v in (None, uni.most_common(2)[1][0], min(x for x in uni if x and uni[x] == 1)):  # brute force itself adds up to 1
+        assert abs(math.fsum(p2(v, x) for x in [*uni, b"no such word"]) - 1) < 1e-9
+
+
 @pytest.mark.parametrize("name", sorted(llm_queries.queries()))
 def test_empty_tables(spark, tmp_path, name):
     for t, schema in (("documents", SCHEMA), ("pages", "page_id long, url string, html string"), ("conversations", "conv_id long, turn long, role string, text string"), ("benchmark", "item_id long, text string")):

@@ -1,26 +1,28 @@
 """Katz backoff language model over word pairs, trained and evaluated with Spark.
 
-Tokens are the words of a text (A-Z lower-cased, split at ASCII white space) and one end. Three tables, all counted over the whole
-training corpus, make the model:
+Tokens are the words of a text (A-Z lower-cased, split at ASCII white space) and one end, which also stands before the first word.
+`fit_and_score` counts all words and all pairs of neighbouring tokens of the whole training corpus; no word and no pair is left out:
   - unigrams, written by hash bucket: every word and its count, discounted by Good-Turing; the mass left over is that of unseen words;
-  - contexts, written by bucket: for each context class the counts of the classes that follow it, discounted by Good-Turing with
-    the backoff weight that makes the context's probabilities add up to 1;
-  - classes: the `HEAD` most frequent words are classes of their own, the end is one, all other words (unseen ones too) are one.
-A token is scored recursively: P(w|v) = P(class w|class v) P(w|class w), where P(class|class) is the discounted pair or else the context's
-backoff weight times P(class), and P(w|class) = P(w)/P(class). All levels sum to 1.
+  - pairs: every pair and its count by the 64-bit hashes of context and follower, discounted by Good-Turing;
+  - words: per word its unigram and, as a context, its pairs' scale and the backoff weight that makes its probabilities add up to 1.
+P(w|v) is the discounted pair or else v's backoff weight times P(w); after an unseen word it is P(w).
 
-The first `LEXICON` words and the pairs of classes are sent to the tasks: their size is fixed whatever the corpus. All other words are
-joined with the unigrams by a 64-bit hash, one row per document and word; partial sums come back per document. Frequent
-words are in the lexicon, so no join key is hot.
+A context's total is its unigram count, so a pair that was seen needs no more than its own count beside what each word has as a context:
+log P(w|v) = f(n(v, w)) + own(v), and only pairs that were not seen, which training rows don't have, look up weights and unigrams.
+A document's words and pairs are joined with one table of counts by a 64-bit key; partial sums come back per document. The first `LEXICON`
+words and the first `TOP_PAIRS` pairs are sent to the tasks: they keep join keys from being hot, and their size is fixed whatever the corpus.
 
 Null and empty texts have one token, the end. Repeated rows are trained on and scored each. An empty training set gives every token to the unseen
 mass. Columns other than doc_id and text are ignored.
+
+The functions from `Lexicon.classes` to `score` are an earlier, smaller model over pairs of classes (the `HEAD` most frequent words, the end, all other
+words). `fit_and_score` doesn't use them.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -37,7 +39,12 @@ from wattmill.llm.common import crc_mod, small_batches, written
 HEAD, LEXICON, CUT = 4_000, 100_000, 5
 #: Buckets of the written tables; distinct words that a task holds before it hands on counts.
 BUCKETS, HELD_WORDS = 16, 300_000
+#: Pairs whose counts are sent to the tasks; distinct pairs that a task holds before it hands on counts.
+TOP_PAIRS, HELD_PAIRS = 500_000, 1_500_000
 END, REST = 0, 1
+#: The hash of the end, which no word has (that of empty bytes), and what stands in a word's own key for a follower.
+END_HASH = np.uint64(xxhash.xxh64_intdigest(b"", 42)).view(np.int64).item()
+ALONE = np.uint64(xxhash.xxh64_intdigest(b"no follower", 1)).view(np.int64).item()
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -278,15 +285,251 @@ def score(docs: DataFrame, model: Unigrams, words: Lexicon, matrix: np.ndarray,
     )
 
 
-def fit_and_score(docs: DataFrame, held_out_of: int = 7, held_out: int = 2) -> DataFrame:
-    """Trains on rows whose id's crc32 modulo `held_out_of` isn't `held_out`, scores all rows."""
-    docs = docs.select("doc_id", "text")
-    apart = crc_mod(F.col("doc_id"), held_out_of) == held_out
-    train = docs.filter(~apart)
+class Ids(dict):
+    """Numbers of words, and their hashes by number; the end (empty bytes) is 0. New words get the next number."""
+
+    def __init__(self, words: Iterable[bytes] = ()):
+        super().__init__()
+        self.hashes: list[int] = []
+        for w in (b"", *words):
+            self[w]  # numbers it
+
+    def __missing__(self, word: bytes) -> int:
+        self.hashes.append(xxhash.xxh64_intdigest(word, 42))
+        self[word] = n = len(self.hashes) - 1
+        return n
+
+    def path(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The texts' tokens in one row, an end before the first and after each text; and the texts' numbers of tokens."""
+        tokens, sizes = [b""], []
+        for text in texts:
+            own = words_of(text.as_py())
+            tokens += own
+            tokens.append(b"")
+            sizes.append(len(own) + 1)
+        return np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens)), np.array(sizes, np.int64)
+
+    def hashed(self) -> np.ndarray:
+        return np.array(self.hashes, np.uint64).view(np.int64)
+
+
+def pair_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """One key for a pair of hashes; `key_column` is the same."""
+    w = word.view(np.uint64)
+    return (context.view(np.uint64) ^ ((w << np.uint64(1)) | (w >> np.uint64(63)))).view(np.int64)
+
+
+def key_column(context: Column, word: Column) -> Column:
+    return context.bitwiseXOR(F.shiftleft(word, 1).bitwiseOR(F.shiftrightunsigned(word, 63)))
+
+
+def word_pairs(train: DataFrame) -> DataFrame:
+    """Every pair of neighbouring tokens (context, word: hashes) and its count `n`; written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, keys, counts, held = Ids(), [], [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            k, c = np.concatenate(keys), np.concatenate(counts)
+            order = np.argsort(k)
+            k, c = k[order], c[order]
+            first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+            return k[first], np.add.reduceat(c, first)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            k, c = merged()
+            hashes = ids.hashed()
+            for at in range(0, len(k), 100_000):
+                part = k[at : at + 100_000]
+                yield pa.record_batch([pa.array(hashes[part >> 32]), pa.array(hashes[part & 0xFFFFFFFF]), pa.array(c[at : at + 100_000])], ["context", "word", "n"])
+
+        for batch in small_batches(batches):
+            path, _ = ids.path(batch.column(0))
+            k, c = np.unique(path[:-1] << 32 | path[1:], return_counts=True)
+            keys.append(k)
+            counts.append(c.astype(np.int64))
+            held += len(k)
+            if held > HELD_PAIRS:
+                k, c = merged()
+                keys, counts, held = [k], [c], len(k)
+            if held > HELD_PAIRS // 2 or len(ids) > HELD_WORDS:
+                yield from out()
+                ids, keys, counts, held = Ids(), [], [], 0
+        if keys:
+            yield from out()
+
+    return written(train.select("text").mapInArrow(run, "context long, word long, n long").groupBy("context", "word").agg(F.sum("n").alias("n")), "pairs")
+
+
+def top_by_count(table: DataFrame, size: int, *columns: str) -> pd.DataFrame:
+    """The rows with the largest `n`, at most `size`, by a histogram over classes of counts (64 an octave) as in `lexicon`."""
+    of_count = F.floor(F.log2(F.col("n").cast("double")) * 64).cast("int")
+    fits, least = 0, 1 << 30
+    for row in sorted(table.groupBy(of_count.alias("bin")).count().collect(), reverse=True):
+        if (fits := fits + row["count"]) > size:
+            break
+        least = row.bin
+    return table.filter(of_count >= least).select(*columns, "n").toPandas()
+
+
+@dataclass
+class Katz:
+    """The trained model. words: hash, n, logp (log10 of the unigram), own (log10 of what a seen pair's term is multiplied by) and back (log10 of the backoff weight)."""
+
+    model: Unigrams
+    pairs: DataFrame
+    words: DataFrame
+    lexicon: list[bytes]
+    #: own, log10(n + 1) by number in the lexicon, the end first
+    own: np.ndarray
+    add_one: np.ndarray
+    #: hash, logp and back of the lexicon, as a short table
+    short: DataFrame
+    factors: list[float]
+    top_keys: np.ndarray
+    top_terms: np.ndarray
+
+    def term(self, n: Column) -> Column:
+        """log10 of a pair's discounted count."""
+        factor = F.lit(1.0)
+        for r in range(1, CUT + 1):
+            factor = F.when(n == r, self.factors[r]).otherwise(factor)
+        return F.log10(factor * n)
+
+
+def katz(train: DataFrame, lexicon_size: int = LEXICON, top_pairs: int = TOP_PAIRS) -> Katz:
+    spark = train.sparkSession
     model = unigrams(train)
-    words = lexicon(model)
-    base = class_probabilities(model, words)
-    matrix = pair_matrix(contexts(train, model, words), base)
-    return score(docs, model, words, matrix, base).select(
-        "doc_id", apart.alias("held_out"), "n_tokens", "n_known", F.lit(int(model.tokens)).cast("long").alias("train_tokens"), "base_score", "score"
+    pairs = word_pairs(train)
+    low = pairs.agg(*(F.count(F.when(F.col("n") == r, 1)).alias(f"n{r}") for r in range(1, CUT + 2))).first()
+    factors = discounts({r: low[f"n{r}"] for r in range(1, CUT + 2)})
+    vocabulary = lexicon(model, lexicon_size)
+    ids = Ids(vocabulary.rank)
+    counts = np.concatenate(([model.ends], vocabulary.counts)).astype(np.int64)
+    probabilities = model.probability(counts)
+    known = spark.createDataFrame(pd.DataFrame({"word": ids.hashed(), "p": probabilities}), "word long, p double")
+
+    # per context the discounted count and the unigram mass of its followers: frequent followers from the lexicon, others by a join
+    factor = F.lit(1.0)
+    for r in range(1, CUT + 1):
+        factor = F.when(F.col("n") == r, factors[r]).otherwise(factor)
+    of_word = model.table.select(F.col("hash").alias("word"), model.column(F.col("n")).alias("p"))
+    own = pairs.join(F.broadcast(known), "word", "left").select("context", (factor * F.col("n")).alias("seen"), F.coalesce("p", F.lit(0.0)).alias("p"))
+    others = pairs.join(F.broadcast(known.select("word")), "word", "left_anti").select("context", "word").join(of_word, "word").select("context", F.lit(0.0).alias("seen"), "p")
+    sums = own.unionByName(others).groupBy(F.col("context").alias("hash")).agg(F.sum("seen").alias("seen"), F.sum("p").alias("p"))
+
+    ends = spark.range(1).select(F.lit(END_HASH).alias("hash"), F.lit(model.ends).cast("long").alias("n")).filter("n > 0")
+    n, mass, floor = F.col("n").cast("double"), F.col("seen") / F.col("n"), 1 / (F.col("n") + F.lit(1.0))
+    full, tight = 1 - F.col("p") <= 1e-12, 1 - mass < floor
+    scale = F.when(full, 1 / mass).when(tight, (1 - floor) / mass).otherwise(1.0)
+    back = F.when(full, -300.0).otherwise(F.log10(F.when(tight, floor).otherwise(1 - mass) / F.when(full, 1.0).otherwise(1 - F.col("p"))))
+    words = model.table.select("hash", "n").unionByName(ends).join(sums, "hash")
+    words = written(words.select("hash", "n", F.log10(model.column(F.col("n"))).alias("logp"), (F.log10(scale) - F.log10(n)).alias("own"), back.alias("back")), "words")
+
+    found = words.join(F.broadcast(known.select(F.col("word").alias("hash"))), "hash").toPandas().set_index("hash").reindex(ids.hashed())
+    short = pd.DataFrame({"hash": ids.hashed(), "logp": np.log10(probabilities), "change": (found.back - found.own).fillna(0.0).to_numpy()})
+    top = top_by_count(pairs, top_pairs, "context", "word")
+    keys, times = pair_key(top.context.to_numpy(np.int64), top.word.to_numpy(np.int64)), top.n.to_numpy(np.int64)
+    order = np.argsort(keys)
+    terms = np.log10(np.array([*factors, 1.0])[np.minimum(times, CUT + 1)] * times)[order]
+    frame = spark.createDataFrame(short, "hash long, logp double, change double")
+    return Katz(model, pairs, words, list(vocabulary.rank), found.own.fillna(0.0).to_numpy(), np.log10(counts + 1.0), frame, factors, keys[order], terms)
+
+
+def katz_score(docs: DataFrame, katz: Katz) -> DataFrame:
+    """Per row of `docs` (doc_id, text, apart: false if the model was trained on the row): doc_id, apart, n_tokens, n_known, base_score, score."""
+    model = katz.model
+    shared, end_known = docs.sparkSession.sparkContext.broadcast((katz.lexicon, katz.own, katz.add_one, katz.top_keys, katz.top_terms)), int(model.ends > 0)
+    names = ["row", "key", "times", "alone", "context", "word", "doc_id", "apart", "n_tokens", "n_known", "base", "logp"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon, own, add_one, top_keys, top_terms = shared.value
+        ids, n_lexicon = Ids(lexicon), len(own)
+        for batch in small_batches(batches):
+            if len(ids) > n_lexicon + HELD_WORDS:
+                ids = Ids(lexicon)
+            path, sizes = ids.path(batch.column("text"))
+            hashes, n_docs = ids.hashed(), len(sizes)
+            doc = np.repeat(np.arange(n_docs), sizes)
+            add = lambda at, values: np.bincount(doc[at], values, n_docs)
+            # words: the end's is the token after a text's last word, so each text's tokens are its contexts as well
+            inside = path[1:] < n_lexicon
+            at, ranks = np.flatnonzero(inside), path[1:][inside]
+            base, logp = add(at, add_one[ranks]), add(at, own[ranks])
+            n_known = add(at, np.where(ranks == 0, end_known, 1)).astype(np.int64)
+            outside = np.flatnonzero(~inside)
+            seen, times = np.unique(doc[outside] << 32 | path[1:][outside], return_counts=True)
+            word_doc, word_key = seen >> 32, pair_key(hashes[seen & 0xFFFFFFFF], np.full(len(seen), ALONE, np.int64))
+            # pairs
+            pair, which = np.unique(path[:-1] << 32 | path[1:], return_inverse=True)
+            context, word = hashes[pair >> 32], hashes[pair & 0xFFFFFFFF]
+            key = pair_key(context, word)
+            place = np.minimum(np.searchsorted(top_keys, key), max(0, len(top_keys) - 1))
+            common = top_keys[place] == key if len(top_keys) else np.zeros(len(key), bool)
+            term = np.where(common, top_terms[place], 0.0) if len(top_keys) else np.zeros(len(key))
+            logp += np.bincount(doc, term[which], n_docs)
+            left = np.flatnonzero(~common[which])
+            both, pair_times = np.unique(doc[left] << 32 | which[left], return_counts=True)
+            pair_doc, which = both >> 32, both & 0xFFFFFFFF
+            # a document's own sums stand in a row that joins nothing, with a key that spreads
+            rows = np.concatenate((np.arange(n_docs), word_doc, pair_doc))
+            n_words, n_pairs = len(word_doc), len(pair_doc)
+            row = batch.column("row").to_numpy()
+            spread = np.array([xxhash.xxh64_intdigest(b"%d" % r, 1) for r in row.tolist()], np.uint64).view(np.int64)
+            apart = batch.column("apart").to_numpy(zero_copy_only=False).astype(bool)
+            none = np.zeros(n_words + n_pairs, bool)
+
+            def first(values: np.ndarray) -> pa.Array:
+                return pa.array(np.concatenate((values, np.zeros(len(none), values.dtype))), mask=np.concatenate((np.zeros(n_docs, bool), ~none)))
+
+            def of_pair(values: np.ndarray) -> pa.Array:
+                return pa.array(np.concatenate((np.zeros(n_docs + n_words, np.int64), np.where(apart[pair_doc], values, 0))), mask=np.concatenate((np.ones(n_docs + n_words, bool), ~apart[pair_doc])))
+
+            ids_of_docs = pa.concat_arrays([batch.column("doc_id"), pa.nulls(len(none), pa.int64())])
+            yield pa.record_batch(
+                [
+                    pa.array(row[rows]), pa.array(np.concatenate((spread, word_key, key[which]))), pa.array(np.concatenate((np.zeros(n_docs, np.int64), times, pair_times)).astype(np.int32)), pa.array(np.arange(len(rows)) < n_docs + n_words),
+                    of_pair(context[which]), of_pair(word[which]), ids_of_docs, first(apart), first(sizes), first(n_known), first(base), first(logp),
+                ],
+                names,
+            )
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", "apart")
+    parts = rows.mapInArrow(run, "row long, key long, times int, alone boolean, context long, word long, doc_id long, apart boolean, n_tokens long, n_known long, base double, logp double")
+    alone = katz.words.filter(F.col("hash") != END_HASH).select(key_column(F.col("hash"), F.lit(ALONE)).alias("key"), "n", "own")
+    counts = alone.unionByName(katz.pairs.select(key_column(F.col("context"), F.col("word")).alias("key"), "n", F.lit(None).cast("double").alias("own")))
+    unseen = ~F.col("alone") & F.col("n").isNull()
+    times, c = F.col("times"), F.coalesce("n", F.lit(0))
+    log = F.when(F.col("alone"), F.col("own")).otherwise(katz.term(F.col("n")))
+    zero = lambda x: F.coalesce(F.sum(x), F.lit(0))
+    by_row = written(
+        parts.join(counts, "key", "left")
+        .groupBy("row", F.when(unseen, F.col("context")).alias("context"), F.when(unseen, F.col("word")).alias("word"))
+        .agg(
+            F.max("doc_id").alias("doc_id"), F.max("apart").alias("apart"), zero("n_tokens").alias("n_tokens"), F.sum(times).alias("times"),
+            (zero("n_known") + zero(F.when(F.col("alone") & (c > 0), times))).cast("long").alias("n_known"), (zero("base") + zero(F.when(F.col("alone"), times * F.log10(c + F.lit(1.0))))).alias("base"), (zero("logp") + zero(times * log)).alias("logp"),
+        ), "scored"
+    )
+    # pairs that were not seen: the context's backoff weight in place of its own factor, and the word's unigram
+    place = lambda name, as_word: F.struct(F.col(name).alias("hash"), F.lit(as_word).alias("as_word"))
+    pair = by_row.filter("word IS NOT NULL").select("row", "times", F.explode(F.array(place("context", False), place("word", True))).alias("p")).select("row", "times", "p.*")
+    near = pair.join(F.broadcast(katz.short), "hash", "left").withColumn("found", F.col("logp").isNotNull())
+    far = katz.words.select(F.col("hash").alias("key"), F.col("logp").alias("far_logp"), (F.col("back") - F.col("own")).alias("far_change"))
+    near = near.withColumn("key", F.when(F.col("found"), F.xxhash64("row", "hash")).otherwise(F.col("hash"))).join(far, "key", "left")
+    logp = F.when(F.col("found"), F.col("logp")).otherwise(F.coalesce("far_logp", F.lit(float(np.log10(model.unseen)))))
+    change = F.when(F.col("found"), F.col("change")).otherwise(F.coalesce("far_change", F.lit(0.0)))
+    backed = near.groupBy("row").agg(F.sum(F.col("times") * F.when(F.col("as_word"), logp).otherwise(change)).alias("backed"))
+    constant = float(np.log10(max(1, model.tokens + model.types + 1)))
+    return (
+        by_row.filter("word IS NULL")
+        .join(backed, "row", "left")
+        .select("doc_id", "apart", "n_tokens", "n_known", (F.col("base") - F.col("n_tokens") * F.lit(constant)).alias("base_score"), (F.col("logp") + F.coalesce("backed", F.lit(0.0))).alias("score"))
     )
+
+
+def fit_and_score(docs: DataFrame, held_out_of: int = 7, held_out: int = 2) -> DataFrame:
+    """Trains on rows whose id's crc32 modulo `held_out_of` isn't `held_out`, scores all rows."""
+    docs = docs.select("doc_id", "text", (crc_mod(F.col("doc_id"), held_out_of) == held_out).alias("apart"))
+    model = katz(docs.filter(~F.col("apart")))
+    scored = katz_score(docs, model)
+    return scored.select("doc_id", F.col("apart").alias("held_out"), "n_tokens", "n_known", F.lit(int(model.model.tokens)).cast("long").alias("train_tokens"), "base_score", "score")
