@@ -6,7 +6,9 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import DATA
 from wattmill.operators import cleaning, hourly, quality, warehouse
+from wattmill.plans import registry
 from wattmill.sources import files
 from wattmill.streaming import power
 
@@ -117,3 +119,17 @@ def test_strict_times(spark):
     texts = ["2026-01-02T00:00:00Z", "2026-01-02T00:00Z", "2026-01-02T00:00:00+08:00", "2026-01-02", "2026-01-02 00:00:00Z", "2026-1-2T00:00:00Z", "2026-13-01T00:00:00Z"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(power.strict_time(F.col("t")).isNotNull().alias("ok")).collect()
     assert [r.ok for r in rows] == [True, True, True, False, False, False, False]
+
+
+def test_retrieval_reads_all_parts(spark):
+    """Every part asks, and no evidence is passed over: brute force over all pairs of parts."""
+    part = spark.read.parquet(f"{DATA}/part.parquet").collect()
+    got = {}
+    for r in registry.queries()["m14_retrieval_all"](spark, DATA).collect():
+        got.setdefault(r.question_id, set()).add((r.evidence_id, r.score))
+    for q in part:
+        words = set(q.p_name.lower().split())
+        score = {e.p_partkey: 4 * (e.p_brand.lower() in words) + len(words & set(e.p_name.lower().split())) + 6 * (e.p_type.lower() in words) for e in part}
+        best = sorted((-s, i) for i, s in score.items() if s)[:8]
+        assert got[q.p_partkey] == {(i, -s) for s, i in best}
+    assert len(got) == len(part) and {e % 4 for found in got.values() for e, _ in found} == {0, 1, 2, 3}

@@ -252,6 +252,21 @@ def m_retrieval(p: Plant) -> DataFrame:
     return retrieved(q, e).select("question_id", "evidence_id", "score")
 
 
+#: The same search without the two remainders: every row asks and every row is evidence.
+_RETRIEVE_ALL = _RETRIEVE.replace(" WHERE p_partkey % 4 = 0", "").replace(" WHERE p_partkey % 4 = 1", "")
+
+
+@query("m14_retrieval_all", _RETRIEVE_ALL, "")
+def m_retrieval_all(p: Plant) -> DataFrame:
+    """Every row of `part` as a question over every row as evidence; equal questions are searched once."""
+    part = p.table("part")
+    asked = part.select(F.col("p_partkey").alias("question_id"), F.lower("p_name").alias("question"))
+    texts = asked.select("question").distinct().select(F.col("question").alias("question_id"), "question")
+    e = part.select(F.col("p_partkey").alias("evidence_id"), F.array("p_brand").alias("keywords"), F.col("p_name").alias("text"), F.col("p_type").alias("file"))
+    found = retrieved(texts, e).select(F.col("question_id").alias("question"), "evidence_id", "score")
+    return asked.join(found, "question").select("question_id", "evidence_id", "score")
+
+
 @query("m15_grounding", "SELECT p_partkey AS claim_id, p_partkey % 3 = 0 AS grounded FROM part", "")
 def m_grounding(p: Plant) -> DataFrame:
     part = p.table("part")
