@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import DATA
-from wattmill.operators import cleaning, hourly, quality, warehouse
+from wattmill.operators import cleaning, features, hourly, quality, warehouse
+from wattmill.operators.views import Plant
 from wattmill.plans import registry
 from wattmill.sources import files
 from wattmill.streaming import power
@@ -133,3 +134,18 @@ def test_retrieval_reads_all_parts(spark):
         best = sorted((-s, i) for i, s in score.items() if s)[:8]
         assert got[q.p_partkey] == {(i, -s) for s, i in best}
     assert len(got) == len(part) and {e % 4 for found in got.values() for e, _ in found} == {0, 1, 2, 3}
+
+
+def test_boosted_trees_predict_every_fold(spark, monkeypatch):
+    days = 28 + 365 + 3 * 30
+    series = [(dt.date(2024, 1, 1) + dt.timedelta(n), w, float(100 * w + n % 7), 1.0 + n % 5, 20.0, n % 11 == 0) for n in range(days) for w in (1, 2)]
+    f = features.features(spark.createDataFrame(series, "date date, workshop string, tce double, qty double, temperature double, idle boolean"))
+    rows = features.in_folds(features.eligible(f), features.rolling_folds(f)).persist()
+    got = features.boosted_folds(rows, trees=1).collect()
+    expected = {(r.fold, r.date, r.workshop) for r in rows.filter("split = 'test'").collect()}
+    assert len(got) == len(expected) == 3 * 30 * 2 and {(r.fold, r.date, r.workshop) for r in got} == expected
+    monkeypatch.setattr(features, "boosted", lambda rows, fold, columns=features.NUMBERS, trees=features.TREES, seed=7: rows.filter((F.col("fold") == fold) & (F.col("split") == "test")).withColumn("prediction", F.lit(float(trees))))
+    for name in ("m06_boosted_trees", "m07_group_ablation"):
+        own = registry.queries()[name](spark, DATA).groupBy("fold").count().collect()
+        assert {r.fold for r in own} == {r.fold for r in features.rolling_folds(features.features(features.daily_series(Plant(spark, DATA)))).collect()} and len(own) == 11
+    assert {r.prediction for r in features.boosted_folds(rows).collect()} == {180.0}

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, Window
@@ -12,6 +16,8 @@ from wattmill.plans.catalog import query
 
 WARM_UP, TRAIN_DAYS, TEST_DAYS, STEP_DAYS = 28, 365, 30, 30
 NUMBERS = ("tce_lag_1", "tce_lag_7", "tce_lag_14", "tce_mean_7", "tce_mean_28", "qty_lag_1", "qty_mean_7", "temperature_lag_1", "idle_lag_1", "weekday", "is_weekend", "month", "season_sin", "season_cos")
+#: Trees of a boosted model, as in the reference; models that are fitted at once.
+TREES, FITS = 180, 4
 #: Ablation: features without one of these groups.
 GROUPS = {"lags": ("tce_lag_1", "tce_lag_7", "tce_lag_14"), "means": ("tce_mean_7", "tce_mean_28"), "plant": ("qty_lag_1", "qty_mean_7", "idle_lag_1", "temperature_lag_1"), "calendar": ("weekday", "is_weekend", "month", "season_sin", "season_cos")}
 
@@ -95,7 +101,7 @@ def m_fingerprint(p: Plant) -> DataFrame:
     return test.groupBy("fold").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("key")), "\n").cast("binary"), 256).alias("fingerprint"))
 
 
-def boosted(rows: DataFrame, fold: int, columns: tuple[str, ...] = NUMBERS, trees: int = 10, seed: int = 7) -> DataFrame:
+def boosted(rows: DataFrame, fold: int, columns: tuple[str, ...] = NUMBERS, trees: int = TREES, seed: int = 7) -> DataFrame:
     """M6: predictions of one fold's test rows by boosted trees over one-hot workshops and the features."""
     shop = StringIndexer(inputCol="workshop", outputCol="_i", handleInvalid="keep").fit(rows)
     hot = OneHotEncoder(inputCols=["_i"], outputCols=["_hot"], dropLast=False)
@@ -106,20 +112,36 @@ def boosted(rows: DataFrame, fold: int, columns: tuple[str, ...] = NUMBERS, tree
     return model.transform(ready.filter("split = 'test'")).drop("_i", "_hot", "_x")
 
 
-def ablation(rows: DataFrame, fold: int) -> DataFrame:
-    """M7: the fold's metrics without each group of features."""
+def boosted_folds(rows: DataFrame, columns: tuple[str, ...] = NUMBERS, trees: int = TREES) -> DataFrame:
+    """M6 for every fold of `rows`, each with a model of its own; folds are fitted side by side."""
+    folds = sorted(r.fold for r in rows.select("fold").distinct().collect())
+    with ThreadPoolExecutor(FITS) as pool:
+        fitted = list(pool.map(inheritable_thread_target(rows.sparkSession)(lambda fold: boosted(rows, fold, columns, trees)), folds))
+    return reduce(DataFrame.unionByName, fitted) if fitted else rows.withColumn("prediction", F.lit(None).cast("double")).limit(0)
+
+
+def ablation(rows: DataFrame, trees: int = TREES) -> DataFrame:
+    """M7: every fold's metrics without each group of features."""
     out = None
     for name, group in GROUPS.items():
-        m = fold_metrics(boosted(rows, fold, tuple(c for c in NUMBERS if c not in group))).withColumn("without", F.lit(name))
+        m = fold_metrics(boosted_folds(rows, tuple(c for c in NUMBERS if c not in group), trees)).withColumn("without", F.lit(name))
         out = m if out is None else out.unionByName(m)
     return out
 
 
+def fold_rows(p: Plant) -> DataFrame:
+    f = features(daily_series(p))
+    return in_folds(eligible(f), rolling_folds(f)).persist()
+
+
 @query("m06_boosted_trees")
 def m_boosted(p: Plant) -> DataFrame:
-    f = features(daily_series(p))
-    rows = in_folds(eligible(f), rolling_folds(f)).filter("fold = 0").persist()
-    return boosted(rows, 0).select("date", "workshop", "fold", "tce", "prediction")
+    return boosted_folds(fold_rows(p)).select("date", "workshop", "fold", "tce", "prediction")
+
+
+@query("m07_group_ablation")
+def m_ablation(p: Plant) -> DataFrame:
+    return ablation(fold_rows(p))
 
 
 def paired_deltas(a: DataFrame, b: DataFrame, actual: str = "tce") -> DataFrame:
