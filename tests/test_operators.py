@@ -1,8 +1,10 @@
 """Operators on hand-made tables with known results."""
 
 import datetime as dt
+import itertools
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,3 +151,40 @@ def test_boosted_trees_predict_every_fold(spark, monkeypatch):
         own = registry.queries()[name](spark, DATA).groupBy("fold").count().collect()
         assert {r.fold for r in own} == {r.fold for r in features.rolling_folds(features.features(features.daily_series(Plant(spark, DATA)))).collect()} and len(own) == 11
     assert {r.prediction for r in features.boosted_folds(rows).collect()} == {180.0}
+
+
+def test_block_bootstrap(spark, monkeypatch):
+    """Bounds are those of all equally likely resamples; the query draws 20,000."""
+    values = [3.0, -1.0, 4.0, 1.0, -5.0, 9.0, 2.0]
+    frame = spark.createDataFrame(list(enumerate(values)), "position long, delta double")
+    for block in (2, 3, 30):
+        length = min(block, len(values))
+        parts = [values[i : i + length] for i in range(len(values) - length + 1)]
+        means = [np.mean(sum(chosen, [])[: len(values)]) for chosen in itertools.product(parts, repeat=-(-len(values) // length))]
+        got = features.block_bootstrap(frame, block).first()
+        assert (got.mean, got.block) == (pytest.approx(np.mean(values)), block)
+        for bound, q in ((got.low, 0.025), (got.high, 0.975)):
+            assert np.quantile(means, q - min(q, 1 - q) / 4) - 1e-9 <= bound <= np.quantile(means, q + min(q, 1 - q) / 4) + 1e-9
+    drawn, own = [], features.block_bootstrap
+    monkeypatch.setattr(features, "block_bootstrap", lambda d, block, replicates=20_000, seed=7: drawn.append((block, replicates)) or own(d, block, 10))
+    assert registry.queries()["m09_block_bootstrap"](spark, DATA).count() == 3 and drawn == [(b, 20_000) for b in (7, 14, 30)]
+
+
+def test_cusum_calibration(spark, monkeypatch):
+    """The limit and the false alarms are those of all orders of the residuals; the query has 5,000 series."""
+    z = [2.0, 1.5, -0.5, 0.25, -2.0, -1.0]
+
+    def top(order):
+        hi = lo = best = 0.0
+        for x in order:
+            hi, lo = max(0.0, hi + x - 0.5), max(0.0, lo - x - 0.5)
+            best = max(best, hi, lo)
+        return best
+
+    tops = [top(o) for o in itertools.permutations(z)]
+    got = features.cusum_calibration(spark.createDataFrame([("a", x) for x in z], "key string, z double"), 5_000, limit=2.0).first()
+    assert got.limit_99 == pytest.approx(np.quantile(tops, 0.99)) and got.false_alarms == pytest.approx(np.mean([t > 2 for t in tops]), abs=0.03)
+    asked = []
+    monkeypatch.setattr(features, "cusum_calibration", lambda rows, replicates: asked.append((replicates, rows.select("key").distinct().count())) or rows)
+    registry.queries()["m13_cusum_calibration"](spark, DATA)
+    assert asked[0][0] >= 625 and asked[0][0] * asked[0][1] >= 5_000

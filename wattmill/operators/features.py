@@ -161,15 +161,17 @@ def block_bootstrap(values: DataFrame, block: int, replicates: int = 20_000, see
     """M9: mean and 95 % interval of `delta` (ordered by `position` 0..n-1) by moving blocks without wrapping.
 
     A block's sum is a window sum, so a replicate draws block starts and adds their sums: replicates times n / block rows, spread by range().
+    A replicate has n values, so its last block is cut short.
     """
     spark = values.sparkSession
     n = values.count()
     blocks = max(1, -(-n // block))
     length = min(block, n)
-    w = Window.orderBy("position").rowsBetween(0, length - 1)  # a series of days
-    sums = values.select(F.col("position").alias("start"), F.sum("delta").over(w).alias("s")).filter(F.col("start") <= n - length)
-    draws = spark.range(replicates * blocks).select((F.col("id") % replicates).alias("replicate"), F.floor(F.rand(seed) * (n - length + 1)).alias("start"))
-    means = draws.join(F.broadcast(sums), "start").groupBy("replicate").agg((F.sum("s") / (blocks * length)).alias("m"))
+    w = Window.orderBy("position")  # a series of days
+    of = lambda k: F.sum("delta").over(w.rowsBetween(0, k - 1))
+    sums = values.select(F.col("position").alias("start"), of(length).alias("s"), of(n - (blocks - 1) * length).alias("last")).filter(F.col("start") <= n - length)
+    draws = spark.range(replicates * blocks).select((F.col("id") % replicates).alias("replicate"), (F.col("id") >= replicates * (blocks - 1)).alias("is_last"), F.floor(F.rand(seed) * (n - length + 1)).alias("start"))
+    means = draws.join(F.broadcast(sums), "start").groupBy("replicate").agg((F.sum(F.when(F.col("is_last"), F.col("last")).otherwise(F.col("s"))) / n).alias("m"))
     bounds = means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
     return values.agg(F.avg("delta").alias("mean")).join(bounds).withColumn("block", F.lit(block))  # one row each
 
@@ -179,9 +181,9 @@ def m_bootstrap(p: Plant) -> DataFrame:
     f = eligible(features(daily_series(p)))
     d = paired_deltas(f.withColumn("prediction", F.col("tce_lag_7")), f.withColumn("prediction", F.col("tce_mean_7")))
     d = d.withColumn("position", F.row_number().over(Window.orderBy("date")) - 1).persist()
-    out = block_bootstrap(d, 7, 2_000)
+    out = block_bootstrap(d, 7)
     for block in (14, 30):
-        out = out.unionByName(block_bootstrap(d, block, 2_000))
+        out = out.unionByName(block_bootstrap(d, block))
     return out
 
 
@@ -224,6 +226,10 @@ def m_ridge(p: Plant) -> DataFrame:
     return ridge_forecast(e)
 
 
+#: Null series of M13 at least, and the workshops they were meant for: each has its share of them or more.
+NULL_SERIES, NULL_KEYS = 5_000, 8
+
+
 def cusum_calibration(residuals: DataFrame, replicates: int, slack: float = 0.5, limit: float = 5.0, seed: int = 7) -> DataFrame:
     """The 99th percentile of the largest CUSUM of series without a shift, and the share of false alarms at `limit`.
 
@@ -239,7 +245,9 @@ def cusum_calibration(residuals: DataFrame, replicates: int, slack: float = 0.5,
 
 @query("m13_cusum_calibration")
 def m_calibration(p: Plant) -> DataFrame:
-    return cusum_calibration(p.baseline.filter("z_w IS NOT NULL").select(F.col("workshop_code").alias("key"), F.col("z_w").alias("z")), 100)
+    rows = p.baseline.filter("z_w IS NOT NULL").select(F.col("workshop_code").alias("key"), F.col("z_w").alias("z")).persist()
+    keys = max(1, rows.select("key").distinct().count())
+    return cusum_calibration(rows, max(NULL_SERIES // NULL_KEYS, -(-NULL_SERIES // keys)))
 
 
 def retrieved(questions: DataFrame, evidence: DataFrame, top: int = 8) -> DataFrame:
