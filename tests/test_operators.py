@@ -188,3 +188,12 @@ def test_cusum_calibration(spark, monkeypatch):
     monkeypatch.setattr(features, "cusum_calibration", lambda rows, replicates: asked.append((replicates, rows.select("key").distinct().count())) or rows)
     registry.queries()["m13_cusum_calibration"](spark, DATA)
     assert asked[0][0] >= 625 and asked[0][0] * asked[0][1] >= 5_000
+
+
+def test_power_factor_queue(spark):
+    rows = [(1, 80.0, 5.0), (2, 90.0, 9.0), (3, 80.0, 7.0), (4, 50.0, 0.0), (5, 70.0, 1.0), (6, 80.0, 5.0), (7, None, 3.0)]
+    frame = spark.createDataFrame(rows, "event_id long, factor double, reactive double")
+    assert [r.event_id for r in hourly.power_factor_queue(frame, "factor", "reactive", "event_id").collect()] == [5, 3, 1, 6]
+    many = spark.range(300).select(F.col("id").alias("event_id"), (F.col("id") / 10).alias("factor"), F.lit(1.0).alias("reactive"))
+    assert sorted(r.event_id for r in hourly.power_factor_queue(many, "factor", "reactive").collect()) == list(range(250))
+    assert registry.queries()["p06_power_factor_queue"](spark, DATA).count() > 0

@@ -205,6 +205,22 @@ def p_sensitivity(p: Plant) -> DataFrame:
     return c.withColumn("share_pct", F.explode(F.array(F.lit(10.0), F.lit(25.0), F.lit(50.0)))).select("share_pct", F.round(F.col("x") * F.col("share_pct") / 100, 4).alias("saved"))
 
 
+def power_factor_queue(rows: DataFrame, factor: str, reactive: str, *ties: str, below: float = 90.0, top: int = 250) -> DataFrame:
+    """The review queue: rows with a power factor below `below` and reactive energy, lowest factor and then most reactive energy first, the first `top` as in the reference."""
+    return rows.filter((F.col(factor) < below) & (F.col(reactive) > 0)).orderBy(F.asc(factor), F.desc(reactive), *ties).limit(top)
+
+
+@query("p06_power_factor_queue", """WITH r AS (SELECT event_id, ts, event_type AS load_type, CASE WHEN isodow(ts) >= 6 THEN 'weekend' ELSE 'weekday' END AS day_type, value AS usage, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS reactive FROM events WHERE value > 0 AND day(ts) > 24),
+f AS (SELECT *, round(100 * usage / sqrt(usage * usage + reactive * reactive), 6) AS power_factor FROM r) SELECT event_id, ts, load_type, day_type, usage, power_factor, reactive FROM f WHERE power_factor < 90 AND reactive > 0 ORDER BY power_factor, reactive DESC, event_id LIMIT 250""", "")
+def p_factor(p: Plant) -> DataFrame:
+    """The number in `props` plays the reactive energy; readings are of the days that P4 screens. The power factor (percent) follows from both."""
+    e = p.table("events").filter((F.col("value") > 0) & (F.dayofmonth("ts") > 24))
+    weekend = F.when(F.weekday("ts") >= 5, "weekend").otherwise("weekday")
+    r = e.select("event_id", "ts", F.col("event_type").alias("load_type"), weekend.alias("day_type"), F.col("value").alias("usage"), F.get_json_object("props", "$.k").cast("double").alias("reactive"))
+    f = r.withColumn("power_factor", F.round(100 * F.col("usage") / F.sqrt(F.col("usage") * F.col("usage") + F.col("reactive") * F.col("reactive")), 6))
+    return power_factor_queue(f, "power_factor", "reactive", "event_id").select("event_id", "ts", "load_type", "day_type", "usage", "power_factor", "reactive")
+
+
 @query("p08_series_integrity", "SELECT meter, count(*) AS n, count(*) - count(DISTINCT ts) AS repeated, count(CASE WHEN gap > 14400 THEN 1 END) AS gaps FROM (SELECT user_id % 20 AS meter, ts, (epoch_ms(date_trunc('second', ts)) - epoch_ms(date_trunc('second', lag(ts) OVER (PARTITION BY user_id % 20 ORDER BY ts)))) / 1000 AS gap FROM events) GROUP BY 1", "")
 def p_integrity(p: Plant) -> DataFrame:
     w = Window.partitionBy("meter").orderBy("ts")
