@@ -393,3 +393,9 @@ def test_pipeline(spark, real):
         sizes.append(docs.count())
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0
     same(docs.toPandas(), corpus_pipeline.run(spark, DATA).toPandas())
+
+
+@pytest.mark.parametrize("copies", [1, 2, 3, 4, 40])
+def test_license_of_repeated_text(spark, copies):
+    got = licenses.license_scan(spark.createDataFrame([(1, "all rights reserved\n" * copies)], "doc_id long, text string")).first()
+    assert got.labels == "proprietary" and got.score == 1.0 and got.base_labels == ""

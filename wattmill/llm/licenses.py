@@ -82,6 +82,7 @@ def spans(docs: DataFrame) -> DataFrame:
         .groupBy("_row", "doc_id", "n_words", "template", "label", "phrase", "n_template", "island")
         .agg(
             F.sum("votes").alias("votes"),
+            F.max("votes").alias("best"),
             F.min(F.col("diagonal") + F.col("first_at")).alias("first_word"),
             F.max(F.col("diagonal") + F.col("last_at") + 1).alias("last_word"),
         )
@@ -92,7 +93,9 @@ def spans(docs: DataFrame) -> DataFrame:
 def license_scan(docs: DataFrame) -> DataFrame:
     """One row per input row: all places of the phrases, the labels, and the best share of a verified template (0 if none)."""
     sound = F.col("phrase") & (F.col("votes") == F.col("n_template") - 1)
-    passage = ~F.col("phrase") & (F.col("share") >= LEAST_SHARE) & (F.col("last_word") - F.col("first_word") < 2 * F.col("n_template"))
+    # a span of several copies is long, but one diagonal alone, which is no longer than the template, verifies it
+    near = (F.col("last_word") - F.col("first_word") < 2 * F.col("n_template")) | (F.col("best") >= LEAST_SHARE * (F.col("n_template") - 1))
+    passage = ~F.col("phrase") & (F.col("share") >= LEAST_SHARE) & near
     labels = lambda when: F.array_join(F.array_sort(F.collect_set(F.when(when, F.col("label")))), ",")
     return (
         spans(docs)
