@@ -399,3 +399,9 @@ def test_pipeline(spark, real):
 def test_license_of_repeated_text(spark, copies):
     got = licenses.license_scan(spark.createDataFrame([(1, "all rights reserved\n" * copies)], "doc_id long, text string")).first()
     assert got.labels == "proprietary" and got.score == 1.0 and got.base_labels == ""
+
+
+def test_long_line_alone_rejects_nothing(spark):
+    text = " ".join(f"the word{i} and" for i in range(40_000))
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert quality.quality_report(frame).first().kept and quality.keep_good(frame).count() == 1

@@ -42,7 +42,6 @@ RULES = (
     Rule("stop_words", "stop_share", low=0.01, least_words=100),
     Rule("repeated_lines", "dup_line_share", high=0.5),
     Rule("words_with_letters", "alpha_share", low=0.5),
-    Rule("longest_line", "words_per_line", high=100_000.0),
 )
 
 
@@ -55,7 +54,6 @@ def ratios() -> dict[str, Column]:
         "stop_share": share("_q_stops", "_q_words"),
         "dup_line_share": share("_q_dup_lines", "_q_lines"),
         "alpha_share": share("_q_alpha", "_q_words"),
-        "words_per_line": share("_q_words", "_q_lines"),
     }
 
 
