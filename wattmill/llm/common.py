@@ -21,7 +21,7 @@ ARROW_ROWS = 1_000
 
 
 def ship(spark: SparkSession) -> None:
-    """Readies a session: small Arrow batches, and this package for Python workers that don't find it by themselves (once a session)."""
+    """Readies a session: small Arrow batches (the session's setting is lowered, and stays so), and this package for Python workers that don't find it by themselves (once a session)."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     root = Path(__file__).resolve().parents[2]
@@ -39,8 +39,10 @@ _OWN_DIRS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share. Only where the cluster names none (as in tests) is a local one made."""
+    """The folder that the driver and all executors share. Where none is named, a local one is made if the master is local; a cluster must name one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return named or _OWN_DIRS.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-"))
 
 
@@ -63,6 +65,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def under_own_names(docs: DataFrame, *needed: str) -> tuple[DataFrame, list[Column]]:
+    """`docs` with all columns but `needed` under plain numbered names, which no operator uses, and the columns that give them back."""
+    name = lambda i, c: c if c in needed else f"in{i}"
+    inner = docs.select(*(F.col(f"`{c.replace('`', '``')}`").alias(name(i, c)) for i, c in enumerate(docs.columns)))
+    return inner, [F.col(name(i, c)).alias(c) for i, c in enumerate(docs.columns)]
+
+
+#: A table up to this number of short rows is broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """`df` marked for broadcast if it has at most `most` rows (short ones, read from a written table); else as it is, for a join that Spark may split at hot keys."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `rows` rows and about `size` bytes (one row may be longer)."""
     for batch in batches:
