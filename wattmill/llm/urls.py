@@ -5,7 +5,7 @@ URLs that a rule decides are the labelled URLs from which the trees learn (block
 the trees are fitted on at most `sample_rows` of them, the smallest by hash of the URL. Without labelled URLs of both kinds every
 other URL is allowed.
 
-Null URLs and those without `://` have an empty host and path and are judged like any other. Empty tables give no rows. Repeated
+Null URLs and those without `://` have an empty host and path and are judged like any other. Long URLs are read whole. Empty tables give no rows. Repeated
 rows are judged one by one. Columns other than page_id and url are ignored.
 """
 
@@ -24,7 +24,7 @@ from wattmill.llm.common import ascii_lower, written
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 #: Labelled URLs for the fit, and the trees' shape.
 SAMPLE_ROWS, TREES, DEPTH = 20_000, 8, 3
-#: Rules up to this number are compiled into the projection; more are joined on the host's suffixes.
+#: Rules up to this number are compiled into the projection; more are joined on the host's suffixes, with the same result.
 COMPILED_RULES = 1_000
 #: A suffix table up to this number of rows is broadcast (its rows are a short string and two numbers).
 BROADCAST_SUFFIXES = 50_000
@@ -61,7 +61,7 @@ def apply_rules(urls: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> Da
         .join(table, "rule_host")
         .filter(F.startswith("path", "rule_path"))
         .groupBy("host", "path")
-        .agg(F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), F.hash("rule"))).alias("_r"))
+        .agg(F.min_by(F.struct("rule", "verdict"), F.struct(-F.length("rule"), "rule")).alias("_r"))
     )
     return urls.join(won, ["host", "path"], "left").select(*urls.columns, F.col("_r.rule").alias("rule"), F.col("_r.verdict").alias("ruled"))
 
@@ -88,16 +88,22 @@ def lexical(urls: DataFrame) -> DataFrame:
 
 
 def with_suffix_statistics(urls: DataFrame) -> DataFrame:
-    """Adds each suffix's share of all URLs and its smoothed share of blocked ones among the labelled, both over the whole table."""
+    """Adds each suffix's share of all URLs and its smoothed share of blocked ones among the labelled, both over the whole table.
+
+    A labelled URL's own label is left out of its share, so the trees don't learn from what they are to predict.
+    """
     counts = urls.groupBy("suffix").agg(F.count("*").alias("n"), F.count("ruled").alias("labelled"), F.count(F.when(F.col("ruled") == "block", 1)).alias("blocked"))
     counts = written(counts, "suffixes")
     size = counts.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("urls")).first()
     stats = counts.select(
         "suffix",
         (F.col("n").cast("double") / F.lit(float(max(1, size.urls)))).alias("u_suffix_share"),
-        ((F.col("blocked") + 1.0) / (F.col("labelled") + 2.0)).alias("u_suffix_block"),
+        "blocked",
+        "labelled",
     )
-    return urls.join(F.broadcast(stats) if size.rows <= BROADCAST_SUFFIXES else stats, "suffix", "left")
+    own = F.col("ruled").isNotNull().cast("double")
+    share = (F.col("blocked") - F.coalesce((F.col("ruled") == "block").cast("double"), F.lit(0.0)) + 1.0) / (F.col("labelled") - own + 2.0)
+    return urls.join(F.broadcast(stats) if size.rows <= BROADCAST_SUFFIXES else stats, "suffix", "left").withColumn("u_suffix_block", share).drop("blocked", "labelled")
 
 
 def fit(urls: DataFrame, sample_rows: int = SAMPLE_ROWS) -> GBTClassificationModel | None:
