@@ -3,37 +3,37 @@
 Words are runs of ASCII letters and non-ASCII characters, A-Z lower-cased. A word's features are the 2-, 3- and 4-grams of its UTF-8
 bytes with a mark at both ends (so affixes are grams with a mark), by table index, and its log share among the languages in a lexicon.
 The lexicon counts the words of all labelled training documents by language, in a table of `LEXICON_BUCKETS` hashed words: its size is fixed, so
-tasks hold it whatever the corpus. Gram weights, lexicon weights and transitions are fitted by gradient on at most `SAMPLE_DOCS` windows of
-`SAMPLE_WORDS` words a language; windows of different languages are put together, so that switches are seen.
+tasks hold it whatever the corpus (and as many columns as there are languages). Gram weights, lexicon weights and transitions are fitted by
+gradient on at most `SAMPLE_DOCS` whole texts a language; pieces of `SEGMENT` words of different languages are put together, so that switches are seen.
 
 Prediction runs forward-backward over all words of a text; a document's language has the largest sum of word posteriors, its score
 is that sum's share (ties: the first label in order). Null texts and those without a letter get `und` and 0, and so do all without a trained
-model. Repeated rows are labelled one by one. Languages, sources and ids are no inputs; other columns are carried along.
+model. A letter is one by Unicode's classes. Repeated rows are labelled one by one, an empty table gives none. Languages, sources and ids are no inputs; other columns are carried along.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattmill.llm.common import crc_mod, small_batches
+from wattmill.llm.common import crc_mod, small_batches, under_own_names
 
 LEXICON_BUCKETS, GRAM_BUCKETS = 1 << 16, 1 << 16
-SAMPLE_DOCS, SAMPLE_WORDS, SEGMENT, SEGMENTS = 300, 40, 10, 12
+SAMPLE_DOCS, SEGMENT, SEGMENTS = 60, 10, 12
 STEPS, RATE, DECAY = 60, 0.15, 1e-4
 UNKNOWN = "und"
 BATCH_DOCS, BATCH_SIZE = 1_000, 4 << 20
 #: Words whose grams are held at once.
 HELD_WORDS = 20_000
 _TABLE = bytes(c if 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _MULTIPLIERS = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -121,7 +121,7 @@ def forward_backward(emissions: np.ndarray, lengths: np.ndarray, transitions: np
 
 
 def train(docs: DataFrame, labels: list[str], lexicon: np.ndarray, sample: list[tuple[str, list[bytes]]]) -> Crf:
-    """Fits the weights to windows (label, words) by gradient ascent with Adam."""
+    """Fits the weights to texts (label, words) by gradient ascent with Adam."""
     rng = np.random.default_rng(5)
     pieces = [(labels.index(lang), words[i : i + SEGMENT]) for lang, words in sample for i in range(0, len(words), SEGMENT)]
     # three of four pieces go on in the language before, so transitions learn both staying and switching
@@ -208,10 +208,7 @@ def fit(docs: DataFrame, folds: int = 5, held_out: int = 0) -> Crf | None:
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_003))
     near = known.withColumn("_h", drawn).filter(F.col("_h") < share * 1_000_003)  # about three times the sample, before it is ordered
     near = near.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))).filter(F.col("_n") <= SAMPLE_DOCS)
-    tokens = F.split("text", r"\s+")
-    start = F.pmod(F.col("_h"), F.greatest(F.lit(1), F.size("_w") - SAMPLE_WORDS)) + 1
-    windows = near.withColumn("_w", tokens).select("lang", F.array_join(F.slice("_w", start.cast("int"), SAMPLE_WORDS), " ").alias("window"))
-    sample = [(r.lang, words) for r in windows.collect() if (words := words_of(r.window))]
+    sample = [(r.lang, words) for r in near.select("lang", "text").collect() if (words := words_of(r.text))]
     if not sample:
         return None
     counts = lexicon_counts(known, labels)
@@ -267,4 +264,5 @@ def language_report(docs: DataFrame, folds: int = 5, held_out: int = 0) -> DataF
 
 def keep_known(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """The rows of `docs` with a language whose share of words is at least `least`, with their own columns only."""
-    return label(docs, fit(docs)).filter((F.col("_l_lang") != UNKNOWN) & (F.col("_l_score") >= least)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    inner, back = under_own_names(docs, "text")
+    return label(inner, fit(docs)).filter((F.col("_l_lang") != UNKNOWN) & (F.col("_l_score") >= least)).select(*back)
