@@ -6,7 +6,8 @@ only what a whole family can't supply reaches the parent's siblings. Each leaf t
 as many whole epochs as fit, then documents of the next epoch, in the order of md5(seed, epoch, doc_id), while they fit whole.
 
 Leaf totals are pre-aggregated. A hot leaf is never ordered in one task: the order's first hex digits split it into slices, running
-totals are taken over slices (at most `slices` a leaf), and only the one slice that holds the cut is ordered row by row.
+totals are taken over slices (at most 16 ** `SLICE_DIGITS` a leaf), and only the one slice that holds the cut is ordered row by row. Tables with a
+row a leaf are broadcast if they are small by count.
 
 Null domain, lang or source count as the value `none`; null and empty texts have 0 tokens, go with every whole epoch and count nothing.
 Repeated rows are mixed one by one; equal ids have equal places in the order and are taken or left together. An empty table gives none.
@@ -19,7 +20,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattmill.llm.common import written
+from wattmill.llm.common import small_side, written
 
 LEVELS = ("domain", "lang", "source")
 #: Weights of domains and languages; names that aren't listed, and all sources, weigh 1.
@@ -93,13 +94,14 @@ def mix(tokens: DataFrame, weights: Mapping[str, Mapping[str, float]] = WEIGHTS,
     tokens = written(tokens, "tokens")  # the texts are read once
     leaves = written(leaf_budgets(tokens, weights, share, max_epochs), "leaves")
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    placed = tokens.join(leaves, list(LEVELS)).withColumn("_o", order).withColumn("_slice", F.substring("_o", 1, SLICE_DIGITS))
+    placed = tokens.join(small_side(leaves), list(LEVELS)).withColumn("_o", order).withColumn("_slice", F.substring("_o", 1, SLICE_DIGITS))
     slices = placed.groupBy(*LEVELS, "_slice", "rest").agg(F.sum("n_tokens").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*LEVELS).orderBy("_slice")) - F.col("_n")
     slices = written(slices.withColumn("_before", before), "slices")
     cut = slices.filter((F.col("_before") <= F.col("rest")) & (F.col("_before") + F.col("_n") > F.col("rest")) & (F.col("_n") > 0))
     cut = cut.select(*LEVELS, F.col("_slice").alias("_cut"), F.col("_before").alias("_at_cut"))
-    rows = placed.join(leaves.select(*LEVELS).join(cut, list(LEVELS), "left"), list(LEVELS))
+    cuts = written(leaves.select(*LEVELS).join(cut, list(LEVELS), "left"), "cuts")
+    rows = placed.join(small_side(cuts), list(LEVELS))
     inside = rows.filter(F.col("_slice") == F.col("_cut"))
     running = F.sum("n_tokens").over(Window.partitionBy(*LEVELS).orderBy("_o")) + F.col("_at_cut")
     inside = inside.withColumn("_in", (F.col("rest") > 0) & (running <= F.col("rest")))
