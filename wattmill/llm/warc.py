@@ -6,7 +6,7 @@ payloads are found by digest and length; payloads move once, by id and digest, s
 key. While a task writes, it yields the index: file, offset, length, URL and digest of each record. Archives of lost or repeated attempts
 have other names and are in no index.
 
-Reading: selected index rows are grouped by file and sorted by offset; ranges that lie within `GAP` bytes of each other are read at once, up
+Reading: selected index rows are dealt to tasks by ranges of file and offset, so a large archive is read by several; in a task, ranges that lie within `GAP` bytes of each other are read at once, up
 to `READ` bytes; payloads are checked against their digests.
 
 Null payloads are empty, and so is a null URL. Equal rows are all responses if they have the smallest id; pages without an id are
@@ -32,6 +32,8 @@ from wattmill.llm.common import new_path, small_batches, written
 LEAST_BYTES = 0
 DATE = "2026-01-01T00:00:00Z"
 GAP, READ = 64 << 10, 8 << 20
+#: Bytes of archives that a task reads, about.
+TASK_BYTES = 64 << 20
 INDEX = "file string, offset long, length long, url string, digest string, page_id long, record_type string"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
@@ -145,7 +147,10 @@ def read(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
         if opened:
             opened[1].close()
 
-    wanted = index.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset")
+    wanted = index.select("file", "offset", "length")
+    size = wanted.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    wanted = wanted.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return wanted.mapInArrow(run, RECORDS)
 
 
