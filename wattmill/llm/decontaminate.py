@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattmill.llm.common import small_batches, written
+from wattmill.llm.common import small_batches, under_own_names, written
 
 WINDOW, SHINGLE = 13, 3
 #: Bytes of item texts in a block.
@@ -193,7 +193,8 @@ def contamination_report(docs: DataFrame, items: DataFrame, block_bytes: int = B
 
 def clean(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of `docs` that aren't contaminated, with their own columns only."""
-    return found(docs, items, block_bytes).filter(f"NOT ({CONTAMINATED})").select(*(F.col(f"`{c}`") for c in docs.columns))
+    inner, back = under_own_names(docs, "text")
+    return found(inner, items, block_bytes).filter(f"NOT ({CONTAMINATED})").select(*back)
 
 
 #: The same in DuckDB SQL (ids are unique in the driver's tables).

@@ -3,7 +3,7 @@
 All measures come from built-in column functions over the whole text; nothing is shuffled. Words are runs of characters other
 than ASCII white space. A null or empty text has no words and fails the base rule; every other column may be null or have any name.
 Repeated rows are judged row by row. Long texts cost n log n: repeated windows are found by sorting window hashes (64 bits over the
-five words, each hashed with its length, so word borders count).
+five words, each hashed with its length, so word borders count). An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wattmill.llm.common import under_own_names
+
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 5
 #: Frequent function words of the four languages.
@@ -129,7 +131,8 @@ def quality_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of `docs` that pass, with their own columns only."""
-    return verdict(docs, "text", rules).filter("_q_kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    inner, back = under_own_names(docs, "text")
+    return verdict(inner, "text", rules).filter("_q_kept").select(*back)
 
 
 #: The same in DuckDB SQL (ids are unique in the driver's table).
@@ -142,5 +145,5 @@ g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM (SEL
 r AS (SELECT doc_id, CAST(sum(least(5, coalesce(nxt - i, 5))) AS BIGINT) AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM g WHERE c > 1) GROUP BY doc_id),
 v AS (SELECT m.*, coalesce(r.n, 0) AS n_repeat_words, n_words < 10 OR 100 * coalesce(r.n, 0) > 20 * n_words AS base_failed FROM m LEFT JOIN r USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(word_chars / nullif(n_words, 0), 0) BETWEEN 1.5 AND 25 AND coalesce(n_symbols / nullif(n_words, 0), 0) <= 0.4
-    AND (n_words < 100 OR stops / n_words >= 0.01) AND coalesce(n_dup_lines / nullif(len(l), 0), 0) <= 0.5 AND coalesce(alpha / nullif(n_words, 0), 0) >= 0.5 AND coalesce(n_words / nullif(len(l), 0), 0) <= 100000 AS kept FROM v
+    AND (n_words < 100 OR stops / n_words >= 0.01) AND coalesce(n_dup_lines / nullif(len(l), 0), 0) <= 0.5 AND coalesce(alpha / nullif(n_words, 0), 0) >= 0.5 AS kept FROM v
 """

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattmill.llm.common import small_batches, written
+from wattmill.llm.common import small_batches, under_own_names, written
 
 SHINGLE, SEED, MOST = 4, 42, 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -231,7 +231,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     ids = written(with_components(docs).select("doc_id", "component_id"), "components")
     repeated = ids.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
     other = ids.filter("doc_id != component_id").select("doc_id").distinct()
-    once = docs.join(other.unionByName(repeated), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    inner, back = under_own_names(docs, "doc_id", "text")
+    once = inner.join(other.unionByName(repeated), "doc_id", "left_anti").select(*back)
     first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_first())
-    again = docs.join(repeated.join(other, "doc_id", "left_anti"), "doc_id", "left_semi").withColumn("_s_n", F.row_number().over(first)).filter("_s_n = 1")
-    return once.unionByName(again.select(*(F.col(f"`{c}`") for c in docs.columns)))
+    again = inner.join(repeated.join(other, "doc_id", "left_anti"), "doc_id", "left_semi").withColumn("_s_n", F.row_number().over(first)).filter("_s_n = 1")
+    return once.unionByName(again.select(*back))
