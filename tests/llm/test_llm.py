@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -405,3 +406,133 @@ def test_long_line_alone_rejects_nothing(spark):
     text = " ".join(f"the word{i} and" for i in range(40_000))
     frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert quality.quality_report(frame).first().kept and quality.keep_good(frame).count() == 1
+
+
+CLASHING = ("_l_lang", "_l_score", "_d_words", "_d_hit", "_q_w", "_q_kept", "_s_n", "_s_fp", "in0", "n", "b`t", "dot.ted")
+
+
+@pytest.mark.parametrize("stage", [langid.keep_known, quality.keep_good, simhash.keep_one, lambda d: decontaminate.clean(d, d.sparkSession.createDataFrame([(1, PASSAGE)], "item_id long, text string"))])
+def test_clashing_names_come_back(docs, real, stage):
+    frame = docs.unionByName(real.limit(40), allowMissingColumns=True)
+    for name in CLASHING:
+        frame = frame.withColumn(name, F.concat(F.lit(name), F.coalesce(F.col("doc_id").cast("string"), F.lit("~"))))
+    kept = stage(frame)
+    rows = kept.collect()
+    assert kept.columns == frame.columns and rows
+    assert all(r[name] == name + str("~" if r.doc_id is None else r.doc_id) for r in rows for name in CLASHING)
+
+
+@pytest.mark.parametrize("text", ["all rights all rights", "licensed under licensed under", "rights reserved all rights", "cc by licensed under", "mit x license"])
+def test_license_verification_refuses(spark, text):
+    row = licenses.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (row.labels, row.base_labels, row.score, row.n_base) == ("", "", 0.0, 0)
+
+
+def test_license_oracle_on_hostile_texts(docs, tmp_path):
+    spark = docs.sparkSession
+    passage = licenses.PASSAGES[0][0].split()
+    more = [" ".join(passage[:8] + ["odd"] + passage[8:]), " ".join(passage[10:] + passage[:10]), "all rights reserved " * 4, "all rights all rights reserved", " ".join(passage * 3), "mit license mit license"]
+    frame = docs.select("doc_id", "text").distinct().unionByName(spark.createDataFrame([(100 + i, t) for i, t in enumerate(more)], "doc_id long, text string"))
+    frame.write.parquet(str(tmp_path / "documents"))
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    same(licenses.license_scan(frame).toPandas(), duck.execute(licenses.ORACLE_SQL).df())
+
+
+def test_license_template_table(spark, docs, monkeypatch):
+    """A table of one's own, and tables too large to be compiled, give the same places."""
+    own = licenses.default_templates(spark).unionByName(spark.createDataFrame([(99, "lone", False, "word"), (98, "fox", False, "quick brown fox jumps over")], "template int, label string, base boolean, text string"))
+    small = licenses.license_scan(docs, own).toPandas()
+    assert "fox" in set(small.labels)
+    monkeypatch.setattr(licenses, "COMPILED_PAIRS", 0)
+    monkeypatch.setattr(licenses, "BROADCAST_PAIRS", 0)
+    same(licenses.license_scan(docs, own).toPandas(), small)
+
+
+def test_url_rules_tie_alike_in_both_forms(spark):
+    pages = spark.createDataFrame([(1, "http://b.a.com/xy"), (2, "http://a.com/xyz"), (3, "http://c.b.a.com/xy?q")], "page_id long, url string")
+    tied = [("block", "a.com/xy"), ("allow", "b.a.com/")]
+    many = tied + [("block", f"h{i}.com/p") for i in range(urls.COMPILED_RULES)]
+    few, lots = ({r.page_id: (r.rule, r.ruled) for r in urls.apply_rules(urls.parts(pages), rules).collect()} for rules in (tied, many))
+    assert few == lots == {1: ("a.com/xy", "block"), 2: ("a.com/xy", "block"), 3: ("a.com/xy", "block")}
+
+
+def brute_url(url):
+    url = url or ""
+    rest = url.split("://", 1)[1] if "://" in url else ""
+    host = re.split(r"[/?#]", rest, maxsplit=1)[0]
+    path = re.split(r"[?#]", rest[len(host) :], maxsplit=1)[0] if "://" in url else ""
+    host, best = lower(host), None
+    for verdict, rule in urls.RULES:
+        h, p = rule.split("/", 1)
+        if (host == h or host.endswith("." + h)) and path.startswith("/" + p) and (best is None or len(rule) > len(best[0])):
+            best = rule, verdict
+    return host, path, best
+
+
+def test_url_parts_against_brute_force(spark):
+    real = spark.read.parquet(f"{DATA}/pages.parquet").select("page_id", "url")
+    longest = "https://Sub.Example.COM/en/7" + "x" * 50_000 + "?q=1#f"
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, longest), (-3, longest), (-4, "a://b?c://d/e"), (-5, "://x.net/de/"), (-6, "http://h#/p\nq")], "page_id long, url string")
+    frame = real.unionByName(odd).withColumns({"host": F.lit("x"), "rule": F.lit("y"), "_r": F.lit(1)})
+    for r in urls.judge(frame).join(frame.select("page_id", "url").distinct(), "page_id").collect():
+        host, path, best = brute_url(r.url)
+        assert (r.host, r.path, r.rule) == (host, path, best and best[0]) and r.verdict in ("allow", "block") and (best is None or r.verdict == best[1])
+
+
+def test_url_trees_predict_labels_they_did_not_see(spark):
+    """Trees fitted on two thirds of the labelled URLs tell the others' labels better than the more frequent label does."""
+    shaped = spark.range(900).select(F.col("id").alias("page_id"), F.when(F.col("id") % 3 == 0, F.format_string("http://a%d.com/en/p?x=%d&y=12345&z=%d", "id", "id", "id")).otherwise(F.format_string("http://b%d.net/de/page", "id")).alias("url"))
+    frame = urls.with_suffix_statistics(urls.lexical(urls.apply_rules(urls.parts(shaped)))).withColumn("test", F.col("page_id") % 9 > 5)
+    model = urls.fit(frame.filter("NOT test"))
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = model.transform(VectorAssembler(inputCols=list(urls.FEATURES), outputCol="features").transform(frame.filter("test"))).select("prediction", "ruled").collect()
+    assert sum((r.prediction == 1) == (r.ruled == "block") for r in rows) > 0.95 * len(rows)
+
+
+@pytest.mark.parametrize("text", ["½ ²", "Ⅻ", "１２ ٣", "____", "🙂 !!"])
+def test_language_of_text_without_letters(real, text):
+    frame = real.limit(50).unionByName(real.limit(1).withColumns({"doc_id": F.lit(-5).cast("long"), "text": F.lit(text)}))
+    row = langid.language_report(frame).filter("doc_id = -5").first()
+    assert (row.lang_pred, row.score) == ("und", 0.0)
+
+
+def test_forward_backward_against_all_paths():
+    rng = np.random.default_rng(3)
+    lengths = np.array([4, 1, 3])
+    emissions, transitions = rng.normal(size=(8, 3)), rng.normal(size=(3, 3))
+    gamma, xi = langid.forward_backward(emissions, lengths, transitions, pairs=True)
+    expected, moves = np.zeros((8, 3)), np.zeros((3, 3))
+    for at, n in zip(np.cumsum(lengths) - lengths, lengths):
+        paths = list(itertools.product(range(3), repeat=int(n)))
+        weight = np.array([math.exp(sum(emissions[at + t, y] for t, y in enumerate(p)) + sum(transitions[a, b] for a, b in zip(p, p[1:]))) for p in paths])
+        for p, w in zip(paths, weight / weight.sum()):
+            for t, y in enumerate(p):
+                expected[at + t, y] += w
+            for a, b in zip(p, p[1:]):
+                moves[a, b] += w
+    assert np.allclose(gamma, expected) and np.allclose(xi, moves)
+
+
+def test_archive_ranges_split_and_join(spark, monkeypatch):
+    """Records come back whatever the gap and the size of a read; a selection of the index reads only its records."""
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"payload {i} " * (i % 40)) for i in range(300)], "page_id long, url string, html string")
+    folder = common.new_path(spark, "warc")
+    index = warc.write(pages, folder)
+    expected = {r.page_id: r.payload for r in warc.read(index, folder).collect()}
+    chosen = index.filter("page_id % 7 = 0")
+    for gap, size in ((0, 1), (0, 1 << 20), (1 << 20, 1 << 20)):
+        monkeypatch.setattr(warc, "GAP", gap)
+        monkeypatch.setattr(warc, "READ", size)
+        assert {r.page_id: r.payload for r in warc.read(index, folder).collect()} == expected
+        assert {r.page_id for r in warc.read(chosen, folder).collect()} == {i for i in range(300) if i % 7 == 0}
+
+
+@pytest.mark.parametrize("kind", ["empty", "hostile"])
+def test_pipeline_on_odd_tables(spark, docs, tmp_path, kind):
+    frame = docs if kind == "hostile" else docs.limit(0)
+    frame.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, PASSAGE)] if kind == "hostile" else [], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert all(r.copies > 0 for r in got) and not {r.doc_id for r in got} & {1, 2, 3, 4, 6, 7, 10} and (kind == "hostile" or not got)
