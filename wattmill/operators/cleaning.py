@@ -1,8 +1,8 @@
 """Cleaning of dirty meter records: parse, repair, reject, dedupe, impute, shape.
 
 The order is part of the meaning: dedupe before quartiles, outliers nulled before medians, quantity before price before cost. Statistics
-always come from all rows, even if only a window of dates is written. Group statistics are window aggregates over workshop and
-energy; with more plants give more keys.
+always come from all rows, even if only a window of dates is written. Statistics are aggregates by group, a few hundred rows that are joined
+back; rows are shuffled once, for the dedupe. With more plants give more keys.
 """
 
 from __future__ import annotations
@@ -14,14 +14,31 @@ from pyspark.sql import functions as F
 
 from wattmill.operators.views import Plant
 from wattmill.plans.catalog import query
-from wattmill.sources.adapter import ENERGIES, ORACLE, WORKSHOPS
+from wattmill.sources.adapter import ENERGIES, ORACLE, WORKSHOPS, calendar
+from wattmill.staging import written
 
 KEY = ("record_date", "workshop_code", "energy_code")
 #: Date spellings in the order they are tried.
-DATE_FORMATS = ("yyyy-MM-dd", "yyyy/MM/dd", "yyyy.MM.dd", "yyyy年MM月dd日", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm")
-# Spellings of workshops and energies beside their names.
-WORKSHOP_ALIASES = {"动力车间": "W07", "熔炼": "W01", "轧钢车间": "W02"} | {name: code for code, name, *_ in WORKSHOPS}
-ENERGY_ALIASES = {"天燃气": "E02", "用电": "E01", "压空": "E05"} | {name: code for code, name, *_ in ENERGIES}
+DATE_FORMATS = ("yyyy-M-d", "yyyy/M/d", "yyyy.M.d", "yyyy年M月d日", "yyyy-M-d H:m:s", "yyyy/M/d H:m:s")
+# Spellings of workshops and energies.
+WORKSHOP_ALIASES = {
+    "熔炼车间": "W01", "熔炼": "W01",
+    "轧制车间": "W02", "轧制": "W02",
+    "热处理车间": "W03", "热处理": "W03",
+    "机加工车间": "W04", "机加工": "W04", "机加车间": "W04",
+    "表面处理车间": "W05", "表面处理": "W05", "表处车间": "W05",
+    "装配车间": "W06", "装配": "W06", "总装车间": "W06",
+    "动力站": "W07", "动力车间": "W07",
+    "包装车间": "W08", "包装": "W08",
+}
+ENERGY_ALIASES = {
+    "电力": "E01", "电": "E01", "外购电": "E01", "电力度": "E01",
+    "天然气": "E02", "天燃气": "E02",
+    "蒸汽": "E03", "蒸气": "E03",
+    "工业水": "E04", "自来水": "E04", "新水": "E04",
+    "压缩空气": "E05", "压缩风": "E05",
+    "柴油": "E06", "0#柴油": "E06",
+}
 UNITS = {code: unit for code, _, unit, *_ in ENERGIES}
 OUTLIER_IQRS, COST_TOLERANCE, STOPPED = 3.0, 0.05, "停产"
 
@@ -65,28 +82,48 @@ def reject_reason() -> Column:
     return F.when(F.col("record_date").isNull(), "bad_date").when(F.col("workshop_code").isNull(), "unknown_workshop").when(F.col("energy_code").isNull(), "unknown_energy")
 
 
+def ranked_versions(rows: DataFrame, key: tuple[str, ...] = KEY, version: str = "updated_at", seq: str = "input_seq") -> DataFrame:
+    """`_n`, 1 for the newest row of each key."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(F.col(version).desc_nulls_last(), seq)))
+
+
 def split_latest(rows: DataFrame, key: tuple[str, ...] = KEY, version: str = "updated_at", seq: str = "input_seq") -> tuple[DataFrame, DataFrame]:
     """(newest row of each key, the others). A missing version is oldest; of equal ones the first input row stays."""
-    order = Window.partitionBy(*key).orderBy(F.col(version).desc_nulls_last(), seq)
-    ranked = rows.withColumn("_n", F.row_number().over(order))
+    ranked = ranked_versions(rows, key, version, seq)
     return ranked.filter("_n = 1").drop("_n"), ranked.filter("_n > 1").drop("_n")
 
 
-def repaired(rows: DataFrame, groups: tuple[str, ...] = ("workshop_code", "energy_code")) -> DataFrame:
-    """C9-C14 on deduplicated rows: outliers nulled, negatives mirrored, quantity, price and cost imputed, first reason in `fix_reason`."""
-    by = Window.partitionBy(*groups)
-    q1, q3 = (F.percentile("consumption", F.lit(q)).over(by) for q in (0.25, 0.75))
-    step = rows.withColumns({"original": F.col("consumption"), "_top": q3 + OUTLIER_IQRS * (q3 - q1), "month": F.month("record_date")})
+GROUPS = ("workshop_code", "energy_code")
+
+
+def repaired(rows: DataFrame, groups: tuple[str, ...] = GROUPS, accuracy: int | None = None) -> DataFrame:
+    """C9-C14 on deduplicated rows (a written table, as it is read several times): outliers nulled, negatives mirrored, quantity, price and
+    cost imputed, first reason in `fix_reason`.
+
+    Quantiles are exact or, with `accuracy`, approximate (A5). The default groups are of fixed lists of codes, so their statistics are broadcast;
+    those of other groups are joined as Spark sees fit.
+    """
+    quantile = (lambda c, q: F.percentile_approx(c, q, accuracy)) if accuracy else (lambda c, q: F.percentile(c, F.lit(q)))
+    small = F.broadcast if groups == GROUPS else lambda stats: stats
+
+    def filled(frame: DataFrame, column: str, by: tuple[str, ...]) -> DataFrame:
+        """Nulls of `column` become the median of their group."""
+        keys = [f"_k_{k}" for k in by]
+        stats = frame.groupBy(*(F.col(k).alias(n) for k, n in zip(by, keys))).agg(quantile(column, 0.5).alias("_median"))
+        joined = frame.join(small(stats), [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(by, keys)], "left")
+        return joined.withColumn(column, F.coalesce(column, "_median")).drop("_median", *keys)
+
+    quartiles = rows.groupBy(*(F.col(k).alias(f"_k_{k}") for k in groups)).agg((quantile("consumption", 0.75) + OUTLIER_IQRS * (quantile("consumption", 0.75) - quantile("consumption", 0.25))).alias("_top"))
+    step = rows.join(small(quartiles), [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in groups], "left").drop(*(f"_k_{k}" for k in groups))
+    step = step.withColumns({"original": F.col("consumption"), "month": F.month("record_date")})
     outlier = F.coalesce(F.col("consumption") > F.col("_top"), F.lit(False))
     step = step.withColumns({"_outlier": outlier, "_negative": F.coalesce(F.col("consumption") < 0, F.lit(False)), "consumption": F.when(~outlier, F.abs("consumption"))})
     step = step.withColumn("_missing", F.col("consumption").isNull() & ~F.col("_outlier"))
     # the second level sees the values that the first one filled in
-    step = step.withColumn("consumption", F.coalesce("consumption", F.median("consumption").over(Window.partitionBy(*groups, "month"))))
-    step = step.withColumn("consumption", F.coalesce("consumption", F.median("consumption").over(by)))
+    step = filled(filled(step, "consumption", (*groups, "month")), "consumption", groups)
     bad_price = F.col("unit_price").isNull() | (F.col("unit_price") <= 0)
     step = step.withColumns({"_price": bad_price, "unit_price": F.when(~bad_price, F.col("unit_price"))})
-    step = step.withColumn("unit_price", F.coalesce("unit_price", F.median("unit_price").over(Window.partitionBy("energy_code", "month"))))
-    step = step.withColumn("unit_price", F.coalesce("unit_price", F.median("unit_price").over(Window.partitionBy("energy_code"))))
+    step = filled(filled(step, "unit_price", ("energy_code", "month")), "unit_price", ("energy_code",))
     due = F.round(F.col("consumption").cast("decimal(16,4)") * F.col("unit_price").cast("decimal(16,6)"), 2).cast("double")  # exact, as money is
     off = F.col("cost").isNull() | (F.coalesce(F.try_divide(F.abs(F.col("cost") - due), F.abs(due)), F.lit(0.0)) > COST_TOLERANCE)
     step = step.withColumns({"_cost": off, "cost": F.when(off, due).otherwise(F.col("cost"))})
@@ -107,33 +144,40 @@ def production_fact(rows: DataFrame) -> DataFrame:
     return rows.filter("output_qty IS NOT NULL").groupBy("record_date", "workshop_code").agg(F.round(F.median("output_qty"), 3).alias("output_qty"), F.min_by("output_unit", "input_seq").alias("output_unit"))
 
 
-def cleaned(raw: DataFrame) -> dict[str, DataFrame]:
-    """The whole chain: typed, rejects, losers of the dedupe, fixed rows, fact and production.
-
-    The reason also names the row's number, which is never negative: so filters on it stay above the typed columns. Moved below, they
-    would hold every parser once more and outgrow compiled code.
-    """
-    rows = typed(raw).withColumn("reject_reason", F.when(F.monotonically_increasing_id() >= 0, reject_reason()))
+def cleaned(raw: DataFrame, accuracy: int | None = None) -> dict[str, DataFrame]:
+    """The whole chain: typed, rejects, losers of the dedupe, fixed rows, fact and production. Typed and ranked rows are written once and read again."""
+    rows = written(typed(raw).withColumn("reject_reason", reject_reason()), "typed")
     good = rows.filter("reject_reason IS NULL").drop("reject_reason")
-    latest, losers = split_latest(good)
-    fixed = repaired(latest)
+    ranked = written(ranked_versions(good), "versions")
+    latest, losers = ranked.filter("_n = 1").drop("_n"), ranked.filter("_n > 1").drop("_n")
+    fixed = repaired(latest, accuracy=accuracy)
     return {"typed": rows, "rejects": rows.filter("reject_reason IS NOT NULL"), "duplicates": losers, "rows": fixed, "energy": energy_fact(fixed), "production": production_fact(latest)}
 
 
+def spelled(code: Column, aliases: dict[str, str], n: Column) -> Column:
+    """The n-th spelling of a code, round and round."""
+    names = F.lit(None).cast("array<string>")
+    for c in sorted(set(aliases.values())):
+        names = F.when(code == c, F.array(*(F.lit(a) for a, x in aliases.items() if x == c))).otherwise(names)
+    return F.get(names, F.pmod(n, F.size(names)).cast("int"))
+
+
 def dirty(p: Plant) -> DataFrame:
     """Records of the plant as a dirty text export, with every kind of fault at fixed places."""
     r = p.records.withColumn("id", F.col("source_id"))
     m = lambda n: F.col("id") % n == 0
-    d, name = F.col("record_date"), looked_up(F.col("workshop_code"), {w[0]: w[1] for w in WORKSHOPS})
-    spelled = reduce(lambda w, nf: w.when(F.col("id") % 8 == nf[0], F.date_format(d, nf[1])), enumerate(DATE_FORMATS), F.when(m(97), "n/a")).otherwise(F.date_format(d, DATE_FORMATS[0]))
+    d, name = F.col("record_date"), spelled(F.col("workshop_code"), WORKSHOP_ALIASES, F.floor(F.col("id") / 19))
+    # half of the dates have two-digit months and days
+    shape = lambda f: F.when(F.col("id") % 2 == 0, F.date_format(d, f)).otherwise(F.date_format(d, f.replace("M", "MM").replace("d", "dd").replace("H", "HH").replace("m:s", "mm:ss")))
+    day = reduce(lambda w, nf: w.when(F.col("id") % 8 == nf[0], shape(nf[1])), enumerate(DATE_FORMATS), F.when(m(97), "n/a")).otherwise(shape(DATE_FORMATS[0]))
     price = F.floor(F.col("cost").cast("double") / F.col("consumption").cast("double") * 10000 + 0.2371) / 10000.0
     q = F.col("consumption").cast("double")
     doy, n = F.dayofyear(d), F.substring("workshop_code", 3, 1).cast("int")
     stopped = (doy + n * 5) % 13 == 0
     return r.select(
-        F.col("id").alias("input_seq"), spelled.alias("record_date"), F.when(m(19), None).when(m(23), "X9").otherwise(F.col("workshop_code")).alias("workshop_code"),
-        F.when(m(95), "?").when((F.col("workshop_code") == "W07") & m(3), "动力车间").otherwise(F.concat(F.lit("　"), name, F.lit("​ "))).alias("workshop_name"),
-        F.when(m(29), None).otherwise(F.col("energy_code")).alias("energy_code"), F.when(m(58), "?").when(F.col("energy_code") == "E02", "天燃气").otherwise(looked_up(F.col("energy_code"), {e[0]: e[1] for e in ENERGIES})).alias("energy_name"),
+        F.col("id").alias("input_seq"), day.alias("record_date"), F.when(m(19), None).when(m(23), "X9").otherwise(F.col("workshop_code")).alias("workshop_code"),
+        F.when(m(95), "?").otherwise(F.concat(F.lit("　"), name, F.lit("​ "))).alias("workshop_name"),
+        F.when(m(29), None).otherwise(F.col("energy_code")).alias("energy_code"), F.when(m(58), "?").otherwise(spelled(F.col("energy_code"), ENERGY_ALIASES, F.floor(F.col("id") / 29))).alias("energy_name"),
         F.when(m(31), "").when(m(37), (-q).cast("string")).when(m(41), (q * 12).cast("string")).when(m(101), "bad").otherwise(q.cast("string")).alias("consumption"), F.when(m(7), "kwh").otherwise("?").alias("unit"),
         F.when(m(43), "0").otherwise(price.cast("string")).alias("unit_price"), F.when(m(47), F.floor(q * price * 1.2).cast("string")).otherwise(F.floor(q * price + 0.001).cast("string")).alias("cost"),
         F.when(m(11), None).otherwise((q * 10).cast("string")).alias("output_qty"), F.lit("t").alias("output_unit"), F.lit("20.5").alias("avg_temperature"), F.when(stopped, STOPPED).otherwise("正常").alias("record_status"),
@@ -199,9 +243,21 @@ def c_window(p: Plant) -> DataFrame:
     return rows.filter(F.col("record_date").between(F.to_date(F.lit("2024-06-01")), F.to_date(F.lit("2024-06-30")))).select(*KEY, "consumption")
 
 
-@query("c17_calendar", "SELECT calendar_date, year, quarter, month, year_month, day_of_week, is_weekend, holiday_name, is_holiday FROM dim_calendar", ORACLE)
+@query("c17_calendar", """lim AS (SELECT least(min(d), DATE '2024-01-01') AS low, greatest(max(d), DATE '2025-12-31') AS high FROM (SELECT CAST(l_shipdate AS DATE) AS d FROM lineitem UNION ALL SELECT CAST(o_orderdate AS DATE) FROM orders)),
+days AS (SELECT CAST(unnest(generate_series(low, high, INTERVAL 1 DAY)) AS DATE) AS calendar_date FROM lim)
+SELECT calendar_date, year(calendar_date) AS year, quarter(calendar_date) AS quarter, month(calendar_date) AS month, strftime(calendar_date, '%Y-%m') AS year_month, isodow(calendar_date) AS day_of_week, dayname(calendar_date) AS weekday_name,
+    CASE WHEN isodow(calendar_date) >= 6 THEN 1 ELSE 0 END AS is_weekend, holiday_name, CASE WHEN holiday_name IS NULL THEN 0 ELSE 1 END AS is_holiday FROM days LEFT JOIN holiday ON calendar_date BETWEEN CAST(low AS DATE) AND CAST(high AS DATE)""", ORACLE)
 def c_calendar(p: Plant) -> DataFrame:
-    return p.calendar
+    """The calendar reaches to the tables' own first and last dates."""
+    dates = p.table("lineitem").select(F.to_date("l_shipdate").alias("d")).unionByName(p.table("orders").select(F.to_date("o_orderdate").alias("d")))
+    return calendar(p.spark, dates)
+
+
+@query("a05_approximate_quantiles", "SELECT workshop_code, quantile_disc(consumption, 0.25)::DOUBLE AS q25, quantile_disc(consumption, 0.5)::DOUBLE AS q50, quantile_disc(consumption, 0.75)::DOUBLE AS q75 FROM records GROUP BY 1", ORACLE)
+def a_approximate(p: Plant) -> DataFrame:
+    """A5: quantiles from sketches of fixed size. Quantities have fewer different values than the sketch has room, so it is exact here."""
+    quantiles = F.percentile_approx("consumption", [0.25, 0.5, 0.75], 10_000)
+    return p.records.groupBy("workshop_code").agg(quantiles.alias("q")).select("workshop_code", *(F.get("q", F.lit(i)).cast("double").alias(n) for i, n in enumerate(("q25", "q50", "q75"))))
 
 
 @query("c18_cleaning_report", """SELECT (SELECT count(*) FROM typed) AS n_raw, (SELECT count(*) FROM typed WHERE reason IS NOT NULL) AS n_rejected, (SELECT count(*) FROM ranked WHERE n > 1) AS n_duplicates, count(*) AS n_kept, count(CASE WHEN fix = 'outlier' THEN 1 END) AS n_outlier, count(CASE WHEN fix = 'missing' THEN 1 END) AS n_missing,
@@ -218,27 +274,42 @@ def c_report(p: Plant) -> DataFrame:
     )
 
 
-@query("c19_fix_magnitudes", """SELECT fix AS fix_reason, count(*) AS n, round(min(q / med), 4) AS least_multiple, round(max(q / med), 4) AS largest_multiple, round(avg(c2 / med), 4) AS mean_imputed FROM (SELECT *, median(c2) OVER (PARTITION BY workshop_code, energy_code) AS med FROM fixed) WHERE fix IN ('outlier', 'missing', 'negative') GROUP BY 1""", _CHAIN)
+@query("c19_fix_magnitudes", """med AS (SELECT *, median(c2) OVER (PARTITION BY workshop_code, energy_code) AS med FROM fixed)
+SELECT 'fix' AS kind, fix AS reason, count(*) AS n, round(min(q / med), 4) AS least_multiple, round(max(q / med), 4) AS largest_multiple, round(min(c2 / nullif(q, 0)), 6) AS least_imputed, round(max(c2 / nullif(q, 0)), 6) AS largest_imputed, round(avg(c2 / med), 4) AS mean_imputed FROM med WHERE fix IS NOT NULL GROUP BY 2
+UNION ALL SELECT 'reject', reason, count(*), NULL, NULL, NULL, NULL, NULL FROM typed WHERE reason IS NOT NULL GROUP BY 2""", _CHAIN)
 def c_magnitudes(p: Plant) -> DataFrame:
-    rows = cleaned(dirty(p))["rows"].withColumn("med", F.median("consumption").over(Window.partitionBy("workshop_code", "energy_code")))
-    times = lambda c: F.try_divide(F.col(c), F.col("med"))
-    return rows.filter(F.col("fix_reason").isin("outlier", "missing", "negative")).groupBy("fix_reason").agg(
-        F.count("*").alias("n"), F.round(F.min(times("original")), 4).alias("least_multiple"), F.round(F.max(times("original")), 4).alias("largest_multiple"), F.round(F.avg(times("consumption")), 4).alias("mean_imputed")
-    )
+    parts = cleaned(dirty(p))
+    rows = written(parts["rows"], "fixed")
+    rows = rows.join(F.broadcast(rows.groupBy(*GROUPS).agg(F.median("consumption").alias("med"))), list(GROUPS))  # 48 groups at most
+    times, imputed = lambda c: F.try_divide(F.col(c), F.col("med")), F.try_divide(F.col("consumption"), F.col("original"))
+    fixes = rows.filter("fix_reason IS NOT NULL").groupBy(F.lit("fix").alias("kind"), F.col("fix_reason").alias("reason")).agg(
+        F.count("*").alias("n"), F.round(F.min(times("original")), 4).alias("least_multiple"), F.round(F.max(times("original")), 4).alias("largest_multiple"),
+        F.round(F.min(imputed), 6).alias("least_imputed"), F.round(F.max(imputed), 6).alias("largest_imputed"), F.round(F.avg(times("consumption")), 4).alias("mean_imputed"),
+    )
+    rejects = parts["rejects"].groupBy(F.lit("reject").alias("kind"), F.col("reject_reason").alias("reason")).agg(F.count("*").alias("n"))
+    return fixes.unionByName(rejects, allowMissingColumns=True)
 
 
 # Fixed values of the sample protocol.
-STATES, SAMPLE_ENERGIES, MAX_KW = ("run", "idle", "stop", "fault"), tuple(e[0] for e in ENERGIES), 5000.0
+STATES, SAMPLE_ENERGIES, MAX_KW = ("running", "idle", "standby", "offline", "spike"), ("E01",), 5000.0
+SAMPLE_FIELDS = ("event_id", "device_id", "workshop_id", "energy_code", "ts_utc", "power_kw", "state")
+SAMPLE_LENGTHS = {"event_id": 64, "device_id": 32, "workshop_id": 16, "source": 64, "schema_version": 16}
+SAMPLE_DEFAULTS = {"source": "edge-agent", "schema_version": "1.0"}
 
 
 def validated_samples(samples: DataFrame) -> DataFrame:
-    """C20: meter samples with `reason` (null if clean); long texts are cut as the protocol says."""
-    missing = reduce(lambda a, c: a | F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")).eqNullSafe(""), ("device_id", "workshop_id", "energy_code", "ts_utc"), F.lit(False))
+    """C20: meter samples with `reason` (null if clean); texts are cut to the protocol's lengths, power is rounded, what is optional gets its default.
+
+    Power that is no number is `bad_power`, and so is NaN.
+    """
+    missing = reduce(lambda a, c: a | F.coalesce(F.col(c).cast("string"), F.lit("")).eqNullSafe(""), SAMPLE_FIELDS, F.lit(False))
     kw = F.col("power_kw").try_cast("double")
     reason = (
-        F.when(missing, "missing_field").when(kw.isNull() | F.isnan(kw), "bad_power").when((kw < 0) | (kw > MAX_KW), "power_out_of_range").when(~F.coalesce(F.col("state").isin(*STATES), F.lit(False)), "bad_state").when(~F.col("energy_code").isin(*SAMPLE_ENERGIES), "bad_energy")
+        F.when(missing, "missing_field").when(kw.isNull() | F.isnan(kw), "bad_power").when((kw < 0) | (kw > MAX_KW), "power_out_of_range").when(~F.col("state").isin(*STATES), "bad_state").when(~F.col("energy_code").isin(*SAMPLE_ENERGIES), "bad_energy")
     )
-    return samples.withColumns({"reason": reason, "device_id": F.substring("device_id", 1, 64), "source": F.substring("source", 1, 32)})
+    default = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(SAMPLE_DEFAULTS[c])) if c in SAMPLE_DEFAULTS else F.col(c).cast("string")
+    frame = samples.withColumns({c: F.lit(None).cast("string") for c in SAMPLE_DEFAULTS if c not in samples.columns})
+    return frame.withColumns({"reason": reason, "power_kw": F.round(kw, 4), **{c: F.substring(default(c), 1, n) for c, n in SAMPLE_LENGTHS.items()}})
 
 
 def sample_id(device: Column, ts: Column, kw: Column) -> Column:
@@ -246,14 +317,16 @@ def sample_id(device: Column, ts: Column, kw: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", device, ts, F.format_string("%.6f", kw.cast("double"))).cast("binary"), 256), 1, 24)
 
 
-@query("c20_sample_validation", """SELECT event_id, CASE WHEN user_id % 13 = 0 THEN 'missing_field' WHEN value IS NULL THEN 'bad_power' WHEN value < 0 OR value > 5000 THEN 'power_out_of_range' WHEN event_type = 'error' THEN 'bad_state' WHEN user_id % 7 = 6 THEN 'bad_energy' END AS reason FROM events""", "")
+@query("c20_sample_validation", """SELECT 'S' || event_id AS event_id, left(repeat('d', (user_id % 40)::INTEGER) || user_id, 32) AS device_id, CASE WHEN user_id % 3 = 0 THEN 'edge-agent' ELSE left(repeat('s', (user_id % 90)::INTEGER + 1), 64) END AS source, round(value::DOUBLE, 4) AS power_kw,
+CASE WHEN user_id % 13 = 0 OR value IS NULL THEN 'missing_field' WHEN value < 0 OR value > 5000 THEN 'power_out_of_range' WHEN event_type = 'error' THEN 'bad_state' WHEN user_id % 7 = 6 THEN 'bad_energy' END AS reason FROM events""", "")
 def c_samples(p: Plant) -> DataFrame:
     e = p.table("events")
+    n = F.col("user_id")
     samples = e.select(
-        "event_id", F.when(F.col("user_id") % 13 == 0, " ").otherwise(F.concat(F.lit("D"), "user_id")).alias("device_id"), F.lit("W01").alias("workshop_id"), F.concat(F.lit("E0"), F.col("user_id") % 7 + 1).alias("energy_code"),
-        F.col("ts").cast("string").alias("ts_utc"), F.col("value").alias("power_kw"), F.when(F.col("event_type") == "error", "broken").otherwise("run").alias("state"), F.lit("meter").alias("source"),
+        F.concat(F.lit("S"), "event_id").alias("event_id"), F.concat(F.repeat(F.lit("d"), (n % 40).cast("int")), n.cast("string")).alias("device_id"), F.when(n % 13 == 0, "").otherwise("W01").alias("workshop_id"), F.when(n % 7 == 6, "E02").otherwise("E01").alias("energy_code"),
+        F.col("ts").cast("string").alias("ts_utc"), F.col("value").alias("power_kw"), F.when(F.col("event_type") == "error", "broken").otherwise("running").alias("state"), F.when(n % 3 == 0, None).otherwise(F.repeat(F.lit("s"), (n % 90 + 1).cast("int"))).alias("source"),
     )
-    return validated_samples(samples).select("event_id", "reason")
+    return validated_samples(samples).select("event_id", "device_id", "source", "power_kw", "reason")
 
 
 @query("c21_content_ids", """SELECT event_id, substr(sha256('D' || user_id || '|' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || '|' || printf('%.6f', value)), 1, 24) AS sample_id FROM events""", "")

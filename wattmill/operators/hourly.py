@@ -10,8 +10,8 @@ from wattmill.plans.catalog import query
 
 # Lowest and highest possible value of each column; humidity and cloud cover are clipped, others nulled.
 BOUNDS = {
-    "temperature_2m": (-60.0, 60.0), "relative_humidity_2m": (0.0, 100.0), "wind_speed_10m": (0.0, 120.0), "shortwave_radiation": (0.0, 1500.0), "precipitation": (0.0, 300.0), "cloud_cover": (0.0, 100.0),
-    "pm2_5": (0.0, 1000.0), "pm10": (0.0, 2000.0), "nitrogen_dioxide": (0.0, 1000.0), "european_aqi": (0.0, 500.0), "ozone": (0.0, 1000.0), "carbon_monoxide": (0.0, 50000.0),
+    "temperature_2m": (-50.0, 55.0), "relative_humidity_2m": (0.0, 100.0), "wind_speed_10m": (0.0, 250.0), "shortwave_radiation": (0.0, 1300.0), "precipitation": (0.0, 200.0), "cloud_cover": (0.0, 100.0),
+    "pm2_5": (0.0, 1000.0), "pm10": (0.0, 2000.0), "nitrogen_dioxide": (0.0, 1000.0), "european_aqi": (0.0, 500.0), "ozone": (0.0, 800.0), "carbon_monoxide": (0.0, 30000.0),
 }
 CLIPPED, RAIN, LONGEST_GAP = ("relative_humidity_2m", "cloud_cover"), "precipitation", 3
 

@@ -33,9 +33,9 @@ ENERGIES = (
 )
 HOLIDAYS = (
     ("元旦", "2024-01-01", "2024-01-01"), ("春节", "2024-02-10", "2024-02-17"), ("清明节", "2024-04-04", "2024-04-06"), ("劳动节", "2024-05-01", "2024-05-05"),
-    ("端午节", "2024-06-10", "2024-06-10"), ("中秋节", "2024-09-15", "2024-09-17"), ("国庆节", "2024-10-01", "2024-10-07"), ("元旦", "2025-01-01", "2025-01-01"),
+    ("端午节", "2024-06-08", "2024-06-10"), ("中秋节", "2024-09-15", "2024-09-17"), ("国庆节", "2024-10-01", "2024-10-07"), ("元旦", "2025-01-01", "2025-01-01"),
     ("春节", "2025-01-28", "2025-02-04"), ("清明节", "2025-04-04", "2025-04-06"), ("劳动节", "2025-05-01", "2025-05-05"), ("端午节", "2025-05-31", "2025-06-02"),
-    ("国庆节", "2025-10-01", "2025-10-08"),
+    ("国庆节/中秋节", "2025-10-01", "2025-10-08"),
 )
 UTILITY = "公用工程"
 FIRST_DAY, DAYS = "2024-01-01", 731
@@ -50,20 +50,35 @@ def coded(prefix: str, key: Column, n: int) -> Column:
     return F.concat(F.lit(prefix), (F.pmod(key, F.lit(n)) + 1).cast("string"))
 
 
-def calendar(spark: SparkSession, first: str = FIRST_DAY, last: str | None = None, holidays=HOLIDAYS) -> DataFrame:
-    """The calendar dimension: one row a day, ISO weekdays, weekends and holidays by range."""
-    end = F.to_date(F.lit(last)) if last else F.date_add(F.to_date(F.lit(first)), DAYS - 1)
-    days = spark.range(1).select(F.explode(F.sequence(F.to_date(F.lit(first)), end)).alias("calendar_date"))
+def calendar(spark: SparkSession, covering: DataFrame | None = None, holidays=HOLIDAYS) -> DataFrame:
+    """The calendar dimension: one row a day, ISO weekdays, weekends and holidays by range.
+
+    It spans the plant's days and, with `covering` (a frame with one date column), reaches to that column's first and last day, so that no fact
+    lies outside. Without dates there it spans the plant's days.
+    """
+    first, last = F.to_date(F.lit(FIRST_DAY)), F.date_add(F.to_date(F.lit(FIRST_DAY)), DAYS - 1)
+    if covering is None:
+        limits = spark.range(1).select(first.alias("low"), last.alias("high"))
+    else:
+        day = F.col(covering.columns[0]).cast("date")
+        limits = covering.agg(F.least(F.min(day), first).alias("low"), F.greatest(F.max(day), last).alias("high"))
+    days = limits.select(F.explode(F.sequence("low", "high")).alias("calendar_date"))
     name = F.lit(None).cast("string")
     for holiday, low, high in reversed(holidays):
         name = F.when(F.col("calendar_date").between(F.to_date(F.lit(low)), F.to_date(F.lit(high))), holiday).otherwise(name)
     iso = F.weekday("calendar_date") + 1
     return days.select(
         "calendar_date", F.year("calendar_date").alias("year"), F.quarter("calendar_date").alias("quarter"), F.month("calendar_date").alias("month"), F.date_format("calendar_date", "yyyy-MM").alias("year_month"),
-        iso.alias("day_of_week"), (iso >= 6).cast("int").alias("is_weekend"), name.alias("holiday_name"), name.isNotNull().cast("int").alias("is_holiday"),
+        iso.alias("day_of_week"), F.date_format("calendar_date", "EEEE").alias("weekday_name"), (iso >= 6).cast("int").alias("is_weekend"), name.alias("holiday_name"), name.isNotNull().cast("int").alias("is_holiday"),
     )
 
 
+def day_conditions() -> tuple[Column, Column]:
+    """Whether a workshop produces on a day, and the day's temperature, both from `record_date` and `workshop_code`."""
+    n, doy = F.substring("workshop_code", 3, 1).cast("int"), F.dayofyear("record_date")
+    return F.when((doy + n * 5) % 13 == 0, 0).otherwise(1), F.when(doy % 50 == 0, None).otherwise(F.round(15 - 17 * F.cos(2 * F.pi() * doy / 365.0), 1))
+
+
 class Star:
     """Facts and dimensions of one folder of tables, each built once."""
 
@@ -95,6 +110,7 @@ class Star:
             coded("E0", F.col("l_partkey"), 6).alias("energy_code"),
             F.col("l_quantity").cast("decimal(16,3)").alias("consumption"),
             F.round(F.col("l_extendedprice").cast("decimal(12,2)") * (1 - F.col("l_discount").cast("decimal(4,2)")), 4).cast("decimal(16,4)").alias("cost"),
+            (F.col("l_tax").cast("decimal(4,2)") * 10).cast("decimal(12,4)").alias("unit_price"),
             F.col("l_shipdate").cast("timestamp").alias("updated_at"),
             (F.col("l_returnflag") == "R").cast("int").alias("is_deleted"),
             ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1009 + (F.col("l_partkey") * 7 + F.col("l_suppkey")) % 1009).alias("source_id"),
@@ -106,13 +122,8 @@ class Star:
         rows = self.records.groupBy("record_date", "workshop_code", "energy_code").agg(
             F.sum("consumption").cast("decimal(16,3)").alias("consumption"), F.round(F.sum("cost"), 2).cast("decimal(16,2)").alias("cost"), F.max("updated_at").alias("updated_at")
         )
-        n, doy = F.substring("workshop_code", 3, 1).cast("int"), F.dayofyear("record_date")
-        return rows.select(
-            "*",
-            F.when((doy + n * 5) % 13 == 0, 0).otherwise(1).alias("is_production_day"),
-            F.when(doy % 50 == 0, None).otherwise(F.round(15 - 17 * F.cos(2 * F.pi() * doy / 365.0), 1)).alias("avg_temperature"),
-            F.lit(0).alias("is_deleted"),
-        )
+        production_day, temperature = day_conditions()
+        return rows.select("*", production_day.alias("is_production_day"), temperature.alias("avg_temperature"), F.lit(0).alias("is_deleted"))
 
     @cached_property
     def production(self) -> DataFrame:
@@ -132,11 +143,11 @@ WITH dim_workshop AS {_values(WORKSHOPS, "workshop_code, workshop_name, process_
 dim_energy AS (SELECT energy_code, energy_name, unit, CAST(coal AS DECIMAL(10,4)) AS std_coal_factor, CAST(co2 AS DECIMAL(10,4)) AS co2_factor, CAST(price AS DECIMAL(10,4)) AS reference_price
     FROM {_values(ENERGIES, "energy_code, energy_name, unit, coal, co2, price")}),
 holiday AS {_values(HOLIDAYS, "holiday_name, low, high")},
-dim_calendar AS (SELECT calendar_date, year(calendar_date) AS year, quarter(calendar_date) AS quarter, month(calendar_date) AS month, strftime(calendar_date, '%Y-%m') AS year_month, isodow(calendar_date) AS day_of_week,
+dim_calendar AS (SELECT calendar_date, year(calendar_date) AS year, quarter(calendar_date) AS quarter, month(calendar_date) AS month, strftime(calendar_date, '%Y-%m') AS year_month, isodow(calendar_date) AS day_of_week, dayname(calendar_date) AS weekday_name,
     CASE WHEN isodow(calendar_date) >= 6 THEN 1 ELSE 0 END AS is_weekend, holiday_name, CASE WHEN holiday_name IS NULL THEN 0 ELSE 1 END AS is_holiday
     FROM (SELECT CAST(range AS DATE) AS calendar_date FROM range(TIMESTAMP '2024-01-01', TIMESTAMP '2026-01-01', INTERVAL 1 DAY)) LEFT JOIN holiday ON calendar_date BETWEEN CAST(low AS DATE) AND CAST(high AS DATE)),
 records AS (SELECT {_FOLD.format("l_shipdate")} AS record_date, 'W0' || (l_suppkey % 8 + 1) AS workshop_code, 'E0' || (l_partkey % 6 + 1) AS energy_code, CAST(l_quantity AS DECIMAL(16,3)) AS consumption,
-    CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) AS DECIMAL(16,4)) AS cost, l_shipdate AS updated_at, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS is_deleted, (l_orderkey * 10 + l_linenumber) * 1009 + (l_partkey * 7 + l_suppkey) % 1009 AS source_id FROM lineitem),
+    CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) AS DECIMAL(16,4)) AS cost, CAST(CAST(l_tax AS DECIMAL(4,2)) * 10 AS DECIMAL(12,4)) AS unit_price, l_shipdate AS updated_at, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS is_deleted, (l_orderkey * 10 + l_linenumber) * 1009 + (l_partkey * 7 + l_suppkey) % 1009 AS source_id FROM lineitem),
 energy0 AS (SELECT record_date, workshop_code, energy_code, CAST(sum(consumption) AS DECIMAL(16,3)) AS consumption, CAST(round(sum(cost), 2) AS DECIMAL(16,2)) AS cost, max(updated_at) AS updated_at FROM records GROUP BY ALL),
 energy AS (SELECT *, CASE WHEN (dayofyear(record_date) + CAST(substr(workshop_code, 3, 1) AS INTEGER) * 5) % 13 = 0 THEN 0 ELSE 1 END AS is_production_day,
     CASE WHEN dayofyear(record_date) % 50 = 0 THEN NULL ELSE round(15 - 17 * cos(2 * pi() * dayofyear(record_date) / 365e0), 1) END AS avg_temperature, 0 AS is_deleted FROM energy0),
