@@ -12,7 +12,7 @@ from tests.conftest import DATA
 from wattmill.operators import cleaning, features, hourly, quality, warehouse
 from wattmill.operators.views import Plant
 from wattmill.plans import registry
-from wattmill.sources import files
+from wattmill.sources import adapter, files
 from wattmill.streaming import power
 
 DAY = dt.date(2024, 3, 15)
@@ -46,18 +46,36 @@ def test_layered_replay(spark, tmp_path):
     assert spark.read.parquet(path).filter("energy_code = 'E01' AND is_deleted = 1").count() == 1
 
 
+IMAGE = "struct<business_key:string,consumption:decimal(16,3),cost:decimal(16,2)>"
+LOG = f"offset long, id string, op string, file_no int, pos long, row int, before {IMAGE}, after {IMAGE}"
+
+
+def change(offset, op, pos, key, cost, before=None, id=None):
+    image = lambda k, c: (k, Decimal(c) / 10, Decimal(c))
+    return offset, id or key, op, 1, pos, 0, image(before, cost) if before else None, None if op == "d" else image(key, cost)
+
+
 def test_cdc_redelivery_and_conflicts(spark):
-    schema = "offset long, op string, file_no int, pos long, row int, business_key string, before_key string, consumption decimal(16,3), cost decimal(16,2)"
-    rows = [(0, "c", 1, 1, 0, "k1", None, Decimal(1), Decimal(10)), (1, "c", 1, 2, 0, "k2", None, Decimal(2), Decimal(20)), (2, "u", 1, 3, 0, "k1", "k1", Decimal("1.7"), Decimal(17))]
-    log = spark.createDataFrame(rows + [(o + 3, *r) for o, *r in rows], schema)
-    state, conflicts = warehouse.cdc_projection(log)
-    live = state.filter("is_deleted = 0").agg(F.count("*"), F.sum("cost"), F.sum("consumption")).first()
+    rows = [change(0, "c", 1, "k1", 10), change(1, "c", 2, "k2", 20), change(2, "u", 3, "k1", 17, "k1")]
+    log = spark.createDataFrame(rows + [(o + 3, *r) for o, *r in rows], LOG)
+    state, conflicts = warehouse.cdc_projection(log, strict=True)
+    live = state.filter("is_deleted = 0").agg(F.count("*"), F.sum("image.cost"), F.sum("image.consumption")).first()
     assert (live[0], float(live[1]), float(live[2])) == (2, 37.0, 3.7) and conflicts.count() == 0
     assert warehouse.offset_gaps(log).first().contiguous
-    bad = log.unionByName(spark.createDataFrame([(6, "u", 1, 3, 0, "k1", "k1", Decimal(9), Decimal(9))], schema))
-    assert warehouse.cdc_projection(bad)[1].count() == 1
-    moved = log.unionByName(spark.createDataFrame([(6, "u", 1, 4, 0, "k3", "k2", Decimal(2), Decimal(20))], schema))
-    assert {r.business_key: r.is_deleted for r in warehouse.cdc_projection(moved)[0].collect()} == {"k1": 0, "k2": 1, "k3": 0}
+    more = lambda *r: log.unionByName(spark.createDataFrame(list(r), LOG))
+    bad = more(change(6, "u", 3, "k1", 9, "k1"))
+    assert [r.kind for r in warehouse.cdc_projection(bad)[1].collect()] == ["image"]
+    with pytest.raises(ValueError):
+        warehouse.cdc_projection(bad, strict=True)
+    moved = more(change(6, "u", 4, "k3", 20, "k2", id="k2"))
+    state, conflicts = warehouse.cdc_projection(moved)
+    assert {r.business_key: r.is_deleted for r in state.collect()} == {"k1": 0, "k2": 1, "k3": 0} and conflicts.count() == 0
+    taken = more(change(6, "c", 4, "k2", 5, id="other"))
+    assert [(r.kind, r.business_key) for r in warehouse.cdc_projection(taken)[1].collect()] == [("owner", "k2")]
+    old = more(change(6, "u", 2, "k1", 99, "k1"))
+    assert float(warehouse.cdc_projection(old)[0].filter("business_key = 'k1'").first().image.cost) == 17.0
+    last = {r.id: (r.offset, r.is_deleted) for r in warehouse.offset_projection(more(change(6, "d", 9, "k1", 17, "k1"))).collect()}
+    assert last == {"k1": (6, 1), "k2": (4, 0)}
 
 
 def test_snapshots_replay_and_time_travel(spark, tmp_path):
@@ -78,9 +96,9 @@ def test_newest_version_wins_and_ties_keep_the_first_row(spark):
 
 
 def test_dates_and_texts(spark):
-    texts = ["2024-03-15", "2024/03/15", "2024.03.15", "2024年03月15日", "2024-03-15 08:00:00", "2024/03/15 08:00"]
-    rows = spark.createDataFrame([(t,) for t in [*texts, "n/a", "2024-02-30"]], "t string").select(cleaning.parsed_date(F.col("t")).alias("d")).collect()
-    assert [r.d for r in rows] == [DAY] * 6 + [None, None]
+    texts = ["2024-03-15", "2024/03/15", "2024.03.15", "2024年03月15日", "2024-03-15 08:00:00", "2024/03/15 08:00:00"]
+    rows = spark.createDataFrame([(t,) for t in [*texts, "2024/3/15", "n/a", "2024-02-30", "2024/03/15 08:00"]], "t string").select(cleaning.parsed_date(F.col("t")).alias("d")).collect()
+    assert [r.d for r in rows] == [DAY] * 7 + [None, None, None]
     assert spark.range(1).select(cleaning.normal_text(F.lit("　﻿ 动力站​ "))).first()[0] == "动力站"
 
 
@@ -197,3 +215,95 @@ def test_power_factor_queue(spark):
     many = spark.range(300).select(F.col("id").alias("event_id"), (F.col("id") / 10).alias("factor"), F.lit(1.0).alias("reactive"))
     assert sorted(r.event_id for r in hourly.power_factor_queue(many, "factor", "reactive").collect()) == list(range(250))
     assert registry.queries()["p06_power_factor_queue"](spark, DATA).count() > 0
+
+
+def test_spellings_and_holidays(spark):
+    """Values as plants write them, typed here and not taken from the module."""
+    shops = {"熔炼": "W01", "轧制": "W02", "热处理": "W03", "机加车间": "W04", "表处车间": "W05", "总装车间": "W06", "动力车间": "W07", "包装": "W08"}
+    energies = {"电": "E01", "外购电": "E01", "电力度": "E01", "天燃气": "E02", "蒸气": "E03", "自来水": "E04", "新水": "E04", "压缩风": "E05", "0#柴油": "E06"}
+    names = "record_date workshop_code workshop_name energy_code energy_name consumption unit unit_price cost output_qty output_unit avg_temperature record_status updated_at".split()
+    raw = [{"workshop_name": w, "energy_name": e} for w in shops for e in energies]
+    frame = spark.createDataFrame([(n, *(r.get(c) for c in names)) for n, r in enumerate(raw)], "input_seq long, " + ", ".join(f"{c} string" for c in names))
+    got = {r.input_seq: (r.workshop_code, r.energy_code, r.unit) for r in cleaning.typed(frame).collect()}
+    unit = {"E01": "kWh", "E02": "m³", "E03": "t", "E04": "m³", "E05": "m³", "E06": "kg"}
+    assert got == {n: (shops[r["workshop_name"]], energies[r["energy_name"]], unit[energies[r["energy_name"]]]) for n, r in enumerate(raw)}
+    days = {str(r.calendar_date): (r.holiday_name, r.weekday_name) for r in adapter.calendar(spark).collect()}
+    assert [d for d, (h, _) in days.items() if h == "端午节" and d < "2025"] == ["2024-06-08", "2024-06-09", "2024-06-10"]
+    assert days["2025-10-06"] == ("国庆节/中秋节", "Monday") and days["2025-10-09"][0] is None and len(days) == 731
+    wide = adapter.calendar(spark, spark.createDataFrame([(dt.date(2023, 12, 30),), (dt.date(2026, 1, 2),), (None,)], "d date")).agg(F.min("calendar_date"), F.max("calendar_date")).first()
+    assert tuple(wide) == (dt.date(2023, 12, 30), dt.date(2026, 1, 2))
+    assert adapter.calendar(spark, spark.createDataFrame([], "d date")).count() == 731
+
+
+def test_approximate_quantiles_give_the_same_rows(spark):
+    raw = cleaning.dirty(Plant(spark, DATA))
+    exact, near = (cleaning.cleaned(raw, accuracy)["energy"] for accuracy in (None, 100_000))
+    assert exact.count() == near.count() and near.join(exact, list(cleaning.KEY), "left_anti").count() == 0
+
+
+def test_groups_of_ones_own(spark):
+    """Statistics by more keys than the fixed codes; null keys are a group."""
+    rows = [(n, DAY, "W01", "E01", p, 10.0 * (1 + (p or 0)) + n % 3, 1.0, None) for p in (0, 1, None) for n in range(20)] + [(99, DAY, "W01", "E01", 1, None, None, None)]
+    frame = spark.createDataFrame(rows, "input_seq long, record_date date, workshop_code string, energy_code string, plant_id int, consumption double, unit_price double, cost double")
+    fixed = cleaning.repaired(frame, ("plant_id", "workshop_code", "energy_code"))
+    row = fixed.filter("input_seq = 99").first()
+    assert fixed.count() == 61 and (row.consumption, row.unit_price, row.cost, row.fix_reason) == (21.0, 1.0, 21.0, "missing")
+
+
+def test_day_of_deleted_rows_stays_with_zeros(spark):
+    plant = Plant(spark, DATA)
+    rows = warehouse.incoming(warehouse.ods(plant).limit(0), plant.workshops, plant.energies, plant.calendar)
+    one = warehouse.ods(plant).limit(1).withColumns({"is_deleted": F.lit(1), "unit_price": F.lit(0).cast("decimal(12,4)")})
+    dwd = warehouse.incoming(one, plant.workshops, plant.energies, plant.calendar)
+    day = warehouse.dws_day(dwd.unionByName(rows), plant.production.limit(0)).first()
+    assert (float(day.cost_yuan), float(day.tce), day.unit_energy_kgce, day.has_shutdown, day.avg_temperature) == (0.0, 0.0, None, 0, None)
+    ads = warehouse.ads_factory_day(warehouse.dws_day(dwd, plant.production.limit(0)), dwd).first()
+    assert (ads.workshops, ads.bad_intensity) == (0, 1)
+    live = warehouse.incoming(one.withColumn("is_deleted", F.lit(0)), plant.workshops, plant.energies, plant.calendar)
+    assert live.count() == 0  # a price of 0 is invalid
+
+
+def test_snapshot_apply_in_two_phases(spark, tmp_path):
+    plant = Plant(spark, DATA)
+    rows = warehouse.latest(warehouse.ods(plant), warehouse.KEY, F.desc("source_id"))
+    boundary = str(tmp_path / "boundary")
+    load = lambda frame, offset: warehouse.apply_snapshot(frame, "energy", offset, boundary, rows, plant.workshops, plant.energies, plant.calendar, plant.production)
+    made = load(rows, 10)
+    assert made["ads"].count() > 0 and spark.read.parquet(f"{boundary}/committed").first().end_offset == 10
+    load(rows, 10)
+    for frame, offset, word in ((rows, 9, "offset"), (rows.withColumn("cost", F.col("cost") + 1), 10, "content"), (rows.filter("energy_code <> 'E01'"), 11, "omitted"), (rows.unionByName(rows.limit(1)), 11, "keys")):
+        with pytest.raises(ValueError, match=word):
+            load(frame, offset)
+    assert spark.read.parquet(f"{boundary}/committed").first().end_offset == 10
+
+
+def test_layer_tables(spark, tmp_path):
+    plant = Plant(spark, DATA)
+    empty = warehouse.bootstrap_layers(spark, str(tmp_path))
+    assert all(frame.count() == 0 for frame in empty.values()) and set(empty) == set(warehouse.LAYERS)
+    made = warehouse.layers(plant)
+    for name, key in (("dwd_energy", "dwd"), ("dws_day", "days"), ("dws_month", "months"), ("ads_factory_day", "ads")):
+        part = made[key].filter(F.col("year_month") == "2024-03") if "year_month" in made[key].columns else made[key].filter(F.date_format("record_date", "yyyy-MM") == "2024-03")
+        warehouse.write_layer(part, str(tmp_path), name)
+        warehouse.write_layer(part, str(tmp_path), name)  # overwrites its own partitions
+        assert warehouse.bootstrap_layers(spark, str(tmp_path))[name].count() == part.count() > 0
+    with pytest.raises(Exception, match="tce"):
+        warehouse.write_layer(made["ads"].drop("tce"), str(tmp_path), "ads_factory_day")
+
+
+def test_second_committer_of_a_snapshot_fails(spark, tmp_path, monkeypatch):
+    s = warehouse.Snapshots(spark, str(tmp_path))
+    s.commit(spark.range(3))
+    monkeypatch.setattr(s, "_last", lambda: 0)
+    with pytest.raises(Exception, match="exist"):
+        s.commit(spark.range(5))
+    monkeypatch.undo()
+    assert s.read(1).count() == 3 and [tuple(r) for r in s.lineage().collect()] == [(1, None)]
+
+
+def test_watermark_after_the_data(spark, tmp_path):
+    rows = spark.createDataFrame([(1, stamp(9))], "id int, updated_at timestamp")
+    state = spark.createDataFrame([], "target_table string, watermark_val timestamp")
+    for _ in range(2):
+        row = warehouse.load_with_watermark(rows, str(tmp_path / "t"), state, str(tmp_path / "w"), "t", "b1").first()
+    assert row.watermark_val == stamp(9) and spark.read.parquet(str(tmp_path / "t")).count() == spark.read.parquet(str(tmp_path / "w")).count() == 1
