@@ -311,28 +311,6 @@ def test_language_model(both):
     assert all(abs(g[4] - e[4]) < 1e-6 * max(1, abs(e[4])) and g[5] < 0 for g, e in zip(got, expected))
 
 
-def test_language_model_is_normalised(real):
-    model = lm.unigrams(real)
-    words = lm.lexicon(model, 500, 100)
-    base = lm.class_probabilities(model, words)
-    matrix = lm.pair_matrix(lm.contexts(real, model, words), base).astype(float)
-    assert abs(base.sum() - 1) < 1e-9 and np.abs((10**matrix).sum(1) - 1).max() < 1e-4
-    n = model.table.toPandas().n.to_numpy()
-    assert abs(model.probability(n).sum() + model.probability(np.array([model.ends]))[0] + model.unseen - 1) < 1e-9
-
-
-def test_small_lexicon_gives_the_same_counts(real):
-    """Words outside the lexicon are joined; base scores don't depend on where a word is looked up."""
-    model = lm.unigrams(real)
-    totals = []
-    for size in (50, 100_000):
-        words = lm.lexicon(model, size, 40)
-        base = lm.class_probabilities(model, words)
-        matrix = lm.pair_matrix(lm.contexts(real, model, words), base)
-        totals.append({r.doc_id: (r.n_known, round(r.base_score, 6), round(r.score, 3)) for r in lm.score(real, model, words, matrix, base).collect()})
-    assert {k: x[:2] for k, x in totals[0].items()} == {k: x[:2] for k, x in totals[1].items()}
-
-
 def brute_katz(train, scored):
     """Katz over all word pairs, by dictionaries: scores of token lists, and the probability function."""
     cut = lm.CUT
@@ -359,7 +337,7 @@ def brute_katz(train, scored):
     return [sum(math.log10(p2(v, x)) for v, x in zip([None, *w[:-1]], w)) for w in scored], p2, uni
 
 
-@pytest.mark.parametrize("sizes", [{}, {"lexicon_size": 50, "top_pairs": 20}, {"lexicon_size": 1, "top_pairs": 1}])
+@pytest.mark.parametrize("sizes", [{}, {"lexicon_size": 50, "hot_words": 20, "bucket_tokens": 3_000}, {"lexicon_size": 1, "hot_words": 1, "bucket_tokens": 300}, {"lexicon_size": 0, "hot_words": 0, "bucket_tokens": 50_000}])
 def test_language_model_counts_every_pair(both, sizes):
     """Scores are those of Katz over all word pairs, whatever is sent to the tasks."""
     apart = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
@@ -368,7 +346,7 @@ def test_language_model_counts_every_pair(both, sizes):
     expected = sorted(((-1 if i is None else i), len(w), s) for (i, w), s in zip(tokens, scores))
     if sizes:
         docs = both.select("doc_id", "text", (common.crc_mod(F.col("doc_id"), 7) == 2).alias("apart"))
-        rows = lm.katz_score(docs, lm.katz(docs.filter(~F.col("apart")), **sizes)).collect()
+        rows = lm.katz_score(lm.katz(docs, **sizes)).collect()
     else:
         rows = lm.fit_and_score(both).collect()
     got = sorted(((-1 if r.doc_id is None else r.doc_id), r.n_tokens, r.score) for r in rows)
@@ -378,6 +356,31 @@ def test_language_model_counts_every_pair(both, sizes):
         assert abs(math.fsum(p2(v, x) for x in [*uni, b"no such word"]) - 1) < 1e-9
 
 
+def test_language_model_is_normalised(real):
+    """Each context's seen pairs and what its backoff weight gives to all other words add up to 1; so do the unigrams."""
+    docs = real.select("doc_id", "text", F.lit(False).alias("apart"))
+    model = lm.katz(docs, lexicon_size=300, hot_words=30, bucket_tokens=20_000)
+    tokens = [(t or "").encode().lower().split() + [None] for _, t in pairs(real)]
+    uni, pair = collections.Counter(x for w in tokens for x in w), collections.Counter(p for w in tokens for p in zip([None, *w[:-1]], w))
+    p = dict(zip(uni, model.unigrams.probability(np.array(list(uni.values())))))
+    assert abs(math.fsum(p.values()) + model.unigrams.unseen - 1) < 1e-9
+    rows = {r.hash: r for r in model.contexts.collect()}
+    number = lambda x: np.uint64(xxhash.xxh64_intdigest(x or b"", 42)).view(np.int64).item()
+    followers = collections.defaultdict(list)
+    for (v, x), n in pair.items():
+        followers[v].append((x, n))
+    assert len(rows) == len(followers)
+    for v, own in followers.items():
+        r = rows[number(v)]
+        seen = math.fsum(10**r.scale * model.factors[min(n, lm.CUT + 1)] * n / r.n for _, n in own)
+        assert r.n == uni[v] and abs(seen + 10**r.back * (1 - math.fsum(p[x] for x, _ in own)) - 1) < 1e-9
+
+
+def test_packed_arrays_come_back():
+    arrays = [np.array([], np.int64), np.array([0, 1, 255]), np.array([-5, 1 << 40]), np.array([1.5, -2.0]), np.array([70_000, 2])]
+    assert all(np.array_equal(a, b) for a, b in zip(arrays, lm.unpacked(lm.packed(*arrays)), strict=True))
+
+
 @pytest.mark.parametrize("name", sorted(llm_queries.queries()))
 def test_empty_tables(spark, tmp_path, name):
     for t, schema in (("documents", SCHEMA), ("pages", "page_id long, url string, html string"), ("conversations", "conv_id long, turn long, role string, text string"), ("benchmark", "item_id long, text string")):

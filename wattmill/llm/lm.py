@@ -1,22 +1,22 @@
 """Katz backoff language model over word pairs, trained and evaluated with Spark.
 
 Tokens are the words of a text (A-Z lower-cased, split at ASCII white space) and one end, which also stands before the first word.
-`fit_and_score` counts all words and all pairs of neighbouring tokens of the whole training corpus; no word and no pair is left out:
-  - unigrams, written by hash bucket: every word and its count, discounted by Good-Turing; the mass left over is that of unseen words;
-  - pairs: every pair and its count by the 64-bit hashes of context and follower, discounted by Good-Turing;
-  - words: per word its unigram and, as a context, its pairs' scale and the backoff weight that makes its probabilities add up to 1.
-P(w|v) is the discounted pair or else v's backoff weight times P(w); after an unseen word it is P(w).
-
-A context's total is its unigram count, so a pair that was seen needs no more than its own count beside what each word has as a context:
-log P(w|v) = f(n(v, w)) + own(v), and only pairs that were not seen, which training rows don't have, look up weights and unigrams.
-A document's words and pairs are joined with one table of counts by a 64-bit key; partial sums come back per document. The first `LEXICON`
-words and the first `TOP_PAIRS` pairs are sent to the tasks: they keep join keys from being hot, and their size is fixed whatever the corpus.
-
-Null and empty texts have one token, the end. Repeated rows are trained on and scored each. An empty training set gives every token to the unseen
-mass. Columns other than doc_id and text are ignored.
-
-The functions from `Lexicon.classes` to `score` are an earlier, smaller model over pairs of classes (the `HEAD` most frequent words, the end, all other
-words). `fit_and_score` doesn't use them.
+All words and all pairs of neighbouring tokens of the whole training corpus count; none is left out. Counts up to `CUT` are discounted by
+Good-Turing, unigrams and pairs apart. P(w|v) is the discounted pair or else v's backoff weight times P(w); after an unseen word it is P(w). The
+weights make each context's probabilities add up to 1. Where discounts leave a context less than 1 / (n + 1), its pairs are scaled to leave that.
+
+A pair's count and the documents that ask for it need the same shuffle, so there is one:
+  - `emitted` reads texts in batches and deals each batch's pairs, by document, to buckets by the context's hash, packed as arrays. Contexts among the
+    `HOT` most frequent words are dealt by the follower, too; pairs within these words are counted in the tasks, in a table of fixed size;
+  - `counted` has a bucket's pairs of all documents at once: it counts them, sums up its contexts, and keeps where they were asked for;
+  - `contexts` writes the table of contexts, by hash bucket: their counts by class, the unigram mass of their followers, and the backoff weight;
+  - `partial_sums` turns counts into probabilities, once the corpus's discounts are known; sums go back by batch and come together in `totals`;
+  - `far_sums` joins what unseen pairs need of rare words (unigram, backoff weight) with the table of contexts.
+The `LEXICON` most frequent words are sent to tasks: by their numbers pairs are short. What is sent has a fixed size whatever the corpus. A bucket holds about
+`BUCKET_TOKENS` tokens; a pair outside the hot words is as frequent as its rarer word at most.
+
+Null and empty texts have one token, the end; long texts are read whole. Repeated rows are trained on and scored each. Without training rows every token goes to
+the unseen mass. An empty table gives no rows. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -24,27 +24,28 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattmill.llm.common import crc_mod, small_batches, written
 
-#: Words that are classes of their own; words whose counts are sent to the tasks; counts up to CUT are discounted.
-HEAD, LEXICON, CUT = 4_000, 100_000, 5
-#: Buckets of the written tables; distinct words that a task holds before it hands on counts.
-BUCKETS, HELD_WORDS = 16, 300_000
-#: Pairs whose counts are sent to the tasks; distinct pairs that a task holds before it hands on counts.
-TOP_PAIRS, HELD_PAIRS = 500_000, 1_500_000
-END, REST = 0, 1
-#: The hash of the end, which no word has (that of empty bytes), and what stands in a word's own key for a follower.
+#: Words sent to the tasks; words whose pairs among each other are counted in a table of fixed size; counts up to CUT are discounted.
+LEXICON, HOT, CUT = 200_000, 500, 5
+#: Buckets of the written word tables; distinct words that a task holds before it hands on counts; tokens in a bucket of pairs, about.
+BUCKETS, HELD_WORDS, BUCKET_TOKENS = 16, 300_000, 1_500_000
+#: The hash of the end, which no word has (that of empty bytes).
 END_HASH = np.uint64(xxhash.xxh64_intdigest(b"", 42)).view(np.int64).item()
-ALONE = np.uint64(xxhash.xxh64_intdigest(b"no follower", 1)).view(np.int64).item()
+CLASSES = [f"k{r}" for r in range(1, CUT + 1)]
+EMITTED = "bucket long, kind string, batch long, data binary"
+COUNTED = "kind string, batch long, data binary, v long, w long, n long, " + ", ".join(f"{k} long" for k in CLASSES) + ", big long, p double"
+_TYPES = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "boolean": pa.bool_()}
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -130,159 +131,34 @@ def unigrams(train: DataFrame) -> Unigrams:
 
 @dataclass
 class Lexicon:
-    """The most frequent words with their counts, by rank."""
+    """The end and the most frequent words by number, with their counts and probabilities; what tasks look up."""
 
-    rank: dict[bytes, int]
+    words: list[bytes]
     counts: np.ndarray
-    n_classes: int
+    p: np.ndarray
+    hashes: np.ndarray
+    hot: int
 
-    def ranks(self, words: list[bytes]) -> np.ndarray:
-        """Ranks, -1 for words outside."""
-        return np.fromiter(map(self.rank.get, words, repeat(-1)), np.int64, len(words))
+    @property
+    def size(self) -> int:
+        return len(self.counts)
 
-    def classes(self, ranks: np.ndarray) -> np.ndarray:
-        return np.where((ranks >= 0) & (ranks < self.n_classes - 2), ranks + 2, REST)
 
-
-def lexicon(model: Unigrams, size: int = LEXICON, head: int = HEAD) -> Lexicon:
+def lexicon(model: Unigrams, size: int = LEXICON, hot: int = HOT) -> Lexicon:
     """The most frequent words, at most `size`: those above the count at which, by a histogram over classes of counts, they fit.
 
     The histogram has 64 classes an octave, so a few thousand rows whatever the corpus; no task sorts or sends words that don't go in.
     """
     of_count = F.floor(F.log2(F.col("n").cast("double")) * 64).cast("int")
-    bins = sorted(model.table.groupBy(of_count.alias("bin")).count().collect(), reverse=True)
     fits, least = 0, 1 << 30
-    for row in bins:
+    for row in sorted(model.table.groupBy(of_count.alias("bin")).count().collect(), reverse=True):
         if (fits := fits + row["count"]) > size:
             break
         least = row.bin
     rows = model.table.filter(of_count >= least).select("word", "n").toPandas().sort_values(["n", "word"], ascending=[False, True])
-    return Lexicon({bytes(w): i for i, w in enumerate(rows.word)}, rows.n.to_numpy(np.int64), min(head, len(rows)) + 2)
-
-
-def count_pairs(train: DataFrame, words: Lexicon) -> DataFrame:
-    """Rows (context, class, n) over all neighbouring tokens; the end also stands before the first."""
-    shared, n = train.sparkSession.sparkContext.broadcast(words), words.n_classes
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n * n, np.int32)
-        for batch in small_batches(batches):
-            parts = [np.concatenate(([END], shared.value.classes(shared.value.ranks(words_of(t.as_py()))), [END])) for t in batch.column(0)]
-            keys, seen = np.unique(np.concatenate([p[:-1] * n + p[1:] for p in parts]), return_counts=True)
-            total[keys] += seen.astype(np.int32)
-        keys = np.flatnonzero(total)
-        for at in range(0, len(keys), 100_000):
-            part = keys[at : at + 100_000]
-            yield pa.record_batch([pa.array((part // n).astype(np.int32)), pa.array((part % n).astype(np.int32)), pa.array(total[part].astype(np.int64))], ["context", "class", "n"])
-
-    return train.select("text").mapInArrow(run, "context int, class int, n long").groupBy("context", "class").agg(F.sum("n").alias("n"))
-
-
-def class_probabilities(model: Unigrams, words: Lexicon) -> np.ndarray:
-    """P(class); the rest's class has what is left, unseen words among it."""
-    own = model.probability(np.concatenate(([model.ends], [0], words.counts[: words.n_classes - 2])))
-    own[END] = own[END] if model.ends else 0.5
-    own[REST] = 0
-    own[REST] = max(1 - own.sum(), 1e-300)
-    return own
-
-
-def contexts(train: DataFrame, model: Unigrams, words: Lexicon) -> DataFrame:
-    """The pair table: per context its followers' classes, their log10 probabilities, and log10 of the backoff weight; written by bucket."""
-    pairs = written(count_pairs(train, words), "pairs")
-    low = pairs.agg(*(F.count(F.when(F.col("n") == r, 1)).alias(f"n{r}") for r in range(1, CUT + 2))).first()
-    factors = np.array([*discounts({r: low[f"n{r}"] for r in range(1, CUT + 2)}), 1.0])
-    base = class_probabilities(model, words)
-
-    def katz(rows: pd.DataFrame) -> pd.DataFrame:
-        n, of = rows["n"].to_numpy(), rows["class"].to_numpy()
-        p = factors[np.minimum(n, CUT + 1)] * n / n.sum()
-        unseen = 1 - base[of].sum()
-        if len(of) == len(base) or unseen <= 1e-12:
-            p, weight = p / p.sum(), -300.0
-        else:
-            scale, left = scaled(p.sum(), n.sum())
-            p, weight = p * scale, np.log10(left / unseen)
-        return pd.DataFrame({"context": rows["context"].iloc[:1], "bucket": rows["context"].iloc[:1] % BUCKETS, "of": [of.tolist()], "logp": [np.log10(p).tolist()], "weight": [float(weight)]})
-
-    # a context has at most HEAD + 2 followers, so groups are small
-    table = pairs.groupBy("context").applyInPandas(katz, "context int, bucket int, of array<int>, logp array<float>, weight double")
-    return written(table, "contexts", "bucket")
-
-
-def pair_matrix(table: DataFrame, base: np.ndarray) -> np.ndarray:
-    """log10 P(class|context) for all pairs: a matrix of fixed size, filled from the written table."""
-    log_base = np.log10(base).astype(np.float32)
-    matrix = np.tile(log_base, (len(base), 1))
-    data = table.select("context", "of", "logp", "weight").toArrow().combine_chunks()
-    if data.num_rows:
-        context, of, logp = data["context"].to_numpy(), data["of"].chunk(0), data["logp"].chunk(0)
-        matrix[context] += data["weight"].to_numpy().astype(np.float32)[:, None]
-        matrix[np.repeat(context, of.value_lengths().to_numpy()), of.flatten().to_numpy()] = logp.flatten().to_numpy()
-    return matrix
-
-
-def score(docs: DataFrame, model: Unigrams, words: Lexicon, matrix: np.ndarray, base: np.ndarray) -> DataFrame:
-    """Per row of `docs` (doc_id, text): n_tokens, n_known, base_score, score."""
-    sc = docs.sparkSession.sparkContext
-    add_one = np.log10(words.counts + 1.0)
-    within = np.where(np.arange(len(words.counts)) < words.n_classes - 2, 0.0, np.log10(model.probability(words.counts)) - np.log10(base[REST]))
-    shared, end_known, end_base = sc.broadcast((words, matrix, add_one, within)), int(model.ends > 0), float(np.log10(model.ends + 1.0))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, matrix, add_one, within = shared.value
-        for batch in small_batches(batches):
-            size, hashes, times, values = [], [], [], []
-            for place, text in enumerate(batch.column("text")):
-                tokens = words_of(text.as_py())
-                ranks = words.ranks(tokens)
-                known = ranks[ranks >= 0]
-                path = np.concatenate(([END], words.classes(ranks), [END]))
-                total = matrix[path[:-1], path[1:]].sum(dtype=np.float64) + within[known].sum()
-                rare = [tokens[i] for i in np.flatnonzero(ranks < 0).tolist()]
-                if rare:
-                    h, n = np.unique(np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in rare), np.uint64, len(rare)), return_counts=True)
-                else:  # a row that joins nothing, with a key that spreads
-                    h, n = np.array([xxhash.xxh64_intdigest(b"%d" % place, 1)], np.uint64), np.zeros(1, np.int64)
-                size.append(len(h))
-                hashes.append(h.view(np.int64))
-                times.append(n)
-                values.append((len(tokens) + 1, len(known) + end_known, add_one[known].sum() + end_base, total))
-            if not size:
-                continue
-            # a document's own sums stand in its first row
-            at = np.repeat(np.arange(len(size)), size)
-            own = np.zeros(len(at), bool)
-            own[np.cumsum(size) - size] = True
-
-            def spread(k: int, kind: type) -> pa.Array:
-                full = np.zeros(len(at), kind)
-                full[own] = [v[k] for v in values]
-                return pa.array(full, mask=~own)
-
-            take = lambda name: batch.column(name).take(pa.array(at))
-            yield pa.record_batch(
-                [take("row"), pa.array(np.concatenate(hashes)), pa.array(np.concatenate(times).astype(np.int32)), take("doc_id"), spread(0, np.int64), spread(1, np.int64), spread(2, np.float64), spread(3, np.float64)],
-                ["row", "hash", "times", "doc_id", "n_tokens", "n_known", "base", "logp"],
-            )
-
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = rows.mapInArrow(run, "row long, hash long, times int, doc_id long, n_tokens long, n_known long, base double, logp double")
-    counts = model.table.select("hash", F.col("n").alias("c"))
-    c = F.coalesce(F.when(F.col("times") > 0, F.col("c")), F.lit(0))
-    zero = lambda x: F.coalesce(F.sum(x), F.lit(0))
-    constant = float(np.log10(max(1, model.tokens + model.types + 1)))
-    return (
-        parts.join(counts, "hash", "left")
-        .groupBy("row", "doc_id")
-        .agg(
-            zero("n_tokens").cast("long").alias("n_tokens"),
-            (zero("n_known") + zero(F.when(c > 0, F.col("times")))).cast("long").alias("n_known"),
-            (zero("base") + zero(F.col("times") * F.log10(c + F.lit(1.0))) - zero("n_tokens") * F.lit(constant)).alias("base_score"),
-            (zero("logp") + zero(F.col("times") * (F.log10(model.column(F.when(c > 0, c))) - F.lit(float(np.log10(base[REST])))))).alias("score"),
-        )
-        .drop("row")
-    )
+    words = [bytes(w) for w in rows.word]
+    counts = np.concatenate(([model.ends], rows.n.to_numpy(np.int64))).astype(np.int64)
+    return Lexicon(words, counts, model.probability(counts), Ids(words).hashed(), min(hot, len(counts)))
 
 
 class Ids(dict):
@@ -313,223 +189,314 @@ class Ids(dict):
         return np.array(self.hashes, np.uint64).view(np.int64)
 
 
-def pair_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """One key for a pair of hashes; `key_column` is the same."""
-    w = word.view(np.uint64)
-    return (context.view(np.uint64) ^ ((w << np.uint64(1)) | (w >> np.uint64(63)))).view(np.int64)
+def summed(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of values by place, as doubles even where there are none."""
+    return np.bincount(at, values, n).astype(np.float64)
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed value, whole numbers in as few bytes as they need; bytes of equal worth stand together."""
+    parts = []
+    for a in arrays:
+        if a.dtype.kind in "iu" and (not len(a) or a.min() >= 0):
+            a = a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
+        parts.append(np.ascontiguousarray(a))
+    head = " ".join(f"{a.dtype.str} {len(a)}" for a in parts)
+    return zstandard.compress(head.encode() + b"\n" + b"".join(a.view(np.uint8).reshape(len(a), -1).T.tobytes() for a in parts if len(a)), 1)
+
+
+def unpacked(data: bytes) -> list[np.ndarray]:
+    """The arrays again; whole numbers are 64 bits wide."""
+    raw = zstandard.decompress(data)
+    head = raw.partition(b"\n")[0]
+    names, at, out = head.decode().split(), len(head) + 1, []
+    for kind, n in zip(names[::2], map(int, names[1::2])):
+        kind = np.dtype(kind)
+        a = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n).T).view(kind).reshape(n)
+        out.append(a.astype(np.int64) if kind.kind == "u" else a)
+        at += n * kind.itemsize
+    return out
 
 
-def key_column(context: Column, word: Column) -> Column:
-    return context.bitwiseXOR(F.shiftleft(word, 1).bitwiseOR(F.shiftrightunsigned(word, 63)))
+def rows_of(schema: str, length: int, /, **columns: object) -> dict[str, pa.Array]:
+    """Arrow columns by a schema's names: given arrays, given values for all rows, or nulls."""
+    out = {}
+    for field in schema.split(", "):
+        name, kind = field.split()
+        value = columns.get(name)
+        out[name] = pa.array(value, _TYPES[kind]) if isinstance(value, (list, np.ndarray)) else pa.nulls(length, _TYPES[kind]) if value is None else pa.array([value] * length, _TYPES[kind])
+    return out
 
 
-def word_pairs(train: DataFrame) -> DataFrame:
-    """Every pair of neighbouring tokens (context, word: hashes) and its count `n`; written."""
+def batch_of(schema: str, length: int, /, **columns: object) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict(rows_of(schema, length, **columns))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, keys, counts, held = Ids(), [], [], 0
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            k, c = np.concatenate(keys), np.concatenate(counts)
-            order = np.argsort(k)
-            k, c = k[order], c[order]
-            first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-            return k[first], np.add.reduceat(c, first)
-
-        def out() -> Iterator[pa.RecordBatch]:
-            k, c = merged()
-            hashes = ids.hashed()
-            for at in range(0, len(k), 100_000):
-                part = k[at : at + 100_000]
-                yield pa.record_batch([pa.array(hashes[part >> 32]), pa.array(hashes[part & 0xFFFFFFFF]), pa.array(c[at : at + 100_000])], ["context", "word", "n"])
 
-        for batch in small_batches(batches):
-            path, _ = ids.path(batch.column(0))
-            k, c = np.unique(path[:-1] << 32 | path[1:], return_counts=True)
-            keys.append(k)
-            counts.append(c.astype(np.int64))
-            held += len(k)
-            if held > HELD_PAIRS:
-                k, c = merged()
-                keys, counts, held = [k], [c], len(k)
-            if held > HELD_PAIRS // 2 or len(ids) > HELD_WORDS:
-                yield from out()
-                ids, keys, counts, held = Ids(), [], [], 0
-        if keys:
-            yield from out()
-
-    return written(train.select("text").mapInArrow(run, "context long, word long, n long").groupBy("context", "word").agg(F.sum("n").alias("n")), "pairs")
-
-
-def top_by_count(table: DataFrame, size: int, *columns: str) -> pd.DataFrame:
-    """The rows with the largest `n`, at most `size`, by a histogram over classes of counts (64 an octave) as in `lexicon`."""
-    of_count = F.floor(F.log2(F.col("n").cast("double")) * 64).cast("int")
-    fits, least = 0, 1 << 30
-    for row in sorted(table.groupBy(of_count.alias("bin")).count().collect(), reverse=True):
-        if (fits := fits + row["count"]) > size:
-            break
-        least = row.bin
-    return table.filter(of_count >= least).select(*columns, "n").toPandas()
+def table_of(schema: str, parts: list[dict[str, pa.Array]]) -> pa.Table:
+    batches = [pa.RecordBatch.from_pydict(p) for p in parts] or [batch_of(schema, 0)]
+    return pa.Table.from_batches(batches)
 
 
-@dataclass
-class Katz:
-    """The trained model. words: hash, n, logp (log10 of the unigram), own (log10 of what a seen pair's term is multiplied by) and back (log10 of the backoff weight)."""
-
-    model: Unigrams
-    pairs: DataFrame
-    words: DataFrame
-    lexicon: list[bytes]
-    #: own, log10(n + 1) by number in the lexicon, the end first
-    own: np.ndarray
-    add_one: np.ndarray
-    #: hash, logp and back of the lexicon, as a short table
-    short: DataFrame
-    factors: list[float]
-    top_keys: np.ndarray
-    top_terms: np.ndarray
-
-    def term(self, n: Column) -> Column:
-        """log10 of a pair's discounted count."""
-        factor = F.lit(1.0)
-        for r in range(1, CUT + 1):
-            factor = F.when(n == r, self.factors[r]).otherwise(factor)
-        return F.log10(factor * n)
-
-
-def katz(train: DataFrame, lexicon_size: int = LEXICON, top_pairs: int = TOP_PAIRS) -> Katz:
-    spark = train.sparkSession
-    model = unigrams(train)
-    pairs = word_pairs(train)
-    low = pairs.agg(*(F.count(F.when(F.col("n") == r, 1)).alias(f"n{r}") for r in range(1, CUT + 2))).first()
-    factors = discounts({r: low[f"n{r}"] for r in range(1, CUT + 2)})
-    vocabulary = lexicon(model, lexicon_size)
-    ids = Ids(vocabulary.rank)
-    counts = np.concatenate(([model.ends], vocabulary.counts)).astype(np.int64)
-    probabilities = model.probability(counts)
-    known = spark.createDataFrame(pd.DataFrame({"word": ids.hashed(), "p": probabilities}), "word long, p double")
-
-    # per context the discounted count and the unigram mass of its followers: frequent followers from the lexicon, others by a join
-    factor = F.lit(1.0)
-    for r in range(1, CUT + 1):
-        factor = F.when(F.col("n") == r, factors[r]).otherwise(factor)
-    of_word = model.table.select(F.col("hash").alias("word"), model.column(F.col("n")).alias("p"))
-    own = pairs.join(F.broadcast(known), "word", "left").select("context", (factor * F.col("n")).alias("seen"), F.coalesce("p", F.lit(0.0)).alias("p"))
-    others = pairs.join(F.broadcast(known.select("word")), "word", "left_anti").select("context", "word").join(of_word, "word").select("context", F.lit(0.0).alias("seen"), "p")
-    sums = own.unionByName(others).groupBy(F.col("context").alias("hash")).agg(F.sum("seen").alias("seen"), F.sum("p").alias("p"))
-
-    ends = spark.range(1).select(F.lit(END_HASH).alias("hash"), F.lit(model.ends).cast("long").alias("n")).filter("n > 0")
-    n, mass, floor = F.col("n").cast("double"), F.col("seen") / F.col("n"), 1 / (F.col("n") + F.lit(1.0))
-    full, tight = 1 - F.col("p") <= 1e-12, 1 - mass < floor
-    scale = F.when(full, 1 / mass).when(tight, (1 - floor) / mass).otherwise(1.0)
-    back = F.when(full, -300.0).otherwise(F.log10(F.when(tight, floor).otherwise(1 - mass) / F.when(full, 1.0).otherwise(1 - F.col("p"))))
-    words = model.table.select("hash", "n").unionByName(ends).join(sums, "hash")
-    words = written(words.select("hash", "n", F.log10(model.column(F.col("n"))).alias("logp"), (F.log10(scale) - F.log10(n)).alias("own"), back.alias("back")), "words")
-
-    found = words.join(F.broadcast(known.select(F.col("word").alias("hash"))), "hash").toPandas().set_index("hash").reindex(ids.hashed())
-    short = pd.DataFrame({"hash": ids.hashed(), "logp": np.log10(probabilities), "change": (found.back - found.own).fillna(0.0).to_numpy()})
-    top = top_by_count(pairs, top_pairs, "context", "word")
-    keys, times = pair_key(top.context.to_numpy(np.int64), top.word.to_numpy(np.int64)), top.n.to_numpy(np.int64)
-    order = np.argsort(keys)
-    terms = np.log10(np.array([*factors, 1.0])[np.minimum(times, CUT + 1)] * times)[order]
-    frame = spark.createDataFrame(short, "hash long, logp double, change double")
-    return Katz(model, pairs, words, list(vocabulary.rank), found.own.fillna(0.0).to_numpy(), np.log10(counts + 1.0), frame, factors, keys[order], terms)
-
-
-def katz_score(docs: DataFrame, katz: Katz) -> DataFrame:
-    """Per row of `docs` (doc_id, text, apart: false if the model was trained on the row): doc_id, apart, n_tokens, n_known, base_score, score."""
-    model = katz.model
-    shared, end_known = docs.sparkSession.sparkContext.broadcast((katz.lexicon, katz.own, katz.add_one, katz.top_keys, katz.top_terms)), int(model.ends > 0)
-    names = ["row", "key", "times", "alone", "context", "word", "doc_id", "apart", "n_tokens", "n_known", "base", "logp"]
+def emitted(docs: DataFrame, words: Lexicon, buckets: int) -> DataFrame:
+    """Packed rows of `docs` (doc_id, text, apart). Kind own: a batch's documents, what the lexicon alone says of them, and their hot pairs; pairs: a
+    batch's other pairs of one bucket; hot: a task's counts of hot pairs. Batches are numbered by partition, so a repeated task repeats its numbers."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, own, add_one, top_keys, top_terms = shared.value
-        ids, n_lexicon = Ids(lexicon), len(own)
-        for batch in small_batches(batches):
-            if len(ids) > n_lexicon + HELD_WORDS:
-                ids = Ids(lexicon)
+        words = shared.value
+        size, hot, task = words.size, words.hot, TaskContext.get().partitionId()
+        add_one, known, ids = np.log10(words.counts + 1.0), words.counts > 0, Ids(words.words)
+        hot_counts = np.zeros(hot * hot, np.int64)
+        for number, batch in enumerate(small_batches(batches)):
+            if len(ids) > size + HELD_WORDS:
+                ids = Ids(words.words)
             path, sizes = ids.path(batch.column("text"))
-            hashes, n_docs = ids.hashed(), len(sizes)
-            doc = np.repeat(np.arange(n_docs), sizes)
-            add = lambda at, values: np.bincount(doc[at], values, n_docs)
-            # words: the end's is the token after a text's last word, so each text's tokens are its contexts as well
-            inside = path[1:] < n_lexicon
-            at, ranks = np.flatnonzero(inside), path[1:][inside]
-            base, logp = add(at, add_one[ranks]), add(at, own[ranks])
-            n_known = add(at, np.where(ranks == 0, end_known, 1)).astype(np.int64)
-            outside = np.flatnonzero(~inside)
-            seen, times = np.unique(doc[outside] << 32 | path[1:][outside], return_counts=True)
-            word_doc, word_key = seen >> 32, pair_key(hashes[seen & 0xFFFFFFFF], np.full(len(seen), ALONE, np.int64))
-            # pairs
+            hashes, n_docs = ids.hashed().view(np.uint64), len(sizes)
+            doc, apart = np.repeat(np.arange(n_docs), sizes), batch.column("apart").to_numpy(zero_copy_only=False).astype(bool)
+            inside = path[1:] < size
+            own, at = path[1:][inside], doc[inside]
+            base, n_known = summed(at, add_one[own], n_docs), np.bincount(at[known[own]], minlength=n_docs)
+            # pairs of each document, in the order of the pairs
             pair, which = np.unique(path[:-1] << 32 | path[1:], return_inverse=True)
-            context, word = hashes[pair >> 32], hashes[pair & 0xFFFFFFFF]
-            key = pair_key(context, word)
-            place = np.minimum(np.searchsorted(top_keys, key), max(0, len(top_keys) - 1))
-            common = top_keys[place] == key if len(top_keys) else np.zeros(len(key), bool)
-            term = np.where(common, top_terms[place], 0.0) if len(top_keys) else np.zeros(len(key))
-            logp += np.bincount(doc, term[which], n_docs)
-            left = np.flatnonzero(~common[which])
-            both, pair_times = np.unique(doc[left] << 32 | which[left], return_counts=True)
-            pair_doc, which = both >> 32, both & 0xFFFFFFFF
-            # a document's own sums stand in a row that joins nothing, with a key that spreads
-            rows = np.concatenate((np.arange(n_docs), word_doc, pair_doc))
-            n_words, n_pairs = len(word_doc), len(pair_doc)
-            row = batch.column("row").to_numpy()
-            spread = np.array([xxhash.xxh64_intdigest(b"%d" % r, 1) for r in row.tolist()], np.uint64).view(np.int64)
-            apart = batch.column("apart").to_numpy(zero_copy_only=False).astype(bool)
-            none = np.zeros(n_words + n_pairs, bool)
-
-            def first(values: np.ndarray) -> pa.Array:
-                return pa.array(np.concatenate((values, np.zeros(len(none), values.dtype))), mask=np.concatenate((np.zeros(n_docs, bool), ~none)))
-
-            def of_pair(values: np.ndarray) -> pa.Array:
-                return pa.array(np.concatenate((np.zeros(n_docs + n_words, np.int64), np.where(apart[pair_doc], values, 0))), mask=np.concatenate((np.ones(n_docs + n_words, bool), ~apart[pair_doc])))
-
-            ids_of_docs = pa.concat_arrays([batch.column("doc_id"), pa.nulls(len(none), pa.int64())])
-            yield pa.record_batch(
-                [
-                    pa.array(row[rows]), pa.array(np.concatenate((spread, word_key, key[which]))), pa.array(np.concatenate((np.zeros(n_docs, np.int64), times, pair_times)).astype(np.int32)), pa.array(np.arange(len(rows)) < n_docs + n_words),
-                    of_pair(context[which]), of_pair(word[which]), ids_of_docs, first(apart), first(sizes), first(n_known), first(base), first(logp),
-                ],
-                names,
-            )
-
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", "apart")
-    parts = rows.mapInArrow(run, "row long, key long, times int, alone boolean, context long, word long, doc_id long, apart boolean, n_tokens long, n_known long, base double, logp double")
-    alone = katz.words.filter(F.col("hash") != END_HASH).select(key_column(F.col("hash"), F.lit(ALONE)).alias("key"), "n", "own")
-    counts = alone.unionByName(katz.pairs.select(key_column(F.col("context"), F.col("word")).alias("key"), "n", F.lit(None).cast("double").alias("own")))
-    unseen = ~F.col("alone") & F.col("n").isNull()
-    times, c = F.col("times"), F.coalesce("n", F.lit(0))
-    log = F.when(F.col("alone"), F.col("own")).otherwise(katz.term(F.col("n")))
-    zero = lambda x: F.coalesce(F.sum(x), F.lit(0))
-    by_row = written(
-        parts.join(counts, "key", "left")
-        .groupBy("row", F.when(unseen, F.col("context")).alias("context"), F.when(unseen, F.col("word")).alias("word"))
-        .agg(
-            F.max("doc_id").alias("doc_id"), F.max("apart").alias("apart"), zero("n_tokens").alias("n_tokens"), F.sum(times).alias("times"),
-            (zero("n_known") + zero(F.when(F.col("alone") & (c > 0), times))).cast("long").alias("n_known"), (zero("base") + zero(F.when(F.col("alone"), times * F.log10(c + F.lit(1.0))))).alias("base"), (zero("logp") + zero(times * log)).alias("logp"),
-        ), "scored"
-    )
-    # pairs that were not seen: the context's backoff weight in place of its own factor, and the word's unigram
-    place = lambda name, as_word: F.struct(F.col(name).alias("hash"), F.lit(as_word).alias("as_word"))
-    pair = by_row.filter("word IS NOT NULL").select("row", "times", F.explode(F.array(place("context", False), place("word", True))).alias("p")).select("row", "times", "p.*")
-    near = pair.join(F.broadcast(katz.short), "hash", "left").withColumn("found", F.col("logp").isNotNull())
-    far = katz.words.select(F.col("hash").alias("key"), F.col("logp").alias("far_logp"), (F.col("back") - F.col("own")).alias("far_change"))
-    near = near.withColumn("key", F.when(F.col("found"), F.xxhash64("row", "hash")).otherwise(F.col("hash"))).join(far, "key", "left")
-    logp = F.when(F.col("found"), F.col("logp")).otherwise(F.coalesce("far_logp", F.lit(float(np.log10(model.unseen)))))
-    change = F.when(F.col("found"), F.col("change")).otherwise(F.coalesce("far_change", F.lit(0.0)))
-    backed = near.groupBy("row").agg(F.sum(F.col("times") * F.when(F.col("as_word"), logp).otherwise(change)).alias("backed"))
-    constant = float(np.log10(max(1, model.tokens + model.types + 1)))
-    return (
-        by_row.filter("word IS NULL")
-        .join(backed, "row", "left")
-        .select("doc_id", "apart", "n_tokens", "n_known", (F.col("base") - F.col("n_tokens") * F.lit(constant)).alias("base_score"), (F.col("logp") + F.coalesce("backed", F.lit(0.0))).alias("score"))
-    )
+            both, times = np.unique(which << 32 | doc, return_counts=True)
+            v, w, of = pair[both >> 32] >> 32, pair[both >> 32] & 0xFFFFFFFF, both & 0xFFFFFFFF
+            is_hot = (v < hot) & (w < hot)
+            hot_pair, hot_of, hot_times = (v * hot + w)[is_hot], of[is_hot], times[is_hot]
+            trained = ~apart[hot_of]
+            hot_counts += np.bincount(hot_pair[trained], hot_times[trained], hot * hot).astype(np.int64)
+            doc_id = batch.column("doc_id")
+            row = packed(doc_id.fill_null(0).to_numpy(zero_copy_only=False), doc_id.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), apart.astype(np.uint8), sizes, n_known, base, hot_pair, hot_of, hot_times)
+            name = (task << 24) + number
+            rows = [(-1 - name % 64, "own", name, row)]
+            v, w, of, times = v[~is_hot], w[~is_hot], of[~is_hot], times[~is_hot]
+            mixed = np.where(v < hot, hashes[v] ^ (hashes[w] << np.uint64(1) | hashes[w] >> np.uint64(63)), hashes[v])
+            bucket = ((mixed >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
+            v, w, of, times, bucket = v[order], w[order], of[order], times[order], bucket[order]
+            cuts = np.flatnonzero(np.diff(bucket)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)]) if len(bucket) else ():
+                # words outside the lexicon are numbered in the row, which lists their hashes
+                codes = np.concatenate((v[a:b], w[a:b]))
+                rare, place = np.unique(codes[codes >= size], return_inverse=True)
+                codes[codes >= size] = size + place
+                mine = codes[: b - a]
+                rows.append((int(bucket[a]), "pairs", name, packed(np.diff(mine, prepend=0) if np.all(np.diff(mine, prepend=0) >= 0) else mine, np.array([np.all(np.diff(mine, prepend=0) >= 0)], np.uint8), codes[b - a :], of[a:b] << 1 | apart[of[a:b]], times[a:b], hashes[rare].view(np.int64))))
+            columns = list(zip(*rows))
+            yield batch_of(EMITTED, len(rows), bucket=list(columns[0]), kind=list(columns[1]), batch=list(columns[2]), data=list(columns[3]))
+        some = np.flatnonzero(hot_counts)
+        yield batch_of(EMITTED, 1, bucket=-100 - task % 16, kind="hot", batch=task, data=[packed(some, hot_counts[some])])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "apart").mapInArrow(run, EMITTED)
+
+
+def counted(rows: DataFrame, words: Lexicon) -> DataFrame:
+    """Buckets counted. Kind own: as before; hot (v: number of the pair, n); seen (v: a count up to CUT + 1, n: pairs with it); ctx: a context `v` with
+    its count n, pairs by count (k1 and so on; big: the sum of larger counts) and the mass p of its followers in the lexicon; rare: a context v with a follower w
+    outside; occ: who asked for the bucket's pairs."""
+    shared = rows.sparkSession.sparkContext.broadcast(words)
+
+    def pairs(group: pa.Table, words: Lexicon) -> list[dict[str, pa.Array]]:
+        size, parts = words.size, []
+        names, place = np.unique(group.column("batch").to_numpy(), return_inverse=True)
+        for data, at in zip(group.column("data"), place.tolist()):
+            v, rising, w, of, times, rare = unpacked(data.as_py())
+            v = np.cumsum(v) if rising[0] else v
+            full = lambda c: np.where(c < size, words.hashes[np.minimum(c, size - 1)], rare[np.maximum(c - size, 0)] if len(rare) else 0)
+            number = lambda c: np.where(c < size, c, -1)
+            parts.append((full(v), number(v), full(w), number(w), of, times, np.full(len(v), at)))
+        v, v_no, w, w_no, of, times, batch = (np.concatenate(x) for x in zip(*parts))
+        trained = (of & 1) == 0
+        rolled = w.view(np.uint64)
+        order = np.argsort(v.view(np.uint64) ^ (rolled << np.uint64(1) | rolled >> np.uint64(63)), kind="stable")
+        v, v_no, w, w_no, of, times, batch, trained = (x[order] for x in (v, v_no, w, w_no, of, times, batch, trained))
+        first = np.flatnonzero(np.concatenate(([True], (v[1:] != v[:-1]) | (w[1:] != w[:-1]))))
+        n = np.add.reduceat(times * trained, first)
+        pair = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(v))))
+        context, example, of_pair = np.unique(v[first], return_index=True, return_inverse=True)
+        per = lambda at, values=None: np.bincount(of_pair[at], values, len(context))
+        kinds = [per(n == r) for r in range(1, CUT + 1)]
+        big, total = per(n > CUT, n[n > CUT]).astype(np.int64), per(n >= 0, n).astype(np.int64)
+        inside = (n > 0) & (w_no[first] >= 0)
+        mass = summed(of_pair[inside], words.p[w_no[first][inside]], len(context))
+        some, outside = total > 0, (n > 0) & (w_no[first] < 0)
+        seen = np.bincount(np.minimum(n, CUT + 2), minlength=CUT + 3)[1 : CUT + 2]
+        # who asked, by context; of pairs that weren't seen, also the follower
+        order = np.argsort(of_pair[pair], kind="stable")
+        asked, unseen = of_pair[pair][order], n[pair][order] == 0
+        occ = packed(names, np.diff(asked, prepend=0), n[pair][order], batch[order], of[order] >> 1, times[order], w[order][unseen], w_no[order][unseen] + 1, context, v_no[first][example] + 1, total, big, *kinds)
+        ctx = {k: x[some].astype(np.int64) for k, x in zip(CLASSES, kinds)}
+        return [
+            rows_of(COUNTED, 1, kind="occ", data=[occ]),
+            rows_of(COUNTED, int(some.sum()), kind="ctx", v=context[some], n=total[some], big=big[some], p=mass[some], **ctx),
+            rows_of(COUNTED, int(outside.sum()), kind="rare", v=v[first][outside], w=w[first][outside]),
+            rows_of(COUNTED, len(seen), kind="seen", v=np.arange(1, CUT + 2), n=seen.astype(np.int64)),
+        ]
+
+    def run(group: pa.Table) -> pa.Table:
+        words, kind = shared.value, group.column("kind")[0].as_py()
+        if kind == "pairs":
+            return table_of(COUNTED, pairs(group, words))
+        if kind == "own":
+            return table_of(COUNTED, [rows_of(COUNTED, group.num_rows, kind="own", batch=group.column("batch").to_numpy(), data=group.column("data").to_pylist())])
+        total = np.zeros(words.hot**2, np.int64)
+        for data in group.column("data"):
+            pair, n = unpacked(data.as_py())
+            total[pair] += n
+        some = np.flatnonzero(total)
+        return table_of(COUNTED, [rows_of(COUNTED, len(some), kind="hot", v=some, n=total[some])])
+
+    return rows.groupBy("bucket").applyInArrow(run, COUNTED)
+
+
+@dataclass
+class Katz:
+    """The trained model. `contexts`: hash, n, logp (log10 of the unigram), scale and back (log10 of the pairs' scale and of the backoff weight)."""
+
+    unigrams: Unigrams
+    words: Lexicon
+    rows: DataFrame
+    contexts: DataFrame
+    factors: np.ndarray
+    hot_counts: np.ndarray
+    #: log10 by number in the lexicon: probability, backoff weight, scale
+    logp: np.ndarray
+    back: np.ndarray
+    scale: np.ndarray
+
+    def lookup(self) -> tuple:
+        return self.words, self.factors, self.hot_counts, self.logp, self.back, self.scale
+
+
+def log_scale(seen: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """log10 of what the discounted counts `seen` of contexts with `n` tokens are multiplied by."""
+    floor, mass = 1 / (n + 1.0), seen / np.maximum(n, 1)
+    tight = (1 - mass < floor) & (n > 0)
+    return np.log10(np.where(tight, (1 - floor) / np.where(mass > 0, mass, 1), 1.0))
+
+
+def contexts(rows: DataFrame, hot: DataFrame, model: Unigrams, factors: np.ndarray) -> DataFrame:
+    """The table of contexts, written by hash bucket. `hot` has the counts of pairs within the hot words as ctx rows."""
+    sums = [*(F.sum(k).alias(k) for k in CLASSES), *(F.sum(k).alias(k) for k in ("n", "big", "p"))]
+    known = rows.filter("kind = 'ctx'").select("v", "n", *CLASSES, "big", "p").unionByName(hot).groupBy("v").agg(*sums)
+    # followers outside the lexicon get their unigrams by a join; a word's count is that of the word as a context
+    p = known.select(F.col("v").alias("w"), model.column(F.col("n")).alias("_p"))
+    far = rows.filter("kind = 'rare'").select("v", "w").join(p, "w").groupBy(F.col("v").alias("_v")).agg(F.sum("_p").alias("_far"))
+    n = F.col("n").cast("double")
+    seen = F.col("big").cast("double")
+    for r, k in enumerate(CLASSES, 1):
+        seen = seen + F.col(k) * F.lit(float(factors[r]) * r)
+    mass, floor = seen / n, 1 / (n + 1)
+    tight = 1 - mass < floor
+    joined = known.join(far, F.col("v") == F.col("_v"), "left")
+    left = F.when(tight, floor).otherwise(1 - mass) / (1 - F.col("p") - F.coalesce("_far", F.lit(0.0)))
+    made = joined.select(F.col("v").alias("hash"), "n", F.log10(model.column(F.col("n"))).alias("logp"), F.log10(F.when(tight, (1 - floor) / mass).otherwise(1.0)).alias("scale"), F.log10(left).alias("back"))
+    return written(made.withColumn("bucket", F.pmod("hash", F.lit(BUCKETS))), "contexts", "bucket")
+
+
+def katz(docs: DataFrame, lexicon_size: int = LEXICON, hot_words: int = HOT, bucket_tokens: int = BUCKET_TOKENS) -> Katz:
+    """Trains on the rows of `docs` (doc_id, text, apart) that aren't apart; pairs of all rows are counted and kept for scoring."""
+    spark = docs.sparkSession
+    model = unigrams(docs.filter(~F.col("apart")))
+    words = lexicon(model, lexicon_size, hot_words)
+    rows = written(counted(emitted(docs, words, max(1, -(-model.tokens // bucket_tokens))), words), "pairs", "kind")
+    hot_counts = np.zeros(words.hot**2, np.int64)
+    found = rows.filter("kind = 'hot'").groupBy("v").agg(F.sum("n").alias("n")).toPandas()  # at most hot_words squared rows
+    hot_counts[found.v.to_numpy(np.int64)] = found.n.to_numpy(np.int64)
+    low = {r.v: r.n for r in rows.filter("kind = 'seen'").groupBy("v").agg(F.sum("n").alias("n")).collect()}
+    factors = np.array([*discounts({r: low.get(r, 0) + int((hot_counts == r).sum()) for r in range(1, CUT + 2)}), 1.0])
+    square = hot_counts.reshape(words.hot, words.hot)
+    hot = {"v": words.hashes[: words.hot], "n": square.sum(1), "big": np.where(square > CUT, square, 0).sum(1), "p": (square > 0) @ words.p[: words.hot]}
+    hot = pd.DataFrame(hot | {k: (square == r).sum(1) for r, k in enumerate(CLASSES, 1)}).query("n > 0")
+    hot = spark.createDataFrame(hot, "v long, n long, big long, p double, " + ", ".join(f"{k} long" for k in CLASSES))
+    table = contexts(rows, hot, model, factors)
+    number = pd.DataFrame({"hash": words.hashes, "number": np.arange(words.size)})
+    short = table.join(F.broadcast(spark.createDataFrame(number, "hash long, number long")), "hash").select("number", "back", "scale").toPandas()  # at most the lexicon
+    back, scale = np.zeros(words.size), np.zeros(words.size)
+    back[short.number], scale[short.number] = short.back, short.scale
+    return Katz(model, words, rows, table, factors, hot_counts, np.log10(words.p), back, scale)
+
+
+SUMS, FAR = "batch long, data binary", "batch long, doc long, hash long, as_word boolean, times long"
+
+
+def asked(model: Katz, far: bool) -> DataFrame:
+    """What buckets say of the documents that asked: with `far` what is to be looked up in the table of contexts, else sums by batch."""
+    shared = model.rows.sparkSession.sparkContext.broadcast(model.lookup())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, factors, _, logp, back, hot_scale = shared.value
+        for data in (x for b in batches for x in b.column(0)):
+            names, asked, n, batch, doc, times, w, w_no, context, v_no, total, big, *kinds = unpacked(data.as_py())
+            at, unseen, v_no, w_no = np.cumsum(asked), n == 0, v_no - 1, w_no - 1
+            is_hot = (v_no >= 0) & (v_no < words.hot)
+            total = np.where(is_hot, words.counts[np.maximum(v_no, 0)], total)
+            trained = total[at[unseen]] > 0
+            if far:
+                look_v, look_w = trained & (v_no[at[unseen]] < 0), w_no < 0
+                which = np.concatenate((np.flatnonzero(unseen)[look_v], np.flatnonzero(unseen)[look_w]))
+                as_word = np.arange(len(which)) >= look_v.sum()
+                hashes = np.concatenate((context[at[unseen]][look_v], w[look_w]))
+                yield batch_of(FAR, len(which), batch=names[batch[which]], doc=doc[which], hash=hashes, as_word=as_word, times=times[which])
+                continue
+            seen = big + sum(k * (factors[r] * r) for r, k in enumerate(kinds, 1))
+            own = np.where(is_hot, hot_scale[np.maximum(v_no, 0)], log_scale(seen, total)) - np.log10(np.maximum(total, 1))
+            value = np.where(unseen, 0.0, np.log10(factors[np.minimum(n, CUT + 1)] * np.maximum(n, 1)) + own[at])
+            value[unseen] = np.where(trained & (v_no[at[unseen]] >= 0), back[np.maximum(v_no[at[unseen]], 0)], 0.0) + np.where(w_no >= 0, logp[np.maximum(w_no, 0)], 0.0)
+            # a word outside the lexicon stands once as a context for each time it is a token
+            token = v_no[at] < 0
+            key, where = np.unique(batch << 32 | doc, return_inverse=True)
+            sums = [summed(where, times * value, len(key)), summed(where, times * token * np.log10(total[at] + 1.0), len(key)), np.bincount(where, times * (token & (total[at] > 0)), len(key)).astype(np.int64)]
+            cuts = [0, *(np.flatnonzero(np.diff(key >> 32)) + 1).tolist(), len(key)]
+            rows = [(int(names[key[a] >> 32]), packed(key[a:b] & 0xFFFFFFFF, *(x[a:b] for x in sums))) for a, b in zip(cuts, cuts[1:])]
+            yield batch_of(SUMS, len(rows), batch=[r[0] for r in rows], data=[r[1] for r in rows])
+
+    return model.rows.filter("kind = 'occ'").select("data").mapInArrow(run, FAR if far else SUMS)
+
+
+TOTALS = "batch long, doc long, doc_id long, apart boolean, n_tokens long, n_known long, base double, logp double"
+
+
+def totals(model: Katz) -> DataFrame:
+    """One row per document: its own sums, its hot pairs and what the buckets say."""
+    shared = model.rows.sparkSession.sparkContext.broadcast(model.lookup())
+
+    def run(group: pa.Table) -> pa.Table:
+        words, factors, hot_counts, logp, back, scale = shared.value
+        parts = list(zip(group.column("own").to_pylist(), group.column("data").to_pylist()))
+        doc_id, no_id, apart, sizes, n_known, base, pair, of, times = unpacked(next(data for own, data in parts if own))
+        v, w, n = pair // max(1, words.hot), pair % max(1, words.hot), hot_counts[pair]
+        seen = np.log10(factors[np.minimum(n, CUT + 1)] * np.maximum(n, 1)) + scale[v] - np.log10(np.maximum(words.counts[v], 1))
+        score = summed(of, times * np.where(n > 0, seen, back[v] + logp[w]), len(sizes))
+        base, n_known = base.copy(), n_known.copy()
+        for data in (data for own, data in parts if not own):
+            doc, a, b, c = unpacked(data)
+            score[doc] += a
+            base[doc] += b
+            n_known[doc] += c
+        ids = pa.array(doc_id.astype(np.int64), mask=no_id.astype(bool))
+        rows = rows_of(TOTALS, len(sizes), batch=group.column("batch")[0].as_py(), doc=np.arange(len(sizes)), apart=apart.astype(bool), n_tokens=sizes, n_known=n_known, base=base, logp=score) | {"doc_id": ids}
+        return table_of(TOTALS, [{name.split()[0]: rows[name.split()[0]] for name in TOTALS.split(", ")}])
+
+    own = model.rows.filter("kind = 'own'").select("batch", "data", F.lit(True).alias("own"))
+    return own.unionByName(asked(model, False).withColumn("own", F.lit(False))).groupBy("batch").applyInArrow(run, TOTALS)
+
+
+def far_sums(model: Katz) -> DataFrame:
+    """Per document that asked for unseen pairs with rare words: log10 of their unigrams and backoff weights."""
+    rows = asked(model, True).join(model.contexts.select("hash", "logp", "back"), "hash", "left")
+    value = F.when(F.col("as_word"), F.coalesce("logp", F.lit(float(np.log10(model.unigrams.unseen))))).otherwise(F.coalesce("back", F.lit(0.0)))
+    return rows.groupBy("batch", "doc").agg(F.sum(F.col("times") * value).alias("far"))
+
+
+def katz_score(model: Katz) -> DataFrame:
+    """Per row that the model was made with: doc_id, apart, n_tokens, n_known, base_score, score."""
+    constant = float(np.log10(max(1, model.unigrams.tokens + model.unigrams.types + 1)))
+    rows = totals(model).join(far_sums(model), ["batch", "doc"], "left")
+    return rows.select("doc_id", "apart", "n_tokens", "n_known", (F.col("base") - F.col("n_tokens") * F.lit(constant)).alias("base_score"), (F.col("logp") + F.coalesce("far", F.lit(0.0))).alias("score"))
 
 
 def fit_and_score(docs: DataFrame, held_out_of: int = 7, held_out: int = 2) -> DataFrame:
     """Trains on rows whose id's crc32 modulo `held_out_of` isn't `held_out`, scores all rows."""
     docs = docs.select("doc_id", "text", (crc_mod(F.col("doc_id"), held_out_of) == held_out).alias("apart"))
-    model = katz(docs.filter(~F.col("apart")))
-    scored = katz_score(docs, model)
-    return scored.select("doc_id", F.col("apart").alias("held_out"), "n_tokens", "n_known", F.lit(int(model.model.tokens)).cast("long").alias("train_tokens"), "base_score", "score")
+    model = katz(docs)
+    return katz_score(model).select("doc_id", F.col("apart").alias("held_out"), "n_tokens", "n_known", F.lit(int(model.unigrams.tokens)).cast("long").alias("train_tokens"), "base_score", "score")
