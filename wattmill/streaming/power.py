@@ -37,31 +37,56 @@ def blank(c: str) -> Column:
     return F.coalesce(F.trim(F.col(c)), F.lit("")) == ""
 
 
+def _no(c: Column) -> Column:
+    """True where a condition is true or unknown."""
+    return F.coalesce(c, F.lit(True))
+
+
+def _bad_key() -> Column:
+    return _no(~F.col("workshop_code").rlike("^W[0-9]{2}$")) | _no(~F.col("energy_code").rlike("^E[0-9]{2}$"))
+
+
 def quality_error() -> Column:
-    """The first of nine faults, or null."""
-    no = lambda c: F.coalesce(c, F.lit(True))
+    """The first of nine faults of a typed event, or null: the order is that of the invalid route."""
+    upsert = F.col("op") == "UPSERT"
     return (
-        F.when(F.col("schema_version").isNull() | (F.col("schema_version") != 1), "schema_version")
-        .when(blank("event_id"), "event_id")
-        .when(strict_time(F.col("event_time")).isNull(), "event_time")
-        .when(strict_time(F.col("updated_at")).isNull(), "updated_at")
-        .when(no(~F.col("op").isin("UPSERT", "DELETE")), "op")
-        .when(strict_date(F.col("record_date")).isNull(), "record_date")
-        .when(no(~F.col("workshop_code").rlike("^W[0-9]{2}$")) | no(~F.col("energy_code").rlike("^E[0-9]{2}$")), "business_key")
-        .when((F.col("op") == "UPSERT") & (no(F.col("consumption") < 0) | no(F.col("unit_price") <= 0) | no(F.col("cost") < 0)), "values")
-        .when((F.col("op") == "UPSERT") & (blank("unit") | blank("record_status")), "text")
+        F.when(_no(F.col("schema_version") != 1), "unsupported_schema_version")
+        .when(_no(~F.col("op").isin("UPSERT", "DELETE")), "invalid_op")
+        .when(upsert & _no(F.col("consumption") < 0), "invalid_consumption")
+        .when(upsert & _no(F.col("unit_price") <= 0), "invalid_unit_price")
+        .when(upsert & _no(F.col("cost") < 0), "invalid_cost")
+        .when(upsert & blank("unit"), "invalid_unit")
+        .when(strict_date(F.col("record_date")).isNull(), "missing_business_date")
+        .when(_bad_key(), "invalid_business_key")
+        .when(_no(F.col("event_id") == "") | strict_time(F.col("event_time")).isNull() | strict_time(F.col("updated_at")).isNull(), "missing_event_metadata")
+    )
+
+
+def malformed() -> Column:
+    """The first fault of a raw payload behind its encoding and syntax, or null: the order is that of the quarantine; values are only to be numbers."""
+    upsert = F.col("op") == "UPSERT"
+    return (
+        F.when(_no(F.col("schema_version") != 1), "unsupported_schema_version")
+        .when(_no(~F.col("op").isin("UPSERT", "DELETE")), "invalid_op")
+        .when(_no(F.col("event_id") == ""), "invalid_event_id")
+        .when(upsert & (F.col("consumption").isNull() | F.col("unit_price").isNull() | F.col("cost").isNull()), "invalid_numeric_field")
+        .when(upsert & blank("unit"), "invalid_unit")
+        .when(strict_time(F.col("event_time")).isNull(), "invalid_event_time")
+        .when(strict_time(F.col("updated_at")).isNull(), "invalid_updated_at")
+        .when(strict_date(F.col("record_date")).isNull(), "invalid_record_date")
+        .when(_bad_key(), "invalid_business_key")
     )
 
 
 def parsed_events(raw: DataFrame, payload: str = "value") -> DataFrame:
-    """Raw payloads as typed events with `ts`, `quality_error` and `reason`; partition, offset and the payload in base64 stay for the quarantine."""
+    """Raw payloads as typed events with `ts`, `quality_error` (T6) and `reason` (T7); partition, offset and the payload in base64 stay for the quarantine."""
     valid = F.is_valid_utf8(F.col(payload))
     text = F.when(valid, F.col(payload).cast("string"))
     rows = raw.withColumns({"payload_base64": F.base64(payload), "_text": text, "_utf8": valid})
     rows = rows.withColumn("_e", F.from_json("_text", EVENT)).select("*", "_e.*")
     is_object = F.startswith(F.ltrim("_text"), F.lit("{")) & F.get_json_object("_text", "$").isNotNull()
     rows = rows.withColumns({"quality_error": quality_error(), "_object": F.coalesce(is_object, F.lit(False))})
-    reason = F.when(~F.col("_utf8"), "utf8").when(~F.col("_object"), "json").otherwise(F.col("quality_error"))
+    reason = F.when(~F.col("_utf8"), "invalid_utf8").when(~F.col("_object"), "invalid_json").otherwise(malformed())
     return with_event_time(rows.withColumn("reason", reason)).drop("_text", "_e", "_utf8", "_object")
 
 
@@ -85,14 +110,30 @@ def power_alarms(samples: DataFrame, mean: float = POWER_MEAN, sigma: float = PO
     minute = F.unix_millis("ts") / 60000.0
     # minutes since a fixed day keep the moments small
     w = samples.withWatermark("ts", bound).withColumn("x", minute - 28_400_000).groupBy(F.window("ts", length, step), "workshop_code").agg(F.count("*").alias("n"), F.avg("power_kw").alias("mean_kw"), F.regr_slope("power_kw", "x").alias("slope"))
-    return w.filter((F.col("n") >= points) & (F.col("mean_kw") > mean + 2 * sigma)).select(F.col("window.start").alias("window_start"), "workshop_code", "n", F.round("mean_kw", 6).alias("mean_kw"), F.round("slope", 6).alias("slope"))
+    return w.filter((F.col("n") >= points) & (F.col("mean_kw") > mean + 2 * sigma)).select(F.col("window.start").alias("window_start"), "workshop_code", "n", F.round("mean_kw", 6).alias("mean_kw"), "slope")
+
+
+def replay_rejects(samples: DataFrame) -> DataFrame:
+    """Samples that a replay refuses, with `reason`: repeated ids (all their rows), and power that isn't a finite number of 0 or more."""
+    repeated = F.count("*").over(Window.partitionBy("event_id")) > 1
+    kw = F.col("power_kw")
+    bad = kw.isNull() | F.isnan(kw) | (kw < 0) | (kw == float("inf"))
+    return samples.withColumn("reason", F.when(bad, "bad_power").when(repeated, "repeated_id")).filter("reason IS NOT NULL")
 
 
 def replay_alarms(samples: DataFrame, mean: float, sigma: float, points: int = POWER_POINTS, length_ms: int = 900_000) -> DataFrame:
-    """Per event the trailing window (t - 15 min, t]; duplicate ids are left out."""
-    w = Window.partitionBy("workshop_code").orderBy(F.unix_millis("ts")).rangeBetween(-(length_ms - 1), 0)
-    rows = samples.dropDuplicates(["event_id"]).withColumns({"n": F.count("*").over(w), "mean_kw": F.avg("power_kw").over(w)})
-    return rows.filter((F.col("n") >= points) & (F.col("mean_kw") > mean + 2 * sigma))
+    """Per event the trailing window (t - length, t] with its mean and its slope in kW a minute; refused samples must be split off before.
+
+    Time is cut in buckets of the window's length. A row is history in the next bucket, too, so windows are partitioned by workshop and bucket and a long
+    series isn't one task.
+    """
+    ms = F.unix_millis("ts")
+    bucket = F.floor(ms / length_ms)
+    rows = samples.withColumn("_b", F.explode(F.array(F.struct(bucket.alias("at"), F.lit(True).alias("own")), F.struct((bucket + 1).alias("at"), F.lit(False).alias("own")))))
+    w = Window.partitionBy("workshop_code", "_b.at").orderBy("_ms").rangeBetween(-(length_ms - 1), 0)
+    rows = rows.withColumns({"_ms": ms, "_x": (ms - F.col("_b.at") * length_ms) / 60000.0})
+    rows = rows.withColumns({"n": F.count("*").over(w), "mean_kw": F.avg("power_kw").over(w), "slope": F.regr_slope("power_kw", "_x").over(w)})
+    return rows.filter(F.col("_b.own") & (F.col("n") >= points) & (F.col("mean_kw") > mean + 2 * sigma)).drop("_b", "_ms", "_x")
 
 
 def device_minutes(samples: DataFrame) -> DataFrame:
@@ -118,23 +159,37 @@ def alert_id(alert: DataFrame) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(alert.columns))).cast("binary"), 256)
 
 
+def _existing(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except Exception as error:
+        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
+            raise
+        return None
+
+
 class IdempotentSink:
-    """A Parquet folder that takes each id once; use `append` in foreachBatch. A replayed batch adds nothing."""
+    """A Parquet folder that takes each id once; use `append` in foreachBatch. A replayed batch adds nothing.
 
-    def __init__(self, spark: SparkSession, path: str, key: str = "alert_id"):
-        self.spark, self.path, self.key = spark, path, key
+    With `part`, a column that goes with the id (such as the alert's date), rows lie in partitions by it and a batch reads only the partitions that it touches.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str = "alert_id", part: str | None = None):
+        self.spark, self.path, self.key, self.part = spark, path, key, part
 
     def append(self, batch: DataFrame, batch_id: int = 0) -> None:
         new = batch.dropDuplicates([self.key])
-        try:
-            old = self.spark.read.parquet(self.path).select(self.key)
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
-            old = None
+        old = _existing(self.spark, self.path)
+        if old is not None and self.part:
+            touched = [r[0] for r in batch.select(self.part).distinct().collect()]  # a micro-batch has few dates
+            old = old.filter(F.col(self.part).isin(touched))
         if old is not None:
-            new = new.join(old, self.key, "left_anti")
-        new.write.mode("append").parquet(self.path)
+            new = new.join(old.select(self.key), self.key, "left_anti")
+        writer = new.write.mode("append")
+        (writer.partitionBy(self.part) if self.part else writer).parquet(self.path)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.parquet(self.path)
 
 
 class LatestSink:
@@ -153,27 +208,23 @@ class LatestSink:
 
 
 class LateRouter:
-    """T4: splits valid rows of each batch into on-time and late ones; the largest event time lives in a small state folder."""
+    """T4: splits valid rows of each batch into on-time and late ones. The largest event time after a batch lies in that batch's folder of `state`, so
+    a batch reads one row, that of the batch before it, and a replayed batch meets the watermark it met before."""
 
     def __init__(self, spark: SparkSession, state: str, bound_s: int = 5):
         self.spark, self.state, self.bound_s = spark, state, bound_s
 
-    def _largest(self, before: int) -> int | None:
-        try:
-            rows = self.spark.read.schema("batch long, largest long").json(self.state)
-            return rows.filter(F.col("batch") < before).agg(F.max("largest")).first()[0]
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            return None
+    def _largest(self, batch_id: int) -> int | None:
+        rows = _existing(self.spark, f"{self.state}/n={batch_id}")
+        return rows.first().largest if rows is not None else None
 
     def split(self, batch: DataFrame, batch_id: int) -> tuple[DataFrame, DataFrame]:
-        """(on time, late). A replayed batch meets the watermark it met before."""
-        largest = self._largest(batch_id)
+        """(on time, late)."""
+        before = self._largest(batch_id - 1)
         own = batch.agg(F.max(F.unix_millis("ts"))).first()[0]
-        if own is not None:
-            self.spark.createDataFrame([(batch_id, own)], "batch long, largest long").coalesce(1).write.mode("overwrite").json(f"{self.state}/n={batch_id}")
-        late = F.lit(False) if largest is None else F.unix_millis("ts") <= largest - self.bound_s * 1000
+        after = max((x for x in (before, own) if x is not None), default=None)
+        self.spark.createDataFrame([(batch_id, after)], "batch long, largest long").coalesce(1).write.mode("overwrite").parquet(f"{self.state}/n={batch_id}")
+        late = F.lit(False) if before is None else F.unix_millis("ts") <= before - self.bound_s * 1000
         return batch.filter(~late), batch.filter(late)
 
 

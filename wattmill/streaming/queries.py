@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattmill.operators.views import Plant
 from wattmill.plans.catalog import query
+from wattmill.staging import new_path, written
 from wattmill.streaming import power
 
 
@@ -27,15 +25,15 @@ def t_cost(p: Plant) -> DataFrame:
     return power.cost_alarms(events, 20).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "workshop_code", "n", F.round("total_cost", 2).alias("total_cost"))
 
 
-@query("t03_power_alarms", _S + """SELECT w AS window_start, workshop_code, count(*) AS n, round(avg(power_kw), 6) AS mean_kw FROM (SELECT *, unnest(range(time_bucket(INTERVAL 60 MINUTES, ts) - INTERVAL 360 MINUTES, time_bucket(INTERVAL 60 MINUTES, ts) + INTERVAL 1 MINUTE, INTERVAL 60 MINUTES)) AS w FROM s) WHERE ts < w + INTERVAL 6 HOURS GROUP BY ALL HAVING count(*) >= 12 AND avg(power_kw) > 14""", "")
+@query("t03_power_alarms", _S + """SELECT w AS window_start, workshop_code, count(*) AS n, round(avg(power_kw), 6) AS mean_kw, round(regr_slope(power_kw, epoch_ms(ts) / 60000e0 - 28401120e0), 4) AS slope FROM (SELECT *, unnest(range(time_bucket(INTERVAL 60 MINUTES, ts) - INTERVAL 360 MINUTES, time_bucket(INTERVAL 60 MINUTES, ts) + INTERVAL 1 MINUTE, INTERVAL 60 MINUTES)) AS w FROM s) WHERE ts < w + INTERVAL 6 HOURS GROUP BY ALL HAVING count(*) >= 12 AND avg(power_kw) > 14""", "")
 def t_power(p: Plant) -> DataFrame:
     rows = power.power_alarms(samples(p), 10.0, 2.0, 12, "6 hours", "1 hour")
-    return rows.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "workshop_code", "n", "mean_kw")
+    return rows.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "workshop_code", "n", "mean_kw", F.round("slope", 4).alias("slope"))
 
 
-@query("t09_replay_alarms", _S + """SELECT event_id, n, round(mean_kw, 6) AS mean_kw FROM (SELECT *, count(*) OVER w AS n, avg(power_kw) OVER w AS mean_kw FROM (SELECT *, epoch_ms(ts) AS ms FROM s) WINDOW w AS (PARTITION BY workshop_code ORDER BY ms RANGE BETWEEN 21599999 PRECEDING AND CURRENT ROW)) WHERE n >= 10 AND mean_kw > 14""", "")
+@query("t09_replay_alarms", _S + """SELECT event_id, n, round(mean_kw, 6) AS mean_kw, round(slope, 4) AS slope FROM (SELECT *, count(*) OVER w AS n, avg(power_kw) OVER w AS mean_kw, regr_slope(power_kw, ms / 60000e0 - 28401120e0) OVER w AS slope FROM (SELECT *, epoch_ms(ts) AS ms FROM s) WINDOW w AS (PARTITION BY workshop_code ORDER BY ms RANGE BETWEEN 21599999 PRECEDING AND CURRENT ROW)) WHERE n >= 10 AND mean_kw > 14""", "")
 def t_replay(p: Plant) -> DataFrame:
-    return power.replay_alarms(samples(p), 10.0, 2.0, 10, 21_600_000).select("event_id", "n", F.round("mean_kw", 6).alias("mean_kw"))
+    return power.replay_alarms(samples(p), 10.0, 2.0, 10, 21_600_000).select("event_id", "n", F.round("mean_kw", 6).alias("mean_kw"), F.round("slope", 4).alias("slope"))
 
 
 @query("t10_t13_minutes", _S + """, d AS (SELECT workshop_code, device_id, date_trunc('hour', ts) AS m, count(*) AS n, avg(power_kw) AS mean_kw, sum(power_kw * 30 / 3600) AS kwh FROM s GROUP BY ALL) SELECT workshop_code, m AS minute, round(sum(mean_kw), 6) AS total_kw, sum(n)::BIGINT AS n, round(sum(kwh), 8) AS kwh, string_agg(device_id::VARCHAR, ',' ORDER BY device_id) AS devices FROM d GROUP BY ALL""", "")
@@ -59,20 +57,70 @@ def payloads(p: Plant) -> DataFrame:
     return e.select("event_id", F.lit(0).alias("partition"), F.col("event_id").alias("offset"), value.alias("value")).withColumnRenamed("event_id", "seq")
 
 
-_REASON = """CASE WHEN event_id % 71 = 0 THEN 'utf8' WHEN event_id % 73 = 0 THEN 'json' WHEN event_id % 31 = 0 THEN 'schema_version' WHEN event_id % 37 = 0 THEN 'event_id' WHEN event_id % 41 = 0 THEN 'event_time' WHEN event_id % 43 = 0 THEN 'updated_at' WHEN event_id % 47 = 0 THEN 'op' WHEN event_id % 53 = 0 THEN 'record_date' WHEN event_id % 59 = 0 THEN 'business_key'
-WHEN event_id % 10 <> 0 AND (event_id % 67 = 0 OR value < 0) THEN 'values' WHEN event_id % 10 <> 0 AND event_id % 61 = 0 THEN 'text' END"""
+_MALFORMED = """CASE WHEN event_id % 71 = 0 THEN 'invalid_utf8' WHEN event_id % 73 = 0 THEN 'invalid_json' WHEN event_id % 31 = 0 THEN 'unsupported_schema_version' WHEN event_id % 47 = 0 THEN 'invalid_op' WHEN event_id % 37 = 0 THEN 'invalid_event_id' WHEN event_id % 10 <> 0 AND event_id % 61 = 0 THEN 'invalid_unit'
+WHEN event_id % 41 = 0 THEN 'invalid_event_time' WHEN event_id % 43 = 0 THEN 'invalid_updated_at' WHEN event_id % 53 = 0 THEN 'invalid_record_date' WHEN event_id % 59 = 0 THEN 'invalid_business_key' END"""
+_INVALID = """CASE WHEN event_id % 71 = 0 OR event_id % 73 = 0 OR event_id % 31 = 0 THEN 'unsupported_schema_version' WHEN event_id % 47 = 0 THEN 'invalid_op' WHEN event_id % 10 <> 0 AND (event_id % 67 = 0 OR value < 0) THEN 'invalid_cost' WHEN event_id % 10 <> 0 AND event_id % 61 = 0 THEN 'invalid_unit'
+WHEN event_id % 53 = 0 THEN 'missing_business_date' WHEN event_id % 59 = 0 THEN 'invalid_business_key' WHEN event_id % 37 = 0 OR event_id % 41 = 0 OR event_id % 43 = 0 THEN 'missing_event_metadata' END"""
 
 
-@query("t06_t07_quarantine", f"SELECT event_id AS seq, {_REASON} AS reason FROM events", "")
+@query("t06_t07_quarantine", f"SELECT event_id AS seq, {_MALFORMED} AS reason, {_INVALID} AS quality_error, CASE WHEN event_id % 71 = 0 THEN 'e/99' END AS payload FROM events", "")
 def t_quarantine(p: Plant) -> DataFrame:
-    return power.parsed_events(payloads(p)).select("seq", "reason")
+    return power.parsed_events(payloads(p)).select("seq", "reason", "quality_error", F.when(F.col("reason") == "invalid_utf8", F.col("payload_base64")).alias("payload"))
 
 
-@query("t05_deletes", f"SELECT event_id AS seq FROM events WHERE ({_REASON}) IS NULL AND event_id % 10 = 0", "")
+@query("t05_deletes", f"SELECT event_id AS seq FROM events WHERE ({_MALFORMED}) IS NULL AND ({_INVALID}) IS NULL AND event_id % 10 = 0", "")
 def t_deletes(p: Plant) -> DataFrame:
     return power.deletes(power.parsed_events(payloads(p)).filter("reason IS NULL")).select("seq")
 
 
+@query("t04_late_rows", _S + """, b AS (SELECT *, device_id % 2 AS batch FROM s), m AS (SELECT max(epoch_ms(ts)) AS largest FROM b WHERE batch = 0)
+SELECT batch, batch = 1 AND epoch_ms(ts) <= largest - 86400000 AS late, count(*) AS n FROM b, m GROUP BY ALL""", "")
+def t_late(p: Plant) -> DataFrame:
+    """Two batches: rows of the second that are a day older than the newest of the first are late. The first is replayed after the second."""
+    router, out = power.LateRouter(p.spark, new_path(p.spark, "late"), 86_400), None
+    rows = samples(p).withColumn("batch", F.col("device_id") % 2)
+    for batch in (0, 1, 0):
+        parts = router.split(rows.filter(F.col("batch") == batch), batch)
+        both = parts[0].withColumn("late", F.lit(False)).unionByName(parts[1].withColumn("late", F.lit(True)))
+        out = both if out is None else out.unionByName(both) if batch == 1 else out
+    return out.groupBy("batch", "late").agg(F.count("*").alias("n"))
+
+
+@query("t09_replay_rejects", """SELECT event_id, CASE WHEN value IS NULL OR value < 0 THEN 'bad_power' ELSE 'repeated_id' END AS reason, count(*) AS n FROM (SELECT event_id, value FROM events UNION ALL SELECT event_id, value FROM events WHERE event_id % 50 = 0) WHERE value IS NULL OR value < 0 OR event_id % 50 = 0 GROUP BY ALL""", "")
+def t_refused(p: Plant) -> DataFrame:
+    e = p.table("events").select("event_id", F.col("value").alias("power_kw"))
+    return power.replay_rejects(e.unionByName(e.filter("event_id % 50 = 0"))).groupBy("event_id", "reason").agg(F.count("*").alias("n"))
+
+
+@query("t13_energy_of_minutes", _S + """, d AS (SELECT workshop_code, device_id, date_trunc('minute', ts) AS m, avg(power_kw) AS mean_kw, sum(power_kw * 30 / 3600) AS kwh FROM s GROUP BY ALL), w AS (SELECT workshop_code, m, sum(mean_kw) AS kw, sum(kwh) AS kwh FROM d GROUP BY ALL)
+SELECT workshop_code, round(sum(CASE WHEN minute(m) % 5 = 0 THEN kw * 60 / 3600 ELSE kwh END), 6) AS kwh FROM w GROUP BY 1""", "")
+def t_energy(p: Plant) -> DataFrame:
+    """Every fifth minute has lost its energy and counts by its power."""
+    minutes = power.workshop_minutes(power.device_minutes(samples(p)))
+    return power.energy_of(minutes.withColumn("kwh", F.when(F.minute("minute") % 5 != 0, F.col("kwh")))).withColumn("kwh", F.round("kwh", 6))
+
+
+@query("t14_poison_conflicts", "SELECT 'alerts/0/' || event_id AS locator, 2::BIGINT AS contents FROM events WHERE event_id % 142 = 0", "")
+def t_conflicts(p: Plant) -> DataFrame:
+    """A part of the broken messages comes again with other bytes, another part with the same ones."""
+    m = payloads(p).withColumn("topic", F.lit("alerts")).filter("seq % 71 = 0")
+    other = m.filter("seq % 142 = 0").withColumn("value", F.unhex(F.lit("7BFEFE7D")))
+    _, poison = power.poison_split(m.unionByName(m).unionByName(other))
+    return power.poison_conflicts(poison)
+
+
+@query("t15_alerts_once", _S + """, a AS (SELECT workshop_code, CAST(ts AS DATE) AS day, count(*) AS n FROM s GROUP BY ALL HAVING sum(power_kw) > 100) SELECT workshop_code, day, n FROM a""", "")
+def t_once(p: Plant) -> DataFrame:
+    """Alerts of days through the idempotent sink in overlapping batches, each written twice."""
+    days = samples(p).groupBy("workshop_code", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), F.sum("power_kw").alias("kw")).filter("kw > 100").drop("kw")
+    alerts = written(days.withColumn("alert_id", power.alert_id(days)), "alerts")
+    sink = power.IdempotentSink(p.spark, new_path(p.spark, "sink"), part="day")
+    for n, some in enumerate((F.dayofmonth("day") < 20, F.dayofmonth("day") > 10)):
+        sink.append(alerts.filter(some), n)
+        sink.append(alerts.filter(some), n)
+    return sink.read().select("workshop_code", "day", "n")
+
+
 @query("t14_poison_split", "SELECT count(CASE WHEN event_id % 71 <> 0 AND event_id % 73 <> 0 THEN 1 END) AS alerts, count(CASE WHEN event_id % 71 = 0 OR event_id % 73 = 0 THEN 1 END) AS poison FROM events", "")
 def t_poison(p: Plant) -> DataFrame:
     alerts, poison = power.poison_split(payloads(p).withColumn("topic", F.lit("alerts")))
@@ -84,8 +132,7 @@ def t_poison(p: Plant) -> DataFrame:
 def t_stream(p: Plant) -> DataFrame:
     """The samples through a file stream with a checkpoint into an idempotent sink; each batch is aggregated before it is written."""
     spark = p.spark
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = new_path(spark, "stream")
     path = f"{p.sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
     sink = power.LatestSink(spark, f"{folder}/out", ("workshop_code", "part"))
