@@ -27,12 +27,13 @@ def flattened(docs: DataFrame, metrics: list[str]) -> DataFrame:
 
 
 def bounded(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Values out of bounds are clipped or nulled, and flagged `<column>_out`."""
+    """Values out of bounds are clipped or nulled, and flagged `<column>_out`; `<column>_null` is what was missing before."""
     new = {}
     for c in columns:
         low, high = BOUNDS[c]
         out = F.coalesce((F.col(c) < low) | (F.col(c) > high), F.lit(False))
         new[f"{c}_out"] = out
+        new[f"{c}_null"] = F.col(c).isNull()
         new[c] = F.least(F.greatest(F.col(c), F.lit(low)), F.lit(high)) if c in CLIPPED else F.when(~out, F.col(c))
     # null stays null: greatest and least skip it
     new |= {c: F.when(F.col(c).isNotNull(), new[c]) for c in columns if c in CLIPPED}
@@ -65,7 +66,7 @@ def gap_filled(rows: DataFrame, column: str, city: str = "city_id", at: str = "t
 def peaks(rows: DataFrame, column: str, city: str = "city_id", least: int = 8, scope: str = "city") -> DataFrame:
     """`<column>_peak` beyond 1.5 interquartile ranges; per city (with at least `least` values) or over all."""
     stats = rows.groupBy(*([city] if scope == "city" else [])).agg(F.percentile(column, F.lit(0.25)).alias("_q1"), F.percentile(column, F.lit(0.75)).alias("_q3"), F.count(column).alias("_n"))
-    joined = rows.join(F.broadcast(stats), city) if scope == "city" else rows.join(F.broadcast(stats))  # a row per city, or one
+    joined = rows.join(stats, city) if scope == "city" else rows.join(F.broadcast(stats))  # a row per city, which Spark may broadcast once it knows their size; or one row
     beyond = (F.col(column) < F.col("_q1") - 1.5 * (F.col("_q3") - F.col("_q1"))) | (F.col(column) > F.col("_q3") + 1.5 * (F.col("_q3") - F.col("_q1")))
     enough = F.col("_n") >= least if scope == "city" else F.lit(True)
     return joined.withColumn(f"{column}_peak", F.coalesce(beyond & enough, F.lit(False))).drop("_q1", "_q3", "_n")
@@ -83,9 +84,16 @@ def cleaned(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def cleaning_stats(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Counts by column, from one aggregate."""
+    """Counts by column, from one aggregate. Values out of bounds are clips in the columns that are clipped, else violations."""
     n = lambda c: F.count(F.when(c, 1))
-    parts = [F.struct(F.lit(c).alias("column"), n(F.col(c).isNull()).alias("nulls_after"), n(F.col(f"{c}_filled")).alias("filled"), n(F.col(f"{c}_gap") > LONGEST_GAP).alias("in_long_gaps"), n(F.col(f"{c}_out")).alias("violations"), n(F.col(f"{c}_peak")).alias("peaks")) for c in columns]
+    none = F.lit(0).cast("long")
+    parts = [
+        F.struct(
+            F.lit(c).alias("column"), n(F.col(f"{c}_null")).alias("nulls_before"), n(F.col(c).isNull()).alias("nulls_after"), n(F.col(f"{c}_filled")).alias("filled"), n(F.col(f"{c}_gap") > LONGEST_GAP).alias("in_long_gaps"),
+            (none if c in CLIPPED else n(F.col(f"{c}_out"))).alias("violations"), (n(F.col(f"{c}_out")) if c in CLIPPED else none).alias("clips"), n(F.col(f"{c}_peak")).alias("peaks"),
+        )
+        for c in columns
+    ]
     return rows.agg(F.array(*parts).alias("s")).select(F.explode("s").alias("s")).select("s.*")
 
 
@@ -110,30 +118,31 @@ def weather_hours(p: Plant) -> DataFrame:
 
 
 _HOURS = """h0 AS (SELECT user_id % 5 AS city_id, date_trunc('hour', ts) AS ts_local, CASE WHEN event_id % 41 = 0 THEN 99e0 WHEN event_id % 7 = 3 THEN NULL ELSE value END AS t, CASE WHEN event_id % 9 = 1 THEN NULL ELSE round(value * 3, 3) END AS h FROM events),
-h1 AS (SELECT * FROM h0 QUALIFY row_number() OVER (PARTITION BY city_id, ts_local ORDER BY t NULLS FIRST, h NULLS FIRST) = 1), h2 AS (SELECT city_id, ts_local, coalesce(t < -60 OR t > 60, false) AS t_out, CASE WHEN t BETWEEN -60 AND 60 THEN t END AS t, coalesce(h < 0 OR h > 100, false) AS h_out, CASE WHEN h IS NOT NULL THEN least(greatest(h, 0), 100) END AS h FROM h1),
+h1 AS (SELECT * FROM h0 QUALIFY row_number() OVER (PARTITION BY city_id, ts_local ORDER BY t NULLS FIRST, h NULLS FIRST) = 1), h2 AS (SELECT city_id, ts_local, coalesce(t < -50 OR t > 55, false) AS t_out, t IS NULL AS t_null, h IS NULL AS h_null, CASE WHEN t BETWEEN -50 AND 55 THEN t END AS t, coalesce(h < 0 OR h > 100, false) AS h_out, CASE WHEN h IS NOT NULL THEN least(greatest(h, 0), 100) END AS h FROM h1),
 h3 AS (SELECT *, count(t) OVER o AS tr, count(h) OVER o AS hr FROM h2 WINDOW o AS (PARTITION BY city_id ORDER BY ts_local ROWS UNBOUNDED PRECEDING)), h4 AS (SELECT *, CASE WHEN t IS NULL THEN count(CASE WHEN t IS NULL THEN 1 END) OVER (PARTITION BY city_id, tr) ELSE 0 END AS tg, CASE WHEN h IS NULL THEN count(CASE WHEN h IS NULL THEN 1 END) OVER (PARTITION BY city_id, hr) ELSE 0 END AS hg,
 last_value(t IGNORE NULLS) OVER b AS tp, first_value(t IGNORE NULLS) OVER a AS tn, last_value(h IGNORE NULLS) OVER b AS hp, first_value(h IGNORE NULLS) OVER a AS hn FROM h3 WINDOW b AS (PARTITION BY city_id ORDER BY ts_local ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY city_id ORDER BY ts_local ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
-h5 AS (SELECT city_id, ts_local, t_out, h_out, tg, hg, CASE WHEN t IS NULL AND tg <= 3 THEN (coalesce(tp, tn) + coalesce(tn, tp)) / 2 ELSE t END AS t, t IS NULL AND tg <= 3 AND coalesce(tp, tn) IS NOT NULL AS tf, CASE WHEN h IS NULL AND hg <= 3 THEN (coalesce(hp, hn) + coalesce(hn, hp)) / 2 ELSE h END AS h, h IS NULL AND hg <= 3 AND coalesce(hp, hn) IS NOT NULL AS hf FROM h4),
-h6 AS (SELECT *, coalesce(n >= 8 AND (t < q1 - 1.5 * (q3 - q1) OR t > q3 + 1.5 * (q3 - q1)), false) AS tk FROM h5 JOIN (SELECT city_id, quantile_cont(t, 0.25) AS q1, quantile_cont(t, 0.75) AS q3, count(t) AS n FROM h5 GROUP BY 1) USING (city_id))
+h5 AS (SELECT city_id, ts_local, t_out, h_out, t_null, h_null, tg, hg, CASE WHEN t IS NULL AND tg <= 3 THEN (coalesce(tp, tn) + coalesce(tn, tp)) / 2 ELSE t END AS t, t IS NULL AND tg <= 3 AND coalesce(tp, tn) IS NOT NULL AS tf, CASE WHEN h IS NULL AND hg <= 3 THEN (coalesce(hp, hn) + coalesce(hn, hp)) / 2 ELSE h END AS h, h IS NULL AND hg <= 3 AND coalesce(hp, hn) IS NOT NULL AS hf FROM h4),
+h6 AS (SELECT *, coalesce(n >= 8 AND (t < q1 - 1.5 * (q3 - q1) OR t > q3 + 1.5 * (q3 - q1)), false) AS tk, coalesce(hn >= 8 AND (h < h1 - 1.5 * (h3 - h1) OR h > h3 + 1.5 * (h3 - h1)), false) AS hk
+    FROM h5 JOIN (SELECT city_id, quantile_cont(t, 0.25) AS q1, quantile_cont(t, 0.75) AS q3, count(t) AS n, quantile_cont(h, 0.25) AS h1, quantile_cont(h, 0.75) AS h3, count(h) AS hn FROM h5 GROUP BY 1) USING (city_id))
 """
 _COLUMNS = ["temperature_2m", "relative_humidity_2m"]
 
 
-@query("w01_w06_hourly_cleaning", "WITH " + _HOURS + "SELECT city_id, ts_local, round(t, 5) AS t, round(h, 5) AS h, tg::BIGINT AS t_gap, hg::BIGINT AS h_gap, tf AS t_filled, tk AS t_peak, t_out FROM h6", "")
+@query("w01_w06_hourly_cleaning", "WITH " + _HOURS + "SELECT city_id, ts_local, round(t, 5) AS t, round(h, 5) AS h, tg::BIGINT AS t_gap, hg::BIGINT AS h_gap, tf AS t_filled, tk AS t_peak, t_out, tk OR hk AS any_peak FROM h6", "")
 def w_clean(p: Plant) -> DataFrame:
     c = cleaned(weather_hours(p).drop("event_id"), _COLUMNS)
-    return c.select("city_id", "ts_local", F.round("temperature_2m", 5).alias("t"), F.round("relative_humidity_2m", 5).alias("h"), F.col("temperature_2m_gap").cast("long").alias("t_gap"), F.col("relative_humidity_2m_gap").cast("long").alias("h_gap"), F.col("temperature_2m_filled").alias("t_filled"), F.col("temperature_2m_peak").alias("t_peak"), F.col("temperature_2m_out").alias("t_out"))
+    return c.select("city_id", "ts_local", F.round("temperature_2m", 5).alias("t"), F.round("relative_humidity_2m", 5).alias("h"), F.col("temperature_2m_gap").cast("long").alias("t_gap"), F.col("relative_humidity_2m_gap").cast("long").alias("h_gap"), F.col("temperature_2m_filled").alias("t_filled"), F.col("temperature_2m_peak").alias("t_peak"), F.col("temperature_2m_out").alias("t_out"), "any_peak")
 
 
-@query("w07_cleaning_stats", "WITH " + _HOURS + "SELECT 'temperature_2m' AS \"column\", count(CASE WHEN t IS NULL THEN 1 END) AS nulls_after, count(CASE WHEN tf THEN 1 END) AS filled, count(CASE WHEN tg > 3 THEN 1 END) AS in_long_gaps, count(CASE WHEN t_out THEN 1 END) AS violations, count(CASE WHEN tk THEN 1 END) AS peaks FROM h6", "")
+@query("w07_cleaning_stats", "WITH " + _HOURS + """SELECT 'temperature_2m' AS "column", count(CASE WHEN t_null THEN 1 END) AS nulls_before, count(CASE WHEN t IS NULL THEN 1 END) AS nulls_after, count(CASE WHEN tf THEN 1 END) AS filled, count(CASE WHEN tg > 3 THEN 1 END) AS in_long_gaps, count(CASE WHEN t_out THEN 1 END) AS violations, 0::BIGINT AS clips, count(CASE WHEN tk THEN 1 END) AS peaks FROM h6
+UNION ALL SELECT 'relative_humidity_2m', count(CASE WHEN h_null THEN 1 END), count(CASE WHEN h IS NULL THEN 1 END), count(CASE WHEN hf THEN 1 END), count(CASE WHEN hg > 3 THEN 1 END), 0, count(CASE WHEN h_out THEN 1 END), count(CASE WHEN hk THEN 1 END) FROM h6""", "")
 def w_stats(p: Plant) -> DataFrame:
-    return cleaning_stats(cleaned(weather_hours(p).drop("event_id"), _COLUMNS), ["temperature_2m"])
+    return cleaning_stats(cleaned(weather_hours(p).drop("event_id"), _COLUMNS), _COLUMNS)
 
 
-@query("w08_city_days", "WITH " + _HOURS + "SELECT city_id, CAST(ts_local AS DATE) AS day, count(*) AS hours, round(avg(t), 6) AS mean, round(max(t), 4) AS highest, count(CASE WHEN tk THEN 1 END) AS peak_hours FROM h6 GROUP BY ALL", "")
+@query("w08_city_days", "WITH " + _HOURS + "SELECT city_id, CAST(ts_local AS DATE) AS day, count(*) AS hours, round(avg(t), 4) AS mean, round(max(t), 4) AS highest, round(sum(t), 4) AS total, count(CASE WHEN tk THEN 1 END) AS peak_hours FROM h6 GROUP BY ALL", "")
 def w_days(p: Plant) -> DataFrame:
-    c = cleaned(weather_hours(p).drop("event_id"), _COLUMNS)
-    return c.groupBy("city_id", F.to_date("ts_local").alias("day")).agg(F.count("*").alias("hours"), F.round(F.avg("temperature_2m"), 6).alias("mean"), F.round(F.max("temperature_2m"), 4).alias("highest"), F.count(F.when(F.col("temperature_2m_peak"), 1)).alias("peak_hours"))
+    return city_days(cleaned(weather_hours(p).drop("event_id"), _COLUMNS), "temperature_2m")
 
 
 @query("w09_downsample", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS n, count(*) OVER (PARTITION BY user_id) AS c FROM events) WHERE n % greatest(1, c // 20) = 0", "")
@@ -199,6 +208,37 @@ def p_annual(p: Plant) -> DataFrame:
     return g.select("workshop_code", F.round(1000 * F.try_divide("e_2024", "q_2024"), 4).alias("ue_2024"), F.round(1000 * F.try_divide("e_2025", "q_2025"), 4).alias("ue_2025"), F.round(due, 3).alias("due_tce"), F.round(F.col("e_2025") - due, 3).alias("gap_tce"))
 
 
+def annual_baseline(days: DataFrame, production: DataFrame) -> DataFrame:
+    """Per year and workshop energy, cost, carbon, output, days and intensity. Keys of one side only are counted: both must be 0 for a sound baseline."""
+    d = days.select("record_date", "workshop_code", "tce", "cost_yuan", "co2_t", F.lit(1).alias("_d"))
+    both = d.join(production.select("record_date", "workshop_code", "output_qty", F.lit(1).alias("_p")), ["record_date", "workshop_code"], "full")
+    total = lambda c: F.sum(c).cast("double")
+    rows = both.groupBy(F.year("record_date").alias("year"), "workshop_code").agg(
+        total("tce").alias("tce"), total("cost_yuan").alias("cost_yuan"), total("co2_t").alias("co2_t"), total("output_qty").alias("output_qty"), F.count(F.when(F.col("_d") + F.col("_p") == 2, 1)).alias("days"),
+        F.count(F.when(F.col("_p").isNull(), 1)).alias("without_output"), F.count(F.when(F.col("_d").isNull(), 1)).alias("without_energy"),
+    )
+    return rows.withColumn("kgce_per_unit", F.try_divide(F.col("tce") * 1000, F.col("output_qty")))
+
+
+@query("p01_annual_totals", """b AS (SELECT coalesce(d.record_date, p.record_date) AS record_date, coalesce(d.workshop_code, p.workshop_code) AS workshop_code, tce, cost_yuan, co2_t, output_qty, d.record_date IS NOT NULL AS e, p.record_date IS NOT NULL AS o FROM days d FULL JOIN production p ON d.record_date = p.record_date AND d.workshop_code = p.workshop_code)
+SELECT year(record_date) AS year, workshop_code, sum(tce)::DOUBLE AS tce, sum(cost_yuan)::DOUBLE AS cost_yuan, sum(co2_t)::DOUBLE AS co2_t, sum(output_qty)::DOUBLE AS output_qty, count(CASE WHEN e AND o THEN 1 END) AS days, count(CASE WHEN NOT o THEN 1 END) AS without_output, count(CASE WHEN NOT e THEN 1 END) AS without_energy, round(sum(tce)::DOUBLE * 1000 / sum(output_qty)::DOUBLE, 6) AS kgce_per_unit FROM b GROUP BY ALL""")
+def p_totals(p: Plant) -> DataFrame:
+    return annual_baseline(p.days, p.production).withColumn("kgce_per_unit", F.round("kgce_per_unit", 6))
+
+
+def savings_scenarios(rows: DataFrame, rates: tuple[int, ...] = (3, 5, 10)) -> DataFrame:
+    """What some percent less would save per workshop and energy."""
+    sums = rows.groupBy("workshop_code", "energy_code").agg(*(F.sum(c).cast("double").alias(c) for c in ("std_coal_kgce", "co2_kg", "cost")))
+    saved = lambda c, k: F.col(c) * F.col("rate_pct") / (100.0 * k)
+    return sums.withColumn("rate_pct", F.explode(F.array(*(F.lit(r) for r in rates)))).select("workshop_code", "energy_code", "rate_pct", saved("std_coal_kgce", 1000).alias("saved_tce"), saved("co2_kg", 1000).alias("saved_co2_t"), saved("cost", 1).alias("saved_yuan"))
+
+
+@query("p03_savings_scenarios", "t AS (SELECT workshop_code, energy_code, sum(std_coal_kgce)::DOUBLE AS e, sum(co2_kg)::DOUBLE AS c, sum(cost)::DOUBLE AS y FROM v WHERE year(record_date) = 2025 GROUP BY ALL) SELECT workshop_code, energy_code, rate AS rate_pct, round(e * rate / 100000, 5) AS saved_tce, round(c * rate / 100000, 5) AS saved_co2_t, round(y * rate / 100, 5) AS saved_yuan FROM t, (VALUES (3), (5), (10)) g(rate)")
+def p_scenarios(p: Plant) -> DataFrame:
+    rows = savings_scenarios(p.enriched.filter(F.year("record_date") == 2025))
+    return rows.withColumns({c: F.round(c, 5) for c in ("saved_tce", "saved_co2_t", "saved_yuan")})
+
+
 @query("p06_p07_queue_and_sensitivity", "WITH " + _PEERS + "SELECT share::DOUBLE AS share_pct, round(sum(excess) * share / 100, 4) AS saved FROM c, (VALUES (10), (25), (50)) g(share) WHERE candidate GROUP BY share", "")
 def p_sensitivity(p: Plant) -> DataFrame:
     c = peer_screen(usage_rows(p), ["load_type", "day_type", "part"], "usage", F.dayofmonth("ts") <= 24).filter("candidate").agg(F.sum("excess").alias("x"))
@@ -234,27 +274,105 @@ def without_issues(readings: DataFrame, issues: DataFrame) -> DataFrame:
     return readings.join(i, (F.col("asset_id") == F.col("_a")) & (F.col("time") >= F.col("issue_start")) & (F.col("time") < F.col("_end")), "left_anti")
 
 
+def asset_summary(readings: DataFrame, signals: DataFrame, windows: DataFrame, issues: DataFrame) -> DataFrame:
+    """Per asset the quarter hours, energy and mean power of sound readings: of all phases, in a reliable window, in no quality interval, finite and not negative.
+
+    Readings have asset_id, time, signal_id, value and observation_window_id; signals and windows are small dimensions, so Spark may broadcast them.
+    """
+    sound = readings.filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.col("value") >= 0) & (F.col("value") != float("inf")))
+    rows = sound.join(signals.filter("phase = 'all'").select("signal_id"), "signal_id", "left_semi").join(windows.filter("is_reliable_window").select("observation_window_id"), "observation_window_id", "left_semi")
+    return without_issues(rows, issues).groupBy("asset_id").agg(F.count("*").alias("windows"), F.sum("value").alias("kwh"), (4 * F.avg("value")).alias("mean_kw"))
+
+
+def asset_issues(p: Plant) -> DataFrame:
+    day = F.date_trunc("day", "ts")
+    return p.table("events").filter("event_id % 97 = 0").select((F.col("user_id") % 20).alias("asset_id"), day.alias("issue_start"), F.when(F.col("event_id") % 3 != 0, day + F.expr("INTERVAL 6 HOURS")).alias("issue_end"), F.lit("2024-01-20").cast("timestamp").alias("stream_end"))
+
+
 @query("p09_j07_asset_summary", """i AS (SELECT user_id % 20 AS asset_id, date_trunc('day', ts) AS a, CASE WHEN event_id % 3 = 0 THEN TIMESTAMP '2024-01-20 00:00:00' ELSE date_trunc('day', ts) + INTERVAL 6 HOURS END AS b FROM events WHERE event_id % 97 = 0), r AS (SELECT user_id % 20 AS asset_id, ts, value FROM events WHERE value >= 0)
 SELECT asset_id, count(*) AS windows, round(sum(value), 4) AS kwh, round(4 * avg(value), 6) AS mean_kw FROM r WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.asset_id = r.asset_id AND r.ts >= i.a AND r.ts < i.b) GROUP BY 1""".replace("i AS", "WITH i AS", 1), "")
 def p_assets(p: Plant) -> DataFrame:
-    e = p.table("events")
-    day = F.date_trunc("day", "ts")
-    issues = e.filter("event_id % 97 = 0").select((F.col("user_id") % 20).alias("asset_id"), day.alias("issue_start"), F.when(F.col("event_id") % 3 != 0, day + F.expr("INTERVAL 6 HOURS")).alias("issue_end"), F.lit("2024-01-20").cast("timestamp").alias("stream_end"))
-    readings = e.filter("value >= 0").select((F.col("user_id") % 20).alias("asset_id"), F.col("ts").alias("time"), "value")
+    issues = asset_issues(p)
+    readings = p.table("events").filter("value >= 0").select((F.col("user_id") % 20).alias("asset_id"), F.col("ts").alias("time"), "value")
     return without_issues(readings, issues).groupBy("asset_id").agg(F.count("*").alias("windows"), F.round(F.sum("value"), 4).alias("kwh"), F.round(4 * F.avg("value"), 6).alias("mean_kw"))
 
 
-@query("p10_asset_day_queue", """WITH d AS (SELECT user_id % 20 AS asset_id, CAST(ts AS DATE) AS day, CASE WHEN isodow(ts) >= 6 THEN 'weekend' ELSE 'weekday' END AS day_type, count(*) AS n, sum(value) AS kwh FROM events WHERE value >= 0 GROUP BY ALL), u AS (SELECT * FROM d WHERE n >= 3), b AS (SELECT asset_id, day_type, count(*) AS nb, median(kwh) AS med, quantile_cont(kwh, 0.95) AS p95 FROM u WHERE day < DATE '2024-01-22' GROUP BY ALL)
-SELECT asset_id, day, round(kwh, 4) AS kwh, round(greatest(1.1 * p95, p95 + 2), 4) AS threshold, round(kwh - greatest(1.1 * p95, p95 + 2), 4) AS excess FROM u JOIN b USING (asset_id, day_type) WHERE day >= DATE '2024-01-22' AND nb >= 4 AND kwh > greatest(1.1 * p95, p95 + 2)""", "")
-def p_queue(p: Plant) -> DataFrame:
-    e = p.table("events").filter("value >= 0")
+@query("p09_sound_readings", """WITH i AS (SELECT user_id % 20 AS asset_id, date_trunc('day', ts) AS a, CASE WHEN event_id % 3 = 0 THEN TIMESTAMP '2024-01-20 00:00:00' ELSE date_trunc('day', ts) + INTERVAL 6 HOURS END AS b FROM events WHERE event_id % 97 = 0), r AS (SELECT user_id % 20 AS asset_id, ts, value FROM events WHERE value >= 0 AND event_id % 29 <> 0 AND event_type IN ('view', 'click') AND user_id % 50 % 7 <> 3)
+SELECT asset_id, count(*) AS windows, round(sum(value), 5) AS kwh, round(4 * avg(value), 6) AS mean_kw FROM r WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.asset_id = r.asset_id AND r.ts >= i.a AND r.ts < i.b) GROUP BY 1""", "")
+def p_sound(p: Plant) -> DataFrame:
+    """Event types play signals, of which two are of all phases; some values aren't numbers."""
+    e = p.table("events")
+    value = F.when(F.col("event_id") % 29 == 0, float("nan")).otherwise(F.col("value"))
+    readings = e.select((F.col("user_id") % 20).alias("asset_id"), F.col("ts").alias("time"), F.col("event_type").alias("signal_id"), (F.col("user_id") % 50).alias("observation_window_id"), value.alias("value"))
+    signals = e.select(F.col("event_type").alias("signal_id"), F.when(F.col("event_type").isin("view", "click"), "all").otherwise("L1").alias("phase")).distinct()
+    windows = e.select((F.col("user_id") % 50).alias("observation_window_id")).distinct().withColumn("is_reliable_window", F.col("observation_window_id") % 7 != 3)
+    return asset_summary(readings, signals, windows, asset_issues(p)).select("asset_id", "windows", F.round("kwh", 5).alias("kwh"), F.round("mean_kw", 6).alias("mean_kw"))
+
+
+def asset_day_queue(days: DataFrame, cutoff: str, usable: int = 80, least: int = 20, factor: float = 1.25, network: tuple = ()) -> DataFrame:
+    """P10: days (asset_id, day, day_type, windows, kwh, asset_type) after the cutoff whose energy lies above max(factor x P95, P95 + 2) of the asset's earlier
+    usable days of that type. Network meters (asset types in `network`) are left out: they sum up others."""
+    sound = days.filter((F.col("windows") >= usable) & ~F.coalesce(F.col("asset_type").isin(*network), F.lit(False)))
+    cut = F.to_date(F.lit(cutoff))
+    base = sound.filter(F.col("day") < cut).groupBy("asset_id", "day_type").agg(F.count("*").alias("base_days"), F.median("kwh").alias("median_kwh"), F.percentile("kwh", F.lit(0.95)).alias("p95_kwh"))
+    rows = sound.filter(F.col("day") >= cut).join(base.filter(F.col("base_days") >= least), ["asset_id", "day_type"])
+    rows = rows.withColumn("threshold", F.greatest(F.lit(factor) * F.col("p95_kwh"), F.col("p95_kwh") + 2)).filter("kwh > threshold")
+    return rows.select("asset_id", "day", "day_type", "kwh", "median_kwh", "threshold", (F.col("kwh") - F.col("threshold")).alias("excess"))
+
+
+def asset_days(p: Plant) -> DataFrame:
     kind = F.when(F.weekday("ts") >= 5, "weekend").otherwise("weekday")
-    days = e.groupBy((F.col("user_id") % 20).alias("asset_id"), F.to_date("ts").alias("day"), kind.alias("day_type")).agg(F.count("*").alias("n"), F.sum("value").alias("kwh")).filter("n >= 3")
-    cut = F.to_date(F.lit("2024-01-22"))
-    base = days.filter(F.col("day") < cut).groupBy("asset_id", "day_type").agg(F.count("*").alias("nb"), F.percentile("kwh", F.lit(0.95)).alias("p95"))
-    threshold = F.greatest(1.1 * F.col("p95"), F.col("p95") + 2)
-    rows = days.filter(F.col("day") >= cut).join(base, ["asset_id", "day_type"]).withColumn("t", threshold).filter("nb >= 4 AND kwh > t")
-    return rows.select("asset_id", "day", F.round("kwh", 4).alias("kwh"), F.round("t", 4).alias("threshold"), F.round(F.col("kwh") - F.col("t"), 4).alias("excess"))
+    asset = F.col("user_id") % 20
+    return p.table("events").filter("value >= 0").groupBy(asset.alias("asset_id"), F.to_date("ts").alias("day"), kind.alias("day_type")).agg(F.count("*").alias("windows"), F.sum("value").alias("kwh")).withColumn("asset_type", F.when(F.col("asset_id") % 9 == 4, "network").otherwise("machine"))
+
+
+_ASSET_DAYS = """WITH d AS (SELECT user_id % 20 AS asset_id, CAST(ts AS DATE) AS day, CASE WHEN isodow(ts) >= 6 THEN 'weekend' ELSE 'weekday' END AS day_type, count(*) AS n, sum(value) AS kwh FROM events WHERE value >= 0 GROUP BY ALL), u AS (SELECT * FROM d WHERE n >= 3), b AS (SELECT asset_id, day_type, count(*) AS nb, median(kwh) AS med, quantile_cont(kwh, 0.95) AS p95 FROM u WHERE day < DATE '2024-01-22' GROUP BY ALL)
+"""
+
+
+@query("p10_asset_day_queue", _ASSET_DAYS + "SELECT asset_id, day, round(kwh, 4) AS kwh, round(greatest(1.1 * p95, p95 + 2), 4) AS threshold, round(kwh - greatest(1.1 * p95, p95 + 2), 4) AS excess FROM u JOIN b USING (asset_id, day_type) WHERE day >= DATE '2024-01-22' AND nb >= 4 AND kwh > greatest(1.1 * p95, p95 + 2)", "")
+def p_queue(p: Plant) -> DataFrame:
+    rows = asset_day_queue(asset_days(p), "2024-01-22", 3, 4, 1.1)
+    return rows.select("asset_id", "day", *(F.round(c, 4).alias(c) for c in ("kwh", "threshold", "excess")))
+
+
+@query("p10_without_network_meters", _ASSET_DAYS + "SELECT asset_id, day, day_type, round(kwh, 4) AS kwh, round(med, 4) AS median_kwh, round(kwh - greatest(0.9 * p95, p95 + 2), 4) AS excess FROM u JOIN b USING (asset_id, day_type) WHERE day >= DATE '2024-01-22' AND nb >= 2 AND kwh > greatest(0.9 * p95, p95 + 2) AND asset_id % 9 <> 4", "")
+def p_machines(p: Plant) -> DataFrame:
+    rows = asset_day_queue(asset_days(p), "2024-01-22", 3, 2, 0.9, ("network",))
+    return rows.select("asset_id", "day", "day_type", *(F.round(c, 4).alias(c) for c in ("kwh", "median_kwh", "excess")))
+
+
+def assessments(plants: DataFrame, recommendations: DataFrame) -> DataFrame:
+    """Per assessment (id, declared, usage_kwh, production) its recommendations (id, four savings, cost, status): counts, whether they are as declared, savings of
+    all and of implemented ones (status I; I and N are known), cost and payback of implemented ones, energy per unit. Assessments without recommendations stay."""
+    saved = F.coalesce("psaved", F.lit(0)) + F.coalesce("ssaved", F.lit(0)) + F.coalesce("tsaved", F.lit(0)) + F.coalesce("qsaved", F.lit(0))
+    done = F.col("status") == "I"
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    sums = recommendations.withColumn("_s", saved).groupBy("id").agg(
+        F.count("*").alias("n"), F.count(F.when(F.col("status").isin("I", "N"), 1)).alias("known"), F.count(F.when(done, 1)).alias("implemented"), zero("_s").alias("saved"), zero(F.when(done, F.col("_s"))).alias("saved_implemented"), zero(F.when(done, F.col("cost"))).alias("cost_implemented")
+    )
+    rows = plants.join(sums, "id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n", "known", "implemented", "saved", "saved_implemented", "cost_implemented")})
+    return rows.select(
+        "id", "n", (F.col("n") == F.col("declared")).alias("as_declared"), "known", "implemented", "saved", "saved_implemented", "cost_implemented",
+        F.when(F.col("saved_implemented") > 0, F.try_divide(F.col("cost_implemented").cast("double"), F.col("saved_implemented").cast("double"))).alias("payback_years"), F.when(F.col("production") > 0, F.try_divide(F.col("usage_kwh").cast("double"), F.col("production").cast("double"))).alias("kwh_per_unit"),
+    )
+
+
+@query("p11_assessments", """WITH r AS (SELECT l_suppkey AS id, CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_discount AS DECIMAL(4,2)) + CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_tax AS DECIMAL(4,2)) + coalesce(CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_quantity AS DECIMAL(12,2)) END, 0) + CAST(l_linenumber AS DECIMAL(12,2)) AS saved, CAST(l_extendedprice AS DECIMAL(12,2)) AS cost, CASE WHEN l_linenumber = 5 THEN NULL WHEN l_linestatus = 'F' THEN 'I' ELSE 'N' END AS status FROM lineitem WHERE l_suppkey % 10 <> 3),
+c AS (SELECT l_suppkey AS id, count(*) AS n FROM lineitem GROUP BY 1), s AS (SELECT id, count(*) AS n, count(status) AS known, count(CASE WHEN status = 'I' THEN 1 END) AS implemented, sum(saved) AS saved, sum(CASE WHEN status = 'I' THEN saved END) AS si, sum(CASE WHEN status = 'I' THEN cost END) AS ci FROM r GROUP BY 1)
+SELECT s_suppkey AS id, coalesce(s.n, 0) AS n, coalesce(s.n, 0) = coalesce(c.n, 0) AS as_declared, coalesce(known, 0) AS known, coalesce(implemented, 0) AS implemented, coalesce(saved, 0)::DOUBLE AS saved, coalesce(si, 0)::DOUBLE AS saved_implemented, coalesce(ci, 0)::DOUBLE AS cost_implemented, CASE WHEN si > 0 THEN round(ci::DOUBLE / si::DOUBLE, 8) END AS payback_years, CASE WHEN s_suppkey % 4 > 0 THEN round(s_acctbal::DOUBLE / (s_suppkey % 4), 8) END AS kwh_per_unit FROM supplier LEFT JOIN c ON c.id = s_suppkey LEFT JOIN s ON s.id = s_suppkey""", "")
+def p_cases(p: Plant) -> DataFrame:
+    """Suppliers play assessments, their order lines recommendations; a tenth of the assessments has lost them."""
+    line = p.table("lineitem")
+    price = F.col("l_extendedprice").cast("decimal(12,2)")
+    r = line.filter("l_suppkey % 10 <> 3").select(
+        F.col("l_suppkey").alias("id"), (price * F.col("l_discount").cast("decimal(4,2)")).alias("psaved"), (price * F.col("l_tax").cast("decimal(4,2)")).alias("ssaved"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_quantity").cast("decimal(12,2)")).alias("tsaved"), F.col("l_linenumber").cast("decimal(12,2)").alias("qsaved"),
+        price.alias("cost"), F.when(F.col("l_linenumber") == 5, None).when(F.col("l_linestatus") == "F", "I").otherwise("N").alias("status"),
+    )
+    declared = line.groupBy(F.col("l_suppkey").alias("id")).agg(F.count("*").alias("declared"))
+    plants = p.table("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("usage_kwh"), (F.col("s_suppkey") % 4).alias("production")).join(declared, "id", "left").fillna(0, ["declared"])
+    rows = assessments(plants, r)
+    return rows.withColumns({c: F.col(c).cast("double") for c in ("saved", "saved_implemented", "cost_implemented")} | {c: F.round(c, 8) for c in ("payback_years", "kwh_per_unit")})
 
 
 @query("p11_assessment_savings", """SELECT s_nationkey AS nation, count(*) AS recommendations, round(sum(s_acctbal), 2) AS saved, count(CASE WHEN s_suppkey % 2 = 0 THEN 1 END) AS implemented, round(sum(s_suppkey) / nullif(sum(CASE WHEN s_acctbal > 0 THEN s_acctbal END), 0), 6) AS payback FROM supplier GROUP BY 1""", "")
