@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wattmill.operators import analyses, cleaning, features, hourly, quality, report, warehouse  # noqa: F401  (each registers its queries)
 from wattmill.plans.catalog import ORACLES, QUERIES
-from wattmill.sources import files as _files  # noqa: F401
+from wattmill.sources import queries as _sources  # noqa: F401
 from wattmill.streaming import queries as _streaming  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]

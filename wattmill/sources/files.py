@@ -8,10 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattmill.operators.views import Plant
-from wattmill.plans.catalog import query
-from wattmill.streaming import power
-
 RAW_COLUMNS = ("record_date", "workshop_code", "workshop_name", "energy_code", "energy_name", "consumption", "unit", "unit_price", "cost", "output_qty", "output_unit", "avg_temperature", "record_status", "data_source", "updated_at")
 
 
@@ -76,9 +72,11 @@ def kafka_snapshot(spark: SparkSession, servers: str, topic: str, ending: str) -
     return spark.read.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "earliest").option("endingOffsets", ending).load()
 
 
-def read_event_log(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
-    """(events, rejects with a reason) of a log with one JSON object a line."""
-    parsed = power.parsed_events(lines.withColumn(column, F.col(column).cast("binary")), column)
+def read_event_log(lines: DataFrame, parse: Callable[[DataFrame, str], DataFrame], column: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(events, rejects with a reason) of a log with one JSON object a line. `parse` gives typed events with `reason` and `quality_error`
+    (`streaming.power.parsed_events`); what either names rejects the line, the first before the second."""
+    parsed = parse(lines.withColumn(column, F.col(column).cast("binary")), column)
+    parsed = parsed.withColumn("reason", F.coalesce("reason", "quality_error"))
     return parsed.filter("reason IS NULL"), parsed.filter("reason IS NOT NULL")
 
 
@@ -110,32 +108,31 @@ def write_single_csv(rows: DataFrame, path: str) -> None:
     rows.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def timed(job: Callable[[], DataFrame], spark: SparkSession, name: str, log: str) -> None:
-    """Runs a job's query to the end and appends name, seconds and rows to a log."""
-    import time
+def write_cleaned(rows: DataFrame, days: DataFrame, stats: DataFrame, path: str) -> None:
+    """Cleaned rows as Parquet, the days' summary as Parquet and one CSV file, the statistics beside them; all overwritten."""
+    rows.write.mode("overwrite").parquet(f"{path}/rows")
+    days.write.mode("overwrite").parquet(f"{path}/days")
+    write_single_csv(days, f"{path}/days-csv")
+    write_single_csv(stats, f"{path}/stats")
 
-    began = time.time()
-    rows = job().count()
-    spark.createDataFrame([(name, time.time() - began, rows)], "job string, seconds double, n_rows long").coalesce(1).write.mode("append").json(log)
 
+def star_views(spark: SparkSession, folder: str, tables: tuple[str, ...]) -> dict[str, DataFrame]:
+    """A folder's Parquet tables as frames and as temporary views of their names."""
+    frames = {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in tables}
+    for name, frame in frames.items():
+        frame.createOrReplaceTempView(name)
+    return frames
 
-@query("s04_incremental_window", "SELECT source_id, cost::DOUBLE AS cost FROM records WHERE updated_at >= TIMESTAMP '1995-01-01' AND updated_at < TIMESTAMP '1995-02-01'")
-def s_window(p: Plant) -> DataFrame:
-    at = lambda d: F.lit(d).cast("timestamp")
-    return updated_between(p.records, at("1995-01-01"), at("1995-02-01")).select("source_id", F.col("cost").cast("double").alias("cost"))
 
+def read_sheets(spark: SparkSession, folder: str, sheets: dict[str, str]) -> dict[str, DataFrame]:
+    """A workbook's sheets, exported as CSV with a header, by their declared columns (name -> DDL); what can't be read as its type is null."""
+    return {name: spark.read.schema(columns).option("header", True).option("mode", "PERMISSIVE").csv(f"{folder}/{name}") for name, columns in sheets.items()}
 
-@query("s12_event_log", "SELECT count(CASE WHEN event_id % 5 <> 0 THEN 1 END) AS accepted, count(CASE WHEN event_id % 5 = 0 THEN 1 END) AS rejected FROM events", "")
-def s_log(p: Plant) -> DataFrame:
-    at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    e = F.struct(F.lit(1).alias("schema_version"), F.col("event_id").cast("string").alias("event_id"), at.alias("event_time"), at.alias("updated_at"), F.lit("DELETE").alias("op"), F.date_format("ts", "yyyy-MM-dd").alias("record_date"), F.lit("W01").alias("workshop_code"), F.lit("E01").alias("energy_code"))
-    lines = p.table("events").select(F.when(F.col("event_id") % 5 == 0, "{not json").otherwise(F.to_json(e)).alias("value"))
-    good, bad = read_event_log(lines)
-    both = good.select(F.lit(1).alias("ok")).unionByName(bad.select(F.lit(0).alias("ok")))
-    return both.agg(F.count(F.when(F.col("ok") == 1, 1)).alias("accepted"), F.count(F.when(F.col("ok") == 0, 1)).alias("rejected"))
 
+def timed(job: Callable[[], DataFrame], spark: SparkSession, name: str, log: str) -> None:
+    """Runs a job's query to the end and appends name, seconds and rows to a log."""
+    import time
 
-@query("s13_document_ingest", "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'not_finite' WHEN event_id % 11 = 0 THEN 'invalid_json' END AS problem FROM events", "")
-def s_ingest(p: Plant) -> DataFrame:
-    text = F.when(F.col("event_id") % 7 == 0, '{"k": NaN}').when(F.col("event_id") % 11 == 0, '{"k": ').otherwise(F.col("props"))
-    return ingest(p.table("events").select("event_id", text.alias("text")), "json").select("event_id", "problem")
+    began = time.time()
+    rows = job().count()
+    spark.createDataFrame([(name, time.time() - began, rows)], "job string, seconds double, n_rows long").coalesce(1).write.mode("append").json(log)
