@@ -337,7 +337,7 @@ def brute_katz(train, scored):
     return [sum(math.log10(p2(v, x)) for v, x in zip([None, *w[:-1]], w)) for w in scored], p2, uni
 
 
-@pytest.mark.parametrize("sizes", [{}, {"lexicon_size": 50, "hot_words": 20, "bucket_tokens": 3_000}, {"lexicon_size": 1, "hot_words": 1, "bucket_tokens": 300}, {"lexicon_size": 0, "hot_words": 0, "bucket_tokens": 50_000}])
+@pytest.mark.parametrize("sizes", [{}, {"lexicon_size": 50, "hot_words": 20, "bucket_tokens": 3_000, "near_words": 400}, {"lexicon_size": 1, "hot_words": 1, "bucket_tokens": 300, "near_words": 0}, {"lexicon_size": 0, "hot_words": 0, "bucket_tokens": 50_000}])
 def test_language_model_counts_every_pair(both, sizes):
     """Scores are those of Katz over all word pairs, whatever is sent to the tasks."""
     apart = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2

@@ -12,7 +12,8 @@ A pair's count and the documents that ask for it need the same shuffle, so there
   - `contexts` writes the table of contexts, by hash bucket: their counts by class, the unigram mass of their followers, and the backoff weight;
   - `partial_sums` turns counts into probabilities, once the corpus's discounts are known; sums go back by batch and come together in `totals`;
   - `far_sums` joins what unseen pairs need of rare words (unigram, backoff weight) with the table of contexts.
-The `LEXICON` most frequent words are sent to tasks: by their numbers pairs are short. What is sent has a fixed size whatever the corpus. A bucket holds about
+The `LEXICON` most frequent words are sent to tasks: by their numbers pairs are short; of the `NEAR` most frequent ones, hashes and counts. What is sent has a
+fixed size whatever the corpus; what isn't among it is joined. A bucket holds about
 `BUCKET_TOKENS` tokens; a pair outside the hot words is as frequent as its rarer word at most.
 
 Null and empty texts have one token, the end; long texts are read whole. Repeated rows are trained on and scored each. Without training rows every token goes to
@@ -22,7 +23,7 @@ the unseen mass. An empty table gives no rows. Columns other than doc_id and tex
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +31,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +39,10 @@ from wattmill.llm.common import crc_mod, small_batches, written
 
 #: Words sent to the tasks; words whose pairs among each other are counted in a table of fixed size; counts up to CUT are discounted.
 LEXICON, HOT, CUT = 200_000, 500, 5
+#: Words whose counts alone are sent to the tasks that count pairs: 12 bytes each.
+NEAR = 1_000_000
 #: Buckets of the written word tables; distinct words that a task holds before it hands on counts; tokens in a bucket of pairs, about.
-BUCKETS, HELD_WORDS, BUCKET_TOKENS = 16, 300_000, 1_500_000
+BUCKETS, HELD_WORDS, BUCKET_TOKENS = 16, 150_000, 1_000_000
 #: The hash of the end, which no word has (that of empty bytes).
 END_HASH = np.uint64(xxhash.xxh64_intdigest(b"", 42)).view(np.int64).item()
 CLASSES = [f"k{r}" for r in range(1, CUT + 1)]
@@ -84,8 +87,12 @@ class Unigrams:
     unseen: float
 
     def probability(self, count: np.ndarray) -> np.ndarray:
-        factor = np.array([*self.factors, 1.0])[np.minimum(count, CUT + 1)]
-        return np.where(count > 0, self.scale * factor * count / max(1, self.tokens), self.unseen)
+        return self.probabilities()(count)
+
+    def probabilities(self) -> Callable[[np.ndarray], np.ndarray]:
+        """`probability` without the table, for tasks."""
+        factors, scale, tokens, unseen = np.array([*self.factors, 1.0]), self.scale, max(1, self.tokens), self.unseen
+        return lambda count: np.where(count > 0, scale * factors[np.minimum(count, CUT + 1)] * count / tokens, unseen)
 
     def column(self, count: Column) -> Column:
         """The same as a Spark column; null counts are unseen."""
@@ -138,27 +145,45 @@ class Lexicon:
     p: np.ndarray
     hashes: np.ndarray
     hot: int
+    #: Sorted hashes of the `NEAR` most frequent words, and their counts.
+    near: tuple[np.ndarray, np.ndarray]
 
     @property
     def size(self) -> int:
         return len(self.counts)
 
+    def near_counts(self, hashes: np.ndarray) -> np.ndarray:
+        """Counts of words by hash; 0 for those that aren't among the most frequent."""
+        known, n = self.near
+        if not len(known):
+            return np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        return np.where(known[at] == hashes, n[at].astype(np.int64), 0)
+
 
-def lexicon(model: Unigrams, size: int = LEXICON, hot: int = HOT) -> Lexicon:
-    """The most frequent words, at most `size`: those above the count at which, by a histogram over classes of counts, they fit.
+def most_frequent(table: DataFrame, size: int) -> DataFrame:
+    """The most frequent words of a table with counts `n`, at most `size`: those above the count at which, by a histogram over classes of counts, they fit.
 
     The histogram has 64 classes an octave, so a few thousand rows whatever the corpus; no task sorts or sends words that don't go in.
     """
     of_count = F.floor(F.log2(F.col("n").cast("double")) * 64).cast("int")
     fits, least = 0, 1 << 30
-    for row in sorted(model.table.groupBy(of_count.alias("bin")).count().collect(), reverse=True):
+    for row in sorted(table.groupBy(of_count.alias("bin")).count().collect(), reverse=True):
         if (fits := fits + row["count"]) > size:
             break
         least = row.bin
-    rows = model.table.filter(of_count >= least).select("word", "n").toPandas().sort_values(["n", "word"], ascending=[False, True])
+    return table.filter(of_count >= least)
+
+
+def lexicon(model: Unigrams, size: int = LEXICON, hot: int = HOT, near: int = NEAR) -> Lexicon:
+    rows = most_frequent(model.table, size).select("word", "n").toPandas().sort_values(["n", "word"], ascending=[False, True])
     words = [bytes(w) for w in rows.word]
     counts = np.concatenate(([model.ends], rows.n.to_numpy(np.int64))).astype(np.int64)
-    return Lexicon(words, counts, model.probability(counts), Ids(words).hashed(), min(hot, len(counts)))
+    known = most_frequent(model.table, near).select("hash", "n").toArrow()
+    hashes, n = known["hash"].to_numpy(), known["n"].to_numpy()
+    order = np.argsort(hashes)
+    n = n[order].astype(np.uint32) if not len(n) or n.max() < 1 << 32 else n[order]
+    return Lexicon(words, counts, model.probability(counts), Ids(words).hashed(), min(hot, len(counts)), (hashes[order], n))
 
 
 class Ids(dict):
@@ -202,7 +227,7 @@ def packed(*arrays: np.ndarray) -> bytes:
             a = a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
         parts.append(np.ascontiguousarray(a))
     head = " ".join(f"{a.dtype.str} {len(a)}" for a in parts)
-    return zstandard.compress(head.encode() + b"\n" + b"".join(a.view(np.uint8).reshape(len(a), -1).T.tobytes() for a in parts if len(a)), 1)
+    return zstandard.compress(head.encode() + b"\n" + b"".join(a.view(np.uint8).reshape(len(a), -1).T.tobytes() for a in parts if len(a)), 3)
 
 
 def unpacked(data: bytes) -> list[np.ndarray]:
@@ -237,10 +262,9 @@ def table_of(schema: str, parts: list[dict[str, pa.Array]]) -> pa.Table:
     return pa.Table.from_batches(batches)
 
 
-def emitted(docs: DataFrame, words: Lexicon, buckets: int) -> DataFrame:
+def emitted(docs: DataFrame, shared: Broadcast[Lexicon], buckets: int) -> DataFrame:
     """Packed rows of `docs` (doc_id, text, apart). Kind own: a batch's documents, what the lexicon alone says of them, and their hot pairs; pairs: a
     batch's other pairs of one bucket; hot: a task's counts of hot pairs. Batches are numbered by partition, so a repeated task repeats its numbers."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
@@ -265,7 +289,7 @@ def emitted(docs: DataFrame, words: Lexicon, buckets: int) -> DataFrame:
             trained = ~apart[hot_of]
             hot_counts += np.bincount(hot_pair[trained], hot_times[trained], hot * hot).astype(np.int64)
             doc_id = batch.column("doc_id")
-            row = packed(doc_id.fill_null(0).to_numpy(zero_copy_only=False), doc_id.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), apart.astype(np.uint8), sizes, n_known, base, hot_pair, hot_of, hot_times)
+            row = packed(doc_id.fill_null(0).to_numpy(zero_copy_only=False), doc_id.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), apart.astype(np.uint8), sizes, n_known, base, np.diff(hot_pair, prepend=0), hot_of, hot_times)
             name = (task << 24) + number
             rows = [(-1 - name % 64, "own", name, row)]
             v, w, of, times = v[~is_hot], w[~is_hot], of[~is_hot], times[~is_hot]
@@ -289,11 +313,11 @@ def emitted(docs: DataFrame, words: Lexicon, buckets: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "apart").mapInArrow(run, EMITTED)
 
 
-def counted(rows: DataFrame, words: Lexicon) -> DataFrame:
+def counted(rows: DataFrame, shared: Broadcast[Lexicon], model: Unigrams) -> DataFrame:
     """Buckets counted. Kind own: as before; hot (v: number of the pair, n); seen (v: a count up to CUT + 1, n: pairs with it); ctx: a context `v` with
-    its count n, pairs by count (k1 and so on; big: the sum of larger counts) and the mass p of its followers in the lexicon; rare: a context v with a follower w
-    outside; occ: who asked for the bucket's pairs."""
-    shared = rows.sparkSession.sparkContext.broadcast(words)
+    its count n, pairs by count (k1 and so on; big: the sum of larger counts) and the mass p of its followers whose counts it has; rare: a context v with a follower w
+    whose count the task doesn't have; occ: who asked for the bucket's pairs."""
+    probability = model.probabilities()
 
     def pairs(group: pa.Table, words: Lexicon) -> list[dict[str, pa.Array]]:
         size, parts = words.size, []
@@ -302,13 +326,16 @@ def counted(rows: DataFrame, words: Lexicon) -> DataFrame:
             v, rising, w, of, times, rare = unpacked(data.as_py())
             v = np.cumsum(v) if rising[0] else v
             full = lambda c: np.where(c < size, words.hashes[np.minimum(c, size - 1)], rare[np.maximum(c - size, 0)] if len(rare) else 0)
-            number = lambda c: np.where(c < size, c, -1)
-            parts.append((full(v), number(v), full(w), number(w), of, times, np.full(len(v), at)))
-        v, v_no, w, w_no, of, times, batch = (np.concatenate(x) for x in zip(*parts))
+            number = lambda c: np.where(c < size, c, -1).astype(np.int32)
+            parts.append((full(v), number(v), full(w), number(w), of.astype(np.int32), times.astype(np.int32), np.full(len(v), at, np.int32)))
+        columns = [np.concatenate(x) for x in zip(*parts)]
+        parts.clear()
+        rolled = columns[2].view(np.uint64)
+        order = np.argsort(columns[0].view(np.uint64) ^ (rolled << np.uint64(1) | rolled >> np.uint64(63)), kind="stable")
+        for i in range(len(columns)):  # one by one, so that only one of them is there twice
+            columns[i] = columns[i][order]
+        v, v_no, w, w_no, of, times, batch = columns
         trained = (of & 1) == 0
-        rolled = w.view(np.uint64)
-        order = np.argsort(v.view(np.uint64) ^ (rolled << np.uint64(1) | rolled >> np.uint64(63)), kind="stable")
-        v, v_no, w, w_no, of, times, batch, trained = (x[order] for x in (v, v_no, w, w_no, of, times, batch, trained))
         first = np.flatnonzero(np.concatenate(([True], (v[1:] != v[:-1]) | (w[1:] != w[:-1]))))
         n = np.add.reduceat(times * trained, first)
         pair = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(v))))
@@ -316,9 +343,11 @@ def counted(rows: DataFrame, words: Lexicon) -> DataFrame:
         per = lambda at, values=None: np.bincount(of_pair[at], values, len(context))
         kinds = [per(n == r) for r in range(1, CUT + 1)]
         big, total = per(n > CUT, n[n > CUT]).astype(np.int64), per(n >= 0, n).astype(np.int64)
-        inside = (n > 0) & (w_no[first] >= 0)
-        mass = summed(of_pair[inside], words.p[w_no[first][inside]], len(context))
-        some, outside = total > 0, (n > 0) & (w_no[first] < 0)
+        follower, some = w_no[first], total > 0
+        near = np.where(follower >= 0, words.counts[np.maximum(follower, 0)], 0)
+        near[follower < 0] = words.near_counts(w[first][follower < 0])
+        inside, outside = (n > 0) & (near > 0), (n > 0) & (near == 0)
+        mass = summed(of_pair[inside], probability(near[inside]), len(context))
         seen = np.bincount(np.minimum(n, CUT + 2), minlength=CUT + 3)[1 : CUT + 2]
         # who asked, by context; of pairs that weren't seen, also the follower
         order = np.argsort(of_pair[pair], kind="stable")
@@ -353,7 +382,8 @@ class Katz:
     """The trained model. `contexts`: hash, n, logp (log10 of the unigram), scale and back (log10 of the pairs' scale and of the backoff weight)."""
 
     unigrams: Unigrams
-    words: Lexicon
+    #: The lexicon is sent to the tasks once, for all steps.
+    words: Broadcast[Lexicon]
     rows: DataFrame
     contexts: DataFrame
     factors: np.ndarray
@@ -363,8 +393,8 @@ class Katz:
     back: np.ndarray
     scale: np.ndarray
 
-    def lookup(self) -> tuple:
-        return self.words, self.factors, self.hot_counts, self.logp, self.back, self.scale
+    def __post_init__(self) -> None:
+        self.shared = self.rows.sparkSession.sparkContext.broadcast((self.factors, self.hot_counts, self.logp, self.back, self.scale))
 
 
 def log_scale(seen: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -378,7 +408,7 @@ def contexts(rows: DataFrame, hot: DataFrame, model: Unigrams, factors: np.ndarr
     """The table of contexts, written by hash bucket. `hot` has the counts of pairs within the hot words as ctx rows."""
     sums = [*(F.sum(k).alias(k) for k in CLASSES), *(F.sum(k).alias(k) for k in ("n", "big", "p"))]
     known = rows.filter("kind = 'ctx'").select("v", "n", *CLASSES, "big", "p").unionByName(hot).groupBy("v").agg(*sums)
-    # followers outside the lexicon get their unigrams by a join; a word's count is that of the word as a context
+    # other followers get their unigrams by a join; a word's count is that of the word as a context
     p = known.select(F.col("v").alias("w"), model.column(F.col("n")).alias("_p"))
     far = rows.filter("kind = 'rare'").select("v", "w").join(p, "w").groupBy(F.col("v").alias("_v")).agg(F.sum("_p").alias("_far"))
     n = F.col("n").cast("double")
@@ -393,12 +423,13 @@ def contexts(rows: DataFrame, hot: DataFrame, model: Unigrams, factors: np.ndarr
     return written(made.withColumn("bucket", F.pmod("hash", F.lit(BUCKETS))), "contexts", "bucket")
 
 
-def katz(docs: DataFrame, lexicon_size: int = LEXICON, hot_words: int = HOT, bucket_tokens: int = BUCKET_TOKENS) -> Katz:
+def katz(docs: DataFrame, lexicon_size: int = LEXICON, hot_words: int = HOT, bucket_tokens: int = BUCKET_TOKENS, near_words: int = NEAR) -> Katz:
     """Trains on the rows of `docs` (doc_id, text, apart) that aren't apart; pairs of all rows are counted and kept for scoring."""
     spark = docs.sparkSession
     model = unigrams(docs.filter(~F.col("apart")))
-    words = lexicon(model, lexicon_size, hot_words)
-    rows = written(counted(emitted(docs, words, max(1, -(-model.tokens // bucket_tokens))), words), "pairs", "kind")
+    words = lexicon(model, lexicon_size, hot_words, near_words)
+    shared = spark.sparkContext.broadcast(words)
+    rows = written(counted(emitted(docs, shared, max(1, -(-model.tokens // bucket_tokens))), shared, model), "pairs", "kind")
     hot_counts = np.zeros(words.hot**2, np.int64)
     found = rows.filter("kind = 'hot'").groupBy("v").agg(F.sum("n").alias("n")).toPandas()  # at most hot_words squared rows
     hot_counts[found.v.to_numpy(np.int64)] = found.n.to_numpy(np.int64)
@@ -413,7 +444,7 @@ def katz(docs: DataFrame, lexicon_size: int = LEXICON, hot_words: int = HOT, buc
     short = table.join(F.broadcast(spark.createDataFrame(number, "hash long, number long")), "hash").select("number", "back", "scale").toPandas()  # at most the lexicon
     back, scale = np.zeros(words.size), np.zeros(words.size)
     back[short.number], scale[short.number] = short.back, short.scale
-    return Katz(model, words, rows, table, factors, hot_counts, np.log10(words.p), back, scale)
+    return Katz(model, shared, rows, table, factors, hot_counts, np.log10(words.p), back, scale)
 
 
 SUMS, FAR = "batch long, data binary", "batch long, doc long, hash long, as_word boolean, times long"
@@ -421,18 +452,19 @@ SUMS, FAR = "batch long, data binary", "batch long, doc long, hash long, as_word
 
 def asked(model: Katz, far: bool) -> DataFrame:
     """What buckets say of the documents that asked: with `far` what is to be looked up in the table of contexts, else sums by batch."""
-    shared = model.rows.sparkSession.sparkContext.broadcast(model.lookup())
+    lexicon, shared, probability = model.words, model.shared, model.unigrams.probabilities()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, factors, _, logp, back, hot_scale = shared.value
+        words, (factors, _, logp, back, hot_scale) = lexicon.value, shared.value
         for data in (x for b in batches for x in b.column(0)):
             names, asked, n, batch, doc, times, w, w_no, context, v_no, total, big, *kinds = unpacked(data.as_py())
             at, unseen, v_no, w_no = np.cumsum(asked), n == 0, v_no - 1, w_no - 1
             is_hot = (v_no >= 0) & (v_no < words.hot)
             total = np.where(is_hot, words.counts[np.maximum(v_no, 0)], total)
             trained = total[at[unseen]] > 0
+            near = words.near_counts(w)
             if far:
-                look_v, look_w = trained & (v_no[at[unseen]] < 0), w_no < 0
+                look_v, look_w = trained & (v_no[at[unseen]] < 0), (w_no < 0) & (near == 0)
                 which = np.concatenate((np.flatnonzero(unseen)[look_v], np.flatnonzero(unseen)[look_w]))
                 as_word = np.arange(len(which)) >= look_v.sum()
                 hashes = np.concatenate((context[at[unseen]][look_v], w[look_w]))
@@ -441,7 +473,7 @@ def asked(model: Katz, far: bool) -> DataFrame:
             seen = big + sum(k * (factors[r] * r) for r, k in enumerate(kinds, 1))
             own = np.where(is_hot, hot_scale[np.maximum(v_no, 0)], log_scale(seen, total)) - np.log10(np.maximum(total, 1))
             value = np.where(unseen, 0.0, np.log10(factors[np.minimum(n, CUT + 1)] * np.maximum(n, 1)) + own[at])
-            value[unseen] = np.where(trained & (v_no[at[unseen]] >= 0), back[np.maximum(v_no[at[unseen]], 0)], 0.0) + np.where(w_no >= 0, logp[np.maximum(w_no, 0)], 0.0)
+            value[unseen] = np.where(trained & (v_no[at[unseen]] >= 0), back[np.maximum(v_no[at[unseen]], 0)], 0.0) + np.where(w_no >= 0, logp[np.maximum(w_no, 0)], np.where(near > 0, np.log10(probability(near)), 0.0))
             # a word outside the lexicon stands once as a context for each time it is a token
             token = v_no[at] < 0
             key, where = np.unique(batch << 32 | doc, return_inverse=True)
@@ -458,12 +490,13 @@ TOTALS = "batch long, doc long, doc_id long, apart boolean, n_tokens long, n_kno
 
 def totals(model: Katz) -> DataFrame:
     """One row per document: its own sums, its hot pairs and what the buckets say."""
-    shared = model.rows.sparkSession.sparkContext.broadcast(model.lookup())
+    lexicon, shared = model.words, model.shared
 
     def run(group: pa.Table) -> pa.Table:
-        words, factors, hot_counts, logp, back, scale = shared.value
+        words, (factors, hot_counts, logp, back, scale) = lexicon.value, shared.value
         parts = list(zip(group.column("own").to_pylist(), group.column("data").to_pylist()))
         doc_id, no_id, apart, sizes, n_known, base, pair, of, times = unpacked(next(data for own, data in parts if own))
+        pair = np.cumsum(pair)
         v, w, n = pair // max(1, words.hot), pair % max(1, words.hot), hot_counts[pair]
         seen = np.log10(factors[np.minimum(n, CUT + 1)] * np.maximum(n, 1)) + scale[v] - np.log10(np.maximum(words.counts[v], 1))
         score = summed(of, times * np.where(n > 0, seen, back[v] + logp[w]), len(sizes))
