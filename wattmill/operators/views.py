@@ -57,26 +57,21 @@ def unit_energy_days(days: DataFrame, production: DataFrame) -> DataFrame:
 
 
 def baseline(unit_days: DataFrame, keys: tuple[str, ...] = ("workshop_code",)) -> DataFrame:
-    """Expected unit energy by 1/output and season, per workshop, from one pass of moments; residual, whitened residual, their z values.
+    """Expected unit energy by 1/output and season, per workshop, from one pass of centred moments; residual, whitened residual, their z values.
 
-    `b` is solved alone and (g, h) as a centred system of two; singular systems give null.
+    The slope on 1/output is fitted alone, those on the season's sine and cosine together; a group whose moments can't be solved has none.
     """
     angle = 2 * F.pi() * F.dayofyear("record_date") / 365.0
     d = unit_days.withColumns({"x": 1.0 / F.col("output_qty").cast("double"), "s": F.sin(angle), "c": F.cos(angle)})
-    s2 = lambda a, b=None: F.sum(F.col(a) * F.col(b) if b else F.col(a))
-    m = d.groupBy(*keys).agg(
-        F.count("*").cast("double").alias("n"), s2("x").alias("sx"), s2("x", "x").alias("sxx"), s2("ue").alias("sy"), s2("x", "ue").alias("sxy"), s2("s").alias("ss"), s2("c").alias("sc"),
-        s2("s", "s").alias("sss"), s2("c", "c").alias("scc"), s2("s", "c").alias("ssc"), s2("s", "ue").alias("ssy"), s2("c", "ue").alias("scy"),
-    )
-    centred = lambda ab, a, b: F.col("n") * F.col(ab) - F.col(a) * F.col(b)
-    ss, cc, sc, sy, cy = centred("sss", "ss", "ss"), centred("scc", "sc", "sc"), centred("ssc", "ss", "sc"), centred("ssy", "ss", "sy"), centred("scy", "sc", "sy")
-    xx, det = centred("sxx", "sx", "sx"), ss * cc - sc * sc
-    m = m.select(
-        *keys, "n", "sx", "sy", F.col("ss"), F.col("sc"),
-        F.when(xx > 0, centred("sxy", "sx", "sy") / xx).alias("b"), F.when(det > 0, (sy * cc - cy * sc) / det).alias("g"), F.when(det > 0, (cy * ss - sy * sc) / det).alias("h"),
-    )
-    m = m.select(*keys, "b", "g", "h", ((F.col("sy") - F.col("b") * F.col("sx") - F.col("g") * F.col("ss") - F.col("h") * F.col("sc")) / F.col("n")).alias("a"))
-    fitted = d.join(m, list(keys)).withColumn("yhat", F.col("a") + F.col("b") * F.col("x") + F.col("g") * F.col("s") + F.col("h") * F.col("c"))
+    means = {f"mean_{c}": F.avg(c) for c in ("x", "s", "c", "ue")}
+    spread = {"x": F.var_pop("x"), "s": F.var_pop("s"), "c": F.var_pop("c"), "sc": F.covar_pop("s", "c")} | {f"{c}_ue": F.covar_pop(c, "ue") for c in ("x", "s", "c")}
+    m = d.groupBy(*keys).agg(*(v.alias(k) for k, v in means.items()), *(v.alias(f"m_{k}") for k, v in spread.items()))
+    season = F.expr("m_s * m_c - m_sc * m_sc")
+    m = m.withColumns({
+        "b": F.when(F.col("m_x") > 0, F.col("m_x_ue") / F.col("m_x")), "g": F.when(season > 0, F.expr("m_s_ue * m_c - m_c_ue * m_sc") / season), "h": F.when(season > 0, F.expr("m_c_ue * m_s - m_s_ue * m_sc") / season),
+    })
+    m = m.select(*keys, "b", "g", "h", F.expr("mean_ue - b * mean_x - g * mean_s - h * mean_c").alias("a"))
+    fitted = d.join(m, list(keys)).withColumn("yhat", F.expr("a + b * x + g * s + h * c"))
     resid = fitted.withColumn("r", F.col("ue") - F.col("yhat"))
     by, by_month = Window.partitionBy(*keys), Window.partitionBy(*keys, F.month("record_date"))
     resid = resid.withColumn("w", F.col("r") - F.avg("r").over(by_month))
