@@ -71,17 +71,19 @@ def contamination(text, windows):
     return len(words), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(words)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 60])
-def test_contamination(spark, both, block_bytes):
+@pytest.mark.parametrize("slots, broadcast", [(decontaminate.SLOTS, 100_000), (8, 0)])
+def test_contamination(spark, both, slots, broadcast, monkeypatch):
+    """With and without what tells places apart before the join, and with broadcasts and shuffles."""
+    monkeypatch.setattr(common.small_side, "__defaults__", (broadcast,))
     items = spark.createDataFrame([(1, PASSAGE), (2, "null id text"), (3, None), (4, ""), (5, "ONE"), (1, PASSAGE), (77, "word1 word2 word3 word4")], "item_id long, text string")
     windows = collections.defaultdict(set)
     for i, t in [(r.item_id, r.text) for r in items.collect()]:
         w = WORD.findall(lower(t))
         for a in range(max(1, len(w) - 12) if w else 0):
             windows[tuple(w[a : a + 13])].add(str(i))
-    got = decontaminate.contamination_report(both, items, block_bytes).collect()
+    got = decontaminate.contamination_report(both, items, slots).collect()
     check([tuple(r) for r in got], [(i, *contamination(t, windows)) for i, t in pairs(both)])
-    kept = decontaminate.clean(both, items, block_bytes)
+    kept = decontaminate.clean(both, items, slots)
     assert kept.columns == both.columns and kept.count() == sum(not r.contaminated for r in got)
 
 

@@ -1,200 +1,193 @@
 """Benchmark decontamination: a prefix-filtered set join of item windows with documents.
 
-Benchmark items are cut into windows (13 consecutive words; a shorter item is one window). A window is a set of word shingles. To hold
-the whole window a document must hold its rarest shingle (containment of 1 leaves a prefix of one), so only that one is joined: rarity
-is the shingle's count over all documents. A document's matching shingle fixes where the window would start; windows that would
-leave the document are cut by length and position, and the rest are compared word by word over the window.
-
-The benchmark is read in blocks of at most `block_bytes`, each sent to the tasks in turn, so what tasks hold is bounded whatever the
-benchmark's size. Document rows never shuffle: each passes its rows' hits on, and texts are read whole.
-
-Words are runs of characters outside ASCII non-alphanumerics, A-Z lower-cased. A null text or item has no words. Repeated document rows
-are judged one by one, repeated items count once by id; a null item id counts as `null`. Columns other than those named are carried along.
+Benchmark items are cut into windows (13 consecutive words; a shorter item is one window), a window into shingles of `SHINGLE` words (a shorter
+window is one). To hold the whole window a document must hold each of its shingles, so a prefix of one is enough, and the rarest over all documents is taken.
+  - `spots` reads the documents once. Of each it keeps the number of words and the places whose shingle may be one of the benchmark's (by a table of
+    bits of fixed size), with the shingle's key and the keys of the windows that would start there;
+  - places and benchmark shingles are joined, which gives each shingle's count and so the order of rarity;
+  - `occurrences` joins each window's prefix with the places. A place says where the window would start; windows that would leave the document are cut by
+    length and position, and the rest are verified over the whole window: the place where the window starts has its key.
+Words stand as 64-bit hashes; an occurrence rests on the key of its prefix and on that of all its words, 128 bits together. Tables of the benchmark are
+broadcast if they are small by count, else joined by a shuffle. No text and no item goes through the driver.
+
+Words are runs of characters outside ASCII non-alphanumerics, A-Z lower-cased. A null text or item has no words, long ones are read whole. Repeated
+document rows are judged one by one, repeated items count once by id; a null item id counts as `null`. Of shingles with equal counts the first in the window is
+taken; results don't depend on it. Empty documents give no rows; without items no document is hit. Columns other than those named are carried along.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import hashlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattmill.llm.common import small_batches, under_own_names, written
+from wattmill.llm.common import ascii_lower, small_batches, small_side, under_own_names, written
 
 WINDOW, SHINGLE = 13, 3
-#: Bytes of item texts in a block.
-BLOCK_BYTES = 1 << 20
+#: Bits of the table that tells which shingles may be the benchmark's (a power of two); words whose hashes a task holds.
+SLOTS, HELD_WORDS = 1 << 24, 200_000
 #: ASCII bytes to spaces, but for digits and letters, which are lower-cased; bytes of other characters stay.
 _TABLE = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
-_SPANS = "array<struct<first:int,last:int>>"
-
-
-def words_of(text: str | None) -> list[bytes]:
-    return text.encode().translate(_TABLE).split() if text else []
-
-
-class Windows:
-    """The windows of a block of items as word numbers, and the shingles by which they are found."""
-
-    def __init__(self, items: list[tuple[str, str | None]]):
-        words = [(name, words_of(text)) for name, text in items]
-        self.number = {w: n for n, w in enumerate(sorted({w for _, ws in words for w in ws}), 1)}  # 0: a word of no item
-        owners: dict[tuple[int, ...], set[str]] = defaultdict(set)
-        for name, ws in words:
-            ids = [self.number[w] for w in ws]
-            for start in range(max(1, len(ids) - WINDOW + 1) if ids else 0):
-                owners[tuple(ids[start : start + WINDOW])].add(name)
-        self.windows = sorted(owners)
-        self.owners = [sorted(owners[w]) for w in self.windows]
-        self.base = np.uint64(len(self.number) + 1)
-        self.rarest: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def keys(self, ids: np.ndarray, size: int) -> np.ndarray:
-        """The shingles of `size` words as numbers below 2 ** 64 (a block has fewer than 2 ** 21 different words)."""
-        out = ids[: len(ids) - size + 1].astype(np.uint64)
-        for k in range(1, size):
-            out = out * self.base + ids[k : len(ids) - size + 1 + k].astype(np.uint64)
-        return out
-
-    def size(self, window: tuple[int, ...]) -> int:
-        return min(SHINGLE, len(window))
-
-    def all_keys(self) -> dict[int, np.ndarray]:
-        found = defaultdict(list)
-        for w in self.windows:
-            found[self.size(w)].append(self.keys(np.array(w), self.size(w)))
-        return {size: np.unique(np.concatenate(keys)) for size, keys in found.items()}
-
-    def order(self, counts: dict[tuple[int, int], int]) -> None:
-        """Keeps each window's rarest shingle: by size, sorted keys with (window, offset)."""
-        found = defaultdict(list)
-        for n, w in enumerate(self.windows):
-            size = self.size(w)
-            keys = self.keys(np.array(w), size).tolist()
-            at = min(range(len(keys)), key=lambda i: (counts.get((size, keys[i]), 0), i))
-            found[size].append((keys[at], n, at))
-        for size, rows in found.items():
-            rows.sort()
-            self.rarest[size] = np.array([r[0] for r in rows], np.uint64), np.array([r[1:] for r in rows], np.int64)
-
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        get = self.number.get
-        return np.fromiter(map(get, words, repeat(0)), np.int64, len(words))
-
-    def hits(self, ids: np.ndarray) -> tuple[list[tuple[int, int]], set[str]]:
-        """Spans (first and last word) of the document that equal a window, and the items they come from."""
-        spans, items = set(), set()
-        for size, (keys, where) in self.rarest.items():
-            if len(ids) < size:
-                continue
-            known = ids > 0
-            whole = known[: len(ids) - size + 1].copy()
-            for k in range(1, size):
-                whole &= known[k : len(ids) - size + 1 + k]
-            places = np.flatnonzero(whole)
-            if not len(places):
-                continue
-            found = self.keys(ids, size)[places]
-            low, high = np.searchsorted(keys, found), np.searchsorted(keys, found, "right")
-            for place, a, b in zip(places[low < high].tolist(), low[low < high].tolist(), high[low < high].tolist()):
-                for n, offset in where[a:b].tolist():
-                    window, start = self.windows[n], place - offset
-                    if start >= 0 and start + len(window) <= len(ids) and tuple(ids[start : start + len(window)].tolist()) == window:
-                        spans.add((start, start + len(window) - 1))
-                        items.update(self.owners[n])
-        return sorted(spans), items
-
-
-def item_blocks(items: DataFrame, block_bytes: int) -> Iterator[Windows]:
-    """The items in blocks by hash of their text; a block is collected because its size is bounded."""
-    rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("string").alias("text"))
-    rows = rows.filter(F.length("text") > 0)
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // block_bytes))
-    for block in range(blocks):
-        yield Windows([tuple(r) for r in rows.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()])
-
-
-def shingle_counts(docs: DataFrame, windows: Windows) -> dict[tuple[int, int], int]:
-    """How often each shingle of the block occurs in all documents."""
-    wanted = windows.all_keys()
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = {size: np.zeros(len(keys), np.int64) for size, keys in wanted.items()}
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SPOTS = "row long, doc_id long, n_words long, digest string, pos int, key long, full array<long>"
+
+
+class Hashes(dict):
+    """Hashes of words, each taken once."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh64_intdigest(word, 7)
+        return h
+
+    def of(self, text: str | None) -> np.ndarray:
+        words = text.encode().translate(_TABLE).split() if text else []
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def keys_at(hashes: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
+    """One key for the `size` words from each place on."""
+    out = np.full(len(places), size, np.uint64)
+    for k in range(size):
+        out = ((out << np.uint64(23) | out >> np.uint64(41)) ^ hashes[places + k]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
+    return out
+
+
+def item_windows(items: DataFrame) -> DataFrame:
+    """The benchmark's windows (their words, space-joined) with their number of words and the sorted ids of their items; written."""
+    words = F.array_remove(F.split(ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), GAP), "")
+    rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), words.alias("w")).filter(F.size("w") > 0)
+    start = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - WINDOW + 1)))
+    rows = rows.select("item", "w", start.alias("i")).select("item", F.slice("w", F.col("i"), F.lit(WINDOW)).alias("w"))
+    found = rows.groupBy(F.array_join("w", " ").alias("window")).agg(F.first(F.size("w")).alias("size"), F.array_sort(F.collect_set("item")).alias("items"))
+    return written(found, "windows")
+
+
+def shingles(windows: DataFrame) -> DataFrame:
+    """Per window its key `full` and, a row each, its shingles' offsets and keys; written."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Hashes()
+        for batch in batches:
+            rows = []
+            for window in batch.column(0).to_pylist():
+                h = known.of(window)
+                size = min(SHINGLE, len(h))
+                full = keys_at(h, np.zeros(1, np.int64), len(h)).view(np.int64).item()
+                rows += [(window, len(h), full, n, k) for n, k in enumerate(keys_at(h, np.arange(len(h) - size + 1), size).view(np.int64).tolist())]
+            kinds = [pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
+            yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["window", "size", "full", "offset", "key"])
+
+    return written(windows.select("window").mapInArrow(run, "window string, size int, full long, offset int, key long"), "shingles")
+
+
+def spots(docs: DataFrame, wanted: DataFrame, sizes: list[int], slots: int) -> DataFrame:
+    """One row per document row (doc_id, n_words, the text's MD5) and one per place whose shingle may be wanted; written. `full` has a key for each of `sizes`."""
+    bits = np.zeros(slots, bool)
+    bits[wanted.select(F.col("key").bitwiseAND(F.lit(slots - 1)).alias("slot")).distinct().toArrow()["slot"].to_numpy()] = True  # at most `slots` numbers
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, known, row = shared.value, Hashes(), TaskContext.get().partitionId() << 40
+        lengths = sorted({min(SHINGLE, s) for s in sizes})
         for batch in small_batches(batches):
-            for text in batch.column(0):
-                ids = windows.numbers(words_of(text.as_py()))
-                for size, keys in wanted.items():
-                    if len(ids) >= size:
-                        found = windows.keys(ids, size)[ids[: len(ids) - size + 1] > 0]
-                        at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
-                        totals[size] += np.bincount(at[keys[at] == found], minlength=len(keys))
-        for size, keys in wanted.items():
-            some = np.flatnonzero(totals[size])
-            yield pa.record_batch([pa.array(np.full(len(some), size), pa.int32()), pa.array(keys[some].view(np.int64)), pa.array(totals[size][some])], ["size", "key", "n"])
-
-    rows = docs.select("text").mapInArrow(count, "size int, key long, n long").groupBy("size", "key").agg(F.sum("n").alias("n"))
-    return {(size, key % 2**64): n for size, key, n in rows.collect()}  # at most the block's shingles
-
-
-def found(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """`docs` with `_d_words`, `_d_hit` and `_d_items` (sorted ids of items with occurring windows)."""
-    frame = docs.select(
-        *(F.col(f"`{c}`") for c in docs.columns), F.lit(None).cast(_SPANS).alias("_d_spans"), F.lit(None).cast("array<string>").alias("_d_items"), F.lit(0).cast("long").alias("_d_words")
-    )
-    spans_type = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-    blocks = item_blocks(items, block_bytes)
-    block = next(blocks)
-    while block is not None:
-        block.order(shingle_counts(docs, block))
-
-        def join(batches: Iterator[pa.RecordBatch], windows: Windows = block) -> Iterator[pa.RecordBatch]:
-            for batch in small_batches(batches):
-                spans, owners, n = [], [], []
-                for text, old, known in zip(batch.column("text"), batch.column("_d_spans").to_pylist(), batch.column("_d_items").to_pylist()):
-                    words = words_of(text.as_py())
-                    n.append(len(words))
-                    new, items = windows.hits(windows.numbers(words))
-                    spans.append([{"first": a, "last": b} for a, b in sorted({(x["first"], x["last"]) for x in old or ()} | set(new))])
-                    owners.append(sorted({*(known or ()), *items}))
-                kept = [batch.column(i) for i in range(batch.num_columns - 3)]
-                yield pa.record_batch([*kept, pa.array(spans, spans_type), pa.array(owners, pa.list_(pa.string())), pa.array(n, pa.int64())], batch.schema.names)
-
-        frame = frame.mapInArrow(join, frame.schema)
-        block = next(blocks, None)
-        if block is not None:
-            frame = written(frame, "decontaminate")  # so that no task holds two blocks
+            if len(known) > HELD_WORDS:
+                known.clear()
+            own, parts = [], []
+            for text in batch.column("text"):
+                text = text.as_py()
+                h = known.of(text)
+                own.append((row, len(h), hashlib.md5((text or "").encode()).hexdigest()))
+                for size in lengths:
+                    if len(h) < size:
+                        continue
+                    keys = keys_at(h, np.arange(len(h) - size + 1), size)
+                    slot = keys & np.uint64(slots - 1)
+                    at = np.flatnonzero(table[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
+                    if len(at):
+                        full = np.zeros((len(at), len(sizes)), np.uint64)
+                        for k, s in enumerate(sizes):
+                            inside = at + s <= len(h)
+                            if min(SHINGLE, s) == size:
+                                full[inside, k] = keys_at(h, at[inside], s)
+                        parts.append((np.full(len(at), row), np.full(len(at), len(h)), at, keys[at], full))
+                row += 1
+            rows, n_words, at, keys, full = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 4 + (np.zeros((0, len(sizes)), np.uint64),)
+            n, m = len(own), len(rows)
+            ends = np.concatenate((np.zeros(n, np.int32), np.arange(m + 1, dtype=np.int32) * len(sizes)))
+            yield pa.record_batch(
+                [
+                    pa.array(np.concatenate(([r[0] for r in own], rows)).astype(np.int64)), pa.concat_arrays([batch.column("doc_id"), pa.nulls(m, pa.int64())]), pa.array(np.concatenate(([r[1] for r in own], n_words)).astype(np.int64)),
+                    pa.concat_arrays([pa.array([r[2] for r in own], pa.string()), pa.nulls(m, pa.string())]), pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(at.astype(np.int32))]),
+                    pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(keys.astype(np.uint64).view(np.int64))]), pa.ListArray.from_arrays(pa.array(ends), pa.array(full.reshape(-1).view(np.int64))),
+                ],
+                [x.split()[0] for x in SPOTS.split(", ")],
+            )
+
+    return written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SPOTS), "spots")
+
+
+def prefixes(places: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Each window's rarest shingle over all documents; windows with a shingle that no document has are left out. Written."""
+    counts = places.join(small_side(wanted.select("key").distinct()), "key").groupBy("key").agg(F.count("*").alias("n"))
+    rows = wanted.join(counts, "key", "left").groupBy("window", "size", "full")
+    found = rows.agg(F.count("*").alias("_all"), F.count("n").alias("_some"), F.min_by(F.struct("offset", "key"), F.struct("n", "offset")).alias("p"))
+    return written(found.filter("_all = _some").select("window", "size", "full", "p.*"), "prefixes")
+
+
+def occurrences(places: DataFrame, wanted: DataFrame, sizes: list[int]) -> DataFrame:
+    """`row`, `start`, `size`, `window` of every window in every document row; written."""
+    p = small_side(prefixes(places, wanted).withColumnRenamed("full", "_full"))
+    near = places.select("row", "n_words", "pos", "key").join(p, "key").withColumn("start", F.col("pos") - F.col("offset"))
+    near = near.filter("start >= 0 AND start + size <= n_words").select("row", "start", "size", "window", "_full")
+    number = F.lit(0)
+    for k, s in enumerate(sizes):
+        number = F.when(F.col("size") == s, k).otherwise(number)
+    starts = places.select("row", F.col("pos").alias("start"), "full")
+    return written(near.join(starts, ["row", "start"]).filter(F.get("full", number) == F.col("_full")).select("row", "start", "size", "window").distinct(), "occurrences")
+
+
+def found(docs: DataFrame, items: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """Per row of `docs` (doc_id, text): doc_id, n_words, digest (the text's MD5), n_hit and `items`, the sorted ids of items with occurring windows."""
+    windows = item_windows(items)
+    wanted = shingles(windows)
+    sizes = sorted(r.size for r in windows.select("size").distinct().collect())  # 1 to 13
+    rows = spots(docs, wanted, sizes, slots)
+    own, places = rows.filter("pos IS NULL").select("row", "doc_id", "n_words", "digest"), rows.filter("pos IS NOT NULL")
+    hits = occurrences(places, wanted, sizes)
     # spans are sorted, so each adds what lies behind the furthest end so far
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).alias("end"))
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).alias("end"))
     step = lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["last"] - F.greatest(x["first"], a["end"] + 1) + 1)).alias("n"), F.greatest(a["end"], x["last"]).alias("end"))
-    return frame.withColumn("_d_hit", F.aggregate("_d_spans", start, step, lambda a: a["n"])).drop("_d_spans")
+    spans = F.array_sort(F.collect_set(F.struct(F.col("start").alias("first"), (F.col("start") + F.col("size") - 1).alias("last"))))
+    words = hits.groupBy("row").agg(spans.alias("s")).select("row", F.aggregate("s", zero, step, lambda a: a["n"]).alias("n_hit"))
+    owners = hits.select("row", "window").distinct().join(small_side(windows.select("window", "items")), "window").select("row", F.explode("items").alias("item"))
+    names = owners.groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    both = own.join(words.join(names, "row"), "row", "left")
+    return both.select("doc_id", "n_words", "digest", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 #: The contract's rule: hit words are a twentieth of all or more.
-CONTAMINATED = "_d_hit > 0 AND 20 * _d_hit >= _d_words"
+CONTAMINATED = "n_hit > 0 AND 20 * n_hit >= n_words"
 
 
-def contamination_report(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contamination_report(docs: DataFrame, items: DataFrame, slots: int = SLOTS) -> DataFrame:
     """One row per document row: words, hit words, items and the verdict."""
-    ids = F.coalesce("_d_items", F.array().cast("array<string>"))
-    return found(docs.select("doc_id", "text"), items, block_bytes).select(
-        "doc_id",
-        F.col("_d_words").alias("n_words"),
-        F.col("_d_hit").alias("n_hit"),
-        F.size(ids).cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort(ids), ",").cast("binary"), 256).alias("items_sha256"),
-        F.expr(CONTAMINATED).alias("contaminated"),
+    return found(docs.select("doc_id", "text"), items, slots).select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), F.expr(CONTAMINATED).alias("contaminated")
     )
 
 
-def clean(docs: DataFrame, items: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of `docs` that aren't contaminated, with their own columns only."""
+def clean(docs: DataFrame, items: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """The rows of `docs` that aren't contaminated, with their own columns only. The verdict is the text's, so contaminated texts go by their MD5."""
     inner, back = under_own_names(docs, "text")
-    return found(inner, items, block_bytes).filter(f"NOT ({CONTAMINATED})").select(*back)
+    gone = written(found(inner.select(F.lit(None).cast("long").alias("doc_id"), "text"), items, slots).filter(CONTAMINATED).select("digest").distinct(), "contaminated")
+    return inner.withColumn("digest", F.md5(F.coalesce("text", F.lit("")).cast("binary"))).join(small_side(gone), "digest", "left_anti").select(*back)
 
 
 #: The same in DuckDB SQL (ids are unique in the driver's tables).
