@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattmill.operators.analyses import _CUBE, _SIGMA, day_type, month_surges, two_sigma, workshop_day_cube
 from wattmill.operators.views import Plant, ratio, thousandth
-from wattmill.plans.catalog import query
+from wattmill.plans.catalog import QUERIES, query
 from wattmill.sources.adapter import UTILITY
+from wattmill.staging import written
 
 #: Scenario: year, workshop left out, rates in percent.
 SCENARIO_YEAR, SCENARIO_WITHOUT, RATES = 2025, "W07", (3.0, 5.0, 10.0)
@@ -35,6 +38,17 @@ def r_growth(p: Plant) -> DataFrame:
     return yearly(p).select("workshop_name", pct(F.col("qty_2025") - F.col("qty_2024"), F.col("qty_2024")).alias("growth_pct"), pct(F.col("ue_2025") - F.col("ue_2024"), F.col("ue_2024")).alias("intensity_pct"), F.round(saved, 3).alias("saved_tce"), pct(saved, F.col("tce_2025")).alias("saved_pct"))
 
 
+@query("r02_saving_totals", _YEARLY + """, s AS (SELECT q5 * (u4 - u5) / 1000 AS saved FROM y WHERE q5 > 0), n AS (SELECT saved, row_number() OVER (ORDER BY saved DESC) AS n FROM s), t AS (SELECT sum(tce)::DOUBLE AS e FROM days WHERE year(record_date) = 2025)
+SELECT round(sum(saved), 3) AS saved_tce, round(100 * sum(saved) / max(e), 3) AS pct_of_year, round(100 * sum(saved) FILTER (n <= 2) / sum(saved), 2) AS top2_pct FROM n, t""")
+def r_totals_saved(p: Plant) -> DataFrame:
+    """R2: all workshops' saving against the year before, its share of the plant's energy in 2025, and that of the two largest savers."""
+    saved = yearly(p).filter("qty_2025 > 0").select("workshop_code", (F.col("qty_2025") * (F.col("ue_2024") - F.col("ue_2025")) / 1000).alias("saved"))
+    ranked = saved.withColumn("n", F.row_number().over(Window.orderBy(F.desc("saved"), "workshop_code")))  # one row a workshop
+    energy = p.days.filter(F.year("record_date") == 2025).agg(F.sum("tce").cast("double").alias("e"))
+    total = F.sum("saved")
+    return ranked.join(energy).agg(F.round(total, 3).alias("saved_tce"), F.round(100 * F.try_divide(total, F.max("e")), 3).alias("pct_of_year"), F.round(100 * F.try_divide(F.sum(F.when(F.col("n") <= 2, F.col("saved"))), total), 2).alias("top2_pct"))  # `energy` has one row
+
+
 @query("r03_converted_saving", _YEARLY + """, t AS (SELECT sum(std_coal_kgce)::DOUBLE / 1000 AS e, sum(co2_kg)::DOUBLE / 1000 AS k, sum(cost)::DOUBLE AS c FROM v) SELECT round(sum(q5 * (u4 - u5) / 1000), 3) AS saved_tce, round(sum(q5 * (u4 - u5) / 1000) * max(k / e), 3) AS saved_co2_t, round(sum(q5 * (u4 - u5) / 1000) * max(c / e), 1) AS saved_cost FROM y, t""")
 def r_converted(p: Plant) -> DataFrame:
     """A difference in tce as carbon and money at the full period's ratios; null if nothing was used."""
@@ -125,14 +139,25 @@ def r_cube(p: Plant) -> DataFrame:
 
 
 #: Metric id -> (kind, numerator, denominator, per). Ratios of sums are for one workshop that makes products.
-METRICS = {"total_tce": ("sum", "std_coal_kgce", None, 1000), "total_cost": ("sum", "cost", None, 1), "unit_energy": ("ratio_of_sums", "std_coal_kgce", "output_qty", 1)}
+#: (kind, column, denominator, divisor, kind of workshop left out); of a result its query.
+METRICS = {
+    "total_tce": ("sum", "std_coal_kgce", None, 1000, None), "total_cost": ("sum", "cost", None, 1, None), "total_co2": ("sum", "co2_kg", None, 1000, None), "product_tce": ("sum", "std_coal_kgce", None, 1000, UTILITY),
+    "unit_energy": ("ratio_of_sums", "std_coal_kgce", "output_qty", 1, None), "workshop_ranking": ("sql_result", "q03_workshop_ranking", None, 1, None),
+}
 
 
 def metric(p: Plant, name: str, first: str | None = None, last: str | None = None, workshop: str | None = None) -> DataFrame:
-    """A metric of the catalogue with date and workshop filters."""
-    kind, up, down, per = METRICS[name]
+    """A metric of the catalogue with date and workshop filters: a sum, a ratio of sums of one workshop, or a query's whole result, which takes no filter."""
+    if name not in METRICS:
+        raise KeyError(name)
+    kind, up, down, per, without = METRICS[name]
+    if kind == "sql_result":
+        if first or last or workshop:
+            raise ValueError(f"{name} is a query's result and takes no filter")
+        return QUERIES[up](p.spark, p.sf_dir)
     inside = lambda f: f.filter(F.col("record_date").between(F.to_date(F.lit(first or "1900-01-01")), F.to_date(F.lit(last or "2999-12-31"))) & (F.lit(workshop is None) | (F.col("workshop_code") == workshop)))
-    total = inside(p.enriched).agg(F.sum(up).cast("double").alias("a"))
+    rows = inside(p.enriched)
+    total = (rows.filter(F.col("process_type") != without) if without else rows).agg(F.sum(up).cast("double").alias("a"))
     if kind == "sum":
         return total.select(F.lit(name).alias("metric"), F.round(F.col("a") / per, 3).alias("value"))
     if workshop is None:
@@ -141,6 +166,12 @@ def metric(p: Plant, name: str, first: str | None = None, last: str | None = Non
     return total.join(made).select(F.lit(name).alias("metric"), F.round(F.try_divide("a", "b"), 4).alias("value"))  # one row each
 
 
+@query("r12_metric_sums", """SELECT 'total_tce' AS metric, round(sum(std_coal_kgce)::DOUBLE / 1000, 3) AS value FROM v UNION ALL SELECT 'product_tce', round(sum(std_coal_kgce)::DOUBLE / 1000, 3) FROM v WHERE process_type <> '公用工程' AND record_date <= DATE '2024-12-31' UNION ALL SELECT 'total_cost', round(sum(cost)::DOUBLE, 3) FROM v WHERE workshop_code = 'W05' UNION ALL SELECT 'total_co2', round(sum(co2_kg)::DOUBLE / 1000, 3) FROM v WHERE record_date >= DATE '2025-03-01'""")
+def r_sums(p: Plant) -> DataFrame:
+    asked = (metric(p, "total_tce"), metric(p, "product_tce", last="2024-12-31"), metric(p, "total_cost", workshop="W05"), metric(p, "total_co2", first="2025-03-01"))
+    return reduce(lambda a, b: a.unionByName(b), asked)
+
+
 @query("r12_metric_lookup", """SELECT 'unit_energy' AS metric, round((SELECT sum(std_coal_kgce)::DOUBLE FROM v WHERE workshop_code = 'W02' AND record_date >= DATE '2024-06-01') / (SELECT sum(output_qty)::DOUBLE FROM production WHERE workshop_code = 'W02' AND record_date >= DATE '2024-06-01'), 4) AS value""")
 def r_metric(p: Plant) -> DataFrame:
     return metric(p, "unit_energy", first="2024-06-01", workshop="W02")
@@ -187,6 +218,21 @@ def r_context(p: Plant) -> DataFrame:
     return near.groupBy("incident_id").agg(F.count("*").alias("days"), F.round(F.avg("tce"), 8).alias("mean_tce"))
 
 
+@query("r16_incident_evidence", _FEED + """SELECT incident_id, 'evidence' AS part, record_date AS date, score::DOUBLE AS value FROM feed UNION ALL SELECT incident_id, 'context', d.record_date, d.tce::DOUBLE FROM feed f JOIN days d ON d.workshop_code = f.workshop_code AND CASE WHEN kind = 'unit_energy' THEN d.record_date = f.record_date ELSE d.year_month = strftime(f.record_date, '%Y-%m') END
+UNION ALL SELECT incident_id, 'trend', d.record_date, d.tce::DOUBLE FROM feed f JOIN days d ON d.workshop_code = f.workshop_code AND CASE WHEN kind = 'unit_energy' THEN d.record_date BETWEEN f.record_date - 13 AND f.record_date ELSE d.year_month = strftime(f.record_date, '%Y-%m') END""")
+def r_evidence(p: Plant) -> DataFrame:
+    """Of each incident the row that shows it, the days it is of (a month's incident has the month's) and the trend: the 14 days up to it, or its month."""
+    f = anomaly_feed(p).select("incident_id", "kind", "record_date", "workshop_code", "score")
+    d = p.days.select(F.col("workshop_code").alias("w"), F.col("record_date").alias("date"), "year_month", F.col("tce").cast("double").alias("value"))
+    near = f.join(d, F.col("w") == F.col("workshop_code"))  # days of the incident's workshop
+    month = F.col("year_month") == F.date_format("record_date", "yyyy-MM")
+    day = F.col("kind") == "unit_energy"
+    part = lambda name, when: near.filter(when).select("incident_id", F.lit(name).alias("part"), "date", "value")
+    own = f.select("incident_id", F.lit("evidence").alias("part"), F.col("record_date").alias("date"), F.col("score").cast("double").alias("value"))
+    context, trend = F.when(day, F.col("date") == F.col("record_date")).otherwise(month), F.when(day, F.col("date").between(F.date_sub("record_date", 13), F.col("record_date"))).otherwise(month)
+    return own.unionByName(part("context", context)).unionByName(part("trend", trend))
+
+
 @query("r17_latest_feedback", "SELECT user_id AS incident, max(event_id) AS id, arg_max(event_type, event_id) AS status FROM events GROUP BY 1", "")
 def r_feedback(p: Plant) -> DataFrame:
     """Feedback is append-only: the largest id of an incident holds."""
@@ -213,6 +259,40 @@ def r_headlines(p: Plant) -> DataFrame:
     return w.agg(pct(F.col("process_type") == UTILITY).alias("utility_pct"), pct(F.col("n") <= 4).alias("top4_pct")).join(months)  # one row each
 
 
+@query("r19_day_and_carbon_headlines", """m AS (SELECT year_month, sum(tce)::DOUBLE AS e, sum(co2_t)::DOUBLE / sum(tce)::DOUBLE AS ci FROM days GROUP BY 1), t AS (SELECT CASE WHEN is_holiday = 1 THEN 'h' WHEN is_weekend = 1 THEN 'w' ELSE 'd' END AS kind, sum(std_coal_kgce)::DOUBLE / 1000 / count(DISTINCT record_date) AS e FROM v GROUP BY 1)
+SELECT round((SELECT max(e) FROM m), 3) AS peak_tce, round((SELECT min(e) FROM m), 3) AS trough_tce, round((SELECT max(ci) FROM m), 6) AS ci_max, round((SELECT min(ci) FROM m), 6) AS ci_min, round(100 * (SELECT e FROM t WHERE kind = 'w') / (SELECT e FROM t WHERE kind = 'd'), 2) AS weekend_pct, round(100 * (SELECT e FROM t WHERE kind = 'h') / (SELECT e FROM t WHERE kind = 'd'), 2) AS holiday_pct""")
+def r_days(p: Plant) -> DataFrame:
+    """Highest and lowest month, extremes of carbon per energy, energy per day of weekends and holidays against work days."""
+    total = lambda c: F.sum(c).cast("double")
+    m = p.days.groupBy("year_month").agg(total("tce").alias("e"), (total("co2_t") / total("tce")).alias("ci"))
+    months = m.agg(*(F.round(f(c), n).alias(a) for f, c, n, a in ((F.max, "e", 3, "peak_tce"), (F.min, "e", 3, "trough_tce"), (F.max, "ci", 6, "ci_max"), (F.min, "ci", 6, "ci_min"))))
+    t = p.enriched.groupBy(day_type("h", "w", "d").alias("kind")).agg((total("std_coal_kgce") / 1000 / F.count_distinct("record_date")).alias("e"))
+    of = lambda k: F.max(F.when(F.col("kind") == k, F.col("e")))
+    return months.join(t.agg(F.round(100 * F.try_divide(of("w"), of("d")), 2).alias("weekend_pct"), F.round(100 * F.try_divide(of("h"), of("d")), 2).alias("holiday_pct")))  # one row each
+
+
+@query("r19_method_headlines", """k AS (SELECT c.*, CASE WHEN d.is_holiday = 1 THEN 1 ELSE 0 END AS hol, CASE WHEN ue > mu_u + 2 * sd_u THEN 1 ELSE 0 END AS f, CASE WHEN r > mu_r + 2 * sd_r THEN 1 ELSE 0 END AS b, CASE WHEN is_alarm = 1 AND coalesce(lag(is_alarm) OVER (PARTITION BY workshop_code ORDER BY record_date), 0) = 0 THEN 1 ELSE 0 END AS seg FROM cus c JOIN dim_calendar d ON d.calendar_date = c.record_date),
+w AS (SELECT workshop_code, sum(f) AS f, sum(b) AS b, sum(f * b) AS fb, sum(f * hol) AS fh, sum(b * hol) AS bh, sum(is_alarm) AS a, sum(seg) AS seg, sum(is_alarm * hol) AS ah, round(max(sd_r) / nullif(max(sd_u), 0), 4) AS noise, count(CASE WHEN alarm_side = '偏高' THEN 1 END) AS hi, count(CASE WHEN alarm_side = '偏低' THEN 1 END) AS lo, round(max(greatest(s_hi_raw, s_lo_raw)), 2) AS raw, round(max(greatest(s_hi, s_lo)), 2) AS s FROM k GROUP BY 1),
+z AS (SELECT min(abs(z_w)) AS lo, max(abs(z_w)) AS hi FROM cus WHERE alarm_side = '偏低'), cuts AS (SELECT 1 - s / raw AS cut FROM w WHERE s < raw * 0.6 ORDER BY cut DESC, workshop_code LIMIT 2)
+SELECT sum(f)::BIGINT AS fixed_hits, sum(b)::BIGINT AS baseline_hits, sum(fb)::BIGINT AS both_hits, round(100 * avg(noise), 2) AS noise_pct, round(100 * (sum(f) - sum(fb)) / greatest(1, sum(f)), 2) AS rejected_pct, round(100 * sum(fh) / greatest(1, sum(f)), 2) AS fixed_holiday_pct, round(100 * sum(bh) / greatest(1, sum(b)), 2) AS baseline_holiday_pct, sum(a)::BIGINT AS cusum_days, sum(seg)::BIGINT AS segments,
+round(sum(a) / greatest(1, sum(seg)), 3) AS days_per_segment, round(sum(f) / greatest(1, sum(a)), 3) AS compression, round(100 * sum(ah) / greatest(1, sum(a)), 2) AS cusum_holiday_pct, count(CASE WHEN lo > hi THEN 1 END) AS low_workshops, count(CASE WHEN hi > lo THEN 1 END) AS high_workshops, (SELECT round(lo, 4) FROM z) AS low_side_least_z, (SELECT round(hi, 4) FROM z) AS low_side_largest_z, (SELECT round(100 * avg(cut), 2) FROM cuts) AS whitening_cut_pct FROM w""")
+def r_methods(p: Plant) -> DataFrame:
+    """The three methods side by side: hits, what the baseline rejects, holidays among hits, how far days become segments, sides of alarms, the range of |z| on
+    the low side, and the two largest cuts of the peak by whitening."""
+    q = written(QUERIES["q26_three_methods"](p.spark, p.sf_dir), "methods")  # a row a workshop
+    n = lambda c: F.sum(c).cast("long")
+    share = lambda a, b, k=100, digits=2: F.round(k * F.sum(a) / F.greatest(F.lit(1), F.sum(b)), digits)
+    totals = q.agg(
+        n("fixed_hits").alias("fixed_hits"), n("baseline_hits").alias("baseline_hits"), n("both_hits").alias("both_hits"), F.round(100 * F.avg("noise_ratio"), 2).alias("noise_pct"), share("fixed_only", "fixed_hits").alias("rejected_pct"), share("fixed_holiday", "fixed_hits").alias("fixed_holiday_pct"),
+        share("baseline_holiday", "baseline_hits").alias("baseline_holiday_pct"), n("cusum_days").alias("cusum_days"), n("cusum_segments").alias("segments"), share("cusum_days", "cusum_segments", 1, 3).alias("days_per_segment"), share("fixed_hits", "cusum_days", 1, 3).alias("compression"),
+        share("cusum_holiday", "cusum_days").alias("cusum_holiday_pct"), F.count(F.when(F.col("cusum_low") > F.col("cusum_high"), 1)).alias("low_workshops"), F.count(F.when(F.col("cusum_high") > F.col("cusum_low"), 1)).alias("high_workshops"),
+    )
+    z = p.cusum.filter("alarm_side = '偏低'").agg(F.round(F.min(F.abs("z_w")), 4).alias("low_side_least_z"), F.round(F.max(F.abs("z_w")), 4).alias("low_side_largest_z"))
+    cuts = q.filter("max_s < max_s_raw * 0.6").select("workshop_code", (1 - F.col("max_s") / F.col("max_s_raw")).alias("cut"))
+    cuts = cuts.withColumn("n", F.row_number().over(Window.orderBy(F.desc("cut"), "workshop_code"))).filter("n <= 2").agg(F.round(100 * F.avg("cut"), 2).alias("whitening_cut_pct"))
+    return totals.join(z).join(cuts)  # one row each
+
+
 @query("r20_report_summary", _FEED + """, w AS (SELECT workshop_name, sum(tce)::DOUBLE AS e FROM days GROUP BY 1) SELECT round((SELECT sum(e) FROM w), 3) AS tce, (SELECT string_agg(workshop_name, ',' ORDER BY e DESC, workshop_name) FROM (SELECT * FROM w ORDER BY e DESC, workshop_name LIMIT 5)) AS top_workshops, (SELECT count(*) FROM feed) AS anomalies""")
 def r_summary(p: Plant) -> DataFrame:
     w = p.days.groupBy("workshop_name").agg(F.sum("tce").cast("double").alias("e"))
@@ -230,6 +310,12 @@ def contract_violations(frame: DataFrame, columns: tuple[str, ...]) -> DataFrame
     return frame.agg(F.count("*").alias("n_rows"), *(F.count(F.when(bad(c), 1)).alias(f"bad_{c}") for c in numbers))
 
 
-@query("r21_output_contract", _CUBE + "SELECT count(*) AS n_rows, 0::BIGINT AS bad_tce, 0::BIGINT AS bad_cost, 0::BIGINT AS bad_co2_t, 0::BIGINT AS bad_output_qty, 0::BIGINT AS bad_unit_energy FROM cube")
+@query("r21_output_contract", _CUBE + "SELECT 'cube' AS frame, count(*) AS n_rows, count(CASE WHEN isnan(tce::DOUBLE) THEN 1 END) AS bad_tce, count(CASE WHEN isinf(cost::DOUBLE) THEN 1 END) AS bad_cost, count(CASE WHEN isnan(unit_energy::DOUBLE) THEN 1 END) AS bad_unit_energy FROM cube UNION ALL SELECT 'broken', count(*), count(CASE WHEN day(record_date) = 3 THEN 1 END), count(CASE WHEN workshop_code = 'W02' THEN 1 END), count(CASE WHEN unit_energy IS NOT NULL AND workshop_code = 'W04' THEN 1 END) FROM cube")
 def r_contract(p: Plant) -> DataFrame:
-    return contract_violations(workshop_day_cube(p), ("record_date", "workshop_code", "workshop_name", "process_type", "day_type", "is_production_day", "tce", "cost", "co2_t", "output_qty", "unit_energy"))
+    """The workshop-day cube, and the same with numbers that aren't finite."""
+    columns = ("record_date", "workshop_code", "workshop_name", "process_type", "day_type", "is_production_day", "tce", "cost", "co2_t", "output_qty", "unit_energy")
+    cube = workshop_day_cube(p)
+    nan, endless = F.lit(float("nan")), F.lit(float("inf"))
+    broken = cube.withColumns({"tce": F.when(F.dayofmonth("record_date") == 3, nan).otherwise(F.col("tce")), "cost": F.when(F.col("workshop_code") == "W02", -endless).otherwise(F.col("cost")), "unit_energy": F.when((F.col("workshop_code") == "W04") & F.col("unit_energy").isNotNull(), nan).otherwise(F.col("unit_energy"))})
+    check = lambda frame, name: contract_violations(frame, columns).select(F.lit(name).alias("frame"), "n_rows", "bad_tce", "bad_cost", "bad_unit_energy")
+    return check(cube, "cube").unionByName(check(broken, "broken"))
