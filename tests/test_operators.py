@@ -131,9 +131,12 @@ def test_interval_anti_join_ends(spark):
 
 def test_expectations_and_missing_columns(spark):
     frame = spark.createDataFrame([(1, 5), (1, None), (2, 99)], "k int, v int")
-    rules = (("some", "not_empty", None, None), ("uni", "unique", ("k",), None), ("range", "between", "v", (0, 10)), ("here", "not_null", ("k", "v"), None))
-    assert {r.rule: r.failures for r in quality.expectations(frame, rules).collect()} == {"some": 0, "uni": 1, "range": 1, "here": 1}
+    rules = (("some", "not_empty", None, None), ("uni", "unique", ("k",), None), ("range", "between", "v", (0, 10)), ("here", "not_null", "v", None), ("open", "between", "v", (6, None)))
+    assert {r.rule: r.failures for r in quality.expectations(frame, rules).collect()} == {"some": 0, "uni": 1, "range": 1, "here": 1, "open": 1}
     assert quality.missing_columns(frame, ("k", "x")) == ["x"]
+    assert [tuple(r) for r in quality.expectations(frame, rules, ("k", "x")).collect()] == [("missing column x", 1, False)]
+    energy = [r[0] for r in quality.ENERGY_RULES]
+    assert len(energy) == 10 and len(quality.PRODUCTION_RULES) == 5 and energy[3] == "energy.energy_code_required"
 
 
 def test_strict_times(spark):
@@ -200,10 +203,10 @@ def test_cusum_calibration(spark, monkeypatch):
         return best
 
     tops = [top(o) for o in itertools.permutations(z)]
-    got = features.cusum_calibration(spark.createDataFrame([("a", x) for x in z], "key string, z double"), 5_000, limit=2.0).first()
+    got = features.cusum_calibration(spark.createDataFrame([("a", n, x) for n, x in enumerate(z)], "key string, position int, z double"), 5_000, limit=2.0).first()
     assert got.limit_99 == pytest.approx(np.quantile(tops, 0.99)) and got.false_alarms == pytest.approx(np.mean([t > 2 for t in tops]), abs=0.03)
     asked = []
-    monkeypatch.setattr(features, "cusum_calibration", lambda rows, replicates: asked.append((replicates, rows.select("key").distinct().count())) or rows)
+    monkeypatch.setattr(features, "cusum_calibration", lambda rows, replicates: asked.append((replicates, rows.select("key").distinct().count())) or rows.select(F.lit(1.0).alias("limit_99"), F.lit(0.0).alias("false_alarms")))
     registry.queries()["m13_cusum_calibration"](spark, DATA)
     assert asked[0][0] >= 625 and asked[0][0] * asked[0][1] >= 5_000
 

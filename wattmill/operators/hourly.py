@@ -233,10 +233,10 @@ def savings_scenarios(rows: DataFrame, rates: tuple[int, ...] = (3, 5, 10)) -> D
     return sums.withColumn("rate_pct", F.explode(F.array(*(F.lit(r) for r in rates)))).select("workshop_code", "energy_code", "rate_pct", saved("std_coal_kgce", 1000).alias("saved_tce"), saved("co2_kg", 1000).alias("saved_co2_t"), saved("cost", 1).alias("saved_yuan"))
 
 
-@query("p03_savings_scenarios", "t AS (SELECT workshop_code, energy_code, sum(std_coal_kgce)::DOUBLE AS e, sum(co2_kg)::DOUBLE AS c, sum(cost)::DOUBLE AS y FROM v WHERE year(record_date) = 2025 GROUP BY ALL) SELECT workshop_code, energy_code, rate AS rate_pct, round(e * rate / 100000, 5) AS saved_tce, round(c * rate / 100000, 5) AS saved_co2_t, round(y * rate / 100, 5) AS saved_yuan FROM t, (VALUES (3), (5), (10)) g(rate)")
+@query("p03_savings_scenarios", "t AS (SELECT workshop_code, energy_code, sum(std_coal_kgce)::DOUBLE AS e, sum(co2_kg)::DOUBLE AS c, sum(cost)::DOUBLE AS y FROM v WHERE year(record_date) = 2025 GROUP BY ALL) SELECT workshop_code, energy_code, rate AS rate_pct, round(e * rate / 100000, 8) AS saved_tce, round(c * rate / 100000, 8) AS saved_co2_t, round(y * rate / 100, 6) AS saved_yuan FROM t, (VALUES (3), (5), (10)) g(rate)")
 def p_scenarios(p: Plant) -> DataFrame:
     rows = savings_scenarios(p.enriched.filter(F.year("record_date") == 2025))
-    return rows.withColumns({c: F.round(c, 5) for c in ("saved_tce", "saved_co2_t", "saved_yuan")})
+    return rows.withColumns({c: F.round(c, n) for c, n in (("saved_tce", 8), ("saved_co2_t", 8), ("saved_yuan", 6))})
 
 
 @query("p06_p07_queue_and_sensitivity", "WITH " + _PEERS + "SELECT share::DOUBLE AS share_pct, round(sum(excess) * share / 100, 4) AS saved FROM c, (VALUES (10), (25), (50)) g(share) WHERE candidate GROUP BY share", "")
