@@ -42,7 +42,9 @@ LEXICON, HOT, CUT = 200_000, 500, 5
 #: Words whose counts alone are sent to the tasks that count pairs: 12 bytes each.
 NEAR = 1_000_000
 #: Buckets of the written word tables; distinct words that a task holds before it hands on counts; tokens in a bucket of pairs, about.
-BUCKETS, HELD_WORDS, BUCKET_TOKENS = 16, 150_000, 1_000_000
+BUCKETS, HELD_WORDS, BUCKET_TOKENS = 16, 150_000, 800_000
+#: Bytes of text of which a task deals the pairs at once.
+BATCH = 5 << 20
 #: The hash of the end, which no word has (that of empty bytes).
 END_HASH = np.uint64(xxhash.xxh64_intdigest(b"", 42)).view(np.int64).item()
 CLASSES = [f"k{r}" for r in range(1, CUT + 1)]
@@ -271,7 +273,7 @@ def emitted(docs: DataFrame, shared: Broadcast[Lexicon], buckets: int) -> DataFr
         size, hot, task = words.size, words.hot, TaskContext.get().partitionId()
         add_one, known, ids = np.log10(words.counts + 1.0), words.counts > 0, Ids(words.words)
         hot_counts = np.zeros(hot * hot, np.int64)
-        for number, batch in enumerate(small_batches(batches)):
+        for number, batch in enumerate(small_batches(batches, size=BATCH)):
             if len(ids) > size + HELD_WORDS:
                 ids = Ids(words.words)
             path, sizes = ids.path(batch.column("text"))
