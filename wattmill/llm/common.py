@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -12,18 +11,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wattmill.staging import new_path, shared_dir, written  # noqa: F401  (the operators take them from here)
+
 #: Rows of text that a Python worker holds at once. Texts are long, so batches are small.
 BATCH_ROWS = 500
 #: Bytes of text after which a worker hands on what it has.
 BATCH_BYTES = 8 << 20
-#: Rows in an Arrow batch from Spark: its default of 10,000 whole texts would be the largest thing that a worker holds.
-ARROW_ROWS = 1_000
+#: Rows and bytes in an Arrow batch from Spark: its default of 10,000 whole texts would be the largest thing that a worker holds.
+ARROW_ROWS, ARROW_BYTES = 1_000, 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Readies a session: small Arrow batches (the session's setting is lowered, and stays so), and this package for Python workers that don't find it by themselves (once a session)."""
+    """Readies a session: small Arrow batches (the session's settings are lowered, and stay so), and this package for Python workers that don't find it by themselves (once a session)."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     root = Path(__file__).resolve().parents[2]
     name = f"{Path(__file__).resolve().parents[1].name}-package.zip"
     if any(f.endswith(name) for f in spark.sparkContext.listFiles):
@@ -35,30 +37,6 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(str(path))
 
 
-_OWN_DIRS: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share. Where none is named, a local one is made if the master is local; a cluster must name one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return named or _OWN_DIRS.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="spark-"))
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A new place in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: it cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the driver's folder."""
     ship(spark)
