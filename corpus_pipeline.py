@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; stages but the last return the columns of
 `documents`. A stage's result is written as Parquet in the shared folder and read again as the next one's documents.
+
+In every stage: null and empty texts have no words (the first stage drops them), long texts are read whole, other columns may be null and have any name, an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -29,12 +32,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark windows cover a twentieth or more go."""
+    """Documents of which benchmark windows cover a twentieth or more go. Rows with one text go or stay together; without benchmark items all stay."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with how often: doc_id, leaf, tokens, budget, copies."""
+    """The documents that the mix takes, with how often: doc_id, leaf, tokens, budget, copies. Null languages and sources are leaves of their own; rows with one id
+    have one place in the order and are taken or left together."""
     return mixing.mix_report(docs)
 
 
@@ -45,7 +49,8 @@ STAGES = [
     ("decontamination", decontamination),
     ("source_mixing", source_mixing),
 ]
-#: Fingerprints and the random field are beyond SQL; tests hold the stages against brute force.
+#: Fingerprints and the random field are beyond SQL. Tests hold quality, near-dedup, decontamination and mixing against brute force or SQL, the language stage against held-out
+#: labels, and the pipeline against its stages and on odd tables.
 ORACLE_SQL = None
 
 
