@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattmill.llm import chat, decontaminate, langid, licenses, lm, mixing, quality, simhash, urls, warc
+from wattmill.llm import chat, decontaminate, langid, licenses, lm, mixing, pii, quality, runs, simhash, spelling, urls, warc
 from wattmill.llm.common import table
 
 
@@ -53,6 +53,18 @@ def op10_katz_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.fit_and_score(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_report(runs.with_repeats(table(spark, sf_dir, "documents")))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_report(table(spark, sf_dir, "documents"))
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
