@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import DATA
-from wattmill.operators import cleaning, features, hourly, quality, warehouse
+from wattmill.operators import boosting, cleaning, features, hourly, quality, warehouse
 from wattmill.operators.views import Plant
 from wattmill.plans import registry
 from wattmill.sources import adapter, files
@@ -164,14 +164,88 @@ def test_boosted_trees_predict_every_fold(spark, monkeypatch):
     series = [(dt.date(2024, 1, 1) + dt.timedelta(n), w, float(100 * w + n % 7), 1.0 + n % 5, 20.0, n % 11 == 0) for n in range(days) for w in (1, 2)]
     f = features.features(spark.createDataFrame(series, "date date, workshop string, tce double, qty double, temperature double, idle boolean"))
     rows = features.in_folds(features.eligible(f), features.rolling_folds(f)).persist()
-    got = features.boosted_folds(rows, trees=1).collect()
+    got = features.boosted_folds(f, features.rolling_folds(f), {"none": ()}, trees=1).collect()
     expected = {(r.fold, r.date, r.workshop) for r in rows.filter("split = 'test'").collect()}
     assert len(got) == len(expected) == 3 * 30 * 2 and {(r.fold, r.date, r.workshop) for r in got} == expected
-    monkeypatch.setattr(features, "boosted", lambda rows, fold, columns=features.NUMBERS, trees=features.TREES, seed=7: rows.filter((F.col("fold") == fold) & (F.col("split") == "test")).withColumn("prediction", F.lit(float(trees))))
+    asked = []
+    monkeypatch.setattr(features, "fit", lambda *args, trees, **more: asked.append((trees, more)) or boosting.fit(*args, trees=1, **more))
     for name in ("m06_boosted_trees", "m07_group_ablation"):
         own = registry.queries()[name](spark, DATA).groupBy("fold").count().collect()
         assert {r.fold for r in own} == {r.fold for r in features.rolling_folds(features.features(features.daily_series(Plant(spark, DATA)))).collect()} and len(own) == 11
-    assert {r.prediction for r in features.boosted_folds(rows).collect()} == {180.0}
+    assert asked == [(180, {})] * 2
+
+
+def brute_boosting(rows, models, edges, trees, depth, rate, least, scale):
+    """One model after another, every split tried on plain lists of integers."""
+    code = lambda x, e: sum(v < x for v in e)
+    table = [(day, round(y * scale), [code(v, e) for v, e in zip(x, edges)]) for day, y, *x in rows]
+    out = {}
+    for m in models:
+        own = [r for r in table if m.first_train <= r[0] < m.first_test]
+        base = round(sum(y for _, y, _ in own) / len(own))
+        grown = []
+
+        def leaf_of(tree, codes):
+            node = 1
+            while node in tree:
+                f, b = tree[node]
+                node = 2 * node + (codes[f] > b)
+            return node << (depth + 1 - node.bit_length())
+
+        def predicted(codes):
+            return base + sum(leaves.get(leaf_of(tree, codes), 0) for tree, leaves in grown)
+
+        for _ in range(trees):
+            left = [(y - predicted(c), c) for _, y, c in own]
+            tree, leaves, todo = {}, {}, [(1, left)]
+            while todo:
+                node, part = todo.pop()
+                score = lambda rows: sum(r for r, _ in rows) ** 2 / (len(rows) + boosting.RIDGE)
+                best = None
+                if node.bit_length() <= depth:
+                    for f in m.seen:
+                        for b in range(len(edges[f])):
+                            low, high = [r for r in part if r[1][f] <= b], [r for r in part if r[1][f] > b]
+                            if len(low) >= least and len(high) >= least and (gain := score(low) + score(high) - score(part)) > (best[0] if best else 0):
+                                best = (gain, f, b, low, high)
+                if best:
+                    tree[node] = best[1:3]
+                    todo += [(2 * node, best[3]), (2 * node + 1, best[4])]
+                else:
+                    leaves[node << (depth + 1 - node.bit_length())] = round(rate * sum(r for r, _ in part) / (len(part) + boosting.RIDGE))
+            grown.append((tree, leaves))
+        out |= {(m.name, m.fold, i): predicted(c) / scale for i, (day, _, c) in enumerate(table) if m.first_test <= day <= m.last_test}
+    return out
+
+
+@pytest.mark.parametrize("task_rows, keep", [(3_000, 12), (17, 2)])
+def test_boosted_trees_are_those_of_a_plain_booster(spark, monkeypatch, task_rows, keep):
+    """However rows are dealt to tasks and however often predictions are written."""
+    monkeypatch.setattr(boosting, "TASK_ROWS", task_rows)
+    monkeypatch.setattr(boosting, "KEEP", keep)
+    draw = np.random.default_rng(4)
+    day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(int(n))
+    rows = [(day(n % 60), round(float(a * 3 - b + (a > 4) * c + e), 3), float(a), float(b), float(c)) for n, (a, b, c, e) in enumerate(zip(draw.integers(0, 9, 240), draw.normal(0, 2, 240).round(2), draw.integers(0, 2, 240), draw.normal(0, 1, 240)))]
+    models = [boosting.Model(name, k, day(0), day(30 + 10 * k), day(39 + 10 * k), seen) for k in range(3) for name, seen in (("none", (0, 1, 2)), ("a", (1, 2)))]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, date date, y double, a double, b double, c double")
+    edges = boosting.bin_edges(frame, "abc", bins=8)
+    fitted = boosting.fit(frame, models, "abc", "y", edges, trees=5, depth=3, rate=0.3, least=5)
+    got = {(r.model, r.fold, r.id): r.prediction for r in boosting.predict(frame, fitted, models, "abc", ("id", "date")).collect()}
+    expected = brute_boosting(rows, models, edges, 5, 3, 0.3, 5, fitted.scale)
+    assert got.keys() == expected.keys() and len(got) == 6 * 40
+    assert all(abs(got[k] - expected[k]) < 1e-6 for k in got)
+    error = lambda name: sum(abs(got[k] - rows[k[2]][1]) for k in got if k[0] == name)
+    assert error("none") < error("a")
+
+
+def test_boosting_of_poor_tables(spark):
+    """Labels and features that are all alike, and no whole fold."""
+    rows = spark.createDataFrame([(DAY + dt.timedelta(n), 2.5, 1.0) for n in range(60)], "date date, y double, a double")
+    models = [boosting.Model("none", 0, DAY, DAY + dt.timedelta(40), DAY + dt.timedelta(59), (0,))]
+    got = boosting.predict(rows, boosting.fit(rows, models, "a", "y", trees=2), models, "a", ("date",)).collect()
+    assert len(got) == 20 and {round(r.prediction, 6) for r in got} == {2.5}
+    short = features.features(spark.createDataFrame([(DAY, "W01", 1.0, 1.0, 2.0, False)], "date date, workshop string, tce double, qty double, temperature double, idle boolean"))
+    assert features.boosted_folds(short, features.rolling_folds(short), {"none": ()}).count() == 0
 
 
 def test_block_bootstrap(spark, monkeypatch):

@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, LinearRegressionModel
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattmill.operators.boosting import TREES, Model, fit, predict
 from wattmill.operators.views import Plant
 from wattmill.plans.catalog import query
 from wattmill.staging import written
 
 WARM_UP, TRAIN_DAYS, TEST_DAYS, STEP_DAYS = 28, 365, 30, 30
 NUMBERS = ("tce_lag_1", "tce_lag_7", "tce_lag_14", "tce_mean_7", "tce_mean_28", "qty_lag_1", "qty_mean_7", "temperature_lag_1", "idle_lag_1", "weekday", "is_weekend", "month", "season_sin", "season_cos")
-#: Trees of a boosted model, as in the reference; models that are fitted at once.
-TREES, FITS = 180, 4
+#: Workshops that are columns of boosted models.
+MOST_SHOPS = 200
 #: Ablation: features without one of these groups.
 GROUPS = {"lags": ("tce_lag_1", "tce_lag_7", "tce_lag_14"), "means": ("tce_mean_7", "tce_mean_28"), "plant": ("qty_lag_1", "qty_mean_7", "idle_lag_1", "temperature_lag_1"), "calendar": ("weekday", "is_weekend", "month", "season_sin", "season_cos")}
 
@@ -125,47 +124,44 @@ def m_fingerprint(p: Plant) -> DataFrame:
     return test.groupBy("fold").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("key")), "\n").cast("binary"), 256).alias("fingerprint"))
 
 
-def boosted(rows: DataFrame, fold: int, columns: tuple[str, ...] = NUMBERS, trees: int = TREES, seed: int = 7) -> DataFrame:
-    """M6: predictions of one fold's test rows by boosted trees over one-hot workshops and the features."""
-    shop = StringIndexer(inputCol="workshop", outputCol="_i", handleInvalid="keep").fit(rows)
-    hot = OneHotEncoder(inputCols=["_i"], outputCols=["_hot"], dropLast=False)
-    own = shop.transform(rows.filter(F.col("fold") == fold))
-    vectors = VectorAssembler(inputCols=["_hot", *columns], outputCol="_x")
-    ready = vectors.transform(hot.fit(own).transform(own))
-    model = GBTRegressor(featuresCol="_x", labelCol="tce", maxIter=trees, maxDepth=4, seed=seed).fit(ready.filter("split = 'train'"))
-    return model.transform(ready.filter("split = 'test'")).drop("_i", "_hot", "_x")
+def fold_models(folds: DataFrame, without: dict[str, tuple[str, ...]], columns: tuple[str, ...]) -> list[Model]:
+    """A model for every fold and every set of features left out. Folds are a short table."""
+    seen = {name: tuple(i for i, c in enumerate(columns) if c not in gone) for name, gone in without.items()}
+    return [Model(name, f.fold, f.first_train, f.first_test, f.last_test, own) for f in folds.orderBy("fold").collect() for name, own in seen.items()]
 
 
-def boosted_folds(rows: DataFrame, columns: tuple[str, ...] = NUMBERS, trees: int = TREES) -> DataFrame:
-    """M6 for every fold of `rows`, each with a model of its own; folds are fitted side by side."""
-    folds = sorted(r.fold for r in rows.select("fold").distinct().collect())
-    with ThreadPoolExecutor(FITS) as pool:
-        fitted = list(pool.map(inheritable_thread_target(rows.sparkSession)(lambda fold: boosted(rows, fold, columns, trees)), folds))
-    return reduce(DataFrame.unionByName, fitted) if fitted else rows.withColumn("prediction", F.lit(None).cast("double")).limit(0)
+def boosted_folds(rows: DataFrame, folds: DataFrame, without: dict[str, tuple[str, ...]], trees: int = TREES, **fitting) -> DataFrame:
+    """M6: date, workshop, tce, without, fold, prediction: boosted trees over the features and the workshops as columns of 0 and 1, all folds and all sets in step."""
+    rows = written(eligible(rows), "fold-rows")
+    shops = [r.workshop for r in rows.select("workshop").distinct().orderBy("workshop").limit(MOST_SHOPS + 1).collect()]
+    if len(shops) > MOST_SHOPS:
+        raise ValueError(f"over {MOST_SHOPS} workshops: give them as features of their own")
+    columns = (*NUMBERS, *(f"shop_{i}" for i in range(len(shops))))
+    models = fold_models(folds, without, columns)
+    wide = rows.withColumns({f"shop_{i}": (F.col("workshop") == s).cast("double") for i, s in enumerate(shops)})
+    if not models:
+        return rows.select("date", "workshop", "tce", F.lit("").alias("without"), F.lit(0).cast("long").alias("fold"), F.lit(None).cast("double").alias("prediction")).limit(0)
+    fitted = fit(wide.select("date", "tce", *columns), models, columns, "tce", trees=trees, **fitting)
+    return predict(wide, fitted, models, columns, ("date", "workshop", "tce")).withColumnRenamed("model", "without")
 
 
-def ablation(rows: DataFrame, trees: int = TREES) -> DataFrame:
-    """M7: every fold's metrics without each group of features."""
-    out = None
-    for name, group in GROUPS.items():
-        m = fold_metrics(boosted_folds(rows, tuple(c for c in NUMBERS if c not in group), trees)).withColumn("without", F.lit(name))
-        out = m if out is None else out.unionByName(m)
-    return out
-
-
-def fold_rows(p: Plant) -> DataFrame:
-    f = features(daily_series(p))
-    return in_folds(eligible(f), rolling_folds(f)).persist()
+def ablation(rows: DataFrame, folds: DataFrame, trees: int = TREES, **fitting) -> DataFrame:
+    """M7: every fold's metrics with all features (`without` none) and without each group of them."""
+    predicted = boosted_folds(rows, folds, {"none": (), **GROUPS}, trees, **fitting)
+    e = F.col("tce") - F.col("prediction")
+    return predicted.groupBy("without", "fold").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(e)), 8).alias("mae"), F.round(F.sqrt(F.avg(e * e)), 8).alias("rmse"))
 
 
 @query("m06_boosted_trees")
 def m_boosted(p: Plant) -> DataFrame:
-    return boosted_folds(fold_rows(p)).select("date", "workshop", "fold", "tce", "prediction")
+    f = written(features(daily_series(p)), "features")
+    return boosted_folds(f, rolling_folds(f), {"none": ()}).select("date", "workshop", "fold", "tce", "prediction")
 
 
 @query("m07_group_ablation")
 def m_ablation(p: Plant) -> DataFrame:
-    return ablation(fold_rows(p))
+    f = written(features(daily_series(p)), "features")
+    return ablation(f, rolling_folds(f))
 
 
 def paired_deltas(a: DataFrame, b: DataFrame, actual: str = "tce") -> DataFrame:
