@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattmill.operators.scans import DAY_S, covered, neighbours, stretches
 from wattmill.operators.views import Plant
 from wattmill.plans.catalog import query
 
@@ -40,46 +43,57 @@ def bounded(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.withColumns(new)
 
 
-def gap_filled(rows: DataFrame, column: str, city: str = "city_id", at: str = "ts_local", longest: int = LONGEST_GAP, method: str = "neighbour_mean") -> DataFrame:
-    """`<column>_gap` (length of the null run) and short runs filled: rain with 0, others from the valid neighbours.
+def gaps_filled(rows: DataFrame, columns: Sequence[str], city: str = "city_id", at: str = "ts_local", longest: int = LONGEST_GAP, method: str = "neighbour_mean", bucket_s: int = 30 * DAY_S) -> DataFrame:
+    """For every column `<column>_gap` (length of the null run), and short runs filled: rain with 0, others from the valid neighbours. All columns in one scan.
 
     neighbour_mean: their mean, one of them at an edge. linear: on the line between them, edges stay null.
     """
-    order = Window.partitionBy(city).orderBy(at)
-    rows = rows.withColumn("_run", F.count(column).over(order.rowsBetween(Window.unboundedPreceding, 0)))  # the same for a null run and the value before it
-    run = Window.partitionBy(city, "_run")
-    rows = rows.withColumn("_gap", F.when(F.col(column).isNull(), F.count(F.when(F.col(column).isNull(), 1)).over(run)).otherwise(0))
-    prev, nxt = F.last(column, True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.first(column, True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    rows = rows.withColumns({"_prev": prev, "_next": nxt, "_pos": F.sum(F.col(column).isNull().cast("int")).over(Window.partitionBy(city, "_run").orderBy(at))})
-    if column == RAIN:
-        value = F.lit(0.0)
-    elif method == "linear":
-        value = F.col("_prev") + (F.col("_next") - F.col("_prev")) * F.col("_pos") / (F.col("_gap") + 1)
-    elif method == "neighbour_mean":
-        value = (F.coalesce("_prev", "_next") + F.coalesce("_next", "_prev")) / 2
-    else:
+    if method not in ("neighbour_mean", "linear"):
         raise ValueError(f"unknown method {method}")
-    filled = F.when(F.col(column).isNull() & (F.col("_gap") <= longest), value).otherwise(F.col(column))
-    return rows.withColumns({f"{column}_gap": F.col("_gap"), f"{column}_filled": F.col(column).isNull() & filled.isNotNull(), column: filled}).drop("_run", "_gap", "_prev", "_next", "_pos")
+    rows, new = neighbours(rows, [city], at, columns, bucket_s), {}
+    for c in columns:
+        prev, nxt = F.col(f"{c}_prev"), F.col(f"{c}_next")
+        first = F.coalesce(prev.place, F.lit(0))
+        gap = F.when(F.col(c).isNull(), F.coalesce(nxt.place, F.col("_places") + 1) - first - 1).otherwise(0)
+        if c == RAIN:
+            value = F.lit(0.0)
+        elif method == "linear":
+            value = prev.value + (nxt.value - prev.value) * (F.col("_place") - first) / (gap + 1)
+        else:
+            value = (F.coalesce(prev.value, nxt.value) + F.coalesce(nxt.value, prev.value)) / 2
+        filled = F.when(F.col(c).isNull() & (gap <= longest), value).otherwise(F.col(c))
+        new |= {f"{c}_gap": gap, f"{c}_filled": F.col(c).isNull() & filled.isNotNull(), c: filled}
+    return rows.withColumns(new).drop("_place", "_places", *(f"{c}_{s}" for c in columns for s in ("prev", "next")))
+
+
+def gap_filled(rows: DataFrame, column: str, city: str = "city_id", at: str = "ts_local", longest: int = LONGEST_GAP, method: str = "neighbour_mean") -> DataFrame:
+    """W3, W4 for one column."""
+    return gaps_filled(rows, [column], city, at, longest, method)
+
+
+def all_peaks(rows: DataFrame, columns: Sequence[str], city: str = "city_id", least: int = 8, scope: str = "city") -> DataFrame:
+    """For every column `<column>_peak`: beyond 1.5 interquartile ranges, which must not be 0; per city (with at least `least` values) or over all. One aggregate for all columns."""
+    stats = rows.groupBy(*([city] if scope == "city" else [])).agg(*(F.percentile(c, F.lit([0.25, 0.75])).alias(f"_q_{c}") for c in columns), *(F.count(c).alias(f"_n_{c}") for c in columns))
+    joined = rows.join(stats, city, "left") if scope == "city" else rows.join(F.broadcast(stats))  # a row per city, which Spark may broadcast once it knows their size; or one row
+    new = {}
+    for c in columns:
+        low, high = F.col(f"_q_{c}")[0], F.col(f"_q_{c}")[1]
+        beyond = (F.col(c) < low - 1.5 * (high - low)) | (F.col(c) > high + 1.5 * (high - low))
+        enough = F.col(f"_n_{c}") >= least if scope == "city" else F.lit(True)
+        new[f"{c}_peak"] = F.coalesce(beyond & (high > low) & enough, F.lit(False))
+    return joined.withColumns(new).drop(*(f"{s}_{c}" for c in columns for s in ("_q", "_n")))
 
 
 def peaks(rows: DataFrame, column: str, city: str = "city_id", least: int = 8, scope: str = "city") -> DataFrame:
-    """`<column>_peak` beyond 1.5 interquartile ranges; per city (with at least `least` values) or over all."""
-    stats = rows.groupBy(*([city] if scope == "city" else [])).agg(F.percentile(column, F.lit(0.25)).alias("_q1"), F.percentile(column, F.lit(0.75)).alias("_q3"), F.count(column).alias("_n"))
-    joined = rows.join(stats, city) if scope == "city" else rows.join(F.broadcast(stats))  # a row per city, which Spark may broadcast once it knows their size; or one row
-    beyond = (F.col(column) < F.col("_q1") - 1.5 * (F.col("_q3") - F.col("_q1"))) | (F.col(column) > F.col("_q3") + 1.5 * (F.col("_q3") - F.col("_q1")))
-    enough = F.col("_n") >= least if scope == "city" else F.lit(True)
-    return joined.withColumn(f"{column}_peak", F.coalesce(beyond & enough, F.lit(False))).drop("_q1", "_q3", "_n")
+    """W5 for one column."""
+    return all_peaks(rows, [column], city, least, scope)
 
 
 def cleaned(rows: DataFrame, columns: list[str]) -> DataFrame:
     """One row per city and hour (smallest values first on ties), bounds, gaps, fills, peaks and any-peak."""
     first = Window.partitionBy("city_id", "ts_local").orderBy(*columns)
     rows = bounded(rows.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n"), columns)
-    for c in columns:
-        rows = gap_filled(rows, c)
-    for c in columns:
-        rows = peaks(rows, c)
+    rows = all_peaks(gaps_filled(rows, columns), columns)
     return rows.withColumn("any_peak", F.greatest(*(F.col(f"{c}_peak") for c in columns)) if len(columns) > 1 else F.col(f"{columns[0]}_peak"))
 
 
@@ -98,8 +112,9 @@ def cleaning_stats(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def city_days(rows: DataFrame, column: str) -> DataFrame:
-    """W8."""
-    return rows.groupBy("city_id", F.to_date("ts_local").alias("day")).agg(F.count("*").alias("hours"), F.round(F.avg(column), 4).alias("mean"), F.round(F.max(column), 4).alias("highest"), F.round(F.sum(column), 4).alias("total"), F.count(F.when(F.col(f"{column}_peak"), 1)).alias("peak_hours"))
+    """W8. Values are added as decimals and divided once, so means don't depend on the order of rows."""
+    total = F.sum(F.col(column).cast("decimal(20,6)")).cast("double")
+    return rows.groupBy("city_id", F.to_date("ts_local").alias("day")).agg(F.count("*").alias("hours"), (total / F.nullif(F.count(column), F.lit(0))).alias("mean"), F.max(column).alias("highest"), total.alias("total"), F.count(F.when(F.col(f"{column}_peak"), 1)).alias("peak_hours"))
 
 
 def downsampled(rows: DataFrame, key: str, at: str, points: int = 96) -> DataFrame:
@@ -122,7 +137,7 @@ h1 AS (SELECT * FROM h0 QUALIFY row_number() OVER (PARTITION BY city_id, ts_loca
 h3 AS (SELECT *, count(t) OVER o AS tr, count(h) OVER o AS hr FROM h2 WINDOW o AS (PARTITION BY city_id ORDER BY ts_local ROWS UNBOUNDED PRECEDING)), h4 AS (SELECT *, CASE WHEN t IS NULL THEN count(CASE WHEN t IS NULL THEN 1 END) OVER (PARTITION BY city_id, tr) ELSE 0 END AS tg, CASE WHEN h IS NULL THEN count(CASE WHEN h IS NULL THEN 1 END) OVER (PARTITION BY city_id, hr) ELSE 0 END AS hg,
 last_value(t IGNORE NULLS) OVER b AS tp, first_value(t IGNORE NULLS) OVER a AS tn, last_value(h IGNORE NULLS) OVER b AS hp, first_value(h IGNORE NULLS) OVER a AS hn FROM h3 WINDOW b AS (PARTITION BY city_id ORDER BY ts_local ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY city_id ORDER BY ts_local ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 h5 AS (SELECT city_id, ts_local, t_out, h_out, t_null, h_null, tg, hg, CASE WHEN t IS NULL AND tg <= 3 THEN (coalesce(tp, tn) + coalesce(tn, tp)) / 2 ELSE t END AS t, t IS NULL AND tg <= 3 AND coalesce(tp, tn) IS NOT NULL AS tf, CASE WHEN h IS NULL AND hg <= 3 THEN (coalesce(hp, hn) + coalesce(hn, hp)) / 2 ELSE h END AS h, h IS NULL AND hg <= 3 AND coalesce(hp, hn) IS NOT NULL AS hf FROM h4),
-h6 AS (SELECT *, coalesce(n >= 8 AND (t < q1 - 1.5 * (q3 - q1) OR t > q3 + 1.5 * (q3 - q1)), false) AS tk, coalesce(hn >= 8 AND (h < h1 - 1.5 * (h3 - h1) OR h > h3 + 1.5 * (h3 - h1)), false) AS hk
+h6 AS (SELECT *, coalesce(n >= 8 AND q3 > q1 AND (t < q1 - 1.5 * (q3 - q1) OR t > q3 + 1.5 * (q3 - q1)), false) AS tk, coalesce(hn >= 8 AND h3 > h1 AND (h < h1 - 1.5 * (h3 - h1) OR h > h3 + 1.5 * (h3 - h1)), false) AS hk
     FROM h5 JOIN (SELECT city_id, quantile_cont(t, 0.25) AS q1, quantile_cont(t, 0.75) AS q3, count(t) AS n, quantile_cont(h, 0.25) AS h1, quantile_cont(h, 0.75) AS h3, count(h) AS hn FROM h5 GROUP BY 1) USING (city_id))
 """
 _COLUMNS = ["temperature_2m", "relative_humidity_2m"]
@@ -134,13 +149,25 @@ def w_clean(p: Plant) -> DataFrame:
     return c.select("city_id", "ts_local", F.round("temperature_2m", 5).alias("t"), F.round("relative_humidity_2m", 5).alias("h"), F.col("temperature_2m_gap").cast("long").alias("t_gap"), F.col("relative_humidity_2m_gap").cast("long").alias("h_gap"), F.col("temperature_2m_filled").alias("t_filled"), F.col("temperature_2m_peak").alias("t_peak"), F.col("temperature_2m_out").alias("t_out"), "any_peak")
 
 
+@query("w04_w05_linear_and_global", "WITH " + _HOURS + """, p AS (SELECT *, row_number() OVER (PARTITION BY city_id ORDER BY ts_local) AS i FROM h2), q AS (SELECT *, max(CASE WHEN t IS NOT NULL THEN i END) OVER b AS pi, min(CASE WHEN t IS NOT NULL THEN i END) OVER f AS ni FROM p WINDOW b AS (PARTITION BY city_id ORDER BY i), f AS (PARTITION BY city_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+l AS (SELECT q.city_id, q.ts_local, CASE WHEN q.t IS NULL AND ni - pi - 1 <= 3 THEN a.t + (b.t - a.t) * (q.i - pi) / (ni - pi) ELSE q.t END AS t FROM q LEFT JOIN p a ON a.city_id = q.city_id AND a.i = q.pi LEFT JOIN p b ON b.city_id = q.city_id AND b.i = q.ni), g AS (SELECT quantile_cont(t, 0.25) AS q1, quantile_cont(t, 0.75) AS q3 FROM l)
+SELECT city_id, ts_local, round(t, 6) AS t, coalesce(q3 > q1 AND (t < q1 - 1.5 * (q3 - q1) OR t > q3 + 1.5 * (q3 - q1)), false) AS is_peak FROM l, g""", "")
+def w_linear(p: Plant) -> DataFrame:
+    """Gaps on the line between neighbours, and peaks over all cities together."""
+    c = "temperature_2m"
+    first = Window.partitionBy("city_id", "ts_local").orderBy(*_COLUMNS)
+    hours = weather_hours(p).drop("event_id").withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    rows = peaks(gap_filled(bounded(hours, _COLUMNS), c, method="linear"), c, scope="all")
+    return rows.select("city_id", "ts_local", F.round(c, 6).alias("t"), F.col(f"{c}_peak").alias("is_peak"))
+
+
 @query("w07_cleaning_stats", "WITH " + _HOURS + """SELECT 'temperature_2m' AS "column", count(CASE WHEN t_null THEN 1 END) AS nulls_before, count(CASE WHEN t IS NULL THEN 1 END) AS nulls_after, count(CASE WHEN tf THEN 1 END) AS filled, count(CASE WHEN tg > 3 THEN 1 END) AS in_long_gaps, count(CASE WHEN t_out THEN 1 END) AS violations, 0::BIGINT AS clips, count(CASE WHEN tk THEN 1 END) AS peaks FROM h6
 UNION ALL SELECT 'relative_humidity_2m', count(CASE WHEN h_null THEN 1 END), count(CASE WHEN h IS NULL THEN 1 END), count(CASE WHEN hf THEN 1 END), count(CASE WHEN hg > 3 THEN 1 END), 0, count(CASE WHEN h_out THEN 1 END), count(CASE WHEN hk THEN 1 END) FROM h6""", "")
 def w_stats(p: Plant) -> DataFrame:
     return cleaning_stats(cleaned(weather_hours(p).drop("event_id"), _COLUMNS), _COLUMNS)
 
 
-@query("w08_city_days", "WITH " + _HOURS + "SELECT city_id, CAST(ts_local AS DATE) AS day, count(*) AS hours, round(avg(t), 4) AS mean, round(max(t), 4) AS highest, round(sum(t), 4) AS total, count(CASE WHEN tk THEN 1 END) AS peak_hours FROM h6 GROUP BY ALL", "")
+@query("w08_city_days", "WITH " + _HOURS + "SELECT city_id, CAST(ts_local AS DATE) AS day, count(*) AS hours, sum(t::DECIMAL(20,6))::DOUBLE / nullif(count(t), 0) AS mean, max(t) AS highest, sum(t::DECIMAL(20,6))::DOUBLE AS total, count(CASE WHEN tk THEN 1 END) AS peak_hours FROM h6 GROUP BY ALL", "")
 def w_days(p: Plant) -> DataFrame:
     return city_days(cleaned(weather_hours(p).drop("event_id"), _COLUMNS), "temperature_2m")
 
@@ -161,42 +188,52 @@ def w_join(p: Plant) -> DataFrame:
 
 
 def peer_screen(rows: DataFrame, peers: list[str], usage: str, baseline: Column, least: int = 20, quantile: float = 0.95) -> DataFrame:
-    """Rows outside the baseline period against the quantile of their matched peers; excess is not below 0."""
+    """Rows outside the baseline period against the quantile of their matched peers in it: `excess` over it (not below 0; null without peers), and whether a row is a
+    candidate: above it, with at least `least` peers."""
     stats = rows.filter(baseline).groupBy(*peers).agg(F.count("*").alias("n"), F.median(usage).alias("median"), F.percentile(usage, F.lit(quantile)).alias("p95"))
     late = rows.filter(~baseline).join(stats, peers, "left")
     candidate = F.coalesce((F.col("n") >= least) & (F.col(usage) > F.col("p95")), F.lit(False))
-    return late.withColumns({"candidate": candidate, "excess": F.when(candidate, F.greatest(F.lit(0.0), F.col(usage) - F.col("median"))).otherwise(0.0)})
+    return late.withColumns({"n": F.coalesce("n", F.lit(0)), "candidate": candidate, "excess": F.when(F.col("p95").isNotNull(), F.greatest(F.lit(0.0), F.col(usage) - F.col("p95")))})
 
 
-def episodes(rows: DataFrame, key: str, at: str, step_s: int, value: str) -> DataFrame:
-    """Neighbouring rows (at most `step_s` apart) as one episode with start, end, size and sum."""
-    order = Window.partitionBy(key).orderBy(at)
-    new = F.coalesce(seconds(at) - F.lag(seconds(at)).over(order) > step_s, F.lit(True))
-    marked = rows.withColumn("_new", new.cast("int")).withColumn("_e", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(key, F.col("_e").cast("long").alias("episode")).agg(F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.count("*").alias("n"), F.round(F.sum(value), 4).alias("total"))
+def episodes(rows: DataFrame, key: str, at: str, step_s: int, first: Sequence[str] = (), sums: Sequence[str] = (), least: Sequence[str] = (), means: Sequence[str] = (), bucket_s: int = 30 * DAY_S) -> DataFrame:
+    """Rows that follow each other by exactly `step_s` as one episode with its first and last time and size; the first row's values of `first`, and sums, smallest values and means of columns."""
+    of = lambda f, names, prefix: [f(c).alias(f"{prefix}{c}") for c in names]
+    evidence = [*of(lambda c: F.min_by(c, at), first, ""), *of(F.sum, sums, "sum_"), *of(F.min, least, "least_"), *of(F.avg, means, "mean_")]
+    return stretches(rows, [key], at, step_s, bucket_s).groupBy(key, "episode").agg(F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.count("*").alias("n"), *evidence)
 
 
-_PEERS = """r AS (SELECT event_id, user_id % 20 AS meter, event_type AS load_type, CASE WHEN isodow(ts) >= 6 THEN 'weekend' ELSE 'weekday' END AS day_type, hour(ts) // 6 AS part, ts, value AS usage, day(ts) <= 24 AS early FROM events WHERE value IS NOT NULL),
-s AS (SELECT load_type, day_type, part, count(*) AS n, median(usage) AS median, quantile_cont(usage, 0.95) AS p95 FROM r WHERE early GROUP BY ALL), c AS (SELECT r.*, s.n >= 20 AND usage > p95 AS candidate, CASE WHEN s.n >= 20 AND usage > p95 THEN greatest(0, usage - median) ELSE 0 END AS excess FROM r LEFT JOIN s USING (load_type, day_type, part) WHERE NOT early)
+_PEERS = """r AS (SELECT user_id % 5 AS meter, date_trunc('hour', ts) AS ts, CASE WHEN isodow(any_value(ts)) >= 6 THEN 'weekend' ELSE 'weekday' END AS day_type, hour(any_value(ts)) // 6 AS part, min(event_type) AS load_type, sum(value::DECIMAL(18,6))::DOUBLE AS usage, sum(CAST(json_extract_string(props, '$.k') AS DECIMAL(18,6)))::DOUBLE AS reactive FROM events WHERE value > 0 GROUP BY ALL),
+f AS (SELECT *, 100 * usage / sqrt(usage * usage + reactive * reactive) AS factor FROM r), s AS (SELECT load_type, day_type, part, count(*) AS n, median(usage) AS median, quantile_cont(usage, 0.8) AS p95 FROM f WHERE day(ts) <= 12 GROUP BY ALL),
+c AS (SELECT f.*, coalesce(s.n, 0) AS n, p95, coalesce(s.n >= 20 AND usage > p95, false) AS candidate, CASE WHEN p95 IS NOT NULL THEN greatest(0, usage - p95) END AS excess FROM f LEFT JOIN s USING (load_type, day_type, part) WHERE day(ts) > 12)
 """
 
 
-def usage_rows(p: Plant) -> DataFrame:
-    e = p.table("events").filter("value IS NOT NULL")
-    weekend = F.when(F.weekday("ts") >= 5, "weekend").otherwise("weekday")
-    return e.select("event_id", (F.col("user_id") % 20).alias("meter"), F.col("event_type").alias("load_type"), weekend.alias("day_type"), F.floor(F.hour("ts") / 6).alias("part"), "ts", F.col("value").alias("usage"))
+def usage_hours(p: Plant) -> DataFrame:
+    """Hourly readings of five meters: usage, and reactive energy, which the number in `props` plays; the power factor (percent) follows from both."""
+    e = p.table("events").filter("value > 0").select((F.col("user_id") % 5).alias("meter"), F.date_trunc("hour", "ts").alias("ts"), "event_type", "value", F.get_json_object("props", "$.k").alias("k"))
+    number = lambda c: F.sum(F.col(c).cast("decimal(18,6)")).cast("double")
+    r = e.groupBy("meter", "ts").agg(F.min("event_type").alias("load_type"), number("value").alias("usage"), number("k").alias("reactive"))
+    usage, reactive = F.col("usage"), F.col("reactive")
+    return r.withColumns({"day_type": F.when(F.weekday("ts") >= 5, "weekend").otherwise("weekday"), "part": F.floor(F.hour("ts") / 6), "factor": 100 * usage / F.sqrt(usage * usage + reactive * reactive)})
+
 
+def screened_hours(p: Plant) -> DataFrame:
+    """Twelve days are the baseline; the quantile is lower than the default, as the series is short."""
+    return peer_screen(usage_hours(p), ["load_type", "day_type", "part"], "usage", F.dayofmonth("ts") <= 12, quantile=0.8)
 
-@query("p04_peer_screen", "WITH " + _PEERS + "SELECT event_id, coalesce(candidate, false) AS candidate, round(excess, 5) AS excess FROM c", "")
+
+@query("p04_peer_screen", "WITH " + _PEERS + "SELECT meter, ts, n, candidate, excess FROM c", "")
 def p_screen(p: Plant) -> DataFrame:
-    return peer_screen(usage_rows(p), ["load_type", "day_type", "part"], "usage", F.dayofmonth("ts") <= 24).select("event_id", "candidate", F.round("excess", 5).alias("excess"))
+    return screened_hours(p).select("meter", "ts", "n", "candidate", "excess")
 
 
-@query("p05_episodes", "WITH " + _PEERS + """, k AS (SELECT *, CASE WHEN coalesce(epoch_ms(date_trunc('second', ts)) - epoch_ms(date_trunc('second', lag(ts) OVER w)) > 86400000, true) THEN 1 ELSE 0 END AS nw FROM c WHERE candidate WINDOW w AS (PARTITION BY meter ORDER BY ts)), e AS (SELECT *, sum(nw) OVER (PARTITION BY meter ORDER BY ts ROWS UNBOUNDED PRECEDING) AS ep FROM k)
-SELECT meter, ep::BIGINT AS episode, min(ts) AS first_at, max(ts) AS last_at, count(*) AS n, round(sum(excess), 4) AS total FROM e GROUP BY ALL""", "")
+@query("p05_episodes", "WITH " + _PEERS + """, k AS (SELECT *, CASE WHEN coalesce(ts - lag(ts) OVER w <> INTERVAL 1 HOUR, true) THEN 1 ELSE 0 END AS nw FROM c WHERE candidate WINDOW w AS (PARTITION BY meter ORDER BY ts)), e AS (SELECT *, sum(nw) OVER (PARTITION BY meter ORDER BY ts ROWS UNBOUNDED PRECEDING) AS ep FROM k)
+SELECT meter, ep::BIGINT AS episode, min(ts) AS first_at, max(ts) AS last_at, count(*) AS n, arg_min(load_type, ts) AS load_type, arg_min(day_type, ts) AS day_type, sum(usage) AS sum_usage, sum(p95) AS sum_p95, sum(excess) AS sum_excess, sum(reactive) AS sum_reactive, min(e.n) AS least_peers, avg(factor) AS mean_factor FROM e GROUP BY ALL""", "")
 def p_episodes(p: Plant) -> DataFrame:
-    screened = peer_screen(usage_rows(p), ["load_type", "day_type", "part"], "usage", F.dayofmonth("ts") <= 24).filter("candidate")
-    return episodes(screened, "meter", "ts", 86_400, "excess")
+    """Episodes with their evidence, largest excess first."""
+    rows = screened_hours(p).filter("candidate").withColumnRenamed("n", "peers")
+    return episodes(rows, "meter", "ts", 3_600, ("load_type", "day_type"), ("usage", "p95", "excess", "reactive"), ("peers",), ("factor",)).orderBy(F.desc("sum_excess"))
 
 
 @query("p01_p02_annual_baseline", """y AS (SELECT d.workshop_code, left(year_month, 4) AS y, sum(tce)::DOUBLE AS e, sum(output_qty)::DOUBLE AS q FROM days d JOIN production p USING (record_date, workshop_code) GROUP BY ALL) SELECT workshop_code, round(1000 * a.e / a.q, 4) AS ue_2024, round(1000 * b.e / b.q, 4) AS ue_2025, round(a.e / a.q * b.q, 3) AS due_tce, round(b.e - a.e / a.q * b.q, 3) AS gap_tce FROM (SELECT * FROM y WHERE y = '2024') a JOIN (SELECT * FROM y WHERE y = '2025') b USING (workshop_code)""")
@@ -239,10 +276,18 @@ def p_scenarios(p: Plant) -> DataFrame:
     return rows.withColumns({c: F.round(c, n) for c, n in (("saved_tce", 8), ("saved_co2_t", 8), ("saved_yuan", 6))})
 
 
-@query("p06_p07_queue_and_sensitivity", "WITH " + _PEERS + "SELECT share::DOUBLE AS share_pct, round(sum(excess) * share / 100, 4) AS saved FROM c, (VALUES (10), (25), (50)) g(share) WHERE candidate GROUP BY share", "")
+def sensitivity(excess: DataFrame, column: str = "excess", shares: tuple[float, ...] = (10.0, 25.0, 50.0), tariff: float | None = None) -> DataFrame:
+    """What a share of the candidates' excess would save, and cost at a tariff, which must not be negative (without one the cost is null)."""
+    if tariff is not None and tariff < 0:
+        raise ValueError("a tariff must not be negative")
+    total = excess.agg(F.coalesce(F.sum(column), F.lit(0.0)).alias("x"))
+    rows = total.withColumn("share_pct", F.explode(F.array(*map(F.lit, shares)))).select("share_pct", (F.col("x") * F.col("share_pct") / 100).alias("saved_kwh"))
+    return rows.withColumns({"saved_cost": F.col("saved_kwh") * F.lit(tariff).cast("double"), "tariff": F.lit(tariff).cast("double")})
+
+
+@query("p07_sensitivity", "WITH " + _PEERS + "SELECT share::DOUBLE AS share_pct, coalesce(sum(excess), 0) * share / 100 AS saved_kwh, coalesce(sum(excess), 0) * share / 100 * 0.68 AS saved_cost, 0.68::DOUBLE AS tariff FROM (VALUES (10), (25), (50)) g(share) LEFT JOIN c ON candidate GROUP BY share", "")
 def p_sensitivity(p: Plant) -> DataFrame:
-    c = peer_screen(usage_rows(p), ["load_type", "day_type", "part"], "usage", F.dayofmonth("ts") <= 24).filter("candidate").agg(F.sum("excess").alias("x"))
-    return c.withColumn("share_pct", F.explode(F.array(F.lit(10.0), F.lit(25.0), F.lit(50.0)))).select("share_pct", F.round(F.col("x") * F.col("share_pct") / 100, 4).alias("saved"))
+    return sensitivity(screened_hours(p).filter("candidate"), tariff=0.68)
 
 
 def power_factor_queue(rows: DataFrame, factor: str, reactive: str, *ties: str, below: float = 90.0, top: int = 250) -> DataFrame:
@@ -250,15 +295,10 @@ def power_factor_queue(rows: DataFrame, factor: str, reactive: str, *ties: str,
     return rows.filter((F.col(factor) < below) & (F.col(reactive) > 0)).orderBy(F.asc(factor), F.desc(reactive), *ties).limit(top)
 
 
-@query("p06_power_factor_queue", """WITH r AS (SELECT event_id, ts, event_type AS load_type, CASE WHEN isodow(ts) >= 6 THEN 'weekend' ELSE 'weekday' END AS day_type, value AS usage, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS reactive FROM events WHERE value > 0 AND day(ts) > 24),
-f AS (SELECT *, round(100 * usage / sqrt(usage * usage + reactive * reactive), 6) AS power_factor FROM r) SELECT event_id, ts, load_type, day_type, usage, power_factor, reactive FROM f WHERE power_factor < 90 AND reactive > 0 ORDER BY power_factor, reactive DESC, event_id LIMIT 250""", "")
+@query("p06_power_factor_queue", "WITH " + _PEERS + "SELECT meter, ts, load_type, day_type, usage, round(factor, 6) AS factor, reactive FROM c WHERE round(factor, 6) < 90 AND reactive > 0 ORDER BY round(factor, 6), reactive DESC, meter, ts LIMIT 250", "")
 def p_factor(p: Plant) -> DataFrame:
-    """The number in `props` plays the reactive energy; readings are of the days that P4 screens. The power factor (percent) follows from both."""
-    e = p.table("events").filter((F.col("value") > 0) & (F.dayofmonth("ts") > 24))
-    weekend = F.when(F.weekday("ts") >= 5, "weekend").otherwise("weekday")
-    r = e.select("event_id", "ts", F.col("event_type").alias("load_type"), weekend.alias("day_type"), F.col("value").alias("usage"), F.get_json_object("props", "$.k").cast("double").alias("reactive"))
-    f = r.withColumn("power_factor", F.round(100 * F.col("usage") / F.sqrt(F.col("usage") * F.col("usage") + F.col("reactive") * F.col("reactive")), 6))
-    return power_factor_queue(f, "power_factor", "reactive", "event_id").select("event_id", "ts", "load_type", "day_type", "usage", "power_factor", "reactive")
+    rows = screened_hours(p).withColumn("factor", F.round("factor", 6))
+    return power_factor_queue(rows, "factor", "reactive", "meter", "ts").select("meter", "ts", "load_type", "day_type", "usage", "factor", "reactive")
 
 
 @query("p08_series_integrity", "SELECT meter, count(*) AS n, count(*) - count(DISTINCT ts) AS repeated, count(CASE WHEN gap > 14400 THEN 1 END) AS gaps FROM (SELECT user_id % 20 AS meter, ts, (epoch_ms(date_trunc('second', ts)) - epoch_ms(date_trunc('second', lag(ts) OVER (PARTITION BY user_id % 20 ORDER BY ts)))) / 1000 AS gap FROM events) GROUP BY 1", "")
@@ -268,20 +308,36 @@ def p_integrity(p: Plant) -> DataFrame:
     return rows.groupBy("meter").agg(F.count("*").alias("n"), (F.count("*") - F.count_distinct("ts")).alias("repeated"), F.count(F.when(F.col("gap") > 14_400, 1)).alias("gaps"))
 
 
+def with_issues(readings: DataFrame, issues: DataFrame) -> DataFrame:
+    """Readings with `flagged`: whether a quality interval of their asset covers them; an open interval runs to the stream's end, ends are exclusive."""
+    intervals = issues.select("asset_id", "issue_start", F.coalesce("issue_end", "stream_end").alias("issue_end"))
+    return covered(readings, intervals, "asset_id", "time", "issue_start", "issue_end").withColumnRenamed("covered", "flagged")
+
+
 def without_issues(readings: DataFrame, issues: DataFrame) -> DataFrame:
-    """Readings that no quality interval of their asset covers; an open interval runs to the stream's end, ends are exclusive."""
-    i = issues.select(F.col("asset_id").alias("_a"), "issue_start", F.coalesce("issue_end", "stream_end").alias("_end"))
-    return readings.join(i, (F.col("asset_id") == F.col("_a")) & (F.col("time") >= F.col("issue_start")) & (F.col("time") < F.col("_end")), "left_anti")
+    """Readings that no quality interval of their asset covers."""
+    return with_issues(readings, issues).filter(~F.col("flagged")).drop("flagged")
 
 
-def asset_summary(readings: DataFrame, signals: DataFrame, windows: DataFrame, issues: DataFrame) -> DataFrame:
-    """Per asset the quarter hours, energy and mean power of sound readings: of all phases, in a reliable window, in no quality interval, finite and not negative.
+def gated(readings: DataFrame, signals: DataFrame, windows: DataFrame, issues: DataFrame) -> DataFrame:
+    """Readings of all phases with `flagged` and `usable`: in a reliable window, in no quality interval, finite and not negative.
 
     Readings have asset_id, time, signal_id, value and observation_window_id; signals and windows are small dimensions, so Spark may broadcast them.
     """
-    sound = readings.filter(F.col("value").isNotNull() & ~F.isnan("value") & (F.col("value") >= 0) & (F.col("value") != float("inf")))
-    rows = sound.join(signals.filter("phase = 'all'").select("signal_id"), "signal_id", "left_semi").join(windows.filter("is_reliable_window").select("observation_window_id"), "observation_window_id", "left_semi")
-    return without_issues(rows, issues).groupBy("asset_id").agg(F.count("*").alias("windows"), F.sum("value").alias("kwh"), (4 * F.avg("value")).alias("mean_kw"))
+    phases = readings.join(signals.filter("phase = 'all'").select("signal_id"), "signal_id", "left_semi").join(windows.select("observation_window_id", "is_reliable_window"), "observation_window_id")
+    finite = F.col("value").isNotNull() & ~F.isnan("value") & (F.col("value") >= 0) & (F.col("value") != float("inf"))
+    return with_issues(phases, issues).withColumn("usable", F.coalesce(F.col("is_reliable_window"), F.lit(False)) & ~F.col("flagged") & finite)
+
+
+def asset_summary(readings: DataFrame, signals: DataFrame, windows: DataFrame, issues: DataFrame, assets: DataFrame) -> DataFrame:
+    """Per asset its type, whether it is a submeter, all quarter hours of all phases, the usable, flagged and negative ones, first and last time, and energy and mean power of the usable ones."""
+    good = lambda c: F.when(F.col("usable"), F.col(c).cast("decimal(20,6)"))
+    kwh = F.sum(good("value")).cast("double")
+    rows = gated(readings, signals, windows, issues).join(assets.select("asset_id", "asset_type", "is_submeter"), "asset_id")
+    return rows.groupBy("asset_id", "asset_type", "is_submeter").agg(
+        F.count("*").alias("windows"), F.count_if("usable").alias("usable_windows"), F.count_if("flagged").alias("flagged_windows"), F.count_if(F.col("value") < 0).alias("negative_windows"),
+        F.min("time").alias("first_at"), F.max("time").alias("last_at"), kwh.alias("kwh"), (4 * kwh / F.nullif(F.count_if("usable"), F.lit(0))).alias("mean_kw"),
+    )
 
 
 def asset_issues(p: Plant) -> DataFrame:
@@ -289,57 +345,77 @@ def asset_issues(p: Plant) -> DataFrame:
     return p.table("events").filter("event_id % 97 = 0").select((F.col("user_id") % 20).alias("asset_id"), day.alias("issue_start"), F.when(F.col("event_id") % 3 != 0, day + F.expr("INTERVAL 6 HOURS")).alias("issue_end"), F.lit("2024-01-20").cast("timestamp").alias("stream_end"))
 
 
-@query("p09_j07_asset_summary", """i AS (SELECT user_id % 20 AS asset_id, date_trunc('day', ts) AS a, CASE WHEN event_id % 3 = 0 THEN TIMESTAMP '2024-01-20 00:00:00' ELSE date_trunc('day', ts) + INTERVAL 6 HOURS END AS b FROM events WHERE event_id % 97 = 0), r AS (SELECT user_id % 20 AS asset_id, ts, value FROM events WHERE value >= 0)
-SELECT asset_id, count(*) AS windows, round(sum(value), 4) AS kwh, round(4 * avg(value), 6) AS mean_kw FROM r WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.asset_id = r.asset_id AND r.ts >= i.a AND r.ts < i.b) GROUP BY 1""".replace("i AS", "WITH i AS", 1), "")
-def p_assets(p: Plant) -> DataFrame:
-    issues = asset_issues(p)
-    readings = p.table("events").filter("value >= 0").select((F.col("user_id") % 20).alias("asset_id"), F.col("ts").alias("time"), "value")
-    return without_issues(readings, issues).groupBy("asset_id").agg(F.count("*").alias("windows"), F.round(F.sum("value"), 4).alias("kwh"), F.round(4 * F.avg("value"), 6).alias("mean_kw"))
+_ASSETS = """i AS (SELECT user_id % 20 AS asset_id, date_trunc('day', ts) AS a, CASE WHEN event_id % 3 = 0 THEN TIMESTAMP '2024-01-20 00:00:00' ELSE date_trunc('day', ts) + INTERVAL 6 HOURS END AS b FROM events WHERE event_id % 97 = 0),
+r AS (SELECT user_id % 20 AS asset_id, ts AS "time", CASE WHEN event_id % 29 = 0 THEN 'NaN'::DOUBLE WHEN event_id % 31 = 0 THEN -value ELSE value END AS value, user_id % 50 % 7 <> 3 AS reliable FROM events WHERE event_type IN ('view', 'click')),
+q AS (SELECT *, EXISTS (SELECT 1 FROM i WHERE i.asset_id = r.asset_id AND r."time" >= i.a AND r."time" < i.b) AS flagged FROM r), g AS (SELECT *, reliable AND NOT flagged AND coalesce(value >= 0 AND isfinite(value), false) AS usable, CASE WHEN asset_id % 9 = 4 THEN 'network' ELSE 'machine' END AS asset_type, asset_id % 2 = 0 AS is_submeter FROM q)
+"""
 
 
-@query("p09_sound_readings", """WITH i AS (SELECT user_id % 20 AS asset_id, date_trunc('day', ts) AS a, CASE WHEN event_id % 3 = 0 THEN TIMESTAMP '2024-01-20 00:00:00' ELSE date_trunc('day', ts) + INTERVAL 6 HOURS END AS b FROM events WHERE event_id % 97 = 0), r AS (SELECT user_id % 20 AS asset_id, ts, value FROM events WHERE value >= 0 AND event_id % 29 <> 0 AND event_type IN ('view', 'click') AND user_id % 50 % 7 <> 3)
-SELECT asset_id, count(*) AS windows, round(sum(value), 5) AS kwh, round(4 * avg(value), 6) AS mean_kw FROM r WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.asset_id = r.asset_id AND r.ts >= i.a AND r.ts < i.b) GROUP BY 1""", "")
-def p_sound(p: Plant) -> DataFrame:
-    """Event types play signals, of which two are of all phases; some values aren't numbers."""
+def asset_readings(p: Plant) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Readings, signals, windows, issues and assets: event types play signals, of which two are of all phases; some values aren't numbers, some are negative."""
     e = p.table("events")
-    value = F.when(F.col("event_id") % 29 == 0, float("nan")).otherwise(F.col("value"))
+    value = F.when(F.col("event_id") % 29 == 0, float("nan")).when(F.col("event_id") % 31 == 0, -F.col("value")).otherwise(F.col("value"))
     readings = e.select((F.col("user_id") % 20).alias("asset_id"), F.col("ts").alias("time"), F.col("event_type").alias("signal_id"), (F.col("user_id") % 50).alias("observation_window_id"), value.alias("value"))
     signals = e.select(F.col("event_type").alias("signal_id"), F.when(F.col("event_type").isin("view", "click"), "all").otherwise("L1").alias("phase")).distinct()
     windows = e.select((F.col("user_id") % 50).alias("observation_window_id")).distinct().withColumn("is_reliable_window", F.col("observation_window_id") % 7 != 3)
-    return asset_summary(readings, signals, windows, asset_issues(p)).select("asset_id", "windows", F.round("kwh", 5).alias("kwh"), F.round("mean_kw", 6).alias("mean_kw"))
+    assets = e.select((F.col("user_id") % 20).alias("asset_id")).distinct().withColumns({"asset_type": F.when(F.col("asset_id") % 9 == 4, "network").otherwise("machine"), "is_submeter": F.col("asset_id") % 2 == 0})
+    return readings, signals, windows, asset_issues(p), assets
 
 
-def asset_day_queue(days: DataFrame, cutoff: str, usable: int = 80, least: int = 20, factor: float = 1.25, network: tuple = ()) -> DataFrame:
-    """P10: days (asset_id, day, day_type, windows, kwh, asset_type) after the cutoff whose energy lies above max(factor x P95, P95 + 2) of the asset's earlier
-    usable days of that type. Network meters (asset types in `network`) are left out: they sum up others."""
-    sound = days.filter((F.col("windows") >= usable) & ~F.coalesce(F.col("asset_type").isin(*network), F.lit(False)))
-    cut = F.to_date(F.lit(cutoff))
-    base = sound.filter(F.col("day") < cut).groupBy("asset_id", "day_type").agg(F.count("*").alias("base_days"), F.median("kwh").alias("median_kwh"), F.percentile("kwh", F.lit(0.95)).alias("p95_kwh"))
-    rows = sound.filter(F.col("day") >= cut).join(base.filter(F.col("base_days") >= least), ["asset_id", "day_type"])
-    rows = rows.withColumn("threshold", F.greatest(F.lit(factor) * F.col("p95_kwh"), F.col("p95_kwh") + 2)).filter("kwh > threshold")
-    return rows.select("asset_id", "day", "day_type", "kwh", "median_kwh", "threshold", (F.col("kwh") - F.col("threshold")).alias("excess"))
+@query("p09_j07_asset_summary", "WITH " + _ASSETS + """SELECT asset_id, asset_type, is_submeter, count(*) AS windows, count(*) FILTER (usable) AS usable_windows, count(*) FILTER (flagged) AS flagged_windows, count(*) FILTER (value < 0) AS negative_windows, min("time") AS first_at, max("time") AS last_at, sum((CASE WHEN usable THEN value END)::DECIMAL(20,6))::DOUBLE AS kwh, 4 * sum((CASE WHEN usable THEN value END)::DECIMAL(20,6))::DOUBLE / nullif(count(*) FILTER (usable), 0) AS mean_kw FROM g GROUP BY ALL""", "")
+def p_assets(p: Plant) -> DataFrame:
+    return asset_summary(*asset_readings(p))
+
+
+@query("p09_sound_readings", "WITH " + _ASSETS + """SELECT asset_id, "time", value FROM g WHERE usable""", "")
+def p_sound(p: Plant) -> DataFrame:
+    """The readings that pass all gates."""
+    return gated(*asset_readings(p)[:4]).filter("usable").select("asset_id", "time", "value")
 
 
-def asset_days(p: Plant) -> DataFrame:
-    kind = F.when(F.weekday("ts") >= 5, "weekend").otherwise("weekday")
-    asset = F.col("user_id") % 20
-    return p.table("events").filter("value >= 0").groupBy(asset.alias("asset_id"), F.to_date("ts").alias("day"), kind.alias("day_type")).agg(F.count("*").alias("windows"), F.sum("value").alias("kwh")).withColumn("asset_type", F.when(F.col("asset_id") % 9 == 4, "network").otherwise("machine"))
+def asset_days(usable: DataFrame, assets: DataFrame) -> DataFrame:
+    """P10: usable quarter hours as days of an asset: windows, energy and mean power."""
+    kwh = F.sum(F.col("value").cast("decimal(20,6)")).cast("double")
+    days = usable.groupBy("asset_id", F.to_date("time").alias("day")).agg(F.count("*").alias("windows"), kwh.alias("kwh"), (4 * kwh / F.count("*")).alias("mean_kw"))
+    return days.withColumn("day_type", F.when(F.weekday("day") >= 5, "weekend").otherwise("weekday")).join(assets.select("asset_id", "asset_type"), "asset_id")
 
 
-_ASSET_DAYS = """WITH d AS (SELECT user_id % 20 AS asset_id, CAST(ts AS DATE) AS day, CASE WHEN isodow(ts) >= 6 THEN 'weekend' ELSE 'weekday' END AS day_type, count(*) AS n, sum(value) AS kwh FROM events WHERE value >= 0 GROUP BY ALL), u AS (SELECT * FROM d WHERE n >= 3), b AS (SELECT asset_id, day_type, count(*) AS nb, median(kwh) AS med, quantile_cont(kwh, 0.95) AS p95 FROM u WHERE day < DATE '2024-01-22' GROUP BY ALL)
+def asset_day_queue(days: DataFrame, cutoff: str, usable: int = 80, least: int = 20, factor: float = 1.25, more_kw: float = 2.0, network: tuple = ()) -> DataFrame:
+    """P10: the days from the cutoff on with at least `usable` windows, against the asset's days of that type before it (at least `least` of them): candidates have a mean power
+    above max(factor x P95, P95 + more_kw) and aren't of a network meter (asset types in `network`), as those sum up others. `excess_kwh` is the power over P95 times the windows' hours."""
+    sound = days.filter(F.col("windows") >= usable)
+    cut = F.to_date(F.lit(cutoff))
+    keys = ["asset_id", "asset_type", "day_type"]
+    base = sound.filter(F.col("day") < cut).groupBy(*keys).agg(F.count("*").alias("base_days"), F.median("mean_kw").alias("median_kw"), F.percentile("mean_kw", F.lit(0.95)).alias("p95_kw"))
+    rows = sound.filter(F.col("day") >= cut).join(base.filter(F.col("base_days") >= least), keys)
+    rows = rows.withColumn("threshold_kw", F.greatest(F.lit(factor) * F.col("p95_kw"), F.col("p95_kw") + more_kw))
+    member = F.coalesce(F.col("asset_type").isin(*network), F.lit(False)) if network else F.lit(False)
+    over = F.greatest(F.col("mean_kw") - F.col("p95_kw"), F.lit(0.0))
+    return rows.withColumns({"candidate": (F.col("mean_kw") > F.col("threshold_kw")) & ~member, "excess_kwh": over * F.col("windows") / 4})
+
+
+_ASSET_DAYS = "WITH " + _ASSETS + """, d AS (SELECT asset_id, asset_type, CAST("time" AS DATE) AS day, CASE WHEN isodow("time") >= 6 THEN 'weekend' ELSE 'weekday' END AS day_type, count(*) AS windows, sum(value::DECIMAL(20,6))::DOUBLE AS kwh, 4 * sum(value::DECIMAL(20,6))::DOUBLE / count(*) AS mean_kw FROM g WHERE usable GROUP BY ALL), u AS (SELECT * FROM d WHERE windows >= 2),
+b AS (SELECT asset_id, asset_type, day_type, count(*) AS base_days, median(mean_kw) AS median_kw, quantile_cont(mean_kw, 0.95) AS p95_kw FROM u WHERE day < DATE '2024-01-22' GROUP BY ALL HAVING count(*) >= 2),
+o AS (SELECT u.*, base_days, median_kw, p95_kw, greatest(1.1 * p95_kw, p95_kw + 2) AS threshold_kw, mean_kw > greatest(1.1 * p95_kw, p95_kw + 2) AND asset_type <> 'network' AS candidate, greatest(mean_kw - p95_kw, 0) * windows / 4 AS excess_kwh FROM u JOIN b USING (asset_id, asset_type, day_type) WHERE day >= DATE '2024-01-22')
 """
 
 
-@query("p10_asset_day_queue", _ASSET_DAYS + "SELECT asset_id, day, round(kwh, 4) AS kwh, round(greatest(1.1 * p95, p95 + 2), 4) AS threshold, round(kwh - greatest(1.1 * p95, p95 + 2), 4) AS excess FROM u JOIN b USING (asset_id, day_type) WHERE day >= DATE '2024-01-22' AND nb >= 4 AND kwh > greatest(1.1 * p95, p95 + 2)", "")
-def p_queue(p: Plant) -> DataFrame:
-    rows = asset_day_queue(asset_days(p), "2024-01-22", 3, 4, 1.1)
-    return rows.select("asset_id", "day", *(F.round(c, 4).alias(c) for c in ("kwh", "threshold", "excess")))
+def review_days(p: Plant) -> DataFrame:
+    """Days need two windows, baselines two days: the series is short."""
+    readings, signals, windows, issues, assets = asset_readings(p)
+    return asset_day_queue(asset_days(gated(readings, signals, windows, issues).filter("usable"), assets), "2024-01-22", 2, 2, 1.1, network=("network",))
 
 
-@query("p10_without_network_meters", _ASSET_DAYS + "SELECT asset_id, day, day_type, round(kwh, 4) AS kwh, round(med, 4) AS median_kwh, round(kwh - greatest(0.9 * p95, p95 + 2), 4) AS excess FROM u JOIN b USING (asset_id, day_type) WHERE day >= DATE '2024-01-22' AND nb >= 2 AND kwh > greatest(0.9 * p95, p95 + 2) AND asset_id % 9 <> 4", "")
-def p_machines(p: Plant) -> DataFrame:
-    rows = asset_day_queue(asset_days(p), "2024-01-22", 3, 2, 0.9, ("network",))
-    return rows.select("asset_id", "day", "day_type", *(F.round(c, 4).alias(c) for c in ("kwh", "median_kwh", "excess")))
+@query("p10_asset_day_review", _ASSET_DAYS + "SELECT asset_id, asset_type, day, day_type, windows, kwh, mean_kw, base_days, median_kw, p95_kw, threshold_kw, candidate, excess_kwh FROM o", "")
+def p_review(p: Plant) -> DataFrame:
+    """All days that are judged."""
+    return review_days(p)
+
+
+@query("p10_asset_day_queue", _ASSET_DAYS + "SELECT asset_id, day, day_type, mean_kw, threshold_kw, excess_kwh FROM o WHERE candidate", "")
+def p_queue(p: Plant) -> DataFrame:
+    """Candidates, largest excess first."""
+    return review_days(p).filter("candidate").orderBy(F.desc("excess_kwh")).select("asset_id", "day", "day_type", "mean_kw", "threshold_kw", "excess_kwh")
 
 
 def assessments(plants: DataFrame, recommendations: DataFrame) -> DataFrame:
@@ -373,12 +449,3 @@ def p_cases(p: Plant) -> DataFrame:
     plants = p.table("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("usage_kwh"), (F.col("s_suppkey") % 4).alias("production")).join(declared, "id", "left").fillna(0, ["declared"])
     rows = assessments(plants, r)
     return rows.withColumns({c: F.col(c).cast("double") for c in ("saved", "saved_implemented", "cost_implemented")} | {c: F.round(c, 8) for c in ("payback_years", "kwh_per_unit")})
-
-
-@query("p11_assessment_savings", """SELECT s_nationkey AS nation, count(*) AS recommendations, round(sum(s_acctbal), 2) AS saved, count(CASE WHEN s_suppkey % 2 = 0 THEN 1 END) AS implemented, round(sum(s_suppkey) / nullif(sum(CASE WHEN s_acctbal > 0 THEN s_acctbal END), 0), 6) AS payback FROM supplier GROUP BY 1""", "")
-def p_assessment(p: Plant) -> DataFrame:
-    """Savings, implemented ones and payback (cost over savings) per assessment."""
-    s = p.table("supplier")
-    return s.groupBy(F.col("s_nationkey").alias("nation")).agg(
-        F.count("*").alias("recommendations"), F.round(F.sum("s_acctbal"), 2).alias("saved"), F.count(F.when(F.col("s_suppkey") % 2 == 0, 1)).alias("implemented"), F.round(F.try_divide(F.sum("s_suppkey").cast("double"), F.sum(F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")))), 6).alias("payback")
-    )

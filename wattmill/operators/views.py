@@ -7,7 +7,9 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattmill.operators.scans import cusums
 from wattmill.sources.adapter import ORACLE, UTILITY, Star
+from wattmill.staging import written
 
 SLACK, LIMIT = 0.5, 9.9
 
@@ -73,22 +75,28 @@ def baseline(unit_days: DataFrame, keys: tuple[str, ...] = ("workshop_code",)) -
     m = m.select(*keys, "b", "g", "h", F.expr("mean_ue - b * mean_x - g * mean_s - h * mean_c").alias("a"))
     fitted = d.join(m, list(keys)).withColumn("yhat", F.expr("a + b * x + g * s + h * c"))
     resid = fitted.withColumn("r", F.col("ue") - F.col("yhat"))
-    by, by_month = Window.partitionBy(*keys), Window.partitionBy(*keys, F.month("record_date"))
-    resid = resid.withColumn("w", F.col("r") - F.avg("r").over(by_month))
-    for name, short in (("r", "r"), ("w", "w"), ("ue", "u")):
-        resid = resid.withColumns({f"mu_{short}": F.avg(name).over(by), f"sd_{short}": F.stddev_samp(name).over(by)})
+    # means and spreads of residuals, of residuals less their month's mean, and of unit energy: from moments by month, a dozen rows a group
+    by = Window.partitionBy(*keys)
+    month = F.month("record_date")
+    stats = resid.groupBy(*keys, month.alias("_month")).agg(*(f(c).alias(f"{name}_{c}") for c in ("r", "ue") for name, f in (("n", F.count), ("m", F.avg), ("v", F.var_pop))))
+
+    total = lambda c: F.sum(f"n_{c}").over(by)
+    stats = stats.withColumns({f"middle_{c}": F.try_divide(F.sum(F.col(f"n_{c}") * F.col(f"m_{c}")).over(by), total(c)) for c in ("r", "ue")})
+    around = lambda c: F.col(f"v_{c}") + (F.col(f"m_{c}") - F.col(f"middle_{c}")) * (F.col(f"m_{c}") - F.col(f"middle_{c}"))
+    spread = lambda c, square: F.sqrt(F.try_divide(F.sum(F.col(f"n_{c}") * square).over(by), F.nullif(total(c) - 1, F.lit(0))))
+    found = {"mu_r": F.col("middle_r"), "sd_r": spread("r", around("r")), "mu_w": F.col("middle_r") * 0.0, "sd_w": spread("r", F.col("v_r")), "mu_u": F.col("middle_ue"), "sd_u": spread("ue", around("ue"))}
+    table = stats.select(*keys, "_month", F.col("m_r").alias("_mean"), *(v.alias(k) for k, v in found.items()))
+    resid = resid.withColumn("_month", month).join(table, [*keys, "_month"]).withColumn("w", F.col("r") - F.col("_mean"))
     z = {f"z_{k}": F.try_divide(F.col(c) - F.col(f"mu_{k}"), F.col(f"sd_{k}")) for c, k in (("r", "r"), ("w", "w"), ("ue", "u"))}
-    return resid.withColumns(z).drop("x", "s", "c", "a", "b", "g", "h")
+    return resid.withColumns(z).drop("x", "s", "c", "a", "b", "g", "h", "_month", "_mean")
 
 
 def cusum(base: DataFrame, keys: tuple[str, ...] = ("workshop_code",), slack: float = SLACK, limit: float = LIMIT) -> DataFrame:
-    """Two-sided CUSUM in closed form: running sum less its running minimum, at most 0. High side is named first."""
-    order = Window.partitionBy(*keys).orderBy("record_date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """Two-sided CUSUM in closed form: running sum less its running minimum, at most 0, by a scan in two levels. High side is named first."""
     terms = {"hi": F.col("z_w") - slack, "lo": -F.col("z_w") - slack, "hi_raw": F.col("z_r") - slack, "lo_raw": -F.col("z_r") - slack}
-    summed = base.withColumns({f"c_{k}": F.sum(v).over(order) for k, v in terms.items()})
-    s = summed.withColumns({f"s_{k}": F.col(f"c_{k}") - F.least(F.lit(0.0), F.min(f"c_{k}").over(order)) for k in terms})
+    s = cusums(base, keys, "record_date", terms)
     over = lambda k: F.col(f"s_{k}") > limit
-    return s.withColumns({"h": F.lit(limit), "is_alarm": F.when(over("hi") | over("lo"), 1).otherwise(0), "alarm_side": F.when(over("hi"), "偏高").when(over("lo"), "偏低")}).drop(*(f"c_{k}" for k in terms))
+    return s.withColumns({"h": F.lit(limit), "is_alarm": F.when(over("hi") | over("lo"), 1).otherwise(0), "alarm_side": F.when(over("hi"), "偏高").when(over("lo"), "偏低")})
 
 
 class Plant(Star):
@@ -108,7 +116,8 @@ class Plant(Star):
 
     @cached_property
     def unit_days(self) -> DataFrame:
-        return unit_energy_days(self.days, self.production)
+        """Written once: the baseline reads them several times."""
+        return written(unit_energy_days(self.days, self.production), "unit-days")
 
     @cached_property
     def baseline(self) -> DataFrame:

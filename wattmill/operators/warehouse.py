@@ -569,7 +569,7 @@ st AS (SELECT * FROM im QUALIFY row_number() OVER (PARTITION BY business_key ORD
 """
 
 
-@query("o15_o24_cdc_projection", _LOG + "SELECT business_key, gone AS is_deleted, consumption::DOUBLE AS consumption, paid::DOUBLE AS cost, source_id AS \"row\" FROM st")
+@query("o15_cdc_projection", _LOG + "SELECT business_key, gone AS is_deleted, consumption::DOUBLE AS consumption, paid::DOUBLE AS cost, source_id AS \"row\" FROM st")
 def o_cdc(p: Plant) -> DataFrame:
     state, _ = cdc_projection(changes(p), strict=False)
     return state.select("business_key", "is_deleted", F.col("image.consumption").cast("double").alias("consumption"), F.col("image.cost").cast("double").alias("cost"), F.col("version.row").alias("row"))

@@ -51,7 +51,7 @@ def s_landed(p: Plant) -> DataFrame:
 @query("s06_first_existing_path", "SELECT user_id % 5 AS city_id, ts AS ts_local, CASE WHEN event_id % 7 <> 3 THEN value END AS temperature_2m FROM events", "")
 def s_hourly(p: Plant) -> DataFrame:
     """Values as texts, a part of them no numbers; the first path doesn't exist."""
-    e = p.table("events").select((F.col("user_id") % 5).alias("city_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts_local"), F.when(F.col("event_id") % 7 == 3, "n/a").otherwise(F.col("value").cast("string")).alias("temperature_2m"))
+    e = p.table("events").select((F.col("user_id") % 5).alias("city_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts_local"), F.when(F.col("event_id") % 7 == 3, "n/a").otherwise(F.col("value").cast("string")).alias("temperature_2m"))
     path = new_path(p.spark, "hourly")
     e.write.parquet(path)
     return files.read_hourly(p.spark, [f"{path}-missing", path], ["temperature_2m"]).withColumn("ts_local", F.col("ts_local").cast("timestamp_ntz"))
