@@ -384,3 +384,42 @@ def test_watermark_after_the_data(spark, tmp_path):
     for _ in range(2):
         row = warehouse.load_with_watermark(rows, str(tmp_path / "t"), state, str(tmp_path / "w"), "t", "b1").first()
     assert row.watermark_val == stamp(9) and spark.read.parquet(str(tmp_path / "t")).count() == spark.read.parquet(str(tmp_path / "w")).count() == 1
+
+
+def scans_of(frame) -> int:
+    return frame._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
+def test_fact_reads_its_rows_once(spark):
+    """The rows and a few small tables of statistics: no part of the chain is derived again."""
+    assert scans_of(cleaning.cleaned(cleaning.dirty(Plant(spark, DATA)))["energy"]) <= 5
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_months_without_values_take_their_group(spark, monkeypatch, few):
+    """A month whose quantities are all missing, an energy without any price in a month, and a null group; broadcast or not."""
+    monkeypatch.setattr(cleaning, "BROADCAST_GROUPS", few)
+    day = lambda m, d: dt.date(2024, m, d)
+    rows = [("W01", "E01", day(1, d), float(d), 2.0 if d > 1 else None, 1.0) for d in range(1, 6)] + [("W01", "E01", day(2, d), None, 3.0, None) for d in (1, 2)] + [("W02", "E02", day(3, 1), 4.0, None, None), ("W02", "E02", day(4, 1), 4.0, 5.0, 20.0), (None, "E03", day(1, 1), 1.0, 1.0, 1.0), (None, "E03", day(1, 2), None, 1.0, 1.0)]
+    frame = spark.createDataFrame(rows, "workshop_code string, energy_code string, record_date date, consumption double, unit_price double, cost double")
+    got = {(r.workshop_code, r.record_date): r for r in cleaning.repaired(frame).collect()}
+    assert len(got) == len(rows) and got["W01", day(2, 1)].consumption == 3.0 and got["W01", day(2, 1)].fix_reason == "missing" and got["W01", day(1, 1)].unit_price == 2.0
+    assert got["W02", day(3, 1)].unit_price == 5.0 and got["W02", day(3, 1)].cost == 20.0 and got[None, day(1, 2)].consumption == 1.0
+
+
+def test_sketched_statistics_repair_a_batch(spark):
+    """A batch of later rows, repaired by sketches of all rows: no old row is read, and what is imputed lies within the sketches' error of rank."""
+    draw = np.random.default_rng(5)
+    old = [("W01", "E01", dt.date(2024, 1, 1 + n % 28), float(v), 2.0, None) for n, v in enumerate(draw.normal(100, 10, 4_000))]
+    new = [("W01", "E01", dt.date(2025, 1, 1 + n % 28), None if n % 9 == 0 else 5_000.0 if n % 9 == 1 else float(v), None, None) for n, v in enumerate(draw.normal(100, 10, 400))]
+    frame = lambda rows: spark.createDataFrame(rows, "workshop_code string, energy_code string, record_date date, consumption double, unit_price double, cost double")
+    stored = cleaning.fix_sketches(frame(old))
+    stats = cleaning.sketched_statistics(stored.unionByName(cleaning.fix_sketches(frame(new))))
+    got = cleaning.repaired(frame(new), stats=stats).collect()
+    values = sorted(v for *_, v, _, _ in (r for r in old + new) if v is not None and v < 1_000)
+    rank = lambda v: sum(x < v for x in values) / len(values)
+    filled = {r.consumption for r in got if r.fix_reason in ("missing", "outlier")}
+    assert len(filled) == 1 and abs(rank(filled.pop()) - 0.5) <= 2 * cleaning.SKETCH_ERROR and {r.unit_price for r in got} == {2.0}
+    assert sum(r.fix_reason == "outlier" for r in got) == sum(v == 5_000.0 for *_, v, _, _ in new)
+    empty = cleaning.sketched_statistics(cleaning.fix_sketches(frame([]).limit(0)))
+    assert cleaning.repaired(frame(new[:1]), stats=empty).count() == 1

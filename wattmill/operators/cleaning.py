@@ -96,39 +96,100 @@ def split_latest(rows: DataFrame, key: tuple[str, ...] = KEY, version: str = "up
 GROUPS = ("workshop_code", "energy_code")
 
 
-def repaired(rows: DataFrame, groups: tuple[str, ...] = GROUPS, accuracy: int | None = None) -> DataFrame:
-    """C9-C14 on deduplicated rows (a written table, as it is read several times): outliers nulled, negatives mirrored, quantity, price and
-    cost imputed, first reason in `fix_reason`.
+#: Groups whose statistics are broadcast: rows of some numbers each.
+BROADCAST_GROUPS = 100_000
+#: Size of quantile sketches (some tens of KB a group), quantiles that are looked up at once, and the share of rows by which a quantile's rank may be off.
+SKETCH_K, SKETCH_GRID, SKETCH_ERROR = 2_000, 500, 0.005
 
-    Quantiles are exact or, with `accuracy`, approximate (A5). The default groups are of fixed lists of codes, so their statistics are broadcast;
-    those of other groups are joined as Spark sees fit.
+Statistics = dict[str, tuple[tuple[str, ...], DataFrame]]
+
+
+def _matched(rows: DataFrame, name: str, by: tuple[str, ...], table: DataFrame) -> DataFrame:
+    """`rows` with column `name` of a written table of groups: broadcast if it is small, else joined as Spark sees fit."""
+    table = table.select(*(F.col(k).alias(f"_k_{k}") for k in by), name)
+    few = table.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    return rows.join(F.broadcast(table) if few else table, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in by], "left").drop(*(f"_k_{k}" for k in by))
+
+
+def _quantity() -> Column:
+    """Quantity without outliers, negatives mirrored."""
+    return F.when(~F.coalesce(F.col("consumption") > F.col("_top"), F.lit(False)), F.abs("consumption"))
+
+
+def fix_statistics(rows: DataFrame, groups: tuple[str, ...] = GROUPS, accuracy: int | None = None) -> Statistics:
+    """What C9 to C12 need to know of all rows, by name, with the columns it is grouped by: the outlier limit of a group, medians of quantity by group and month, of price by
+    energy and month, and by group or energy alone where a month has no value (these count what the months filled in).
+
+    Narrow aggregates over the rows, a written table. Quantiles are exact or, with `accuracy`, approximate (A5).
     """
     quantile = (lambda c, q: F.percentile_approx(c, q, accuracy)) if accuracy else (lambda c, q: F.percentile(c, F.lit(q)))
-    small = F.broadcast if groups == GROUPS else lambda stats: stats
-
-    def filled(frame: DataFrame, column: str, by: tuple[str, ...]) -> DataFrame:
-        """Nulls of `column` become the median of their group."""
-        keys = [f"_k_{k}" for k in by]
-        stats = frame.groupBy(*(F.col(k).alias(n) for k, n in zip(by, keys))).agg(quantile(column, 0.5).alias("_median"))
-        joined = frame.join(small(stats), [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(by, keys)], "left")
-        return joined.withColumn(column, F.coalesce(column, "_median")).drop("_median", *keys)
-
-    quartiles = rows.groupBy(*(F.col(k).alias(f"_k_{k}") for k in groups)).agg((quantile("consumption", 0.75) + OUTLIER_IQRS * (quantile("consumption", 0.75) - quantile("consumption", 0.25))).alias("_top"))
-    step = rows.join(small(quartiles), [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in groups], "left").drop(*(f"_k_{k}" for k in groups))
-    step = step.withColumns({"original": F.col("consumption"), "month": F.month("record_date")})
-    outlier = F.coalesce(F.col("consumption") > F.col("_top"), F.lit(False))
-    step = step.withColumns({"_outlier": outlier, "_negative": F.coalesce(F.col("consumption") < 0, F.lit(False)), "consumption": F.when(~outlier, F.abs("consumption"))})
-    step = step.withColumn("_missing", F.col("consumption").isNull() & ~F.col("_outlier"))
-    # the second level sees the values that the first one filled in
-    step = filled(filled(step, "consumption", (*groups, "month")), "consumption", groups)
-    bad_price = F.col("unit_price").isNull() | (F.col("unit_price") <= 0)
-    step = step.withColumns({"_price": bad_price, "unit_price": F.when(~bad_price, F.col("unit_price"))})
-    step = filled(filled(step, "unit_price", ("energy_code", "month")), "unit_price", ("energy_code",))
+    rows = rows.select(*dict.fromkeys((*groups, "energy_code")), F.month("record_date").alias("month"), "consumption", "unit_price")
+    quarters = [quantile("consumption", q) for q in (0.25, 0.75)]
+    stats: Statistics = {"_top": (groups, written(rows.groupBy(*groups).agg((quarters[1] + OUTLIER_IQRS * (quarters[1] - quarters[0])).alias("_top")), "limits"))}
+    values = _matched(rows, "_top", *stats["_top"]).withColumns({"quantity": _quantity(), "price": F.when(F.col("unit_price") > 0, F.col("unit_price"))})
+    for value, by in (("quantity", groups), ("price", ("energy_code",))):
+        monthly, whole = f"_{value}_month", f"_{value}_group"
+        stats[monthly] = ((*by, "month"), written(values.groupBy(*by, "month").agg(quantile(value, 0.5).alias(monthly)), "medians"))
+        poor = written(stats[monthly][1].filter(F.col(monthly).isNull()).select(*by, F.lit(True).alias("_poor")).distinct(), "poor-groups")
+        if not poor.isEmpty():
+            own = _matched(_matched(values, "_poor", by, poor).filter("_poor"), monthly, *stats[monthly])
+            stats[whole] = (by, written(own.groupBy(*by).agg(quantile(F.coalesce(value, monthly), 0.5).alias(whole)), "medians"))
+    return stats
+
+
+def fix_sketches(rows: DataFrame, groups: tuple[str, ...] = GROUPS) -> DataFrame:
+    """A5: what `fix_statistics` needs, as quantile sketches by group, energy and month. They can be stored, and merged with those of later rows."""
+    keys = list(dict.fromkeys((*groups, "energy_code")))
+    sketch = lambda c, name: F.kll_sketch_agg_double(c, F.lit(SKETCH_K)).alias(name)
+    values = rows.select(*keys, F.month("record_date").alias("month"), "consumption", F.abs("consumption").alias("size"), F.when(F.col("unit_price") > 0, F.col("unit_price")).alias("price"))
+    return values.groupBy(*keys, "month").agg(F.count("*").alias("n"), F.count("consumption").alias("n_quantity"), F.count("price").alias("n_price"), sketch("consumption", "signed"), sketch("size", "size"), sketch("price", "price"))
+
+
+def merged_sketches(sketches: DataFrame, *by: str) -> DataFrame:
+    """Sketches of several batches, or finer groups, as one for each of the groups `by`."""
+    return sketches.groupBy(*by).agg(*(F.sum(n).alias(n) for n in ("n", "n_quantity", "n_price")), *(F.kll_merge_agg_double(c).alias(c) for c in ("signed", "size", "price")))
+
+
+def sketched_statistics(sketches: DataFrame, groups: tuple[str, ...] = GROUPS) -> Statistics:
+    """A5: `fix_statistics` from stored sketches; no row is read. Medians of quantity are taken at half the rank of the outlier limit. Negatives whose size is beyond the limit count as
+    outliers here, and medians of groups don't count what months filled in: that is all that differs beside the sketches' error."""
+    at = lambda c, q, n: F.when(F.col(n) > 0, F.kll_sketch_get_quantile_double(c, q))
+    quarters = [at("signed", F.lit(q), "n_quantity") for q in (0.25, 0.75)]
+    whole = written(merged_sketches(sketches, *groups), "sketches")
+    stats: Statistics = {"_top": (groups, written(whole.select(*groups, (quarters[1] + OUTLIER_IQRS * (quarters[1] - quarters[0])).alias("_top")), "limits"))}
+
+    def middle(table: DataFrame, name: str) -> Column:
+        """Half way up to the limit on a grid of quantiles."""
+        grid = at("size", F.array(*(F.lit(k / SKETCH_GRID) for k in range(SKETCH_GRID + 1))), "n_quantity")
+        under = F.size(F.filter(grid, lambda x: x <= F.col("_top")))
+        return F.get(grid, F.floor((under - 1) / 2).cast("int")).alias(name)
+
+    monthly = merged_sketches(sketches, *groups, "month")
+    for name, by, table in (("_quantity_month", (*groups, "month"), monthly), ("_quantity_group", groups, whole)):
+        stats[name] = (by, written(_matched(table, "_top", *stats["_top"]).select(*by, middle(table, name)), "medians"))
+    for name, by in (("_price_month", ("energy_code", "month")), ("_price_group", ("energy_code",))):
+        stats[name] = (by, written(merged_sketches(sketches, *by).select(*by, at("price", F.lit(0.5), "n_price").alias(name)), "medians"))
+    return stats
+
+
+def repaired(rows: DataFrame, groups: tuple[str, ...] = GROUPS, accuracy: int | None = None, stats: Statistics | None = None) -> DataFrame:
+    """C9-C14 on deduplicated rows (a written table): outliers nulled, negatives mirrored, quantity, price and cost imputed, first reason in `fix_reason`. One pass, beside
+    the statistics: those of the rows themselves, or `stats` of more rows than are to be repaired."""
+    stats = stats or fix_statistics(rows, groups, accuracy)
+    step = rows.withColumns({"original": F.col("consumption"), "month": F.month("record_date")})
+    for name, (by, table) in stats.items():
+        step = _matched(step, name, by, table)
+    known = lambda *names: [F.col(n) for n in names if n in stats]
+    quantity, bad_price = _quantity(), F.col("unit_price").isNull() | (F.col("unit_price") <= 0)
+    step = step.withColumns({
+        "_outlier": F.coalesce(F.col("consumption") > F.col("_top"), F.lit(False)), "_negative": F.coalesce(F.col("consumption") < 0, F.lit(False)), "_missing": F.col("consumption").isNull(), "_price": bad_price,
+        "consumption": F.coalesce(quantity, *known("_quantity_month", "_quantity_group")), "unit_price": F.coalesce(F.when(~bad_price, F.col("unit_price")), *known("_price_month", "_price_group")),
+    })
     due = F.round(F.col("consumption").cast("decimal(16,4)") * F.col("unit_price").cast("decimal(16,6)"), 2).cast("double")  # exact, as money is
     off = F.col("cost").isNull() | (F.coalesce(F.try_divide(F.abs(F.col("cost") - due), F.abs(due)), F.lit(0.0)) > COST_TOLERANCE)
     step = step.withColumns({"_cost": off, "cost": F.when(off, due).otherwise(F.col("cost"))})
     reason = reduce(lambda w, c: w.when(F.col(f"_{c}"), c), ("missing", "negative", "price", "cost"), F.when(F.col("_outlier"), "outlier"))
-    return step.withColumn("fix_reason", reason).drop("_top", "_outlier", "_negative", "_missing", "_price", "_cost", "month")
+    return step.withColumn("fix_reason", reason).drop(*stats, "_outlier", "_negative", "_missing", "_price", "_cost", "month")
 
 
 def energy_fact(rows: DataFrame) -> DataFrame:
@@ -151,7 +212,7 @@ def cleaned(raw: DataFrame, accuracy: int | None = None) -> dict[str, DataFrame]
     ranked = written(ranked_versions(good), "versions")
     latest, losers = ranked.filter("_n = 1").drop("_n"), ranked.filter("_n > 1").drop("_n")
     fixed = repaired(latest, accuracy=accuracy)
-    return {"typed": rows, "rejects": rows.filter("reject_reason IS NOT NULL"), "duplicates": losers, "rows": fixed, "energy": energy_fact(fixed), "production": production_fact(latest)}
+    return {"typed": rows, "rejects": rows.filter("reject_reason IS NOT NULL"), "duplicates": losers, "latest": latest, "rows": fixed, "energy": energy_fact(fixed), "production": production_fact(latest)}
 
 
 def spelled(code: Column, aliases: dict[str, str], n: Column) -> Column:
@@ -226,9 +287,9 @@ def c_ledger(p: Plant) -> DataFrame:
     return rows.select("input_seq", "original", F.round("consumption", 3).alias("consumption"), F.round("unit_price", 4).alias("unit_price"), F.round("cost", 2).alias("cost"), "fix_reason")
 
 
-@query("c15_energy_fact", "SELECT record_date, workshop_code, energy_code, round(c2, 3) AS consumption, round(p2, 4) AS unit_price, round(cost2, 2) AS cost, CASE WHEN stopped THEN 0 ELSE 1 END AS is_production_day, updated_at FROM fixed", _CHAIN)
+@query("c15_energy_fact", "SELECT record_date, workshop_code, energy_code, round(c2, 3) AS consumption, round(p2, 4) AS unit_price, round(cost2, 2) AS cost, CASE WHEN stopped THEN 0 ELSE 1 END AS is_production_day, updated_at, e.unit FROM fixed LEFT JOIN dim_energy e USING (energy_code)", _CHAIN)
 def c_fact(p: Plant) -> DataFrame:
-    return cleaned(dirty(p))["energy"].select(*KEY, "consumption", "unit_price", "cost", "is_production_day", "updated_at")
+    return cleaned(dirty(p))["energy"].select(*KEY, "consumption", "unit_price", "cost", "is_production_day", "updated_at", "unit")
 
 
 @query("c16_production_fact", "SELECT record_date, workshop_code, round(median(output_qty), 3) AS output_qty, 't' AS output_unit FROM ranked WHERE n = 1 AND output_qty IS NOT NULL GROUP BY 1, 2", _CHAIN)
@@ -260,6 +321,29 @@ def a_approximate(p: Plant) -> DataFrame:
     return p.records.groupBy("workshop_code").agg(quantiles.alias("q")).select("workshop_code", *(F.get("q", F.lit(i)).cast("double").alias(n) for i, n in enumerate(("q25", "q50", "q75"))))
 
 
+def rank_holds(value: Column, found: str, q: float) -> Column:
+    """Whether a quantile lies within the sketches' error of rank (one row at least) among all values of a group."""
+    n = F.count(value)
+    slack = F.greatest(F.lit(1.0), 2 * SKETCH_ERROR * n)
+    return F.coalesce((F.count_if(value < F.col(found)) - slack <= q * n) & (F.count_if(value <= F.col(found)) + slack >= q * n), F.lit(True))
+
+
+@query("a05_incremental_fix_statistics", "SELECT workshop_code, energy_code, count(*) AS n, true AS quartiles_hold, true AS medians_hold FROM ranked WHERE n = 1 GROUP BY ALL", _CHAIN)
+def a_incremental(p: Plant) -> DataFrame:
+    """Rows of 2024 are sketched and stored, later ones sketched and merged: no old row is read again. Quartiles of groups and medians of their months lie within the stated error of rank among all rows."""
+    latest = written(cleaned(dirty(p))["latest"], "latest")
+    stored = written(fix_sketches(latest.filter("record_date < DATE '2025-01-01'")), "sketches")
+    merged = written(merged_sketches(stored.unionByName(fix_sketches(latest.filter("record_date >= DATE '2025-01-01'"))), *GROUPS, "month"), "sketches")
+    stats = sketched_statistics(merged)
+    quarters = merged_sketches(merged, *GROUPS).filter("n_quantity > 0").select(*GROUPS, *(F.kll_sketch_get_quantile_double("signed", F.lit(q)).alias(n) for n, q in (("_q1", 0.25), ("_q3", 0.75))))
+    rows = latest.withColumn("month", F.month("record_date"))
+    for name in ("_top", "_quantity_month"):
+        rows = _matched(rows, name, *stats[name])
+    months = rows.groupBy(*GROUPS, "month").agg(rank_holds(_quantity(), "_quantity_month", 0.5).alias("holds")).groupBy(*GROUPS).agg(F.bool_and("holds").alias("medians_hold"))
+    whole = latest.join(quarters, list(GROUPS), "left").groupBy(*GROUPS).agg(F.count("*").alias("n"), (rank_holds(F.col("consumption"), "_q1", 0.25) & rank_holds(F.col("consumption"), "_q3", 0.75)).alias("quartiles_hold"))
+    return whole.join(months, list(GROUPS)).select(*GROUPS, "n", "quartiles_hold", "medians_hold")
+
+
 @query("c18_cleaning_report", """SELECT (SELECT count(*) FROM typed) AS n_raw, (SELECT count(*) FROM typed WHERE reason IS NOT NULL) AS n_rejected, (SELECT count(*) FROM ranked WHERE n > 1) AS n_duplicates, count(*) AS n_kept, count(CASE WHEN fix = 'outlier' THEN 1 END) AS n_outlier, count(CASE WHEN fix = 'missing' THEN 1 END) AS n_missing,
 count(CASE WHEN fix = 'negative' THEN 1 END) AS n_negative, count(CASE WHEN fix = 'price' THEN 1 END) AS n_price, count(CASE WHEN fix = 'cost' THEN 1 END) AS n_cost, round(100 * count(*) / (SELECT count(*) FROM typed), 2) AS retention_pct FROM fixed""", _CHAIN)
 def c_report(p: Plant) -> DataFrame:
