@@ -541,3 +541,36 @@ def test_pipeline_on_odd_tables(spark, docs, tmp_path, kind):
     spark.createDataFrame([(1, PASSAGE)] if kind == "hostile" else [], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert all(r.copies > 0 for r in got) and not {r.doc_id for r in got} & {1, 2, 3, 4, 6, 7, 10} and (kind == "hostile" or not got)
+
+
+def test_suffix_shares_do_not_tell_labels(spark):
+    """All URLs of a suffix and fold of hosts see one share, labelled or not, and no label of their own fold is in it."""
+    pages = spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/pages.parquet")
+    rows = urls.with_suffix_statistics(urls.lexical(urls.apply_rules(urls.parts(pages)))).select("host", "suffix", "fold", "ruled", "u_suffix_block").collect()
+    shares = collections.defaultdict(set)
+    for r in rows:
+        shares[r.suffix, r.fold].add(r.u_suffix_block)
+    assert all(len(s) == 1 for s in shares.values()) and len({r.fold for r in rows}) == urls.FOLDS
+    for (suffix, fold), found in shares.items():
+        others = [r.ruled for r in rows if r.suffix == suffix and r.fold != fold and r.ruled]
+        assert math.isclose(found.pop(), (sum(v == "block" for v in others) + 1) / (len(others) + 2))
+
+
+def test_url_trees_use_lexical_features_and_beat_a_constant(spark):
+    pages = spark.read.parquet(f"{DATA.replace('0.001', '0.1')}/pages.parquet")
+    frame = urls.with_suffix_statistics(urls.lexical(urls.apply_rules(urls.parts(pages))))
+    weight = dict(zip(urls.FEATURES, urls.fit(frame).featureImportances.toArray()))
+    assert sum(w for f, w in weight.items() if "suffix" not in f) > 0.05
+    told = urls.held_out(pages).collect()
+    n = sum(r.n for r in told)
+    assert len(told) == urls.FOLDS and sum(r.n * r.accuracy for r in told) > sum(r.n * r.base for r in told) + 0.05 * n
+
+
+@pytest.mark.parametrize("broadcast", [50_000, 0])
+def test_suffixes_broadcast_or_joined(spark, broadcast, monkeypatch):
+    monkeypatch.setattr(urls, "BROADCAST_SUFFIXES", broadcast)
+    pages = spark.read.parquet(f"{DATA}/pages.parquet").select("page_id", "url")
+    got = urls.judge(pages).collect()
+    assert len(got) == pages.count() and urls.held_out(pages.limit(0)).count() == 0
+    monkeypatch.setattr(urls, "BROADCAST_SUFFIXES", 50_000 - broadcast)
+    assert sorted(map(str, urls.judge(pages).collect())) == sorted(map(str, got))

@@ -1,7 +1,7 @@
 """URL filters: host and path rules first, gradient-boosted trees on lexical features for the rest. DataFrame and pyspark.ml only.
 
 A rule has a host and a path prefix; it fits its host and all subdomains, the longest rule wins, ties go to the smaller string.
-URLs that a rule decides are the labelled URLs from which the trees learn (block is 1). Suffix statistics count all labelled URLs;
+URLs that a rule decides are the labelled URLs from which the trees learn (block is 1). Suffix statistics count all labelled URLs out of fold;
 the trees are fitted on at most `sample_rows` of them, the smallest by hash of the URL. Without labelled URLs of both kinds every
 other URL is allowed.
 
@@ -12,18 +12,21 @@ rows are judged one by one. Columns other than page_id and url are ignored.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattmill.llm.common import ascii_lower, written
 
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 #: Labelled URLs for the fit, and the trees' shape.
-SAMPLE_ROWS, TREES, DEPTH = 20_000, 8, 3
+SAMPLE_ROWS, TREES, DEPTH = 20_000, 20, 4
+#: Folds of hosts, for suffix statistics and held-out figures.
+FOLDS = 5
 #: Rules up to this number are compiled into the projection; more are joined on the host's suffixes, with the same result.
 COMPILED_RULES = 1_000
 #: A suffix table up to this number of rows is broadcast (its rows are a short string and two numbers).
@@ -32,6 +35,11 @@ FEATURES = ("u_length", "u_host_length", "u_depth", "u_digits", "u_entropy", "u_
 SHAPE = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
+def host_fold() -> Column:
+    """The fold of a URL's host."""
+    return F.pmod(F.xxhash64("host"), F.lit(FOLDS)).cast("int")
+
+
 def parts(pages: DataFrame) -> DataFrame:
     """`page_id`, `url`, `host` and `path`."""
     url = F.coalesce(F.col("url"), F.lit(""))
@@ -90,30 +98,40 @@ def lexical(urls: DataFrame) -> DataFrame:
 def with_suffix_statistics(urls: DataFrame) -> DataFrame:
     """Adds each suffix's share of all URLs and its smoothed share of blocked ones among the labelled, both over the whole table.
 
-    A labelled URL's own label is left out of its share, so the trees don't learn from what they are to predict.
+    Labels are counted out of fold: hosts are dealt to `FOLDS` folds by hash, and a URL, labelled or not, sees the labels of the other folds' hosts only. So neither its own
+    label nor those of its host are in what the trees see, and URLs that have no label see what labelled ones did.
     """
-    counts = urls.groupBy("suffix").agg(F.count("*").alias("n"), F.count("ruled").alias("labelled"), F.count(F.when(F.col("ruled") == "block", 1)).alias("blocked"))
-    counts = written(counts, "suffixes")
+    folds = urls.withColumn("fold", host_fold())
+    counts = written(folds.groupBy("suffix", "fold").agg(F.count("*").alias("n"), F.count("ruled").alias("labelled"), F.count(F.when(F.col("ruled") == "block", 1)).alias("blocked")), "suffixes")
     size = counts.agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("urls")).first()
-    stats = counts.select(
-        "suffix",
-        (F.col("n").cast("double") / F.lit(float(max(1, size.urls)))).alias("u_suffix_share"),
-        "blocked",
-        "labelled",
-    )
-    own = F.col("ruled").isNotNull().cast("double")
-    share = (F.col("blocked") - F.coalesce((F.col("ruled") == "block").cast("double"), F.lit(0.0)) + 1.0) / (F.col("labelled") - own + 2.0)
-    return urls.join(F.broadcast(stats) if size.rows <= BROADCAST_SUFFIXES else stats, "suffix", "left").withColumn("u_suffix_block", share).drop("blocked", "labelled")
+    whole = Window.partitionBy("suffix")
+    others = lambda c: F.sum(c).over(whole) - F.col(c)
+    stats = counts.select("suffix", "fold", (F.sum("n").over(whole).cast("double") / F.lit(float(max(1, size.urls)))).alias("u_suffix_share"), ((others("blocked") + 1.0) / (others("labelled") + 2.0)).alias("u_suffix_block"))
+    return folds.join(F.broadcast(stats) if size.rows <= BROADCAST_SUFFIXES else stats, ["suffix", "fold"], "left")
 
 
-def fit(urls: DataFrame, sample_rows: int = SAMPLE_ROWS) -> GBTClassificationModel | None:
-    """Trees from labelled URLs (column `ruled`) with all features; None if only one kind is there."""
-    labelled = urls.filter(F.col("ruled").isNotNull()).select((F.col("ruled") == "block").cast("double").alias("label"), *FEATURES, F.xxhash64("url").alias("_h"), "page_id")
+def fit(urls: DataFrame, sample_rows: int = SAMPLE_ROWS, features: Sequence[str] = FEATURES) -> GBTClassificationModel | None:
+    """Trees from labelled URLs (column `ruled`) with the features named; None if only one kind is there."""
+    labelled = urls.filter(F.col("ruled").isNotNull()).select((F.col("ruled") == "block").cast("double").alias("label"), *features, F.xxhash64("url").alias("_h"), "page_id")
     sample = labelled.orderBy("_h", "page_id").limit(sample_rows).drop("_h", "page_id")
     sample = written(sample, "urls")
     if sample.agg(F.count_distinct("label")).first()[0] < 2:
         return None
-    return GBTClassifier(featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=7).fit(VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample))
+    return GBTClassifier(featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=7).fit(VectorAssembler(inputCols=list(features), outputCol="features").transform(sample))
+
+
+def held_out(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, features: Sequence[str] = FEATURES) -> DataFrame:
+    """fold, n, accuracy, base: labelled URLs of each fold's hosts, judged by trees that saw none of these hosts; `base` is the share of the commoner verdict among what the trees saw."""
+    urls = with_suffix_statistics(lexical(apply_rules(parts(pages), rules))).filter("ruled IS NOT NULL")
+    urls = written(urls.withColumn("label", (F.col("ruled") == "block").cast("double")), "labelled-urls")
+    out = []
+    for fold in range(FOLDS):
+        model, test = fit(urls.filter(F.col("fold") != fold), features=features), urls.filter(F.col("fold") == fold)
+        if model is not None:
+            common = F.lit(float(urls.filter(F.col("fold") != fold).agg(F.avg("label")).first()[0] >= 0.5))
+            scored = model.transform(VectorAssembler(inputCols=list(features), outputCol="features").transform(test))
+            out.append(scored.groupBy("fold").agg(F.count("*").alias("n"), F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"), F.avg((F.col("label") == common).cast("double")).alias("base")))
+    return reduce(DataFrame.unionByName, out) if out else urls.select("fold", F.lit(0).cast("long").alias("n"), F.lit(None).cast("double").alias("accuracy"), F.lit(None).cast("double").alias("base")).limit(0)
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
