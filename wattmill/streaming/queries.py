@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattmill.operators.views import Plant
 from wattmill.plans.catalog import query
+from wattmill.sources import log
 from wattmill.staging import new_path, written
 from wattmill.streaming import power
 
@@ -145,3 +148,35 @@ def t_stream(p: Plant) -> DataFrame:
 
     rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return sink.read().groupBy("workshop_code").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 4).alias("total"))
+
+
+def logged(p: Plant) -> tuple[DataFrame, str]:
+    """The payloads in three partitions with offsets from 0 on, and the log that holds them."""
+    order = Window.partitionBy("partition").orderBy("seq")
+    rows = payloads(p).withColumn("partition", (F.col("seq") % 3).cast("int")).withColumn("offset", (F.row_number().over(order) - 1).cast("long"))
+    rows, path = written(rows, "payloads"), new_path(p.spark, "log")
+    log.write_segments(rows, path, 500)
+    return rows, path
+
+
+_LOG = "WITH l AS (SELECT *, (event_id % 3)::INTEGER AS part, row_number() OVER (PARTITION BY event_id % 3 ORDER BY event_id) - 1 AS o FROM events)\n"
+
+
+@query("s08_s09_log_stream", _LOG + f"""SELECT part AS "partition", o AS "offset", {_MALFORMED} AS reason, {_INVALID} AS quality_error FROM l""", "")
+def t_log_stream(p: Plant) -> DataFrame:
+    """The log as a stream with a checkpoint, in two runs, parsed and routed."""
+    _, path = logged(p)
+    out, state = new_path(p.spark, "parsed"), new_path(p.spark, "checkpoint")
+    for _ in range(2):
+        parsed = power.parsed_events(log.stream_log(p.spark, path)).select("partition", "offset", "reason", "quality_error")
+        parsed.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
+    return p.spark.read.parquet(out)
+
+
+@query("s11_log_snapshot", _LOG + """, n AS (SELECT part, count(*) // 2 AS ends FROM l GROUP BY 1) SELECT part AS "partition", min(o) AS "first", max(o) AS "last", count(*) AS n, true AS contiguous FROM l JOIN n USING (part) WHERE o < ends GROUP BY ALL""", "")
+def t_log_snapshot(p: Plant) -> DataFrame:
+    """Exactly the offsets from 0 to frozen ends, half of each partition."""
+    rows, path = logged(p)
+    ends = {str(r.partition): r.n // 2 for r in rows.groupBy("partition").agg(F.count("*").alias("n")).collect()}  # a number a partition
+    found = log.read_log(p.spark, path, endingOffsets=json.dumps(ends)).groupBy("partition").agg(F.min("offset").alias("first"), F.max("offset").alias("last"), F.count("*").alias("n"), F.count_distinct("offset").alias("d"))
+    return found.withColumn("contiguous", (F.col("first") == 0) & (F.col("last") + 1 == F.col("d"))).drop("d")
