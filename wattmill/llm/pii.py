@@ -37,6 +37,7 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 #: As `[0-9]+(\.[0-9]+){3}`, but tried at the start of a row of digits only, where it matches if it does anywhere in the row.
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+DIGIT, DIGIT_DOT = re.compile("[0-9]"), re.compile(r"[0-9]\.[0-9]")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -56,6 +57,10 @@ SIGNS = {"＠": "@", "﹫": "@", "．": ".", "。": ".", "․": ".", "﹒": ".",
 INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 
 LEAST_TOKENS, LEAST_SPELLED = 4, 3
+#: Words from a digit word to the next one in a row: groups of digits and `dot` may stand between.
+MOST_APART = 24
+#: One of these is in whatever `AT_DOT` rewrites (in lower case, tabs as spaces).
+AT_DOT_SIGNS = ("[", "(", "{", "<", "&", " @", "@ ", *(f" {w} " for w in DOT_WORDS), " . ")
 _WORD = r"[A-Za-z0-9-]+"
 _AT, _DOT, _PLUS, _DIGIT = (rf"(?:{'|'.join(sorted(w, key=len, reverse=True))})" for w in (AT_WORDS, DOT_WORDS, PLUS_WORDS, DIGIT_WORDS))
 _GAP = r"[\x20\t]{1,3}"
@@ -99,7 +104,9 @@ def _matches(text: str) -> Iterator[tuple[int, int, int]]:
     """Spans (kind's number, start, end) of a text as it is."""
     for start, end in _emails(text):
         yield 0, start, end
-    for m in IP.finditer(text):
+    if not DIGIT.search(text):
+        return
+    for m in IP.finditer(text) if DIGIT_DOT.search(text) else ():
         if all(len(part.lstrip("0")) <= 3 and int(part.lstrip("0") or 0) <= 255 for part in m[0].split(".")):
             yield 1, *m.span()
     for m in CARD.finditer(text):
@@ -138,7 +145,7 @@ class Rewritten:
 
 
 @cache
-def homoglyphs() -> tuple[re.Pattern, dict[str, str]]:
+def homoglyphs() -> dict[str, str]:
     """What looks like an ASCII letter, digit or sign: the fixed values, and by Unicode's own rules whatever is a decimal digit or a compatible form of one ASCII letter or digit."""
     table = {**LOOKALIKES, **SIGNS, **dict.fromkeys(INVISIBLE, "")}
     for code in range(0x80, sys.maxunicode + 1):
@@ -150,26 +157,41 @@ def homoglyphs() -> tuple[re.Pattern, dict[str, str]]:
             plain = unicodedata.normalize("NFKC", c)
             if len(plain) == 1 and plain.isascii() and plain.isalnum():
                 table.setdefault(c, plain)
-    return re.compile("[" + "".join(map(re.escape, sorted(table))) + "]+"), table
+    return table
 
 
 def plain_letters(text: str) -> list[tuple[int, int, str]]:
     """Edits of the first transducer."""
     if text.isascii():
         return []
-    pattern, table = homoglyphs()
-    return [(i, i + 1, table[text[i]]) for m in pattern.finditer(text) for i in range(*m.span())]
+    table = homoglyphs()
+    there = table.keys() & set(text)
+    if not there:
+        return []
+    return [(m.start(), m.end(), table[m[0]]) for m in re.finditer("[" + "".join(map(re.escape, sorted(there))) + "]", text)]
 
 
 def plain_signs(text: str) -> list[tuple[int, int, str]]:
     """Edits of the second transducer."""
-    if not AT_DOT_HINT.search(text):
+    plain = text.lower().replace("\t", " ")
+    if not any(sign in plain for sign in AT_DOT_SIGNS) or not AT_DOT_HINT.search(plain):
         return []
     return [(*m.span(), "@" if m["at"] else ".") for m in AT_DOT.finditer(text)]
 
 
+def has_spelled_row(text: str) -> bool:
+    """Whether digit words stand near each other: a test of words, much cheaper than the pattern."""
+    words = text.lower().replace("-", " ").replace(",", " ").replace(".", " ").split()
+    if DIGIT_WORDS.keys().isdisjoint(words):
+        return False
+    at = [i for i, w in enumerate(words) if w in DIGIT_WORDS]
+    return any(b - a <= MOST_APART for a, b in zip(at, at[1:]))
+
+
 def plain_digits(text: str) -> list[tuple[int, int, str]]:
     """Edits of the third transducer."""
+    if not has_spelled_row(text):
+        return []
     edits = []
     for hint in SPELLED_HINT.finditer(text):
         if edits and hint.start() < edits[-1][1]:
