@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wattmill.operators.differences import one_sided
 from wattmill.operators.views import Plant, ratio, thousandth
 from wattmill.plans.catalog import query
 from wattmill.sources.adapter import ORACLE, day_conditions
@@ -347,9 +348,8 @@ def layer_audit(layers: dict[str, tuple[DataFrame, tuple[str, ...]]], cost: str
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows that only one side has (with repeats), by side."""
-    b = b.select(*a.columns)
-    return a.exceptAll(b).withColumn("side", F.lit("snapshot")).unionByName(b.exceptAll(a).withColumn("side", F.lit("source")))
+    """Rows that only one side has (with repeats), by side. By a tree of hashes: equal sides end after one small aggregate."""
+    return one_sided(a, b.select(*a.columns), a.columns, ("snapshot", "source"))
 
 
 def snapshot_against_source(events: DataFrame, source: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from wattmill.operators.views import Plant
 from wattmill.plans.catalog import query
 from wattmill.sources import log
 from wattmill.staging import new_path, written
-from wattmill.streaming import power
+from wattmill.streaming import power, state
 
 
 def samples(p: Plant) -> DataFrame:
@@ -180,3 +180,16 @@ def t_log_snapshot(p: Plant) -> DataFrame:
     ends = {str(r.partition): r.n // 2 for r in rows.groupBy("partition").agg(F.count("*").alias("n")).collect()}  # a number a partition
     found = log.read_log(p.spark, path, endingOffsets=json.dumps(ends)).groupBy("partition").agg(F.min("offset").alias("first"), F.max("offset").alias("last"), F.count("*").alias("n"), F.count_distinct("offset").alias("d"))
     return found.withColumn("contiguous", (F.col("first") == 0) & (F.col("last") + 1 == F.col("d"))).drop("d")
+
+
+@query("t04_t11_routed_once", _S + """, b AS (SELECT device_id, event_id, 0 AS batch, epoch_ms(ts) AS ms FROM s UNION ALL SELECT device_id, event_id, 1, epoch_ms(ts) FROM s WHERE event_id % 10 = 0), m AS (SELECT max(ms) - 864000000 AS watermark FROM b)
+SELECT device_id::VARCHAR AS device_id, CASE WHEN batch = 0 THEN 'on_time' WHEN ms <= watermark THEN 'late' ELSE 'repeat' END AS route, count(*) AS n FROM b, m GROUP BY ALL""", "")
+def t_routed_once(p: Plant) -> DataFrame:
+    """All samples, then, after a restart, a tenth of them again: what is ten days older than the newest is late, the rest repeats."""
+    rows = samples(p).select(F.col("device_id").cast("string").alias("device_id"), F.col("event_id").cast("string").alias("event_id"), "ts", F.col("power_kw").alias("value"))
+    source, out, kept = (new_path(p.spark, n) for n in ("samples", "routed", "checkpoint"))
+    for some in (F.lit(True), F.col("event_id").cast("long") % 10 == 0):
+        rows.filter(some).write.mode("append").parquet(source)
+        routed = state.routed_once(p.spark.readStream.schema(rows.schema).parquet(source), "10 days", 11 * 86_400)
+        routed.writeStream.format("parquet").option("checkpointLocation", kept).trigger(availableNow=True).start(out).awaitTermination()
+    return p.spark.read.parquet(out).groupBy("device_id", "route").agg(F.count("*").alias("n"))
