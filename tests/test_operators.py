@@ -423,3 +423,24 @@ def test_sketched_statistics_repair_a_batch(spark):
     assert sum(r.fix_reason == "outlier" for r in got) == sum(v == 5_000.0 for *_, v, _, _ in new)
     empty = cleaning.sketched_statistics(cleaning.fix_sketches(frame([]).limit(0)))
     assert cleaning.repaired(frame(new[:1]), stats=empty).count() == 1
+
+
+PARSED = {
+    "json": {'{"a": "x: NaN"}': None, '{"a": NaN}': "not_finite", '[1, -Infinity]': "not_finite", "{a: 1}": "invalid_json", "": "invalid_json", '﻿{"a": [1, null, "é"]}': None, '{"a": 1} x': "invalid_json", '{"a": 1, "a": 2}': None},
+    "xml": {"<a><b></a>": "invalid_xml", "<a><b></a></b><c></a>": "invalid_xml", "<a>1</a><a>2</a>": "invalid_xml", "<!-- c --><a/>": None, '<a x="1">t<b/>u</a>': None, "<!DOCTYPE a><a/>": "dtd", "<a><! ENTITY></a>": "dtd", "": "invalid_xml", '<?xml version="1.0"?><a/>': None},
+    "csv": {'a,b\n"1,5",2\n': None, 'a,b\n"1\n5",2': None, "a,b\n\n1,2\n": None, "a,b\n1": "ragged", "a,a\n": "repeated_header", "a,\n1,2": "empty_header", "": "empty", '\na,b': "empty", 'a,b\n"1"x,2': "invalid_csv"},
+}
+
+
+@pytest.mark.parametrize("kind", PARSED)
+def test_documents_are_parsed(spark, kind):
+    rows = files.ingest(spark.createDataFrame([*PARSED[kind].items(), (None, "none")], "text string, said string"), kind).collect()
+    assert {r.text: r.problem for r in rows if r.text is not None} == PARSED[kind] and all((r.document is None) == (r.problem is not None) for r in rows)
+    assert len({r.content_sha256 for r in rows}) == len(PARSED[kind])  # null reads as empty
+
+
+def test_parsed_values(spark):
+    one = lambda kind, text, path, as_: files.ingest(spark.createDataFrame([(text,)], "text string"), kind).select(F.variant_get("document", path, as_)).first()[0]
+    assert one("csv", 'a,b\n"1,5","x\ny"\n2,3', "$[0].b", "string") == "x\ny" and one("csv", "a\n1\n2", "$[1].a", "string") == "2"
+    assert one("xml", '<a k="v">t<b>u</b>w</a>', "$.children[0].tail", "string") == "w" and one("xml", '<a k="v"/>', "$.attributes.k", "string") == "v"
+    assert one("json", '{"a": {"b": [1, 2.5]}}', "$.a.b[1]", "double") == 2.5

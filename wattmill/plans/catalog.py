@@ -10,6 +10,8 @@ from wattmill.operators.views import VIEWS, Plant
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: The same functions, for a plant of one's own.
+BY_PLANT: dict[str, Callable[[Plant], DataFrame]] = {}
 
 
 def query(name: str, sql: str | None = None, base: str = VIEWS):
@@ -17,6 +19,7 @@ def query(name: str, sql: str | None = None, base: str = VIEWS):
 
     def register(f: Callable[[Plant], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: f(Plant(spark, sf_dir))
+        BY_PLANT[name] = f
         if sql is not None:
             ORACLES[name] = base + ("\n" if sql.lstrip().upper().startswith("SELECT") or not base else ",\n") + sql
         return f

@@ -86,17 +86,17 @@ def s_reasons(p: Plant) -> DataFrame:
     return good.select("seq", "reason").unionByName(bad.select("seq", "reason"))
 
 
-@query("s13_document_ingest", "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'not_finite' WHEN event_id % 11 = 0 THEN 'invalid_json' END AS problem FROM events", "")
+@query("s13_document_ingest", "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'not_finite' WHEN event_id % 11 = 0 THEN 'invalid_json' END AS problem, CASE WHEN event_id % 7 <> 0 AND event_id % 11 <> 0 THEN CAST(json_extract_string(props, '$.k') AS DOUBLE) END AS k FROM events", "")
 def s_ingest(p: Plant) -> DataFrame:
     text = F.when(F.col("event_id") % 7 == 0, '{"k": NaN}').when(F.col("event_id") % 11 == 0, '{"k": ').otherwise(F.col("props"))
-    return files.ingest(p.table("events").select("event_id", text.alias("text")), "json").select("event_id", "problem")
+    return files.ingest(p.table("events").select("event_id", text.alias("text")), "json").select("event_id", "problem", F.try_variant_get("document", "$.k", "double").alias("k"))
 
 
 @query("s13_csv_and_xml_ingest", """SELECT event_id, kind, CASE WHEN kind = 'csv' THEN CASE event_id % 5 WHEN 0 THEN 'empty_header' WHEN 1 THEN 'repeated_header' WHEN 2 THEN 'ragged' WHEN 3 THEN 'empty' END ELSE CASE event_id % 3 WHEN 0 THEN 'dtd' WHEN 1 THEN 'invalid_xml' END END AS problem FROM events, (VALUES ('csv'), ('xml')) k(kind)""", "")
 def s_texts(p: Plant) -> DataFrame:
     e, n = p.table("events"), F.col("event_id")
     row = F.concat_ws(",", n.cast("string"), "event_type")
-    csv = F.when(n % 5 == 0, F.concat(F.lit("id,\n"), row)).when(n % 5 == 1, F.concat(F.lit("id, id\n"), row)).when(n % 5 == 2, F.concat(F.lit("id,kind\n"), row, F.lit(",more"))).when(n % 5 == 3, "").otherwise(F.concat(F.lit("id,kind\r\n"), row, F.lit("\r\n")))
+    csv = F.when(n % 5 == 0, F.concat(F.lit("id,\n"), row)).when(n % 5 == 1, F.concat(F.lit("id,id\n"), row)).when(n % 5 == 2, F.concat(F.lit("id,kind\n"), row, F.lit(",more"))).when(n % 5 == 3, "").otherwise(F.concat(F.lit("id,kind\r\n"), row, F.lit("\r\n")))
     body = F.concat(F.lit("<e id='"), n.cast("string"), F.lit("'>"), F.col("event_type"))
     xml = F.when(n % 3 == 0, F.concat(F.lit("<!DOCTYPE e>"), body, F.lit("</e>"))).when(n % 3 == 1, F.concat(body, F.lit("</f>"))).otherwise(F.concat(F.lit("<?xml version='1.0'?>\n"), body, F.lit("</e>")))
     part = lambda kind, text: files.ingest(e.select("event_id", text.alias("text")), kind).select("event_id", F.lit(kind).alias("kind"), "problem")
