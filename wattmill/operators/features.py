@@ -368,23 +368,11 @@ def grounded(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     return claims.join(ok.select("claim_id").distinct().withColumn("grounded", F.lit(True)), "claim_id", "left").fillna(False, ["grounded"])
 
 
-_RETRIEVE = """WITH q AS (SELECT p_partkey AS question_id, lower(p_name) AS question FROM part WHERE p_partkey % 4 = 0), e AS (SELECT p_partkey AS evidence_id, lower(p_brand) AS kw, lower(p_name) AS text, lower(p_type) AS file FROM part WHERE p_partkey % 4 = 1),
+_RETRIEVE_ALL = """WITH q AS (SELECT p_partkey AS question_id, lower(p_name) AS question FROM part), e AS (SELECT p_partkey AS evidence_id, lower(p_brand) AS kw, lower(p_name) AS text, lower(p_type) AS file FROM part),
 a AS (SELECT DISTINCT question_id, unnest(regexp_split_to_array(question, '[^\\p{L}\\p{N}_]+')) AS token FROM q), h AS (SELECT evidence_id, kw AS token, 4 AS weight FROM e UNION ALL SELECT DISTINCT evidence_id, unnest(regexp_split_to_array(text, '[^\\p{L}\\p{N}_]+')), 1 FROM e UNION ALL SELECT evidence_id, file, 6 FROM e)
 SELECT question_id, evidence_id, sum(weight)::BIGINT AS score FROM a JOIN h USING (token) WHERE token <> '' GROUP BY question_id, evidence_id QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY sum(weight) DESC, evidence_id) <= 8"""
 
 
-@query("m14_retrieval", _RETRIEVE, "")
-def m_retrieval(p: Plant) -> DataFrame:
-    part = p.table("part")
-    q = part.filter("p_partkey % 4 = 0").select(F.col("p_partkey").alias("question_id"), F.col("p_name").alias("question"))
-    e = part.filter("p_partkey % 4 = 1").select(F.col("p_partkey").alias("evidence_id"), F.array("p_brand").alias("keywords"), F.col("p_name").alias("text"), F.col("p_type").alias("file"))
-    return retrieved(q, e).select("question_id", "evidence_id", "score")
-
-
-#: The same search without the two remainders: every row asks and every row is evidence.
-_RETRIEVE_ALL = _RETRIEVE.replace(" WHERE p_partkey % 4 = 0", "").replace(" WHERE p_partkey % 4 = 1", "")
-
-
 @query("m14_retrieval_all", _RETRIEVE_ALL, "")
 def m_retrieval_all(p: Plant) -> DataFrame:
     """Every row of `part` as a question over every row as evidence; equal questions are searched once."""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattmill.operators import analyses, cleaning, features, hourly, quality, report, semantic, warehouse  # noqa: F401  (each registers its queries)
+from wattmill.operators import analyses, cleaning, features, hourly, quality, report, retrieval, semantic, warehouse  # noqa: F401  (each registers its queries)
 from wattmill.plans.catalog import ORACLES, QUERIES
 from wattmill.sources import queries as _sources  # noqa: F401
 from wattmill.streaming import queries as _streaming  # noqa: F401
