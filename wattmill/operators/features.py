@@ -286,8 +286,9 @@ def ridge_rows(hours: DataFrame) -> DataFrame:
 
 
 def ridge(rows: DataFrame, alpha: float) -> LinearRegressionModel:
-    """Least squares with the penalty alpha times the squared weights (Spark's loss is a mean over rows); the intercept is free."""
-    return LinearRegression(featuresCol="_x", labelCol="load", regParam=alpha / max(1, rows.count()), elasticNetParam=0.0, standardization=False, solver="normal").fit(rows)
+    """Least squares with the penalty alpha times the squared weights; the intercept is free. Spark's loss is a mean over rows of labels in units of their own spread, so the penalty is put in these."""
+    size = rows.agg(F.count("*").alias("n"), F.stddev_pop("load").alias("spread")).first()
+    return LinearRegression(featuresCol="_x", labelCol="load", regParam=alpha * (size.spread or 0.0) / max(1, size.n), elasticNetParam=0.0, standardization=False, solver="normal").fit(rows)
 
 
 def ridge_forecast(hours: DataFrame, horizon: int = 72, alpha: float = 1.0, validation: int = 336) -> DataFrame:
@@ -304,18 +305,36 @@ def ridge_backtest(hours: DataFrame, horizon: int = 72, alpha: float = 1.0, vali
     return tested.groupBy("series").agg(F.count("*").alias("n"), error("prediction").alias("mae"), error("lag_168").alias("naive_mae"))
 
 
+def every_hour(hours: DataFrame) -> DataFrame:
+    """All hours of each series between its first and last: without a reading the load is 0, so lags are hours."""
+    spine = hours.groupBy("series").agg(F.min("hour").alias("a"), F.max("hour").alias("b")).select("series", F.explode(F.sequence("a", "b")).alias("hour"))
+    return spine.join(hours, ["series", "hour"], "left").fillna(0.0, ["load"])
+
+
 def hourly_load(p: Plant) -> DataFrame:
-    return p.table("events").filter("value >= 0").select((F.col("user_id") % 3).alias("series"), F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600).alias("hour"), "value").groupBy("series", "hour").agg(F.sum("value").alias("load"))
+    hours = p.table("events").filter("value >= 0").select((F.col("user_id") % 3).alias("series"), F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600).alias("hour"), "value").groupBy("series", "hour").agg(F.sum("value").alias("load"))
+    return every_hour(hours)
+
+
+def _ridge_sql(horizon: int) -> str:
+    """Ridge by the normal equations of centred sums, alpha 1: fitted on hours at least `horizon` before each series' end, with predictions for all."""
+    return f"""WITH e AS (SELECT user_id % 3 AS series, epoch_ms(ts) // 3600000 AS hour, sum(value) AS load FROM events WHERE value >= 0 GROUP BY ALL), h AS (SELECT series, unnest(range(min(hour), max(hour) + 1)) AS hour FROM e GROUP BY series),
+x AS (SELECT series, hour, coalesce(load, 0) AS load, lag(coalesce(load, 0), 168) OVER w AS lag_168, sin(2 * pi() * (hour % 24) / 24e0) AS s, cos(2 * pi() * (hour % 24) / 24e0) AS c, max(hour) OVER (PARTITION BY series) - hour AS ahead FROM h LEFT JOIN e USING (series, hour) WINDOW w AS (PARTITION BY series ORDER BY hour)),
+r AS (SELECT * FROM x WHERE lag_168 IS NOT NULL), m AS (SELECT count(*) AS n, avg(lag_168) AS ml, avg(s) AS ms, avg(c) AS mc, avg(load) AS my, n * var_pop(lag_168) + 1 AS ll, n * var_pop(s) + 1 AS ss, n * var_pop(c) + 1 AS cc, n * covar_pop(lag_168, s) AS ls, n * covar_pop(lag_168, c) AS lc, n * covar_pop(s, c) AS sc,
+n * covar_pop(lag_168, load) AS ly, n * covar_pop(s, load) AS sy, n * covar_pop(c, load) AS cy FROM r WHERE ahead >= {horizon}), d AS (SELECT *, ll * (ss * cc - sc * sc) - ls * (ls * cc - sc * lc) + lc * (ls * sc - ss * lc) AS det FROM m),
+k AS (SELECT *, (ly * (ss * cc - sc * sc) - ls * (sy * cc - sc * cy) + lc * (sy * sc - ss * cy)) / det AS w1, (ll * (sy * cc - cy * sc) - ly * (ls * cc - sc * lc) + lc * (ls * cy - sy * lc)) / det AS w2, (ll * (ss * cy - sc * sy) - ls * (ls * cy - lc * sy) + ly * (ls * sc - ss * lc)) / det AS w3 FROM d),
+f AS (SELECT r.*, my + w1 * (lag_168 - ml) + w2 * (s - ms) + w3 * (c - mc) AS prediction FROM r, k)
+"""
 
 
-@query("m12_ridge_forecast")
+@query("m12_ridge_forecast", _ridge_sql(72) + "SELECT series, hour, load, lag_168, round(prediction, 6) AS prediction FROM f WHERE ahead < 72", "")
 def m_ridge(p: Plant) -> DataFrame:
-    return ridge_forecast(hourly_load(p))
+    return ridge_forecast(hourly_load(p)).withColumn("prediction", F.round("prediction", 6))
 
 
-@query("m12_ridge_backtest")
+@query("m12_ridge_backtest", _ridge_sql(408) + "SELECT series, count(*) AS n, round(avg(abs(load - prediction)), 6) AS mae, round(avg(abs(load - lag_168)), 6) AS naive_mae FROM f WHERE ahead BETWEEN 72 AND 407 GROUP BY 1", "")
 def m_ridge_test(p: Plant) -> DataFrame:
-    return ridge_backtest(hourly_load(p), validation=168)
+    return ridge_backtest(hourly_load(p)).withColumns({c: F.round(c, 6) for c in ("mae", "naive_mae")})
 
 
 #: Null series of M13 at least, and the workshops they were meant for: each has its share of them or more.
