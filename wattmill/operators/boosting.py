@@ -14,11 +14,12 @@ from __future__ import annotations
 import datetime
 import math
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattmill.staging import written
@@ -71,6 +72,17 @@ def binned(rows: DataFrame, columns: Sequence[str], edges: Sequence[Sequence[flo
     return rows.select(*keys, F.unhex(F.concat(*(F.lpad(F.hex(below(c, e)), 2, "0") for c, e in zip(columns, edges)))).alias("codes"))
 
 
+@contextmanager
+def _plain_plans(spark: SparkSession):
+    """Jobs of a known number of tasks need no plan made anew between their stages: hundreds of small jobs are quicker without."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
 def fit(rows: DataFrame, models: Sequence[Model], columns: Sequence[str], label: str, edges: Sequence[Sequence[float]] | None = None, trees: int = TREES, depth: int = DEPTH, rate: float = RATE, least: int = LEAST_ROWS) -> Trees:
     """All models from `rows` (date, label, columns; none of them null). Without `edges` bins are made of the days on which all models train."""
     common = rows.filter((F.col("date") >= max(m.first_train for m in models)) & (F.col("date") < min(m.first_test for m in models)))
@@ -186,7 +198,8 @@ def fit(rows: DataFrame, models: Sequence[Model], columns: Sequence[str], label:
         leaf_g = leaf_n = None
         for level in range(depth):
             parts = table.mapInArrow(partial_sums(done[kept:], (f, b), level), "model int, sums binary")
-            splits = parts.repartition(-(-n_models // TASK_MODELS), "model").mapInArrow(best_splits(level), "model int, splits binary").collect()
+            with _plain_plans(rows.sparkSession):
+                splits = parts.repartition(-(-n_models // TASK_MODELS), "model").mapInArrow(best_splits(level), "model int, splits binary").collect()
             nodes = 1 << level
             leaf_g, leaf_n = np.zeros((n_models, 2 * nodes), np.int64), np.zeros((n_models, 2 * nodes), np.int64)
             for row in splits:
