@@ -22,7 +22,7 @@ def test_oracle(spark, duck, name):
     same(registry.queries()[name](spark, DATA).toPandas(), duck.execute(registry.oracle_sql()[name]).df())
 
 
-#: Some 700 jobs each: `test_operators` runs them with one tree and holds the booster against a plain one.
+#: `test_operators` runs them and holds the booster against a plain one.
 LONG = {"m06_boosted_trees", "m07_group_ablation"}
 
 

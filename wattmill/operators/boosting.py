@@ -4,6 +4,9 @@ Models differ in the days that they train on and in the features that they see;
 rows' residuals by model, node, feature and bin, the sums are dealt by model and the best split of every node comes back, some numbers a model. So the
 driver holds trees and split numbers, never rows, and a task holds a batch of rows and one table of sums, whatever the number of rows.
 
+Where no model trains on more than `ALONE_ROWS` rows (counted before), rows are dealt by model instead and a task grows all trees of one, which saves hundreds of
+small jobs. Sums are the same, so trees are, too.
+
 Residuals are integers (the label times a power of two), so sums don't depend on their order: trees are the same however rows are dealt and however often a
 task is run again. Predictions so far are part of the rows' table, which is written anew every `KEEP` trees into the shared folder; trees since then are added again by each
 job. A job's shuffle is bounded by tasks x models x nodes x features x bins.
@@ -28,6 +31,8 @@ from wattmill.staging import written
 TREES, DEPTH, RATE, RIDGE, LEAST_ROWS, BINS = 180, 4, 0.04, 0.1, 20, 32
 #: Trees after which predictions are written; rows of a task; models whose sums one task adds up.
 KEEP, TASK_ROWS, TASK_MODELS = 12, 3_000, 32
+#: Training rows of a model up to which one task grows its trees: some 100 bytes a row.
+ALONE_ROWS = 200_000
 #: Bits of the largest label as an integer.
 BITS = 30
 
@@ -83,7 +88,7 @@ def _plain_plans(spark: SparkSession):
         spark.conf.set("spark.sql.adaptive.enabled", before)
 
 
-def fit(rows: DataFrame, models: Sequence[Model], columns: Sequence[str], label: str, edges: Sequence[Sequence[float]] | None = None, trees: int = TREES, depth: int = DEPTH, rate: float = RATE, least: int = LEAST_ROWS) -> Trees:
+def fit(rows: DataFrame, models: Sequence[Model], columns: Sequence[str], label: str, edges: Sequence[Sequence[float]] | None = None, trees: int = TREES, depth: int = DEPTH, rate: float = RATE, least: int = LEAST_ROWS, alone: int = ALONE_ROWS) -> Trees:
     """All models from `rows` (date, label, columns; none of them null). Without `edges` bins are made of the days on which all models train."""
     common = rows.filter((F.col("date") >= max(m.first_train for m in models)) & (F.col("date") < min(m.first_test for m in models)))
     edges = tuple(map(tuple, edges)) if edges is not None else bin_edges(common, columns)
@@ -107,6 +112,67 @@ def fit(rows: DataFrame, models: Sequence[Model], columns: Sequence[str], label:
             node = 2 * node + ((feature >= 0) & (codes[every, feature] > tree_bins[at]))
         return node
 
+    def cell_sums(residual: np.ndarray, cells: np.ndarray, node: np.ndarray, nodes: int) -> np.ndarray:
+        """Sums of residuals and numbers of rows by node and bin."""
+        width = int(offsets[-1])
+        sums = np.zeros((2, nodes * width), np.int64)
+        for start in range(0, len(residual), 50_000):  # 50,000 residuals of 31 bits add up exactly
+            own = slice(start, start + 50_000)
+            at = (node[own, None] * width + cells[own]).ravel()
+            sums[0] += np.bincount(at, np.repeat(residual[own], cells.shape[1]), nodes * width).astype(np.int64)
+            sums[1] += np.bincount(at, minlength=nodes * width)
+        return sums
+
+    def best_of(m: int, sums: np.ndarray, nodes: int) -> np.ndarray:
+        """A model's split of largest gain by node (ties: smaller feature, then bin): feature, bin, sum and count of the left side, sum and count of all."""
+        g, n = sums.reshape(2, nodes, int(offsets[-1]))
+        first = seen[m][0]
+        all_g, all_n = (x[:, offsets[first] : offsets[first + 1]].sum(1) for x in (g, n))
+        gain, chosen = np.zeros(nodes), np.stack([np.full(nodes, -1), np.zeros(nodes, np.int64), all_g, all_n])
+        whole = all_g.astype(float) ** 2 / (all_n + RIDGE)
+        for f in seen[m].tolist():
+            if widths[f] < 2:
+                continue
+            left_g, left_n = (x[:, offsets[f] : offsets[f + 1] - 1].cumsum(1) for x in (g, n))
+            right_g, right_n = all_g[:, None] - left_g, all_n[:, None] - left_n
+            gains = left_g.astype(float) ** 2 / (left_n + RIDGE) + right_g.astype(float) ** 2 / (right_n + RIDGE) - whole[:, None]
+            gains = np.where((left_n >= least) & (right_n >= least), gains, -1.0)
+            at = gains.argmax(1)
+            top = gains[np.arange(nodes), at]
+            better = top > gain
+            gain = np.where(better, top, gain)
+            found = np.stack([np.full(nodes, f), at, left_g[np.arange(nodes), at], left_n[np.arange(nodes), at]])
+            chosen = np.where(better, found, chosen)
+        return np.concatenate([chosen, np.stack([all_g, all_n])]).astype(np.int64)
+
+    def taken(chosen: np.ndarray, f: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Enters a level's splits into a tree; the children's sums and counts."""
+        nodes = chosen.shape[1]
+        at = slice(nodes - 1, 2 * nodes - 1)
+        f[at], b[at] = chosen[0], chosen[1]
+        children = np.zeros((2, 2 * nodes), np.int64)
+        children[:, 0::2], children[:, 1::2] = chosen[2:4], chosen[4:6] - chosen[2:4]
+        return children
+
+    def leaves_of(children: np.ndarray) -> np.ndarray:
+        return np.rint(rate * children[0] / (children[1] + RIDGE)).astype(np.int64)
+
+    def grown(group: pa.Table) -> pa.Table:
+        """All trees of the model whose training rows these are."""
+        m, group = group.column("model")[0].as_py(), group.combine_chunks()
+        _, y, codes = arrays(group)
+        residual, cells = y - base[m], codes[:, seen[m]] + offsets[seen[m]]
+        made = []
+        for _ in range(trees):
+            f, b = np.full(inner, -1, np.int64), np.zeros(inner, np.int64)
+            for level in range(depth):
+                node = node_of(f, b, codes, level)
+                children = taken(best_of(m, cell_sums(residual, cells, node, 1 << level), 1 << level), f, b)
+            leaf = leaves_of(children)
+            residual = residual - leaf[node_of(f, b, codes, depth)]
+            made.append(np.concatenate((f, b, leaf)))
+        return pa.table({"model": pa.array([m], pa.int32()), "trees": pa.array([np.stack(made).tobytes()], pa.binary())})
+
     def with_predictions(added: list[tuple[np.ndarray, np.ndarray, np.ndarray]], base: np.ndarray):
         """Adds trees to the predictions that rows carry."""
 
@@ -132,54 +198,30 @@ def fit(rows: DataFrame, models: Sequence[Model], columns: Sequence[str], label:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = np.zeros((n_models, 2, nodes * width), np.int64)
-            for whole in batches:
-                for start in range(0, whole.num_rows, 50_000):
-                    batch = whole.slice(start, 50_000)
-                    day, y, codes = arrays(batch)
-                    so_far = np.frombuffer(b"".join(batch.column("so_far").to_pylist()), np.int64).reshape(batch.num_rows, n_models)
-                    cells = codes + offsets[:-1]
-                    for m, (first, end) in enumerate(spans):
-                        own = np.flatnonzero((day >= first) & (day < end))
-                        residual = y[own] - so_far[own, m]
-                        own_codes = codes[own]
-                        for f, b, leaf in added:
-                            residual -= leaf[m][node_of(f[m], b[m], own_codes, depth)]
-                        at = (node_of(now[0][m], now[1][m], own_codes, level)[:, None] * width + cells[np.ix_(own, seen[m])]).ravel()
-                        sums[m, 0] += np.bincount(at, np.repeat(residual, len(seen[m])), nodes * width).astype(np.int64)  # 50,000 residuals of 31 bits add up exactly
-                        sums[m, 1] += np.bincount(at, minlength=nodes * width)
+            for batch in batches:
+                day, y, codes = arrays(batch)
+                so_far = np.frombuffer(b"".join(batch.column("so_far").to_pylist()), np.int64).reshape(batch.num_rows, n_models)
+                for m, (first, end) in enumerate(spans):
+                    own = np.flatnonzero((day >= first) & (day < end))
+                    residual = y[own] - so_far[own, m]
+                    own_codes = codes[own]
+                    for f, b, leaf in added:
+                        residual -= leaf[m][node_of(f[m], b[m], own_codes, depth)]
+                    sums[m] += cell_sums(residual, own_codes[:, seen[m]] + offsets[seen[m]], node_of(now[0][m], now[1][m], own_codes, level), nodes)
             yield pa.record_batch([pa.array(range(n_models), pa.int32()), pa.array([s.tobytes() for s in sums], pa.binary())], ["model", "sums"])
 
         return run
 
     def best_splits(level: int):
-        """For each model and node the split of largest gain (ties: smaller feature, then bin): feature, bin, and sums and counts of both sides."""
-        nodes, width = 1 << level, int(offsets[-1])
+        """The splits of each model by its tasks' sums."""
+        nodes = 1 << level
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             totals: dict[int, np.ndarray] = {}
             for batch in batches:
                 for m, s in zip(batch.column("model").to_pylist(), batch.column("sums").to_pylist()):
-                    totals[m] = totals.get(m, 0) + np.frombuffer(s, np.int64).reshape(2, nodes, width)
-            out = []
-            for m, (g, n) in totals.items():
-                first = seen[m][0]
-                all_g, all_n = (x[:, offsets[first] : offsets[first + 1]].sum(1) for x in (g, n))
-                gain, chosen = np.zeros(nodes), np.stack([np.full(nodes, -1), np.zeros(nodes, np.int64), all_g, all_n])
-                whole = all_g.astype(float) ** 2 / (all_n + RIDGE)
-                for f in seen[m].tolist():
-                    if widths[f] < 2:
-                        continue
-                    left_g, left_n = (x[:, offsets[f] : offsets[f + 1] - 1].cumsum(1) for x in (g, n))
-                    right_g, right_n = all_g[:, None] - left_g, all_n[:, None] - left_n
-                    gains = left_g.astype(float) ** 2 / (left_n + RIDGE) + right_g.astype(float) ** 2 / (right_n + RIDGE) - whole[:, None]
-                    gains = np.where((left_n >= least) & (right_n >= least), gains, -1.0)
-                    at = gains.argmax(1)
-                    top = gains[np.arange(nodes), at]
-                    better = top > gain
-                    gain = np.where(better, top, gain)
-                    found = np.stack([np.full(nodes, f), at, left_g[np.arange(nodes), at], left_n[np.arange(nodes), at]])
-                    chosen = np.where(better, found, chosen)
-                out.append((m, np.concatenate([chosen, np.stack([all_g, all_n])]).astype(np.int64).tobytes()))
+                    totals[m] = totals.get(m, 0) + np.frombuffer(s, np.int64)
+            out = [(m, best_of(m, s, nodes).tobytes()) for m, s in totals.items()]
             yield pa.record_batch([pa.array([m for m, _ in out], pa.int32()), pa.array([s for _, s in out], pa.binary())], ["model", "splits"])
 
         return run
@@ -190,25 +232,26 @@ def fit(rows: DataFrame, models: Sequence[Model], columns: Sequence[str], label:
     table = written(table.repartition(tasks), "boost-rows")
     counts = table.agg(*(F.struct(F.coalesce(F.sum(F.when(F.col("day").between(a, b - 1), F.col("y"))), F.lit(0)).alias("y"), F.count_if(F.col("day").between(a, b - 1)).alias("n")).alias(f"m{i}") for i, (a, b) in enumerate(spans))).first()
     base = np.array([round(c.y / c.n) if c.n else 0 for c in counts], np.int64)
+    if trees and max((c.n for c in counts), default=0) <= alone:
+        own = F.filter(F.array(*(F.when(F.col("day").between(a, b - 1), F.lit(m)) for m, (a, b) in enumerate(spans))), lambda m: m.isNotNull())
+        by_model = table.withColumn("model", F.explode(own)).repartition(n_models, "model").groupBy("model")
+        found = {r.model: np.frombuffer(r.trees, np.int64).reshape(trees, -1) for r in by_model.applyInArrow(grown, "model int, trees binary").collect()}
+        none = np.tile(np.concatenate((np.full(inner, -1), np.zeros(2 * inner + 1, np.int64))), (trees, 1))
+        every = np.stack([found.get(m, none) for m in range(n_models)], 1)
+        return Trees(every[..., :inner], every[..., inner : 2 * inner], every[..., 2 * inner :], base, scale, edges)
     schema = "day int, y long, codes binary, so_far binary"
     table = written(table.mapInArrow(with_predictions([], base), schema), "boost-rows").persist()  # read by every level; what is lost is read again from the written table
     done, kept = [], 0
     for tree in range(trees):
         f, b = np.full((n_models, inner), -1, np.int64), np.zeros((n_models, inner), np.int64)
-        leaf_g = leaf_n = None
         for level in range(depth):
             parts = table.mapInArrow(partial_sums(done[kept:], (f, b), level), "model int, sums binary")
             with _plain_plans(rows.sparkSession):
                 splits = parts.repartition(-(-n_models // TASK_MODELS), "model").mapInArrow(best_splits(level), "model int, splits binary").collect()
-            nodes = 1 << level
-            leaf_g, leaf_n = np.zeros((n_models, 2 * nodes), np.int64), np.zeros((n_models, 2 * nodes), np.int64)
+            children = np.zeros((n_models, 2, 2 << level), np.int64)
             for row in splits:
-                chosen = np.frombuffer(row.splits, np.int64).reshape(6, nodes)
-                at = slice(nodes - 1, 2 * nodes - 1)
-                f[row.model, at], b[row.model, at] = chosen[0], chosen[1]
-                leaf_g[row.model, 0::2], leaf_n[row.model, 0::2] = chosen[2], chosen[3]
-                leaf_g[row.model, 1::2], leaf_n[row.model, 1::2] = chosen[4] - chosen[2], chosen[5] - chosen[3]
-        done.append((f, b, np.rint(rate * leaf_g / (leaf_n + RIDGE)).astype(np.int64)))
+                children[row.model] = taken(np.frombuffer(row.splits, np.int64).reshape(6, -1), f[row.model], b[row.model])
+        done.append((f, b, np.stack([leaves_of(c) for c in children])))
         if len(done) - kept == KEEP and tree + 1 < trees:
             before, kept = table, len(done)
             table = written(before.mapInArrow(with_predictions(done[-KEEP:], base), schema), "boost-rows").persist()
