@@ -92,6 +92,19 @@ def test_contamination_without_items(spark, docs):
     assert len(got) == len(HOSTILE) and not any(r.contaminated for r in got)
 
 
+def test_contamination_rests_on_words_not_on_keys(spark):
+    """Places of one key: those with other words behind it, or with a longer word at the end, aren't found."""
+    wanted = spark.createDataFrame([("a b c d", 4, 0, 7), ("a b c d", 4, 1, 8)], "window string, size int, offset int, key long")
+    rows = [(row, 5, at, key, " ".join(words.split()[at:])) for row, words in enumerate(["a b c d e", "a b c x e", "a b c de f"]) for at, key in ((0, 7), (1, 8))]
+    places = spark.createDataFrame(rows, "row long, n_words long, pos int, key long, words string")
+    assert [tuple(r) for r in decontaminate.occurrences(places, wanted).collect()] == [(0, 0, 4, "a b c d")]
+
+
+def test_contamination_table_grows_with_the_benchmark(spark):
+    sized = lambda n: decontaminate.slots_for(spark.range(n).select(F.col("id").alias("key")))
+    assert sized(0) == sized(1_000) == decontaminate.SLOTS and sized(300_000) == 1 << 25 and sized(5_000_000) == decontaminate.MOST_SLOTS
+
+
 def brute_fingerprint(text) -> int:
     words = RUN.findall(lower(text))
     grams = [" ".join(words[a : a + 4]) for a in range(len(words) - 3)] if len(words) >= 4 else [" ".join(words)] if words else []

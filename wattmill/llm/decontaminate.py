@@ -3,12 +3,12 @@
 Benchmark items are cut into windows (13 consecutive words; a shorter item is one window), a window into shingles of `SHINGLE` words (a shorter
 window is one). To hold the whole window a document must hold each of its shingles, so a prefix of one is enough, and the rarest over all documents is taken.
   - `spots` reads the documents once. Of each it keeps the number of words and the places whose shingle may be one of the benchmark's (by a table of
-    bits of fixed size), with the shingle's key and the keys of the windows that would start there;
+    bits, sized by the benchmark's distinct shingles up to `MOST_SLOTS`), with the shingle's key and the words of the longest window that would start there;
   - places and benchmark shingles are joined, which gives each shingle's count and so the order of rarity;
   - `occurrences` joins each window's prefix with the places. A place says where the window would start; windows that would leave the document are cut by
-    length and position, and the rest are verified over the whole window: the place where the window starts has its key.
-Words stand as 64-bit hashes; an occurrence rests on the key of its prefix and on that of all its words, 128 bits together. Tables of the benchmark are
-broadcast if they are small by count, else joined by a shuffle. No text and no item goes through the driver.
+    length and position, and the rest are verified over the whole window, word by word: the place where the window starts has its words.
+Keys of shingles are 64-bit hashes and only nominate; what is found rests on the words. Tables of the benchmark (short rows: a window, or a window and one item)
+are broadcast if they are small by count, else joined by a shuffle. No text and no item goes through the driver.
 
 Words are runs of characters outside ASCII non-alphanumerics, A-Z lower-cased. A null text or item has no words, long ones are read whole. Repeated
 document rows are judged one by one, repeated items count once by id; a null item id counts as `null`. Of shingles with equal counts the first in the window is
@@ -30,12 +30,12 @@ from pyspark.sql import functions as F
 from wattmill.llm.common import ascii_lower, small_batches, small_side, under_own_names, written
 
 WINDOW, SHINGLE = 13, 3
-#: Bits of the table that tells which shingles may be the benchmark's (a power of two); words whose hashes a task holds.
-SLOTS, HELD_WORDS = 1 << 24, 200_000
+#: Bits of the table that tells which shingles may be the benchmark's, at least and at most (powers of two; it has 64 a shingle in between); words whose hashes a task holds.
+SLOTS, MOST_SLOTS, HELD_WORDS = 1 << 24, 1 << 28, 200_000
 #: ASCII bytes to spaces, but for digits and letters, which are lower-cased; bytes of other characters stay.
 _TABLE = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-SPOTS = "row long, doc_id long, n_words long, digest string, pos int, key long, full array<long>"
+SPOTS = "row long, doc_id long, n_words long, digest string, pos int, key long, words string"
 
 
 class Hashes(dict):
@@ -45,11 +45,14 @@ class Hashes(dict):
         self[word] = h = xxhash.xxh64_intdigest(word, 7)
         return h
 
-    def of(self, text: str | None) -> np.ndarray:
-        words = text.encode().translate(_TABLE).split() if text else []
+    def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def words_of(text: str | None) -> list[bytes]:
+    return text.encode().translate(_TABLE).split() if text else []
+
+
 def keys_at(hashes: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
     """One key for the `size` words from each place on."""
     out = np.full(len(places), size, np.uint64)
@@ -60,35 +63,39 @@ def keys_at(hashes: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """The benchmark's windows (their words, space-joined) with their number of words and the sorted ids of their items; written."""
+    """The benchmark's windows (their words, space-joined) with their number of words, a row for each of their items; written."""
     words = F.array_remove(F.split(ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), GAP), "")
     rows = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), words.alias("w")).filter(F.size("w") > 0)
     start = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - WINDOW + 1)))
     rows = rows.select("item", "w", start.alias("i")).select("item", F.slice("w", F.col("i"), F.lit(WINDOW)).alias("w"))
-    found = rows.groupBy(F.array_join("w", " ").alias("window")).agg(F.first(F.size("w")).alias("size"), F.array_sort(F.collect_set("item")).alias("items"))
-    return written(found, "windows")
+    return written(rows.select(F.array_join("w", " ").alias("window"), F.size("w").alias("size"), "item").distinct(), "windows")
 
 
 def shingles(windows: DataFrame) -> DataFrame:
-    """Per window its key `full` and, a row each, its shingles' offsets and keys; written."""
+    """Per window (each once), a row each, its shingles' offsets and keys; written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Hashes()
         for batch in batches:
             rows = []
             for window in batch.column(0).to_pylist():
-                h = known.of(window)
+                h = known.of(words_of(window))
                 size = min(SHINGLE, len(h))
-                full = keys_at(h, np.zeros(1, np.int64), len(h)).view(np.int64).item()
-                rows += [(window, len(h), full, n, k) for n, k in enumerate(keys_at(h, np.arange(len(h) - size + 1), size).view(np.int64).tolist())]
-            kinds = [pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
-            yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["window", "size", "full", "offset", "key"])
+                rows += [(window, len(h), n, k) for n, k in enumerate(keys_at(h, np.arange(len(h) - size + 1), size).view(np.int64).tolist())]
+            kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64()]
+            yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["window", "size", "offset", "key"])
+
+    return written(windows.select("window").distinct().mapInArrow(run, "window string, size int, offset int, key long"), "shingles")
+
 
-    return written(windows.select("window").mapInArrow(run, "window string, size int, full long, offset int, key long"), "shingles")
+def slots_for(wanted: DataFrame) -> int:
+    """Bits of the table for these shingles: some 64 a shingle, so that one place in 64 or fewer is nominated in vain; a power of two within the bounds."""
+    n = wanted.select("key").distinct().count()
+    return min(MOST_SLOTS, max(SLOTS, 1 << (64 * n - 1).bit_length() if n else 0))
 
 
 def spots(docs: DataFrame, wanted: DataFrame, sizes: list[int], slots: int) -> DataFrame:
-    """One row per document row (doc_id, n_words, the text's MD5) and one per place whose shingle may be wanted; written. `full` has a key for each of `sizes`."""
+    """One row per document row (doc_id, n_words, the text's MD5) and one per place whose shingle may be wanted, with the words from there on, as many as the largest of `sizes`; written."""
     bits = np.zeros(slots, bool)
     bits[wanted.select(F.col("key").bitwiseAND(F.lit(slots - 1)).alias("slot")).distinct().toArrow()["slot"].to_numpy()] = True  # at most `slots` numbers
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
@@ -99,10 +106,11 @@ def spots(docs: DataFrame, wanted: DataFrame, sizes: list[int], slots: int) -> D
         for batch in small_batches(batches):
             if len(known) > HELD_WORDS:
                 known.clear()
-            own, parts = [], []
+            own, parts, ahead = [], [], []
             for text in batch.column("text"):
                 text = text.as_py()
-                h = known.of(text)
+                words = words_of(text)
+                h = known.of(words)
                 own.append((row, len(h), hashlib.md5((text or "").encode()).hexdigest()))
                 for size in lengths:
                     if len(h) < size:
@@ -111,21 +119,16 @@ def spots(docs: DataFrame, wanted: DataFrame, sizes: list[int], slots: int) -> D
                     slot = keys & np.uint64(slots - 1)
                     at = np.flatnonzero(table[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
                     if len(at):
-                        full = np.zeros((len(at), len(sizes)), np.uint64)
-                        for k, s in enumerate(sizes):
-                            inside = at + s <= len(h)
-                            if min(SHINGLE, s) == size:
-                                full[inside, k] = keys_at(h, at[inside], s)
-                        parts.append((np.full(len(at), row), np.full(len(at), len(h)), at, keys[at], full))
+                        parts.append((np.full(len(at), row), np.full(len(at), len(h)), at, keys[at]))
+                        ahead += [b" ".join(words[i : i + sizes[-1]]) for i in at.tolist()]
                 row += 1
-            rows, n_words, at, keys, full = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 4 + (np.zeros((0, len(sizes)), np.uint64),)
+            rows, n_words, at, keys = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 4
             n, m = len(own), len(rows)
-            ends = np.concatenate((np.zeros(n, np.int32), np.arange(m + 1, dtype=np.int32) * len(sizes)))
             yield pa.record_batch(
                 [
                     pa.array(np.concatenate(([r[0] for r in own], rows)).astype(np.int64)), pa.concat_arrays([batch.column("doc_id"), pa.nulls(m, pa.int64())]), pa.array(np.concatenate(([r[1] for r in own], n_words)).astype(np.int64)),
                     pa.concat_arrays([pa.array([r[2] for r in own], pa.string()), pa.nulls(m, pa.string())]), pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(at.astype(np.int32))]),
-                    pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(keys.astype(np.uint64).view(np.int64))]), pa.ListArray.from_arrays(pa.array(ends), pa.array(full.reshape(-1).view(np.int64))),
+                    pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(keys.astype(np.uint64).view(np.int64))]), pa.concat_arrays([pa.nulls(n, pa.string()), pa.array(ahead, pa.binary()).cast(pa.string())]),
                 ],
                 [x.split()[0] for x in SPOTS.split(", ")],
             )
@@ -136,37 +139,34 @@ def spots(docs: DataFrame, wanted: DataFrame, sizes: list[int], slots: int) -> D
 def prefixes(places: DataFrame, wanted: DataFrame) -> DataFrame:
     """Each window's rarest shingle over all documents; windows with a shingle that no document has are left out. Written."""
     counts = places.join(small_side(wanted.select("key").distinct()), "key").groupBy("key").agg(F.count("*").alias("n"))
-    rows = wanted.join(counts, "key", "left").groupBy("window", "size", "full")
+    rows = wanted.join(counts, "key", "left").groupBy("window", "size")
     found = rows.agg(F.count("*").alias("_all"), F.count("n").alias("_some"), F.min_by(F.struct("offset", "key"), F.struct("n", "offset")).alias("p"))
-    return written(found.filter("_all = _some").select("window", "size", "full", "p.*"), "prefixes")
+    return written(found.filter("_all = _some").select("window", "size", "p.*"), "prefixes")
 
 
-def occurrences(places: DataFrame, wanted: DataFrame, sizes: list[int]) -> DataFrame:
+def occurrences(places: DataFrame, wanted: DataFrame) -> DataFrame:
     """`row`, `start`, `size`, `window` of every window in every document row; written."""
-    p = small_side(prefixes(places, wanted).withColumnRenamed("full", "_full"))
+    p = small_side(prefixes(places, wanted))
     near = places.select("row", "n_words", "pos", "key").join(p, "key").withColumn("start", F.col("pos") - F.col("offset"))
-    near = near.filter("start >= 0 AND start + size <= n_words").select("row", "start", "size", "window", "_full")
-    number = F.lit(0)
-    for k, s in enumerate(sizes):
-        number = F.when(F.col("size") == s, k).otherwise(number)
-    starts = places.select("row", F.col("pos").alias("start"), "full")
-    return written(near.join(starts, ["row", "start"]).filter(F.get("full", number) == F.col("_full")).select("row", "start", "size", "window").distinct(), "occurrences")
+    near = near.filter("start >= 0 AND start + size <= n_words").select("row", "start", "size", "window")
+    starts = places.select("row", F.col("pos").alias("start"), F.concat("words", F.lit(" ")).alias("_ahead"))
+    return written(near.join(starts, ["row", "start"]).filter(F.startswith("_ahead", F.concat("window", F.lit(" ")))).select("row", "start", "size", "window").distinct(), "occurrences")
 
 
-def found(docs: DataFrame, items: DataFrame, slots: int = SLOTS) -> DataFrame:
+def found(docs: DataFrame, items: DataFrame, slots: int | None = None) -> DataFrame:
     """Per row of `docs` (doc_id, text): doc_id, n_words, digest (the text's MD5), n_hit and `items`, the sorted ids of items with occurring windows."""
     windows = item_windows(items)
     wanted = shingles(windows)
     sizes = sorted(r.size for r in windows.select("size").distinct().collect())  # 1 to 13
-    rows = spots(docs, wanted, sizes, slots)
+    rows = spots(docs, wanted, sizes, slots or slots_for(wanted))
     own, places = rows.filter("pos IS NULL").select("row", "doc_id", "n_words", "digest"), rows.filter("pos IS NOT NULL")
-    hits = occurrences(places, wanted, sizes)
+    hits = occurrences(places, wanted)
     # spans are sorted, so each adds what lies behind the furthest end so far
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).alias("end"))
     step = lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["last"] - F.greatest(x["first"], a["end"] + 1) + 1)).alias("n"), F.greatest(a["end"], x["last"]).alias("end"))
     spans = F.array_sort(F.collect_set(F.struct(F.col("start").alias("first"), (F.col("start") + F.col("size") - 1).alias("last"))))
     words = hits.groupBy("row").agg(spans.alias("s")).select("row", F.aggregate("s", zero, step, lambda a: a["n"]).alias("n_hit"))
-    owners = hits.select("row", "window").distinct().join(small_side(windows.select("window", "items")), "window").select("row", F.explode("items").alias("item"))
+    owners = hits.select("row", "window").distinct().join(small_side(windows.select("window", "item")), "window").select("row", "item")
     names = owners.groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
     both = own.join(words.join(names, "row"), "row", "left")
     return both.select("doc_id", "n_words", "digest", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
@@ -176,14 +176,14 @@ def found(docs: DataFrame, items: DataFrame, slots: int = SLOTS) -> DataFrame:
 CONTAMINATED = "n_hit > 0 AND 20 * n_hit >= n_words"
 
 
-def contamination_report(docs: DataFrame, items: DataFrame, slots: int = SLOTS) -> DataFrame:
+def contamination_report(docs: DataFrame, items: DataFrame, slots: int | None = None) -> DataFrame:
     """One row per document row: words, hit words, items and the verdict."""
     return found(docs.select("doc_id", "text"), items, slots).select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), F.expr(CONTAMINATED).alias("contaminated")
     )
 
 
-def clean(docs: DataFrame, items: DataFrame, slots: int = SLOTS) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, slots: int | None = None) -> DataFrame:
     """The rows of `docs` that aren't contaminated, with their own columns only. The verdict is the text's, so contaminated texts go by their MD5."""
     inner, back = under_own_names(docs, "text")
     gone = written(found(inner.select(F.lit(None).cast("long").alias("doc_id"), "text"), items, slots).filter(CONTAMINATED).select("digest").distinct(), "contaminated")
