@@ -1,7 +1,7 @@
 """Evidence search: tokens of a question found as parts of texts, weighted, with hints on files and the row that maps a code to its name.
 
-No question meets every text. A token is looked up by its rarest run of letters in postings of the texts, and verified. Texts that hold the same tokens and fit the same hints have the same score for every
-question, so each such signature goes on with its first `limit` ids only: a common word costs questions times signatures, not questions times texts.
+No question meets every text, and equal questions are searched once. A token is looked up by its rarest run of letters in postings of the texts, and verified. Texts that hold the same tokens and fit the same hints have the same score for every
+question, so each such signature goes on with its first `limit` ids only: a common word costs different questions times signatures, not questions times texts.
 """
 
 from __future__ import annotations
@@ -59,14 +59,15 @@ def ranked_evidence(questions: DataFrame, evidence: DataFrame, limit: int = 8) -
     number of tokens, then by id. Of the evidence that gave names one row, that of the mapping file with the smallest id first, is always shown: it takes the last place where it isn't among the first.
     A question without tokens, or a null one, finds nothing.
     """
-    asked = written(questions.select("question_id", F.lower("question").alias("said"), F.explode(tokens(F.col("question"))).alias("token")), "asked")
+    # equal questions are searched once
+    asked = written(questions.select("question").distinct().select("question", F.lower("question").alias("said"), F.explode(tokens(F.col("question"))).alias("token")), "asked")
     texts = written(evidence.select(F.col("evidence_id"), F.lower("path").alias("path"), F.lower("text").alias("hay"), F.transform(F.filter(F.map_values("values"), lambda v: F.contains(v, F.lit(NAME_PART))), F.lower).alias("names")), "texts")
     by_code = written(texts.filter(F.size("names") > 0).select("evidence_id", "path", "names", F.explode(F.array_distinct(F.regexp_extract_all("hay", F.lit("w[0-9]{2}"), F.lit(0)))).alias("token")), "names")
-    codes = asked.filter(F.col("token").rlike(CODE)).select("question_id", "said", "token")
-    named = codes.join(by_code.select("token", F.explode("names").alias("name")).distinct(), "token").select("question_id", "said", F.col("name").alias("token"))
+    codes = asked.filter(F.col("token").rlike(CODE)).select("question", "said", "token")
+    named = codes.join(by_code.select("token", F.explode("names").alias("name")).distinct(), "token").select("question", "said", F.col("name").alias("token"))
     asked = written(asked.unionByName(named).distinct(), "asked")
     first = F.min(F.struct((~F.contains("path", F.lit(MAPPING_FILE.lower()))).alias("other"), "evidence_id"))
-    mapping = codes.join(by_code.groupBy("token").agg(first.alias("m")), "token").groupBy("question_id").agg(F.min("m").alias("m")).select("question_id", F.col("m.evidence_id").alias("mapping"))
+    mapping = codes.join(by_code.groupBy("token").agg(first.alias("m")), "token").groupBy("question").agg(F.min("m").alias("m")).select("question", F.col("m.evidence_id").alias("mapping"))
 
     held = written(found_in(asked.select("token").distinct(), texts.select("evidence_id", "hay")), "held")
     fits = F.filter(F.array(*(F.lit(q.lower()) for q in sorted(set(HINTS.values())))), lambda q: F.contains(F.col("path"), q))
@@ -77,16 +78,17 @@ def ranked_evidence(questions: DataFrame, evidence: DataFrame, limit: int = 8) -
     members = members.select(F.first("evidence_id").over(order).alias("sign_id"), "evidence_id")
 
     strong = F.col("token").rlike(STRONG) | F.contains("token", F.lit(NAME_PART))
-    scores = asked.join(signs.select("sign_id", F.explode("sign").alias("token")), "token").groupBy("question_id", "said", "sign_id").agg(F.sum(F.when(strong, STRONG_WEIGHT).otherwise(WEIGHT)).alias("score"), F.count("*").alias("n"))
+    scores = asked.join(signs.select("sign_id", F.explode("sign").alias("token")), "token").groupBy("question", "said", "sign_id").agg(F.sum(F.when(strong, STRONG_WEIGHT).otherwise(WEIGHT)).alias("score"), F.count("*").alias("n"))
     pointed = F.array(*(F.struct(F.lit(w.lower()).alias("word"), F.lit(q.lower()).alias("file")) for w, q in HINTS.items()))
     bonus = F.size(F.filter(pointed, lambda h: F.contains(F.col("said"), h.word) & F.array_contains(F.col("files"), h.file)))
     scored = scores.join(signs.select("sign_id", "files"), "sign_id").withColumn("score", F.col("score") + HINT_WEIGHT * bonus)
-    best = Window.partitionBy("question_id").orderBy(F.desc("score"), F.desc("n"), "evidence_id")
+    best = Window.partitionBy("question").orderBy(F.desc("score"), F.desc("n"), "evidence_id")
     top = scored.join(members, "sign_id").withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit)
-    shown = written(top.join(mapping, "question_id", "left").select("question_id", "rank", "evidence_id", "mapping"), "shown")
-    missing = shown.groupBy("question_id", "mapping").agg(F.max("rank").alias("last"), F.coalesce(F.bool_or(F.col("evidence_id") == F.col("mapping")), F.lit(True)).alias("there")).filter("NOT there")
-    put = missing.select("question_id", F.least(F.col("last") + 1, F.lit(limit)).alias("rank"), F.col("mapping").alias("evidence_id"))
-    return shown.select("question_id", "rank", "evidence_id").join(put.select("question_id", "rank"), ["question_id", "rank"], "left_anti").unionByName(put)
+    shown = written(top.join(mapping, "question", "left").select("question", "rank", "evidence_id", "mapping"), "shown")
+    missing = shown.groupBy("question", "mapping").agg(F.max("rank").alias("last"), F.coalesce(F.bool_or(F.col("evidence_id") == F.col("mapping")), F.lit(True)).alias("there")).filter("NOT there")
+    put = missing.select("question", F.least(F.col("last") + 1, F.lit(limit)).alias("rank"), F.col("mapping").alias("evidence_id"))
+    found = written(shown.select("question", "rank", "evidence_id").join(put.select("question", "rank"), ["question", "rank"], "left_anti").unionByName(put), "found")
+    return questions.select("question_id", "question").join(found, "question").select("question_id", "rank", "evidence_id")
 
 
 _NAMES = "CASE " + " ".join(f"WHEN {w[0]!r} THEN {w[1]!r}" for w in WORKSHOPS).replace("CASE WHEN", "CASE code WHEN") + " END"
