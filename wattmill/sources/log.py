@@ -1,7 +1,7 @@
 """A log of offsets as files, and a Spark data source that reads it: batches of exactly the offsets that are asked for, and streams.
 
 A log is a folder `partition=<n>/segment=<first offset>/` of text files with an object a line: offset, and value in base64. Every partition's offsets run without a gap, from 0 on
-unless a start is given. A segment is the unit of work: it is read by one task, sorted, and cut to the range that is asked for; offsets that are missing, repeated, or not there yet are an
+unless a start is given. A segment is read at once, sorted, and cut to the range that is asked for; a task reads segments in a row, one after the other; offsets that are missing, repeated, or not there yet are an
 error, never fewer rows. Ends are fixed when a batch is planned.
 
     spark.dataSource.register(log_source())
@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCHEMA = "partition int, offset long, value binary"
-#: Offsets of a segment.
-SEGMENT = 10_000
+#: Offsets of a segment; tasks of a read up to which each segment is its own.
+SEGMENT, TASKS = 10_000, 256
 
 
 def write_segments(rows: DataFrame, path: str, segment: int = SEGMENT) -> None:
@@ -32,6 +32,7 @@ def write_segments(rows: DataFrame, path: str, segment: int = SEGMENT) -> None:
 
 def log_source() -> type:
     """The data source's class. It is made in a function so that executors get it whole, wherever the library is installed."""
+    tasks_at_most = TASKS
     from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
     class Log:
@@ -91,26 +92,30 @@ def log_source() -> type:
 
         def tasks(self, start: dict[int, int], end: dict[int, int]) -> list[InputPartition]:
             found, out = self.segments(), []
+            together = -(-sum(len(own) for own in found.values()) // tasks_at_most)
             for n, upto in end.items():
                 bases = sorted(found.get(n, {}))
                 at = start.get(n, 0)
                 if at < upto and (not bases or bases[0] > at):
                     raise ValueError(f"offset {at} of partition {n} isn't there any more")
+                run = []
                 for base, following in zip(bases, [*bases[1:], upto]):
                     low, high = max(at, base), min(upto, max(following, base))
                     if low < high:
-                        out.append(InputPartition((n, found[n][base], low, high)))
+                        run.append((found[n][base], low, high))
+                out += [InputPartition((n, run[i : i + together])) for i in range(0, len(run), together)]
             return out
 
         def values(self, task: InputPartition) -> Iterator[tuple[int, int, bytes | None]]:
             import base64
 
-            n, files, low, high = task.value
-            rows = [r for r in self.rows(files) if low <= r[0] < high]
-            if [o for o, _ in rows] != list(range(low, high)):
-                raise ValueError(f"offsets {low} to {high} of partition {n} aren't whole: {len(rows)} rows")
-            for o, value in rows:
-                yield n, o, None if value is None else base64.b64decode(value)
+            n, segments = task.value
+            for files, low, high in segments:
+                rows = [r for r in self.rows(files) if low <= r[0] < high]
+                if [o for o, _ in rows] != list(range(low, high)):
+                    raise ValueError(f"offsets {low} to {high} of partition {n} aren't whole: {len(rows)} rows")
+                for o, value in rows:
+                    yield n, o, None if value is None else base64.b64decode(value)
 
     class BatchReader(DataSourceReader):
         def __init__(self, options: dict):

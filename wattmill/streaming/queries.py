@@ -150,12 +150,23 @@ def t_stream(p: Plant) -> DataFrame:
     return sink.read().groupBy("workshop_code").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 4).alias("total"))
 
 
+#: Numbers of a bucket in which offsets are counted.
+OFFSET_BUCKET = 30_000
+
+
+def numbered(rows: DataFrame, bucket: int = OFFSET_BUCKET) -> DataFrame:
+    """Rows (partition, seq) with `offset` from 0 on in the order of `seq`, a whole number that is unique in its partition. Rows are ordered within buckets of `seq`; what lies in the buckets before is counted, so a partition isn't one task."""
+    rows = rows.withColumn("_b", F.floor(F.col("seq") / bucket))
+    before = Window.partitionBy("partition").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket
+    starts = rows.groupBy("partition", "_b").agg(F.count("*").alias("_c")).select("partition", "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("partition", "_b").orderBy("seq")) - 1
+    return rows.join(written(starts, "starts"), ["partition", "_b"]).withColumn("offset", (F.col("_start") + own).cast("long")).drop("_b", "_start")
+
+
 def logged(p: Plant) -> tuple[DataFrame, str]:
     """The payloads in three partitions with offsets from 0 on, and the log that holds them."""
-    order = Window.partitionBy("partition").orderBy("seq")
-    rows = payloads(p).withColumn("partition", (F.col("seq") % 3).cast("int")).withColumn("offset", (F.row_number().over(order) - 1).cast("long"))
-    rows, path = written(rows, "payloads"), new_path(p.spark, "log")
-    log.write_segments(rows, path, 500)
+    rows, path = written(numbered(payloads(p).drop("offset").withColumn("partition", (F.col("seq") % 3).cast("int"))), "payloads"), new_path(p.spark, "log")
+    log.write_segments(rows, path)
     return rows, path
 
 
