@@ -25,30 +25,44 @@ def _first_only(horizon_ms: int):
 
         def init(self, handle) -> None:
             self.handle = handle
-            self.seen = handle.getMapState("seen", "event_id string", "at_ms long")
+            # one value a device: it is read and written once a batch, not once a row
+            self.seen = handle.getValueState("seen", "events array<string>, at_ms array<long>")
+
+        def known(self) -> dict[str, int]:
+            events, times = self.seen.get() or ((), ())
+            return dict(zip(events, times))
+
+        def keep(self, seen: dict[str, int]) -> None:
+            if seen:
+                self.seen.update((list(seen), list(seen.values())))
+            else:
+                self.seen.clear()
 
         def handleInputRows(self, key, rows, timerValues):
-            watermark = timerValues.getCurrentWatermarkInMs()
+            watermark, seen, due = timerValues.getCurrentWatermarkInMs(), self.known(), set()
+            before = len(seen)
             for part in rows:
                 routes = []
                 for event, at in zip(part["event_id"], part["at_ms"]):
                     if watermark > 0 and at <= watermark:
                         routes.append("late")
-                    elif self.seen.containsKey((event,)):
+                    elif event in seen:
                         routes.append("repeat")
                     else:
-                        self.seen.updateValue((event,), (int(at),))
+                        seen[event] = int(at)
                         # one timer a slice of the horizon: rows of a device share timers
-                        self.handle.registerTimer((int(at) // horizon_ms + 2) * horizon_ms)
+                        due.add((int(at) // horizon_ms + 2) * horizon_ms)
                         routes.append("on_time")
                 yield part[["device_id", "event_id", "at_ms", "value"]].assign(route=routes)
+            if len(seen) > before:
+                self.keep(seen)
+            for time in due:
+                self.handle.registerTimer(time)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             """Forgets what is older than the horizon: whatever comes of it would be late."""
             gone = expiredTimerInfo.getExpiryTimeInMs() - horizon_ms
-            old = [event for event, (at,) in self.seen.iterator() if at < gone]
-            for event in old:
-                self.seen.removeKey(event)
+            self.keep({event: at for event, at in self.known().items() if at >= gone})
             yield pd.DataFrame(columns=["device_id", "event_id", "at_ms", "value", "route"]).astype({"at_ms": "int64", "value": "float64"})
 
         def close(self) -> None:
