@@ -29,13 +29,16 @@ def latest_valid_live(rows: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
     return top.filter("is_deleted = 0 AND consumption >= 0 AND cost >= 0")
 
 
+def deleted_or_valid() -> Column:
+    return (F.coalesce("is_deleted", F.lit(0)) == 1) | ((F.col("consumption") >= 0) & (F.col("unit_price") > 0))
+
+
 def incoming(ods: DataFrame, workshops: DataFrame, energies: DataFrame, calendar: DataFrame) -> DataFrame:
     """O1: typed rows with surrogate key, names, calendar flags and factors; invalid rows go, deletes pass."""
     day = calendar.select(F.col("calendar_date").alias("record_date"), "is_weekend", "is_holiday", "year_month")
     rows = ods.drop("unit").join(F.broadcast(energies), "energy_code").join(F.broadcast(workshops.select("workshop_code", "workshop_name", "process_type")), "workshop_code").join(F.broadcast(day), "record_date")
     weighed = lambda factor: F.round(F.col("consumption") * F.col(factor), 3).cast("decimal(18,3)")
-    valid = (F.col("consumption") >= 0) & (F.col("unit_price") > 0)
-    return rows.filter((F.coalesce("is_deleted", F.lit(0)) == 1) | valid).select(
+    return rows.filter(deleted_or_valid()).select(
         F.sha2(F.concat_ws("|", F.date_format("record_date", "yyyy-MM-dd"), "workshop_code", "energy_code").cast("binary"), 256).alias("energy_key"), *KEY, "workshop_name", "process_type", "energy_name", "consumption", "unit", "unit_price", "cost", "record_status", "avg_temperature",
         "is_production_day", "is_weekend", "is_holiday", "year_month", weighed("std_coal_factor").alias("std_coal_kgce"), weighed("co2_factor").alias("co2_kg"), "updated_at", F.coalesce("is_deleted", F.lit(0)).alias("is_deleted"), "source_id",
     )
@@ -185,7 +188,7 @@ def cdc_images(changes: DataFrame) -> DataFrame:
     after = rows.filter("op <> 'd'").select(F.col("after.business_key").alias("business_key"), "id", "version", F.lit(0).alias("is_deleted"), F.col("after").alias("image"))
     moved = (F.col("op") == "d") | (F.col("before.business_key") != F.col("after.business_key"))
     gone = rows.filter(F.col("before").isNotNull() & moved).select(F.col("before.business_key").alias("business_key"), "id", "version", F.lit(1).alias("is_deleted"), F.col("before").alias("image"))
-    return after.unionByName(gone).distinct()
+    return after.unionByName(gone).repartition("business_key").distinct()  # what goes on by key, too, isn't shuffled again
 
 
 def cdc_conflicts(changes: DataFrame) -> DataFrame:
@@ -195,7 +198,7 @@ def cdc_conflicts(changes: DataFrame) -> DataFrame:
     """
     version = F.struct("file_no", "pos", "row", (F.col("op") != "r").cast("int").alias("streamed"))
     signature = F.struct("op", "before", "after")
-    twice = changes.withColumn("version", version).groupBy("id", "version").agg(F.count_distinct(F.xxhash64(signature)).alias("n"), F.min(F.coalesce("after.business_key", "before.business_key")).alias("business_key")).filter("n > 1")
+    twice = changes.withColumn("version", version).groupBy("id", "version").agg(F.min(F.xxhash64(signature)).alias("a"), F.max(F.xxhash64(signature)).alias("b"), F.min(F.coalesce("after.business_key", "before.business_key")).alias("business_key")).filter("a <> b")
     by = Window.partitionBy("business_key").orderBy("version", "is_deleted", "id")
     before = cdc_images(changes).withColumns({"_id": F.lag("id").over(by), "_deleted": F.lag("is_deleted").over(by)})
     taken = before.filter((F.col("_deleted") == 0) & (F.col("_id") != F.col("id")))
@@ -333,6 +336,14 @@ def replicated(rows: DataFrame, scale: int) -> DataFrame:
     return rows.withColumn("plant_id", F.explode(F.sequence(F.lit(0), F.lit(scale - 1))))
 
 
+def by_plant(rows: DataFrame, scale: int, name: str) -> DataFrame:
+    """`replicated` rows as a table partitioned by plant. Each plant is written by itself, so no row is sorted by plant before it is written; the first one's table is what the others are written from."""
+    path = new_path(rows.sparkSession, name)
+    for plant in range(scale):
+        (rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/plant_id=0") if plant else rows).write.parquet(f"{path}/plant_id={plant}")
+    return rows.sparkSession.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, plant_id int").parquet(path)
+
+
 def layer_audit(layers: dict[str, tuple[DataFrame, tuple[str, ...]]], cost: str = "cost_yuan") -> DataFrame:
     """Of each layer (frame, its key) rows, cost, standard coal, repeated and null keys. Costs and coal have to be equal over layers."""
     out = None
@@ -352,15 +363,22 @@ def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     return one_sided(a, b.select(*a.columns), a.columns, ("snapshot", "source"))
 
 
-def snapshot_against_source(events: DataFrame, source: DataFrame) -> DataFrame:
-    """One row on a first-read snapshot (`op` and the source's columns): events, those that aren't reads, source rows, differing rows, equal hashes, and the verdict."""
+def snapshot_against_source(events: DataFrame, source: DataFrame, sums: DataFrame | None = None) -> DataFrame:
+    """One row on a first-read snapshot (`op` and the source's columns): events, those that aren't reads, source rows, differing rows, equal hashes, and the verdict.
+    `sums` are the `source_sums`, if several snapshots meet one source."""
     rows = events.drop("op").select(*source.columns)
     sides = same_rows(rows, source).agg(F.count(F.when(F.col("side") == "snapshot", 1)).alias("only_snapshot"), F.count(F.when(F.col("side") == "source", 1)).alias("only_source"))
-    counts = events.agg(F.count("*").alias("n_events"), F.count(F.when(F.col("op") != "r", 1)).alias("not_read")).join(source.agg(F.count("*").alias("n_source"), content_hash(source, "_s"))).join(rows.agg(content_hash(rows, "_r"))).join(sides)  # one row each
-    counts = counts.withColumn("same_hash", F.col("_s") == F.col("_r")).drop("_s", "_r")
+    own = events.agg(F.count("*").alias("n_events"), F.count(F.when(F.col("op") != "r", 1)).alias("not_read"), content_hash(rows, "_r"))
+    counts = own.join(source_sums(source) if sums is None else sums).join(sides)  # one row each
+    counts = counts.withColumn("same_hash", F.col("_s") == F.col("_r")).select("n_events", "not_read", "n_source", "only_snapshot", "only_source", "same_hash")
     return counts.withColumn("ok", (F.col("not_read") == 0) & (F.col("n_events") == F.col("n_source")) & (F.col("only_snapshot") + F.col("only_source") == 0) & F.col("same_hash"))
 
 
+def source_sums(source: DataFrame) -> DataFrame:
+    """Rows and hash of a source."""
+    return source.agg(F.count("*").alias("n_source"), content_hash(source, "_s"))
+
+
 def manifest_of(frames: dict[str, DataFrame]) -> DataFrame:
     """Per query its columns, rows and an order-free content hash, for an export of one snapshot."""
     out = None
@@ -410,10 +428,10 @@ def ods(p: Plant) -> DataFrame:
 
 
 def first_and_late(p: Plant) -> tuple[DataFrame, DataFrame]:
-    """Incoming rows in two loads: the newest of the old versions per key, and all late versions."""
-    rows = written(incoming(ods(p), p.workshops, p.energies, p.calendar), "incoming")
-    split = F.to_timestamp(F.lit("1996-01-01"))
-    return latest(rows.filter(F.col("updated_at") < split), KEY, F.col("updated_at").desc_nulls_last(), F.desc("source_id")), rows.filter(F.col("updated_at") >= split)
+    """Incoming rows in two loads: per key the newest of the old versions, and the newest of the late ones. What `incoming` adds goes by key, so versions are ranked before it, as narrow rows."""
+    rows, split = ods(p).filter(deleted_or_valid()), F.to_timestamp(F.lit("1996-01-01"))
+    newest = lambda some: incoming(latest(rows.filter(some), KEY, F.col("updated_at").desc_nulls_last(), F.desc("source_id")), p.workshops, p.energies, p.calendar)
+    return newest(F.col("updated_at") < split), written(newest(F.col("updated_at") >= split), "late")
 
 
 def detail(p: Plant) -> DataFrame:
@@ -639,12 +657,11 @@ def o_scaled(p: Plant) -> DataFrame:
 SELECT layer, n * 3 AS n_rows, (cost * 3)::DOUBLE AS cost, 3::BIGINT AS plants, true AS ok FROM b""")
 def o_written(p: Plant) -> DataFrame:
     """Four layers of three plants, each written by plant and read back; rows and cost are those of one plant, three times."""
-    rows = written(incoming(ods(p), p.workshops, p.energies, p.calendar), "incoming")
-    one = layers(p)
+    rows, one = incoming(ods(p), p.workshops, p.energies, p.calendar), layers(p)
     base = {"ods": rows, "dwd": one["dwd"], "dws": one["days"].withColumnRenamed("cost_yuan", "cost"), "ads": one["ads"].withColumnRenamed("cost_yuan", "cost")}
     out = None
     for name, frame in base.items():
-        made = written(replicated(frame, 3), f"scaled-{name}", "plant_id")
+        made = by_plant(frame, 3, f"scaled-{name}")
         each = frame.agg(F.count("*").alias("_n"), F.sum("cost").alias("_cost"))
         row = made.agg(F.count("*").alias("n_rows"), F.sum("cost").alias("cost"), F.count_distinct("plant_id").alias("plants")).join(each)  # one row each
         row = row.select(F.lit(name).alias("layer"), "n_rows", F.col("cost").cast("double").alias("cost"), "plants", ((F.col("n_rows") == 3 * F.col("_n")) & (F.col("cost") == 3 * F.col("_cost"))).alias("ok"))
@@ -676,13 +693,14 @@ def o_schema(p: Plant) -> DataFrame:
 SELECT 'equal' AS events, n AS n_events, 0::BIGINT AS not_read, n AS n_source, 0::BIGINT AS only_snapshot, 0::BIGINT AS only_source, true AS same_hash, true AS ok FROM n UNION ALL SELECT 'changed', n, 0, n, c, c, c = 0, c = 0 FROM n UNION ALL SELECT 'short', n - c, 0, n, 0, c, c = 0, c = 0 FROM n UNION ALL SELECT 'updated', n, u, n, 0, 0, true, u = 0 FROM n""")
 def o_source(p: Plant) -> DataFrame:
     """First-read snapshots against their source: equal, with changed values, with missing rows, with an event that isn't a read."""
-    source = p.records.select("source_id", *KEY, "consumption")
+    source = written(p.records.select("source_id", *KEY, "consumption"), "source")
+    sums = written(source_sums(source), "sums")
     m = lambda n: F.col("source_id") % n == 0
     events = source.withColumn("op", F.lit("r"))
     cases = {"equal": events, "changed": events.withColumn("consumption", F.when(m(100), (F.col("consumption") + 1).cast("decimal(16,3)")).otherwise(F.col("consumption"))), "short": events.filter(~m(100)), "updated": events.withColumn("op", F.when(m(70), "u").otherwise("r"))}
     out = None
     for name, frame in cases.items():
-        row = snapshot_against_source(frame, source).select(F.lit(name).alias("events"), "*")
+        row = snapshot_against_source(frame, source, sums).select(F.lit(name).alias("events"), "*")
         out = row if out is None else out.unionByName(row)
     return out
 
